@@ -4,7 +4,7 @@ machines among the languages of that family.
 A text is the relative frequencies of its hashed byte 1- to 4-grams (bytes of the lower-cased text, whole text). Families
 are told apart by one-versus-one machines as well; a step's choice is by votes, ties by the sum of margins. The
 machines are trained on a bounded sample of labelled rows (Sample.rows per language at most, by smallest hash of
-doc_id and text), by squared-hinge loss and Nesterov steps.
+doc_id; rows without id teach nothing), by squared-hinge loss and Nesterov steps.
 
 Rows: `und` with score 0 where the text is null or has no letter, and everywhere if nothing was learned (no labelled
 row). A language that FAMILIES doesn't name is a family of its own. Repeated rows are predicted one by one. With one
@@ -14,6 +14,7 @@ learned language, that is predicted with score 1. Columns besides doc_id, text a
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -98,16 +99,15 @@ def _svm(x: np.ndarray, y: np.ndarray, sample: Sample) -> tuple[np.ndarray, floa
 def train(labelled: DataFrame, sample: Sample = Sample()) -> Machines | None:
     """labelled: doc_id, text, lang, whatever their fold. None if there is no row to learn from."""
     session_of(labelled)
-    rows = labelled.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    ranked = rows.select("text", "lang", F.xxhash64("doc_id", F.length("text")).alias("r"))
+    rows = labelled.select("doc_id", "text", "lang").filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     langs = sorted(r[0] for r in rows.select("lang").distinct().collect())
     if not langs:
         return None
-    one = [ranked.filter(F.col("lang") == v).orderBy("r", F.length("text"), "text").limit(sample.rows) for v in langs]
-    taken = one[0]
-    for df in one[1:]:
-        taken = taken.unionByName(df)
-    got = taken.select("lang", "text").toArrow()
+    order = F.xxhash64("doc_id")
+    picked = [rows.select("doc_id", "lang").filter(F.col("lang") == v).orderBy(order, "doc_id").limit(sample.rows) for v in langs]
+    # sample.rows keys per language at most: their size is bounded, so they may be broadcast and only their texts come.
+    keys = reduce(DataFrame.unionByName, picked).distinct()
+    got = rows.join(F.broadcast(keys), ["doc_id", "lang"], "left_semi").select("doc_id", "lang", "text").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("text", "ascending")])
     lang = np.array(got["lang"].to_pylist(), dtype=object)
     x = np.stack([features(t) for t in got["text"].to_pylist()])
     names = sorted({family_of(v) for v in langs})

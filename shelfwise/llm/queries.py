@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, language, quality, simhash, substring, topk, toxicity
+from . import html, language, mixing, packing, quality, rollup, simhash, substring, topk, toxicity
 from .common import table
 
 
@@ -18,6 +19,14 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.maintained_totals(table(spark, sf_dir, "documents"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -35,12 +44,17 @@ def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_html_text, op5_language_id, op6_substring_dedup, op7_quality_rules, op8_topk_search, op10_simhash)}
+    found = (op1_toxicity, op2_html_text, op3_token_counts, op4_packing, op5_language_id, op6_substring_dedup, op7_quality_rules, op8_topk_search, op9_mixing, op10_simhash)
+    return {f.__name__: f for f in found}
 
 
 #: Words and line rules as in quality.py, over DuckDB's regular expressions.
@@ -88,6 +102,21 @@ FROM counted
 """
 
 
+#: What is left after all batches: documents of 50 words or more, byte counts without surrounding blanks, second word counter.
+OP3 = r"""
+WITH base AS (
+  SELECT source, lang, coalesce("text", '') AS t FROM documents
+), counted AS (
+  SELECT source, lang, len(list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words,
+         strlen(regexp_replace(regexp_replace(t, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '')) AS bytes,
+         length(t) - length(regexp_replace(t, '[.,;:!?|]', '', 'g')) AS marks
+  FROM base
+), kept AS (
+  SELECT source, lang, unnest(['bytes-1', 'words-2']) AS tokenizer, unnest([bytes, words + marks]) AS n FROM counted WHERE words >= 50
+)
+SELECT source, lang, tokenizer, count(*) AS docs, CAST(sum(n) AS BIGINT) AS tokens FROM kept GROUP BY ALL
+"""
+
 #: Every pair of a query and another row, by exact integer products.
 OP8 = """
 WITH v AS (
@@ -122,4 +151,4 @@ FROM split LEFT JOIN gone_of USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_substring_dedup": OP6, "op7_quality_rules": OP7, "op8_topk_search": OP8}
+    return {"op3_token_counts": OP3, "op6_substring_dedup": OP6, "op7_quality_rules": OP7, "op8_topk_search": OP8}
