@@ -11,6 +11,8 @@ Repeated rows are judged one by one. Columns besides doc_id and text are not rea
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +28,8 @@ SENTENCE_END = r"""[.!?:;"')\]…»”’]([\x20\x09-\x0D]|$)"""
 MENU = "|»›•·"
 #: Phrases of boilerplate lines (regular expression, any case).
 BOILERPLATE = r"(?i)(all rights reserved|cookie policy|privacy policy|terms of (use|service)|copyright \(c\)|subscribe to our|sign up for|click here|enable javascript|lorem ipsum|permission is hereby granted|licensed under the)"
+#: A part of each of those phrases; only texts with one of them are tried against the expression.
+BOILERPLATE_PARTS = ("rights", "policy", "terms", "copyright", "subscribe", "sign up", "click", "javascript", "ipsum", "hereby", "licensed")
 
 
 @dataclass(frozen=True)
@@ -56,13 +60,23 @@ def count_any(text: Column, characters: str) -> Column:
     return F.length(text) - F.length(F.translate(text, characters, ""))
 
 
-def line_fails(line: Column, rules: LineRules) -> Column:
+def has_word(line: Column) -> Column:
+    return line.rlike(r"[^\x20\x09-\x0D]")
+
+
+def may_be_boilerplate(text: Column) -> Column:
+    lower = F.lower(text)
+    return reduce(or_, (F.contains(lower, F.lit(p)) for p in BOILERPLATE_PARTS))
+
+
+def line_fails(line: Column, rules: LineRules, suspect: Column) -> Column:
+    """suspect: whether the line's text may have a boilerplate phrase. Cheap tests stand before those that they spare."""
     n = F.size(F.split(F.btrim(line, F.lit(BLANKS)), WORD_GAP))
     return (
-        (count_any(line, MENU) > rules.menu_share * n)
-        | (count_any(line, SYMBOLS) > rules.symbol_share * n)
-        | ((n >= rules.end_words) & ~line.rlike(SENTENCE_END))
-        | line.rlike(BOILERPLATE)
+        (~line.rlike(SENTENCE_END) & (n >= rules.end_words))
+        | (line.rlike(f"[{MENU}]") & (count_any(line, MENU) > rules.menu_share * n))
+        | (line.rlike(r"[#*$%&|<>]") & (count_any(line, SYMBOLS) > rules.symbol_share * n))
+        | (suspect & line.rlike(BOILERPLATE))
     )
 
 
@@ -74,7 +88,8 @@ def assess(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
         "doc_id",
         "text",
         words_of(F.col("text")).alias("words"),
-        F.filter(F.split("text", "\n"), lambda x: visible(x) != "").alias("lines"),
+        F.filter(F.split("text", "\n"), has_word).alias("lines"),
+        may_be_boilerplate(F.col("text")).alias("suspect"),
     )
     n = F.size("words")
     hashes = F.when(n < 4, F.array().cast("array<bigint>")).otherwise(
@@ -86,6 +101,7 @@ def assess(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
         F.length(visible(F.col("text"))).cast("long").alias("word_chars"),
         count_any(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
         "lines",
+        "suspect",
         F.array_distinct("lines").alias("firsts"),
         hashes.alias("hashes"),
     ).select("*", (F.size("lines") - F.size("firsts")).cast("long").alias("n_dup_lines"), (F.size(F.array_distinct("hashes")) < F.size("hashes")).alias("repeats"))
@@ -93,7 +109,7 @@ def assess(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     paired = counted.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
         F.size("lines").cast("long").alias("n_lines"),
-        F.filter("firsts", lambda x: ~line_fails(x, rules)).alias("kept_lines"),
+        F.filter("firsts", lambda x: ~line_fails(x, rules, F.col("suspect"))).alias("kept_lines"),
         F.when(F.col("repeats"), F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("ordered"),
     )
     at = F.sort_array(
@@ -115,7 +131,7 @@ def assess(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines",
         F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"),
         F.size("kept_lines").cast("long").alias("n_kept"),
-        F.length(visible(F.array_join("kept_lines", ""))).cast("long").alias("kept_chars"),
+        F.when(F.size("kept_lines") == F.col("n_lines"), F.col("word_chars")).otherwise(F.length(visible(F.array_join("kept_lines", ""))).cast("long")).alias("kept_chars"),
     )
     failed = (F.col("n_words") < rules.least_words) | (100 * F.col("n_repeat_words") > rules.repeat_percent * F.col("n_words"))
     return scored.select(
@@ -128,5 +144,6 @@ def assess(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
 
 def clean(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """docs with failing and repeated lines taken out of text; a null text stays null."""
-    lines = F.array_distinct(F.filter(F.split("text", "\n"), lambda x: visible(x) != ""))
-    return docs.withColumn("text", F.array_join(F.filter(lines, lambda x: ~line_fails(x, rules)), "\n"))
+    lines = F.array_distinct(F.filter(F.split("text", "\n"), has_word))
+    suspect = may_be_boilerplate(F.col("text"))
+    return docs.withColumn("text", F.array_join(F.filter(lines, lambda x: ~line_fails(x, rules, suspect)), "\n"))
