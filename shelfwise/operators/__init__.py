@@ -1,0 +1 @@
+"""Operators over a library's state."""

@@ -1,0 +1,6 @@
+"""Sources: loan exports, catalog documents, reports."""
+
+from .documents import DocumentClient, read_approvals, read_report, read_volumes, read_works
+from .loans import newest, read_loans
+
+__all__ = ["DocumentClient", "newest", "read_approvals", "read_loans", "read_report", "read_volumes", "read_works"]
