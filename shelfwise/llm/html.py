@@ -8,7 +8,8 @@ pages share scores near 0 and text of one page scores 1. Nodes seen on fewer tha
 importance 1. On a page, an element's importance is that of its own text and of its children, weighted by the length
 of their text, and of its presentation by the share `Rules.presentation`. To it is added a prior: -1 for elements that
 name themselves as something else than content (navigation, forms, adverts, comments, ...), on pages with an article
-also -1 for what lies outside, and +1 for the article. Branches under `Rules.threshold` are removed.
+also -1 for what lies outside, and +1 for the article. A branch goes if its own importance and that of all its descendants are under
+`Rules.threshold`.
 
 Two parses, no shuffle of pages: what is shuffled are counts by host, node and feature, summed map-side first, so a
 host with a third of all pages costs as much as its distinct nodes and blocks.
@@ -214,12 +215,13 @@ def extract_one(page: str | None, tree: dict, rules: Rules) -> str:
         m, style, content = tree.get(n.path, (0, 1.0, 1.0))
         if m < rules.least_pages:
             style = content = 1.0
-        total = length = 0.0
+        total = length = best = 0.0
         for c in n.children:
-            size, imp = (len(c), content) if isinstance(c, str) else known[id(c)]
-            total, length = total + size * imp, length + size
+            size, imp, top = (len(c), content, content) if isinstance(c, str) else known[id(c)]
+            total, length, best = total + size * imp, length + size, max(best, top)
         inner = total / length if length else content
-        known[id(n)] = (length, (1 - rules.presentation) * inner + rules.presentation * style if n.children else inner)
+        own = (1 - rules.presentation) * inner + rules.presentation * style if n.children else inner
+        known[id(n)] = (length, own, max(own, best))
     out: list[str] = []
 
     def keep(n: Node, within: bool) -> None:
@@ -229,7 +231,7 @@ def extract_one(page: str | None, tree: dict, rules: Rules) -> str:
             n, within, k = stack.pop()
             if k == 0 and n.path:
                 holds = not within and articles and any(x.prior > 0 for x in nodes(n))
-                score = known[id(n)][1] + n.prior + (1 if within or holds else 0)
+                score = known[id(n)][2] + n.prior + (1 if within or holds else 0)
                 if n.prior < 0 or score < rules.threshold:
                     continue
                 within = within or n.prior > 0

@@ -323,7 +323,7 @@ def covered(h: np.ndarray, found: list, bitmap: np.ndarray, bits: int, spans: Sp
 
 
 def _cut(text: bytes, gone: np.ndarray) -> bytes:
-    """text without the words marked; of the white space around a removed span, what follows it stays."""
+    """text without the words marked; of the white space around a removed span, what precedes it stays."""
     out, at, k = [], 0, 0
     edges = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8)))
     spans = list(GAP.finditer(text))
@@ -340,7 +340,7 @@ def _judged(spans: Spans, shared, bits: int, with_text: bool):
         for b in batches:
             names = b.schema.names
             n_words, n_removed, digest, kept_text = [], [], [], []
-            for t, found in zip(bytes_of(b.column(names.index("text"))), b.column(names.index("found")).to_pylist()):
+            for t, found in zip(bytes_of(b.column(names.index("text"))), b.column(names.index("__found")).to_pylist()):
                 words = (t or b"").split()
                 gone = covered(word_hashes(words), found, bitmap, bits, spans)
                 n_words.append(len(words))
@@ -351,7 +351,7 @@ def _judged(spans: Spans, shared, bits: int, with_text: bool):
                     kept = words if not n_removed[-1] else [w for w, g in zip(words, gone.tolist()) if not g]
                     digest.append(hashlib.sha256(b" ".join(kept)).hexdigest())
             last = pa.array(kept_text, pa.binary()).cast(pa.string()) if with_text else pa.array(digest, pa.string())
-            keep = [i for i, n in enumerate(names) if n not in ("found", "text_hash", "text")]
+            keep = [i for i, n in enumerate(names) if n not in ("__found", "__hash", "text")]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), last], names=[*(names[i] for i in keep), "n_words__", "n_removed__", "last__"])
 
     return run
@@ -359,11 +359,11 @@ def _judged(spans: Spans, shared, bits: int, with_text: bool):
 
 def _run(docs: DataFrame, spans: Spans, with_text: bool) -> DataFrame:
     scratch = Scratch(session_of(docs))
-    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
-    firsts, shared, bits = first_places(hashed, spans, scratch)
-    f = firsts.select(F.col("doc_id").alias("f_id"), F.col("text_hash").alias("f_hash"), "found")
-    joined = hashed.join(f, hashed["doc_id"].eqNullSafe(f["f_id"]) & (hashed["text_hash"] == f["f_hash"]), "left").drop("f_id", "f_hash")
-    kept = [x for x in joined.schema.fields if x.name not in ("found", "text_hash", "text")]
+    firsts, shared, bits = first_places(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), spans, scratch)
+    hashed = docs.withColumn("__hash", F.xxhash64("text"))
+    f = firsts.select(F.col("doc_id").alias("__f_id"), F.col("text_hash").alias("__f_hash"), F.col("found").alias("__found"))
+    joined = hashed.join(f, hashed["doc_id"].eqNullSafe(f["__f_id"]) & (hashed["__hash"] == f["__f_hash"]), "left").drop("__f_id", "__f_hash")
+    kept = [x for x in joined.schema.fields if x.name not in ("__found", "__hash", "text")]
     schema = T.StructType([*kept, T.StructField("n_words__", T.LongType()), T.StructField("n_removed__", T.LongType()), T.StructField("last__", T.StringType())])
     return joined.mapInArrow(_judged(spans, shared, bits, with_text), schema)
 
@@ -375,7 +375,7 @@ def repeated_words(docs: DataFrame, spans: Spans = Spans()) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, spans: Spans = Spans()) -> DataFrame:
     """docs with the repeated spans cut out of text (n_chars, where there is one, follows), without the rows of which
-    nothing is left. All columns stay; internal names end in two underscores."""
+    nothing is left. All columns stay; internal names begin or end in two underscores."""
     columns = docs.columns
     out = _run(docs, spans, True).filter("n_words__ = 0 OR n_removed__ < n_words__").withColumn("text", F.col("last__"))
     if "n_chars" in columns:
