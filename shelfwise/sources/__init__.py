@@ -1,6 +1,6 @@
 """Sources: loan exports, catalog documents, reports."""
 
-from .documents import DocumentClient, read_approvals, read_report, read_volumes, read_works
+from .documents import DocumentClient, read_approvals, read_editions, read_editions_from, read_report, read_volumes, read_works, read_works_from
 from .loans import newest, read_loans
 
-__all__ = ["DocumentClient", "newest", "read_approvals", "read_loans", "read_report", "read_volumes", "read_works"]
+__all__ = ["DocumentClient", "newest", "read_approvals", "read_editions", "read_editions_from", "read_loans", "read_report", "read_volumes", "read_works", "read_works_from"]

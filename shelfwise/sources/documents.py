@@ -190,6 +190,17 @@ def read_volumes(payloads: DataFrame) -> DataFrame:
     )
 
 
+def read_works_from(spark: SparkSession, path: str) -> DataFrame:
+    """Work documents in JSON lines (author_id, key, payload), with their author."""
+    raw = spark.read.schema("author_id long, key string, payload string").json(path)
+    return raw.select("author_id", "key").distinct().join(read_works(raw.select("key", "payload").distinct()), "key")
+
+
+def read_editions_from(spark: SparkSession, path: str) -> DataFrame:
+    """Edition lists in JSON lines (key, editions)."""
+    return read_editions(spark.read.schema("key string, editions string").json(path).select("key", F.col("editions").alias("payload")).filter("payload IS NOT NULL"))
+
+
 REPORT = (
     "analysis_date string, min_books int, authors array<struct<author_id:long,author_name:string,duplicate_details:array<struct<group_key:string,"
     "keep:struct<id:long,title:string,isbn:string>,remove:array<struct<id:long,title:string,isbn:string,reasons:array<string>>>,pattern_types:array<string>,count:int>>>>"

@@ -1,0 +1,5 @@
+"""Incremental use of the same operators with Structured Streaming: additions to the batch interface."""
+
+from .feeds import latest_feedback, stream_loans
+
+__all__ = ["latest_feedback", "stream_loans"]
