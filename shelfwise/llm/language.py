@@ -37,7 +37,7 @@ FAMILIES = {
     "turkic": ("tr", "az", "kk", "uz"),
     "sinitic": ("zh", "yue"),
 }
-BUCKETS = 8192
+BUCKETS = 4096
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -74,7 +74,7 @@ def features(text: str) -> np.ndarray:
         n = min(len(x), 1 << 20)
         h = x
         for k in range(4):
-            total += np.bincount((h[:n] * np.uint32(2654435761) >> np.uint32(19)).astype(np.int64), minlength=BUCKETS)
+            total += np.bincount((h[:n] * np.uint32(2654435761) >> np.uint32(20)).astype(np.int64), minlength=BUCKETS)
             if len(x) < k + 2:
                 break
             h = h[:-1] * np.uint32(16777619) ^ x[k + 1 :]
@@ -84,16 +84,16 @@ def features(text: str) -> np.ndarray:
 
 def _svm(x: np.ndarray, y: np.ndarray, sample: Sample) -> tuple[np.ndarray, float]:
     """Squared hinge, classes weighted alike; x: rows by features, y: -1 or 1."""
-    c = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    w, b = np.zeros(x.shape[1]), 0.0
+    c = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
+    w, b = np.zeros(x.shape[1], dtype=np.float32), np.float32(0)
     vw, vb = w, b
-    rate = 0.25
+    rate, ridge = np.float32(0.25), np.float32(sample.ridge)
     for t in range(sample.steps):
         g = -2 * c * y * np.maximum(0, 1 - y * (x @ vw + vb))
-        nw, nb = vw - rate * (x.T @ g + sample.ridge * vw), vb - rate * g.sum()
-        k = t / (t + 3)
+        nw, nb = vw - rate * (x.T @ g + ridge * vw), vb - rate * g.sum()
+        k = np.float32(t / (t + 3))
         vw, vb, w, b = nw + k * (nw - w), nb + k * (nb - b), nw, nb
-    return w, b
+    return w.astype(float), float(b)
 
 
 def train(labelled: DataFrame, sample: Sample = Sample()) -> Machines | None:
@@ -109,7 +109,9 @@ def train(labelled: DataFrame, sample: Sample = Sample()) -> Machines | None:
     keys = reduce(DataFrame.unionByName, picked).distinct()
     got = rows.join(F.broadcast(keys), ["doc_id", "lang"], "left_semi").select("doc_id", "lang", "text").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("text", "ascending")])
     lang = np.array(got["lang"].to_pylist(), dtype=object)
-    x = np.stack([features(t) for t in got["text"].to_pylist()])
+    x = np.empty((len(lang), BUCKETS), dtype=np.float32)
+    for i, t in enumerate(got["text"]):
+        x[i] = features(t.as_py())
     names = sorted({family_of(v) for v in langs})
     families = tuple((f, tuple(v for v in langs if family_of(v) == f)) for f in names)
     family = np.array([names.index(family_of(v)) for v in lang])
@@ -118,7 +120,7 @@ def train(labelled: DataFrame, sample: Sample = Sample()) -> Machines | None:
     for g, masks in groups:
         for i, j in combinations(range(len(masks)), 2):
             on = masks[i] | masks[j]
-            w, b = _svm(x[on], np.where(masks[i][on], 1.0, -1.0), sample)
+            w, b = _svm(x if on.all() else x[on], np.where(masks[i][on], 1, -1).astype(np.float32), sample)
             pairs.append((g, i, j))
             weights.append(w)
             bias.append(b)
