@@ -35,6 +35,7 @@ from pyspark.sql import types as T
 from .common import Scratch, bytes_of, session_of
 
 BYTES = 5  # of a word's hash that a context keeps
+SLICE = 14  # bits of the places that one group packs into the bitmap
 GAP = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -92,19 +93,19 @@ def repeated_anchors(docs: DataFrame, spans: Spans, scratch: Scratch) -> tuple[n
     counts = docs.select("text").mapInArrow(_counted(spans), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     twice = scratch.write(counts.filter("n > 1").select("key"), "twice")
     bits = int(min(spans.most_bits, max(20, np.ceil(np.log2(16 * max(1, twice.count()))))))
-    # Places in the bitmap are distinct and lie in slices of 2**20: what one group gathers is bounded.
+    # Places in the bitmap are distinct and lie in slices of 2**SLICE: what one group gathers is bounded.
     places = twice.select(F.shiftrightunsigned("key", 64 - bits).alias("place")).distinct()
 
     def packed(rows: pa.Table) -> pa.Table:
-        on = np.zeros(1 << 20, dtype=bool)
+        on = np.zeros(1 << SLICE, dtype=bool)
         place = rows.column("place").to_numpy()
-        on[place & ((1 << 20) - 1)] = True
-        return pa.table({"slice": pa.array([int(place[0] >> 20)]), "bits": pa.array([np.packbits(on).tobytes()], pa.binary())})
+        on[place & ((1 << SLICE) - 1)] = True
+        return pa.table({"slice": pa.array([int(place[0] >> SLICE)]), "bits": pa.array([np.packbits(on).tobytes()], pa.binary())})
 
-    slices = places.withColumn("slice", F.shiftright("place", 20)).groupBy("slice").applyInArrow(packed, "slice long, bits binary").toArrow()
+    slices = places.withColumn("slice", F.shiftright("place", SLICE)).groupBy("slice").applyInArrow(packed, "slice long, bits binary").toArrow()
     bitmap = np.zeros(1 << (bits - 3), dtype=np.uint8)
     for at, b in zip(slices["slice"].to_pylist(), slices["bits"].to_pylist()):
-        bitmap[at << 17 : (at + 1) << 17] = np.frombuffer(b, dtype=np.uint8)
+        bitmap[at << (SLICE - 3) : (at + 1) << (SLICE - 3)] = np.frombuffer(b, dtype=np.uint8)
     scratch.drop("twice")
     return bitmap, bits
 
