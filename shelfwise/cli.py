@@ -64,13 +64,7 @@ def main(argv: list[str] | None = None) -> None:
         case "catalog":
             if args.works:  # fetched documents; without any, the authors that are due
                 years = (args.recent_years or 3) if getattr(args, "only_recent") else None
-                due = catalog.due_authors(state, now, args.force).filter("due").select(F.col("id").alias("author_id"))
-                works = read_works_from(spark, args.works).join(due, "author_id", "left_semi")
-                plan, state = catalog.fetch_catalog(state, works, read_editions_from(spark, args.editions or args.works), now, years)
-                if args.auto_cleanup:
-                    steps = (catalog.remove_duplicate_titles, catalog.cleanup_non_english)
-                    for step in steps if years else steps[::-1]:
-                        state = step(state)[1]
+                plan, state = catalog.fetch_all(state, read_works_from(spark, args.works), read_editions_from(spark, args.editions or args.works), now, args.force, years, args.auto_cleanup)
             else:
                 show(catalog.due_authors(state, now, args.force).filter("due"))
         case "series":  # --format is accepted and has no effect

@@ -106,15 +106,48 @@ def fix_mixed_identities(state: LibraryState, work_authors: DataFrame, author_wo
     return plan, state.with_(catalog=catalog, authors=state.authors.unionByName(new, allowMissingColumns=True))
 
 
+def pick_candidates(found: DataFrame, works: DataFrame, books: DataFrame, first_works: int = 20) -> DataFrame:
+    """Of an author's search results (author, rank, author_key) the first with one of the titles read among its first
+    works (author_key, pos, title), else the first result. books: the loans, by author. Gives author, author_key, certain."""
+    keyed = found.filter("author_key <> ''").select("author", "rank", X.author_key(F.col("author_key")).alias("author_key"))
+    some = works.filter(F.col("pos") < first_works).select(X.author_key(F.col("author_key")).alias("author_key"), X.lower_trim(F.col("title")).alias("_t")).distinct()
+    read = books.select("author", X.lower_trim(F.col("title")).alias("_t")).distinct()
+    hits = keyed.join(some, "author_key").join(read, ["author", "_t"], "left_semi").select("author", "author_key").distinct().withColumn("_hit", F.lit(True))
+    rows = keyed.join(hits, ["author", "author_key"], "left").withColumn("certain", F.coalesce("_hit", F.lit(False)))
+    return rows.groupBy("author").agg(F.min(F.struct((~F.col("certain")).alias("u"), "rank", "author_key", "certain")).alias("m")).select("author", "m.author_key", "m.certain")
+
+
+def fix_duplicate_names(state: LibraryState, author_works: DataFrame) -> tuple[DataFrame, LibraryState]:
+    """Q8, second part: of authors with one normalised name, that whose outside works (10 each) and catalog titles (5
+    each) best match the loans of the name takes the others' catalog rows; rows whose title it has go. Names without
+    loans or without any match stay as they are; authors left without a catalog go. plan: author_id, to_id, id, action."""
+    many = state.authors.withColumn("_n", F.count("*").over(Window.partitionBy("normalized_name"))).filter("_n > 1").select(F.col("id").alias("author_id"), "normalized_name", X.author_key(F.col("open_library_id")).alias("author_key"))
+    loans = state.books.select(F.col("author").alias("normalized_name"), X.lower_trim(F.col("title")).alias("_t")).distinct()
+    w = many.join(author_works.select(X.author_key(F.col("author_key")).alias("author_key"), X.lower_trim(F.col("title")).alias("_t")), "author_key").join(loans, ["normalized_name", "_t"], "left_semi").select("author_id", F.lit(10).alias("points"))
+    rows = state.catalog.select("id", "author_id", X.lower_trim(F.col("title")).alias("_t")).join(many.select("author_id", "normalized_name"), "author_id")
+    c = rows.join(loans, ["normalized_name", "_t"], "left_semi").select("author_id", F.lit(5).alias("points"))
+    score = w.unionByName(c).groupBy("author_id").agg(F.sum("points").alias("score"))
+    best = many.join(score, "author_id").groupBy("normalized_name").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("author_id").alias("to_id"))).alias("m")).select("normalized_name", "m.to_id")
+    moved = rows.join(best, "normalized_name").filter("author_id <> to_id")
+    own = rows.join(best, "normalized_name").filter("author_id = to_id").select("to_id", "_t").distinct().withColumn("_has", F.lit(True))
+    again = F.row_number().over(Window.partitionBy("to_id", "_t").orderBy("id")) > 1
+    plan = moved.withColumn("_again", again).join(own, ["to_id", "_t"], "left").select("author_id", "to_id", "id", F.when(F.col("_has") | F.col("_again"), "delete").otherwise("move").alias("action"))
+    catalog = state.catalog.join(plan.select("id", "to_id", "action"), "id", "left").filter("action IS NULL OR action <> 'delete'").withColumn("author_id", F.coalesce("to_id", "author_id"))
+    others = many.join(best, "normalized_name").filter("author_id <> to_id").select(F.col("author_id").alias("id"))
+    return plan, state.with_(catalog=catalog, authors=state.authors.join(others, "id", "left_anti"))
+
+
 def split_groups(state: LibraryState, names: DataFrame | None = None, manual: bool = False) -> tuple[DataFrame, LibraryState]:
     """Q10: authors that are comma lists of names are taken apart. A catalog row goes to the member that the title map
     gives (names: title, author_name), else to one whose last name is in the title, else to the first (manual: rows
     without any stay). Loans go the same way, by the group's normalised name. The group goes when nothing is left.
     plan: table, id, member, how."""
-    groups = state.authors.withColumn("members", X.author_group(F.col("name"))).filter("members IS NOT NULL").select(F.col("id").alias("group_id"), F.col("normalized_name").alias("group_name"), "members")
+    groups = state.authors.withColumn("members", X.author_group(F.col("name"))).filter("members IS NOT NULL").select(F.col("id").alias("group_id"), F.col("normalized_name").alias("group_name"), F.lower("name").alias("group_display"), "members")
     rows = state.catalog.join(groups, state.catalog["author_id"] == groups["group_id"]).select(F.lit("catalog").alias("table"), "id", "title", "members", "group_id")
     loans = state.books.join(groups, state.books["author"] == groups["group_name"]).select(F.lit("books").alias("table"), "id", "title", "members", "group_id")
-    every = rows.unionByName(loans).withColumn("_t", X.lower_trim(F.col("title")))
+    recs = state.recommendations.withColumn("_l", F.lower("author"))
+    recs = recs.join(groups, recs["_l"] == groups["group_display"]).select(F.lit("recommendations").alias("table"), recs["id"], "title", "members", "group_id")
+    every = (rows.unionByName(loans).unionByName(recs) if manual else rows.unionByName(loans)).withColumn("_t", X.lower_trim(F.col("title")))
     if names is not None:
         known = names.select(X.lower_trim(F.col("title")).alias("_t"), F.lower("author_name").alias("_n")).groupBy("_t").agg(F.collect_set("_n").alias("_names"))
         every = every.join(known, "_t", "left")
@@ -133,9 +166,10 @@ def split_groups(state: LibraryState, names: DataFrame | None = None, manual: bo
     to = plan.join(ids, "member")
     catalog = state.catalog.join(to.filter(F.col("table") == "catalog").select("id", "_to"), "id", "left").withColumn("author_id", F.coalesce("_to", "author_id"))
     books = state.books.join(to.filter(F.col("table") == "books").select("id", X.author_name(F.col("member")).alias("_name")), "id", "left").withColumn("author", F.coalesce("_name", "author"))
+    named = state.recommendations.join(to.filter(F.col("table") == "recommendations").select("id", F.col("member").alias("_member")), "id", "left").withColumn("author", F.coalesce("_member", "author"))
     left = catalog.select(F.col("author_id").alias("id")).distinct()
     empty = groups.select(F.col("group_id").alias("id")).join(left, "id", "left_anti")
-    return plan, state.with_(authors=authors.join(empty, "id", "left_anti"), catalog=catalog, books=books)
+    return plan, state.with_(authors=authors.join(empty, "id", "left_anti"), catalog=catalog, books=books, recommendations=named)
 
 
 def publisher_authors(state: LibraryState, many: int = 50, samples: int = 5) -> DataFrame:

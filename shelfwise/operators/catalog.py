@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import classify as C
 from ..functions import text as X
 from ..schema import LibraryState, assign_ids
+from ..store import settle
+from .authors import split_groups
+from .ingest import set_metadata
 from .matching import match_to_history
 
 
@@ -76,6 +79,26 @@ def fetch_catalog(state: LibraryState, works: DataFrame, editions: DataFrame, no
     return plan, state.with_(catalog=catalog, authors=authors)
 
 
+def fetch_all(
+    state: LibraryState, works: DataFrame, editions: DataFrame, now: Column, force: bool = False, recent_years: int | None = None, auto_cleanup: bool = False, names: DataFrame | None = None
+) -> tuple[DataFrame, LibraryState]:
+    """Q3: author groups are split, the authors that are due get their works, then the rows fetched are cleaned: with
+    recent works only, titles first and then languages within the fetched rows; otherwise languages, then titles, over
+    the whole catalog. plan: that of the fetch."""
+    state = settle(split_groups(state, names)[1])
+    due = due_authors(state, now, force).filter("due").select(F.col("id").alias("author_id"))
+    plan, new = fetch_catalog(state, works.join(due, "author_id", "left_semi"), editions, now, recent_years)
+    metadata = set_metadata(new.metadata, "last_catalog_check", F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss"), now)
+    new = settle(new.with_(metadata=metadata))
+    if auto_cleanup and recent_years is not None:
+        fetched = new.catalog.filter(F.col("fetched_at") == now).select("id")
+        new = settle(remove_duplicate_titles(new, ids=fetched)[1])
+        new = cleanup_non_english(new, ids=fetched)[1]
+    elif auto_cleanup:
+        new = remove_duplicate_titles(settle(cleanup_non_english(new)[1]))[1]
+    return plan, new
+
+
 def sliced(catalog: DataFrame, limit: int | None = None, offset: int = 0, ids: DataFrame | None = None) -> DataFrame:
     """O1: the rows with the given ids, else a slice by id."""
     if ids is not None:

@@ -25,7 +25,8 @@ RESPONSES = "host string, endpoint string, params string, payload string"
 
 @dataclass(frozen=True)
 class Limits:
-    """The pause between calls that the cache doesn't answer; retries after `too many requests`."""
+    """The pause between calls that the cache doesn't answer; retries after `too many requests`; how many calls in
+    a row may get no answer at all before a host is given up."""
 
     pause: float = 0.5
     timeout: float = 10.0
@@ -33,6 +34,7 @@ class Limits:
     wait: float = 60.0
     least_wait: float = 30.0
     most_wait: float = 120.0
+    errors: int = 5
 
 
 def http_get(url: str, limits: Limits) -> tuple[int, dict, str]:
@@ -45,11 +47,23 @@ def http_get(url: str, limits: Limits) -> tuple[int, dict, str]:
         return 0, {}, ""
 
 
-def request(url: str, limits: Limits, get: Callable = http_get, sleep: Callable = time.sleep) -> str:
-    """The payload, or '{}' where there is none (not found, errors, retries used up)."""
+class HostDown(RuntimeError):
+    """Several calls in a row got no answer."""
+
+
+def request(url: str, limits: Limits, get: Callable = http_get, sleep: Callable = time.sleep, failed: list | None = None) -> str:
+    """The payload, or '{}' where there is none (not found, errors, retries used up). failed: calls in a row that got no
+    answer; beyond limits.errors it raises."""
+    failed = [] if failed is None else failed
     for attempt in range(limits.retries + 1):
         sleep(limits.pause)
         status, headers, body = get(url, limits)
+        if status == 0:
+            failed.append(url)
+            if len(failed) >= limits.errors:
+                raise HostDown(f"{len(failed)} calls without an answer, the last of them {url}")
+            return "{}"
+        failed.clear()
         if status == 429 and attempt < limits.retries:
             after = {k.lower(): v for k, v in headers.items()}.get("retry-after", "")
             sleep(min(limits.most_wait, max(limits.least_wait, float(after) if after.replace(".", "", 1).isdigit() else limits.wait)))
@@ -92,9 +106,10 @@ class DocumentClient:
         limits, get, sleep = self.limits, self.get, self.sleep
 
         def call(batches: Iterator) -> Iterator:
+            failed: list = []
             for pdf in batches:
                 urls = [f"{h}{e}?{urllib.parse.urlencode(json.loads(p or '{}'))}".rstrip("?") for h, e, p in zip(pdf["host"], pdf["endpoint"], pdf["params"])]
-                yield pdf.assign(payload=[request(u, limits, get, sleep) for u in urls])
+                yield pdf.assign(payload=[request(u, limits, get, sleep, failed) for u in urls])
 
         fresh = missing.repartition("host").mapInPandas(call, RESPONSES)
         if self.cache_path is not None:

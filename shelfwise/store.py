@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,6 +48,33 @@ class SnapshotStore:
         return v
 
 
+def settle(state: LibraryState) -> LibraryState:
+    """state written to the shared checkpoint folder and read again, so that long chains of changes keep short plans and
+    lost executors cost no more than the last step. The folder is spark.checkpoint.dir, or one of our own where that is
+    unset; what is written goes when the application ends."""
+    spark = state.spark
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not getattr(spark.sparkContext, "_shelfwise_settled", None):
+            spark.sparkContext._shelfwise_settled = "file://" + tempfile.mkdtemp(prefix="shelfwise-")
+        shared = spark.sparkContext._shelfwise_settled
+    root = f"{shared}/shelfwise-state-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, root)
+    tables = {}
+    for t, df in state.tables().items():
+        conform(df, t).write.parquet(f"{root}/{t}")
+        tables[t] = spark.read.parquet(f"{root}/{t}")
+    return LibraryState.of(spark, **tables)
+
+
+def _remove(spark: SparkSession, root: str) -> None:
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(root)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the JVM may be gone by now
+        pass
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """A report as JSON lines."""
     report.write.mode("overwrite").json(path)
