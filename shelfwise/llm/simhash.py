@@ -190,6 +190,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         scratch.drop(f"labels{n}")
         labels, n = moved.select("node", "label"), n + 1
         if moved.filter("changed").isEmpty():
+            scratch.drop("edges")
             return labels
 
 
