@@ -98,14 +98,14 @@ def cut(n: int, size: int) -> list[tuple[int, int]]:
     return ([(0, head)] if head else []) + [(s, size) for s in range(head, n, size)]
 
 
-def _pieces(path: str, size: int, end_id: int):
+def _pieces(path: str, size: int, end_id: int, with_ids: bool):
     def run(batches):
         from pyspark import TaskContext
 
         encoder, part, seen = Encoder.of_process(path), TaskContext.get().partitionId(), np.zeros(size + 1, dtype=np.int64)
         end = np.array([end_id], dtype="<u4").tobytes()
         for b in batches:
-            doc, piece, start, length, crc, rank = [], [], [], [], [], []
+            doc, piece, start, length, crc, rank, tokens = [], [], [], [], [], [], []
             for d, t in enumerate(b.column(1).to_pylist()):
                 ids = encoder.encode(t or "") + end
                 for k, (s, n) in enumerate(cut(len(ids) // 4, size)):
@@ -116,9 +116,12 @@ def _pieces(path: str, size: int, end_id: int):
                     crc.append(zlib.crc32(memoryview(ids)[4 * s : 4 * (s + n)]))
                     rank.append(int(seen[n]))
                     seen[n] += 1
+                    if with_ids:
+                        tokens.append(np.frombuffer(ids, dtype="<u4")[s : s + n].astype(np.int32))
+            more = [pa.array(tokens, pa.list_(pa.int32()))] if with_ids else []
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(doc, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc, rank)), pa.array(np.full(len(doc), part), pa.int64())],
-                names=["doc_id", "piece", "start", "length", "ids_crc32", "rank_in_part", "part"],
+                [b.column(0).take(pa.array(doc, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc, rank)), pa.array(np.full(len(doc), part), pa.int64()), *more],
+                names=["doc_id", "piece", "start", "length", "ids_crc32", "rank_in_part", "part", *(["ids"] if with_ids else [])],
             )
 
     return run
@@ -210,15 +213,15 @@ def _placed(rules: np.ndarray, batches):
                 inside = rank[rows] - r[k, 1]
                 sequence[rows] = r[k, 3] + inside // r[k, 4]
                 offset[rows] = r[k, 5] + inside % r[k, 4] * r[k, 0]
-        keep = ["doc_id", "piece", "start", "length", "ids_crc32"]
-        yield pa.RecordBatch.from_arrays([*(b.column(names.index(c)) for c in keep), pa.array(sequence), pa.array(offset)], names=[*keep, "sequence_id", "offset"])
+        keep = [c for c in ("doc_id", "piece", "start", "length", "ids_crc32", "ids") if c in names]
+        yield pa.RecordBatch.from_arrays([*(b.column(names.index(c)) for c in keep if c != "ids"), pa.array(sequence), pa.array(offset), *(b.column(names.index(c)) for c in keep if c == "ids")], names=[*(c for c in keep if c != "ids"), "sequence_id", "offset", *(c for c in keep if c == "ids")])
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: Capacity = Capacity(), end_id: int = 0) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: Capacity = Capacity(), end_id: int = 0, with_ids: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, and if wanted ids (array of int), of every piece."""
     spark = session_of(docs)
     scratch = Scratch(spark)
-    cut_docs = docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer_path, capacity.tokens, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long, rank_in_part long, part long")
+    cut_docs = docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer_path, capacity.tokens, end_id, with_ids), "doc_id long, piece int, start long, length long, ids_crc32 long, rank_in_part long, part long" + ", ids array<int>" * with_ids)
     pieces = scratch.write(cut_docs, "pieces")
     counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -226,4 +229,12 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: Capacity = Ca
     histogram = {r["length"]: r["n"] for r in bases.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity.tokens rows at most
     shared = spark.sparkContext.broadcast(pack(histogram, capacity)[0])
     ranked = pieces.join(bases.select("length", "part", "base"), ["length", "part"]).withColumn("rank", F.col("base") + F.col("rank_in_part"))
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(lambda batches: _placed(shared.value, batches), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else []), "rank"]
+    return ranked.select(*columns).mapInArrow(lambda batches: _placed(shared.value, batches), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids array<int>" * with_ids)
+
+
+def sequences(packed: DataFrame) -> DataFrame:
+    """The training sequences of pieces packed with their ids: sequence_id, input_ids, and in doc_lengths where each
+    piece ends. A group holds one sequence, so at most its capacity of tokens."""
+    parts = F.array_sort(F.collect_list(F.struct("offset", "length", "ids")))
+    return packed.groupBy("sequence_id").agg(parts.alias("parts")).select("sequence_id", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("input_ids"), F.transform("parts", lambda p: p["length"]).alias("doc_lengths"))

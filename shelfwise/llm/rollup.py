@@ -17,10 +17,13 @@ from __future__ import annotations
 import json
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Scratch, session_of
+from .common import Scratch, add_columns, session_of
+from .packing import Encoder
 from .quality import BLANKS, count_any, words_of
 
 KEYS = ["source", "lang", "tokenizer"]
@@ -114,6 +117,17 @@ def native_counts(text: Column) -> dict[str, Column]:
     }
 
 
+def inserted(docs: DataFrame, tokenizer_path: str, version: str) -> DataFrame:
+    """docs (source, lang, text) as insert events counted by a tokenizer file."""
+
+    def run(texts):
+        encoder = Encoder.of_process(tokenizer_path)
+        return [pa.array([len(encoder.encode(t or "")) // 4 for t in texts.to_pylist()], pa.int64())]
+
+    counted = add_columns(docs.select("source", "lang", "text"), run, ["text"], [("tokens", T.LongType())])
+    return counted.select(F.lit("insert").alias("kind"), "source", "lang", F.lit(version).alias("tokenizer"), "tokens", F.lit(None).cast("long").alias("old_tokens"))
+
+
 def maintained_totals(docs: DataFrame, least_words: int = 50) -> DataFrame:
     """A corpus's life as batches: all documents come in under two counters; the word counter moves to its second
     version; byte counts are revised to those without surrounding blanks; documents under least_words words are taken

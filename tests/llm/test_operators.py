@@ -356,6 +356,13 @@ def test_rollup_counts_each_batch_once(spark):
     assert again.committed() == {"1", "2"}
 
 
+def test_rollup_of_tokenizer_counts(spark, prose):
+    path, slow = tokenizer()
+    totals = rollup.TokenTotals(spark, f"{Scratch(spark).root}/t")
+    totals.commit("a", rollup.inserted(docs_of(spark, prose), path, "bpe-1"))
+    assert rows(totals.totals()) == [("s", "en", "bpe-1", len(prose), sum(len(slow.encode(t or "", add_special_tokens=False).ids) for t in prose))]
+
+
 def test_rollup_is_order_free(spark):
     rnd = random.Random(8)
     schema = "kind string, source string, lang string, tokenizer string, tokens long, old_tokens long"
@@ -417,6 +424,18 @@ def test_packing_round_trip(spark, prose):
     assert len(sequences) <= math.ceil(sum(map(len, ids.values())) / 2048) + 1
 
 
+def test_packed_sequences_hold_the_ids(spark, prose):
+    path, slow = tokenizer()
+    packed = packing.pack_documents(docs_of(spark, prose), path, packing.Capacity(tokens=256, documents=5), with_ids=True)
+    got = packing.sequences(packed).collect()
+    assert all(len(r["input_ids"]) == sum(r["doc_lengths"]) <= 256 and len(r["doc_lengths"]) <= 5 for r in got)
+    by_doc = {}
+    for r in packed.orderBy("doc_id", "piece").collect():
+        by_doc.setdefault(r["doc_id"], []).extend(r["ids"])
+    assert by_doc == {i: slow.encode(t or "", add_special_tokens=False).ids + [0] for i, t in enumerate(prose)}
+    assert sorted(x for r in got for x in r["input_ids"]) == sorted(x for ids in by_doc.values() for x in ids)
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_packing_respects_every_capacity(rule):
     rnd = random.Random(10)
