@@ -99,16 +99,21 @@ def _svm(x: np.ndarray, y: np.ndarray, sample: Sample) -> tuple[np.ndarray, floa
 def train(labelled: DataFrame, sample: Sample = Sample()) -> Machines | None:
     """labelled: doc_id, text, lang, whatever their fold. None if there is no row to learn from."""
     session_of(labelled)
-    rows = labelled.select("doc_id", "text", "lang").filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    langs = sorted(r[0] for r in rows.select("lang").distinct().collect())
-    if not langs:
-        return None
+    rows = labelled.select("doc_id", "text", "lang").filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
+    named = rows.select("doc_id", "lang").distinct()  # no text is read until the sample is known
     order = F.xxhash64("doc_id")
-    picked = [rows.select("doc_id", "lang").filter(F.col("lang") == v).orderBy(order, "doc_id").limit(sample.rows) for v in langs]
+    picked = [named.filter(F.col("lang") == r[0]).orderBy(order, "doc_id").limit(sample.rows) for r in named.select("lang").distinct().orderBy("lang").collect()]
+    if not picked:
+        return None
     # sample.rows keys per language at most: their size is bounded, so they may be broadcast and only their texts come.
-    keys = reduce(DataFrame.unionByName, picked).distinct()
-    got = rows.join(F.broadcast(keys), ["doc_id", "lang"], "left_semi").select("doc_id", "lang", "text").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("text", "ascending")])
+    keys = reduce(DataFrame.unionByName, picked)
+    found = rows.filter(F.col("text").rlike(r"\p{L}")).join(F.broadcast(keys), ["doc_id", "lang"], "left_semi")
+    # A key may repeat in any number of rows; one text of it is enough.
+    got = found.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
     lang = np.array(got["lang"].to_pylist(), dtype=object)
+    langs = sorted(set(lang.tolist()))
+    if not langs:
+        return None
     x = np.empty((len(lang), BUCKETS), dtype=np.float32)
     for i, t in enumerate(got["text"]):
         x[i] = features(t.as_py())
