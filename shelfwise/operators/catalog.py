@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import classify as C
 from ..functions import text as X
 from ..schema import LibraryState, assign_ids
-from ..store import settle
+from ..store import settle, settled
 from .authors import split_groups
 from .ingest import set_metadata
 from .matching import match_to_history
@@ -51,7 +51,7 @@ def fetch_catalog(state: LibraryState, works: DataFrame, editions: DataFrame, no
     """Q2 for any number of authors: picked works update the author's row with that title or isbn, skip what another
     author's catalog has by title or isbn, and are added otherwise; then new and updated rows (all rows of an author
     without any) are matched to the history and the author's check is stamped. plan: author_id, key, title, action."""
-    picked = pick_works(works, editions, now, state, recent_years).withColumn("_t", X.lower_trim(F.col("title")))
+    picked = settled(pick_works(works, editions, now, state, recent_years).withColumn("_t", X.lower_trim(F.col("title"))))
     cat = state.catalog.withColumn("_t", X.lower_trim(F.col("title")))
     by_title = cat.groupBy("author_id", "_t").agg(F.min("id").alias("_m1"))
     by_isbn = cat.filter("isbn <> ''").groupBy("author_id", "isbn").agg(F.min("id").alias("_m2"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import classify as C
 from ..functions import text as X
 from ..schema import LibraryState, on
+from ..store import settled
 
 SIMILAR = 0.85
 
@@ -92,9 +93,11 @@ def grouped(ids: list[int], norm: dict, base: dict, isbn: dict, fuzzy: dict[int,
 
 
 def duplicate_groups(rows: DataFrame, contained: bool) -> DataFrame:
-    """rows: keyed(). One row per member: owner, group_key, n, id, keep_id (best score, earliest in the group)."""
+    """rows: keyed(). One row per member: owner, group_key, n, id, keep_id (best score, earliest in the group). Rows and
+    edges are settled first, as several branches use them."""
+    rows = settled(rows)
     fuzzy = similar_pairs(rows, "norm").select("owner", "a", "b").unionByName(similar_pairs(rows, "base").select("owner", "a", "b")).distinct().withColumn("kind", F.lit("f"))
-    edges = fuzzy.unionByName(contained_pairs(rows).withColumn("kind", F.lit("c"))) if contained else fuzzy
+    edges = settled(fuzzy.unionByName(contained_pairs(rows).withColumn("kind", F.lit("c"))) if contained else fuzzy)
     stars = edges.groupBy("owner", F.col("a").alias("id")).agg(F.array_sort(F.collect_list(F.when(F.col("kind") == "f", F.col("b")))).alias("fuzzy"), F.array_sort(F.collect_list(F.when(F.col("kind") == "c", F.col("b")))).alias("contained"))
     full = rows.select("owner", "id", "norm", "base", "isbn_key", "score").join(stars, ["owner", "id"], "left")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import classify as C
 from ..functions import text as X
 from ..schema import LibraryState, assign_ids, on
+from ..store import settled
 
 
 def prepared(loans: DataFrame) -> DataFrame:
@@ -40,7 +41,7 @@ def ingest(state: LibraryState, loans: DataFrame, now: Column, update: bool = Fa
     old_key = state.books.groupBy("title", "author").agg(F.min("id").alias("_by_key"))
     known = rows.join(old_isbn, "isbn", "left").join(old_key, ["title", "author"], "left").withColumn("_old", F.coalesce("_by_isbn", "_by_key"))
     # What a row of this file repeats may itself be known; all rows under one lead share its book.
-    target = known.withColumn("_book", F.min("_old").over(Window.partitionBy("_lead")))
+    target = settled(known.withColumn("_book", F.min("_old").over(Window.partitionBy("_lead"))))
     fresh = target.filter("_book IS NULL AND _pos = _lead")
     added = assign_ids(fresh, state.books, F.col("_bucket"), F.col("_pos")).withColumns({"created_at": now, "already_read": F.lit(False)})
     columns = state.books.columns

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import classify as C
 from ..functions import text as X
 from ..schema import LibraryState, assign_ids, on
+from ..store import settled
 from .matching import books_read, eligible, resolve_authors
 
 #: Score and reason of each format.
@@ -83,7 +84,7 @@ def books_to_read(state: LibraryState) -> DataFrame:
 def save(state: LibraryState, recs: DataFrame, now: Column) -> tuple[DataFrame, LibraryState]:
     """Upsert by title and author, whatever the format; plan: action (update, insert) of each."""
     one = recs.withColumn("__rn", F.row_number().over(Window.partitionBy("title", "author").orderBy(F.desc("similarity_score"), "catalog_id"))).filter("__rn = 1")
-    new = one.select(F.col("title").alias("n_title"), F.col("author").alias("n_author"), F.col("isbn").alias("n_isbn"), F.col("format").alias("n_format"), F.array_join("categories", ", ").alias("n_category"), F.col("recommendation_type").alias("n_type"), F.col("similarity_score").alias("n_score"), F.col("reason").alias("n_reason"))
+    new = settled(one.select(F.col("title").alias("n_title"), F.col("author").alias("n_author"), F.col("isbn").alias("n_isbn"), F.col("format").alias("n_format"), F.array_join("categories", ", ").alias("n_category"), F.col("recommendation_type").alias("n_type"), F.col("similarity_score").alias("n_score"), F.col("reason").alias("n_reason")))
     old = state.recommendations
     first = old.groupBy("title", "author").agg(F.min("id").alias("id"))
     hits = first.join(new, (first["title"] == new["n_title"]) & (first["author"] == new["n_author"])).select("id", "n_score", "n_reason", "n_category")

@@ -48,11 +48,9 @@ class SnapshotStore:
         return v
 
 
-def settle(state: LibraryState) -> LibraryState:
-    """state written to the shared checkpoint folder and read again, so that long chains of changes keep short plans and
-    lost executors cost no more than the last step. The folder is spark.checkpoint.dir, or one of our own where that is
-    unset; what is written goes when the application ends."""
-    spark = state.spark
+def _shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, under spark.checkpoint.dir, or under one of our own where that is
+    unset. It goes when the application ends."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
         if not getattr(spark.sparkContext, "_shelfwise_settled", None):
@@ -60,11 +58,20 @@ def settle(state: LibraryState) -> LibraryState:
         shared = spark.sparkContext._shelfwise_settled
     root = f"{shared}/shelfwise-state-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, root)
-    tables = {}
-    for t, df in state.tables().items():
-        conform(df, t).write.parquet(f"{root}/{t}")
-        tables[t] = spark.read.parquet(f"{root}/{t}")
-    return LibraryState.of(spark, **tables)
+    return root
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again: what several branches of a plan use is computed once, and a lost
+    executor costs no more than the last step."""
+    root = _shared_folder(df.sparkSession)
+    df.write.parquet(root)
+    return df.sparkSession.read.schema(df.schema).parquet(root)
+
+
+def settle(state: LibraryState) -> LibraryState:
+    """All tables settled, so that long chains of changes keep short plans."""
+    return LibraryState.of(state.spark, **{t: settled(conform(df, t)) for t, df in state.tables().items()})
 
 
 def _remove(spark: SparkSession, root: str) -> None:
