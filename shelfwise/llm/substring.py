@@ -307,20 +307,30 @@ def first_places(docs: DataFrame, spans: Spans, scratch: Scratch):
 
 def covered(h: np.ndarray, found: list, bitmap: np.ndarray, bits: int, spans: Spans) -> np.ndarray:
     """Which words lie in a window that occurs earlier."""
+    none = np.zeros(len(h), dtype=bool)
     if len(h) < spans.window:
-        return np.zeros(len(h), dtype=bool)
+        return none
     key, place, least, most = anchors(h, spans)
     on = np.flatnonzero(_on(bitmap, bits, key))
-    edges = np.zeros(len(h) + 1, dtype=np.int64)
-    own = dict.fromkeys(place[on].tolist(), 0)
+    if not len(on):
+        return none
+    own: dict = {}
     for x in found or ():
-        own[x["place"]] |= x["own"]
+        own[x["place"]] = own.get(x["place"], 0) | x["own"]
     place, least, most = place[on], least[on], most[on]
-    mine = np.array([own[p] for p in place.tolist()], dtype=np.int64)
-    for o in range(spans.reach + 1):
+    mine = np.array([own.get(p, 0) for p in place.tolist()], dtype=np.int64)
+    # Anchors without a first window cover one run of words; only others are taken window by window.
+    whole = mine == 0
+    begin, end = [place[whole] - most[whole]], [place[whole] - least[whole] + spans.window]
+    place, least, most, mine = place[~whole], least[~whole], most[~whole], mine[~whole]
+    some = mine != (1 << (most + 1)) - (1 << least)
+    place, least, most, mine = place[some], least[some], most[some], mine[some]
+    for o in range(spans.reach + 1) if len(place) else ():
         start = place[(least <= o) & (o <= most) & (mine >> o & 1 == 0)] - o
-        np.add.at(edges, start, 1)
-        np.add.at(edges, start + spans.window, -1)
+        begin.append(start)
+        end.append(start + spans.window)
+    n = len(h) + 1
+    edges = np.bincount(np.concatenate(begin), minlength=n) - np.bincount(np.concatenate(end), minlength=n)
     return np.cumsum(edges[:-1]) > 0
 
 
