@@ -70,15 +70,18 @@ class Scratch:
             pass
 
 
-def add_columns(df: DataFrame, fn: Callable, inputs: list[str], fields: list[tuple[str, T.DataType]]) -> DataFrame:
-    """df with columns that fn makes from Arrow batches: fn(*arrays of the inputs) gives one array for each field."""
+def add_columns(df: DataFrame, fn: Callable, inputs: list[str], fields: list[tuple[str, T.DataType]], keep: list[str] | None = None) -> DataFrame:
+    """df with columns that fn makes from Arrow batches: fn(*arrays of the inputs) gives one array for each field. Of df's
+    own columns those in keep (all, if None) come back, so texts that nobody needs further don't."""
     session_of(df)
-    schema = T.StructType(list(df.schema.fields) + [T.StructField(n, t) for n, t in fields])
+    stay = [f for f in df.schema.fields if keep is None or f.name in keep]
+    schema = T.StructType(stay + [T.StructField(n, t) for n, t in fields])
+    names = [*(f.name for f in stay), *(n for n, _ in fields)]
 
     def run(batches):
         for b in batches:
             made = fn(*(b.column(b.schema.get_field_index(c)) for c in inputs))
-            yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*b.schema.names, *(n for n, _ in fields)])
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(f.name)) for f in stay), *made], names=names)
 
     return df.mapInArrow(run, schema)
 

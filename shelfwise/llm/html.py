@@ -264,7 +264,7 @@ def extract(pages: DataFrame, rules: Rules = Rules()) -> DataFrame:
         for r in trees.collect():
             by_site.setdefault(r["site"], {})[r["path"]] = (r["pages"], r["presentation"], r["content"])
         shared = spark.sparkContext.broadcast(by_site)
-        out = add_columns(source, lambda url, page: made([extract_one(p, shared.value.get(site_of(u), {}), rules) for u, p in zip(url.to_pylist(), page.to_pylist())]), ["url", "html"], fields)
+        out = add_columns(source, lambda url, page: made([extract_one(p, shared.value.get(site_of(u), {}), rules) for u, p in zip(url.to_pylist(), page.to_pylist())]), ["url", "html"], fields, keep=["page_id", "url"])
     else:  # more nodes than may be broadcast: each page meets its host's tree in a join, which AQE splits for large hosts
         of_site = trees.groupBy("site").agg(F.collect_list(F.struct("path", "pages", "presentation", "content")).alias("tree"))
         with_site = add_columns(source, lambda url: [pa.array([site_of(u) for u in url.to_pylist()], pa.string())], ["url"], [("site", T.StringType())])
@@ -273,5 +273,5 @@ def extract(pages: DataFrame, rules: Rules = Rules()) -> DataFrame:
         def run(page, tree):
             return made([extract_one(p, {x["path"]: (x["pages"], x["presentation"], x["content"]) for x in t or ()}, rules) for p, t in zip(page.to_pylist(), tree.to_pylist())])
 
-        out = add_columns(joined, run, ["html", "tree"], fields)
+        out = add_columns(joined, run, ["html", "tree"], fields, keep=["page_id", "url"])
     return out.select("page_id", "url", "text", "n_chars")

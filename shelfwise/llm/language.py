@@ -155,14 +155,14 @@ def predict_one(text: str | None, model: Machines | None) -> tuple[str, float]:
     return members[k], p * q
 
 
-def with_language(docs: DataFrame, model: Machines | None, prediction: str = "lang_pred", score: str = "score") -> DataFrame:
-    """docs with two more columns. Only text is looked at."""
+def with_language(docs: DataFrame, model: Machines | None, prediction: str = "lang_pred", score: str = "score", keep: list[str] | None = None) -> DataFrame:
+    """docs (of its columns those in keep) with two more columns. Only text is looked at."""
 
     def run(texts):
         out = [predict_one(t, model) for t in texts.to_pylist()]
         return [pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())]
 
-    return add_columns(docs, run, ["text"], [(prediction, T.StringType()), (score, T.DoubleType())])
+    return add_columns(docs, run, ["text"], [(prediction, T.StringType()), (score, T.DoubleType())], keep)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -172,7 +172,7 @@ def held_out(doc_id: Column) -> Column:
 def identify(docs: DataFrame, sample: Sample = Sample()) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row; learned from the rows that aren't held out."""
     model = train(docs.filter(~held_out(F.col("doc_id"))), sample)
-    return with_language(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return with_language(docs.select("doc_id", "text"), model, keep=["doc_id"]).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.05, sample: Sample = Sample()) -> DataFrame:

@@ -124,7 +124,7 @@ def inserted(docs: DataFrame, tokenizer_path: str, version: str) -> DataFrame:
         encoder = Encoder.of_process(tokenizer_path)
         return [pa.array([len(encoder.encode(t or "")) // 4 for t in texts.to_pylist()], pa.int64())]
 
-    counted = add_columns(docs.select("source", "lang", "text"), run, ["text"], [("tokens", T.LongType())])
+    counted = add_columns(docs.select("source", "lang", "text"), run, ["text"], [("tokens", T.LongType())], keep=["source", "lang"])
     return counted.select(F.lit("insert").alias("kind"), "source", "lang", F.lit(version).alias("tokenizer"), "tokens", F.lit(None).cast("long").alias("old_tokens"))
 
 

@@ -54,7 +54,7 @@ def with_fingerprint(docs: DataFrame, shingle: int = 3) -> DataFrame:
     def run(texts):
         return [pa.array(np.array([fingerprint(t, shingle) for t in bytes_of(texts)], dtype=np.uint64).view(np.int64))]
 
-    return add_columns(docs.select("doc_id", "text"), run, ["text"], [("fp", T.LongType())]).select("doc_id", "fp")
+    return add_columns(docs.select("doc_id", "text"), run, ["text"], [("fp", T.LongType())], keep=["doc_id"])
 
 
 def _remainder(v: np.ndarray) -> np.ndarray:

@@ -141,12 +141,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: Sample = Sample()) -> Mode
     order = F.xxhash64("doc_id")
     picked = known.filter("toxic = 1").orderBy(order, "doc_id").limit(sample.rows).unionByName(known.filter("toxic = 0").orderBy(order, "doc_id").limit(sample.rows))
     # The picked labels number 2 * sample.rows at most: their size is bounded, so they may be broadcast.
-    got = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").filter(F.col("text").isNotNull()).select("doc_id", "text", "toxic").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    # An id may repeat in any number of rows; one text of it is enough.
+    found = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id")
+    got = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).toArrow().sort_by("doc_id")
     return fit(got["text"].to_pylist(), got["toxic"].to_pylist(), sample)
 
 
-def with_score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with score and offending: the sentences (start, end, chance) that make a document toxic."""
+def with_score(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
+    """docs (of its columns those in keep) with score and offending: the sentences (start, end, chance) that make a
+    document toxic."""
 
     def run(texts):
         out = [score_one(t, model, cache) for t in texts.to_pylist()]
@@ -154,7 +157,7 @@ def with_score(docs: DataFrame, model: Model | None) -> DataFrame:
 
     cache: dict = {}
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("chance", T.DoubleType())]))
-    return add_columns(docs, run, ["text"], [("score", T.DoubleType()), ("offending", span)])
+    return add_columns(docs, run, ["text"], [("score", T.DoubleType()), ("offending", span)], keep)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -164,5 +167,5 @@ def held_out(doc_id: Column) -> Column:
 def detect(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: Sample = Sample()) -> DataFrame:
     """doc_id, held_out, score, predicted, offending of every row of docs; learned from rows that aren't held out."""
     model = train(docs.filter(~held_out(F.col("doc_id"))), labels.filter(~held_out(F.col("doc_id"))), sample)
-    scored = with_score(docs.select("doc_id", "text"), model)
+    scored = with_score(docs.select("doc_id", "text"), model, keep=["doc_id"])
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "offending")
