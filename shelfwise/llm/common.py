@@ -17,6 +17,8 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 
 #: Rows of one Arrow batch; texts can be long, so a batch is kept small.
 BATCH_ROWS = 1000
+#: Rows of one file of a narrow table.
+FILE_ROWS = 250_000
 
 
 def session_of(df: DataFrame) -> SparkSession:
@@ -51,7 +53,11 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_dir(spark)}/shelfwise-{uuid.uuid4().hex}"
         atexit.register(self._end)
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, most_rows: int | None = None) -> DataFrame:
+        """most_rows: a bound on the rows of a narrow table where one is known; it then gets as few files as that needs,
+        each of which costs the file system several calls."""
+        if most_rows is not None:
+            df = df.coalesce(max(1, -(-most_rows // FILE_ROWS)))
         df.write.mode("overwrite").parquet(f"{self.root}/{name}")
         self.settle()
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")

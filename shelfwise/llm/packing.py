@@ -225,7 +225,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: Capacity = Ca
     pieces = scratch.write(cut_docs, "pieces")
     counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = scratch.write(counts.select("length", "part", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "bases")
+    bases = scratch.write(counts.select("length", "part", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "bases", pieces.count())
     histogram = {r["length"]: r["n"] for r in bases.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity.tokens rows at most
     shared = spark.sparkContext.broadcast(pack(histogram, capacity)[0])
     ranked = pieces.join(bases.select("length", "part", "base"), ["length", "part"]).withColumn("rank", F.col("base") + F.col("rank_in_part"))

@@ -180,13 +180,14 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, label): label is the smallest node of its component. Each round takes the smallest label around a node,
     then follows that label one step; rounds grow with the logarithm of the longest path."""
     both = scratch.write(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a")), "edges")
-    labels = scratch.write(both.groupBy("node").agg(F.min("other").alias("low")).select("node", F.least("node", "low").alias("label")), "labels0")
+    most = both.count()
+    labels = scratch.write(both.groupBy("node").agg(F.min("other").alias("low")).select("node", F.least("node", "low").alias("label")), "labels0", most)
     n = 0
     while True:
         around = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("low"))
         hooked = labels.join(around, "node").select("node", F.col("label").alias("old"), F.least("label", "low").alias("mid"))
         roots = labels.select(F.col("node").alias("mid"), F.col("label").alias("root"))
-        moved = scratch.write(hooked.join(roots, "mid").select("node", F.least("mid", "root").alias("label"), (F.least("mid", "root") != F.col("old")).alias("changed")), f"labels{n + 1}")
+        moved = scratch.write(hooked.join(roots, "mid").select("node", F.least("mid", "root").alias("label"), (F.least("mid", "root") != F.col("old")).alias("changed")), f"labels{n + 1}", most)
         scratch.drop(f"labels{n}")
         labels, n = moved.select("node", "label"), n + 1
         if moved.filter("changed").isEmpty():
@@ -199,11 +200,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     all documents reachable over links)."""
     scratch = Scratch(session_of(docs))
     marked = scratch.write(with_fingerprint(docs, shingle), "marked")
-    classes = scratch.write(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
+    most = marked.count()
+    classes = scratch.write(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes", most)
     labels = components(links(classes), scratch)
     rooted = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))
     lowest = rooted.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    of_class = scratch.write(rooted.join(lowest, "label").select("fp", "component_id"), "of_class")
+    of_class = scratch.write(rooted.join(lowest, "label").select("fp", "component_id"), "of_class", most)
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return marked.join(of_class, "fp").select("doc_id", "fp", hexed.alias("fingerprint"), "component_id")
 
