@@ -273,7 +273,7 @@ def _texts() -> dict[str, str]:
         "q13_audiobooks": (candidates("audiobook"), "SELECT catalog_id, title, author, similarity_score, reason, books_by_author_count, series_name, series_position FROM cand"),
         "q14_new_books": (candidates("ebook"), "SELECT catalog_id, title, author, unnest(CASE WHEN len(categories) > 0 THEN categories ELSE ['Uncategorized'] END) AS category, description, books_by_author_count FROM cand"),
         "q14_by_category": (candidates("ebook"), f"""SELECT CASE WHEN len(list_filter(categories, lambda c: {parts_of('lower(c)', L.NON_FICTION)})) = 0 THEN 'Fiction' ELSE 'Non-Fiction' END AS kind, coalesce(categories[1], 'Uncategorized') AS primary_category, count(*) AS n,
-            list(books_by_author_count ORDER BY books_by_author_count DESC) AS counts FROM cand GROUP BY 1, 2"""),
+            string_agg(CAST(books_by_author_count AS VARCHAR), ',' ORDER BY books_by_author_count DESC) AS counts FROM cand GROUP BY 1, 2"""),
         "q15_recommendations": (candidates("ebook"), f"""SELECT catalog_id, title, author, unnest(CASE WHEN len(categories) > 0 THEN categories ELSE ['Uncategorized'] END) AS category, similarity_score,
             EXISTS (SELECT 1 FROM recommendations r WHERE r.format = 'ebook' AND r.thumbs_up AND {lt('r.title')} = {lt('cand.title')} AND {lt('r.author')} = {lt('cand.author')}) AS thumbs_up FROM cand
             WHERE NOT EXISTS (SELECT 1 FROM recommendations r WHERE r.format = 'ebook' AND {BAD} AND {lt('r.title')} = {lt('cand.title')} AND {lt('r.author')} = {lt('cand.author')})
@@ -283,7 +283,7 @@ def _texts() -> dict[str, str]:
         "q7_duplicate_authors": (
             f"""pa AS (SELECT id, name, open_library_id AS k, lower(regexp_replace(p[1], '\\W', '', 'g')) AS f, CASE WHEN len(p) > 1 THEN lower(regexp_replace(p[-1], '\\W', '', 'g')) ELSE '' END AS l FROM (SELECT *, string_split({squeeze('name')}, ' ') AS p FROM authors)),
             tt AS (SELECT DISTINCT author_id, {lt('title')} AS t FROM catalog), one AS (SELECT * FROM pa JOIN tt ON pa.id = tt.author_id WHERE f <> '' AND l <> '')""",
-            """SELECT x.id AS id1, x.name AS name1, y.id AS id2, y.name AS name2, count(*) AS overlap, list_slice(list(x.t ORDER BY x.t), 1, 5) AS sample_titles,
+            """SELECT x.id AS id1, x.name AS name1, y.id AS id2, y.name AS name2, count(*) AS overlap, array_to_string(list_slice(list(x.t ORDER BY x.t), 1, 5), '|') AS sample_titles,
             CASE WHEN coalesce(x.k = y.k, false) OR count(*) >= 3 OR x.k IS NOT NULL OR y.k IS NOT NULL THEN 'high' ELSE 'medium' END AS confidence, CASE WHEN coalesce(x.k = y.k, false) THEN 'same_open_library_id' ELSE 'name_match_with_overlapping_books' END AS reason
             FROM one x JOIN one y ON x.f = y.f AND x.l = y.l AND x.t = y.t AND x.id < y.id GROUP BY x.id, x.name, y.id, y.name, x.k, y.k""",
         ),

@@ -127,7 +127,7 @@ def catalog_merge(s: LibraryState):
 
 @query
 def q7_duplicate_authors(s: LibraryState) -> DataFrame:
-    return authors.duplicate_authors(s)
+    return authors.duplicate_authors(s).withColumn("sample_titles", F.array_join("sample_titles", "|"))
 
 
 @query
@@ -169,7 +169,7 @@ def q14_new_books(s: LibraryState) -> DataFrame:
 
 @query
 def q14_by_category(s: LibraryState) -> DataFrame:
-    return recommend.categorized(recommend.candidates(s, "ebook")).select("kind", "primary_category", "n", F.transform("items", lambda i: i["books_by_author_count"]).alias("counts"))
+    return recommend.categorized(recommend.candidates(s, "ebook")).select("kind", "primary_category", "n", F.array_join(F.transform("items", lambda i: i["books_by_author_count"].cast("string")), ",").alias("counts"))
 
 
 @query
