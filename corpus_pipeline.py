@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import language, mixing, packing, simhash, substring
+from shelfwise.llm import language, mixing, near_copies, packing, substring
 from shelfwise.llm.common import Scratch, table
 
 
@@ -20,8 +20,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: that with the smallest id."""
-    return simhash.keep_representatives(docs)
+    """One document of each group of texts linked at five-word similarity 0.8 stays: that with the smallest id."""
+    return near_copies.keep_distinct(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
