@@ -51,11 +51,18 @@ def contained_pairs(rows: DataFrame, most_longer: int = 30, shortest: int = 3) -
     return left.join(right, "owner").filter((F.col("a") < F.col("b")) & ((F.col("x") == F.col("y")) | holds)).select("owner", "a", "b")
 
 
-def grouped(ids: list[int], norm: dict, base: dict, isbn: dict, fuzzy: dict[int, list[int]], contained: dict[int, list[int]] | None) -> list[tuple[str, list[int]]]:
+def grouped(ids: list[int], norm: dict, base: dict, isbn: dict, fuzzy: dict[int, list[int]] | Neighbours, contained: dict[int, list[int]] | Neighbours | None) -> list[tuple[str, list[int]]]:
     """The groups of one owner's rows, in order: equal normalised titles; of the rest equal base titles, then equal
     isbns; then stars of similar titles around each row that no star has used yet (it may belong to a group already,
     but no pair is made twice); then, if wanted, stars of contained titles, which join the first group they touch."""
     groups: list[tuple[str, list[int]]] = []
+    of: dict[int, set[int]] = {i: set() for i in ids}  # the places of the groups that hold a row
+
+    def add(name: str, members: list[int]) -> None:
+        for i in members:
+            of[i].add(len(groups))
+        groups.append((name, members))
+
     taken: set[int] = set()
     for kind, key in (("exact", norm), ("base", base), ("isbn", isbn)):
         by: dict = {}
@@ -64,52 +71,87 @@ def grouped(ids: list[int], norm: dict, base: dict, isbn: dict, fuzzy: dict[int,
                 by.setdefault(key[i], []).append(i)
         for k, members in by.items():
             if len(members) > 1:
-                groups.append((f"{kind}:{k}", members))
+                add(f"{kind}:{k}", members)
         taken |= {i for _, members in groups for i in members}
 
-    def together(i: int, j: int) -> bool:
-        return any(i in m and j in m for m in (set(g[1]) for g in groups))
-
     used: set[int] = set()
     for i in ids:
         if i in used:
             continue
-        star = [i] + [j for j in fuzzy.get(i, ()) if j not in used and not together(i, j)]
+        star = [i] + [j for j in fuzzy.get(i, ()) if j not in used and of[i].isdisjoint(of[j])]
         if len(star) > 1:
             used.update(star)
-            groups.append((f"fuzzy:{i}", star))
+            add(f"fuzzy:{i}", star)
     for i in ids if contained is not None else ():
         if i in used:
             continue
-        star = [i] + [j for j in contained.get(i, ()) if j not in used and not together(i, j)]
+        star = [i] + [j for j in contained.get(i, ()) if j not in used and of[i].isdisjoint(of[j])]
         used.update(star[1:])
         if len(star) > 1:
-            touched = next((g for g in groups if not set(g[1]).isdisjoint(star)), None)
-            if touched:
-                touched[1].extend(j for j in star if j not in touched[1])
+            touched = min((g for j in star for g in of[j]), default=None)
+            if touched is None:
+                add(f"contained:{i}", star)
             else:
-                groups.append((f"contained:{i}", star))
+                groups[touched][1].extend(j for j in star if touched not in of[j])
+                for j in star:
+                    of[j].add(touched)
     return groups
 
 
+class Neighbours:
+    """The later rows that a row is paired with: pairs are known between keys, whose rows share them."""
+
+    def __init__(self, parts: list[tuple[list[int], dict, dict[int, list[int]]]]):
+        """Of each kind: the rows in order, their keys, and the pairs between the first rows of different keys."""
+        self.kinds = []
+        for ids, key, pairs in parts:
+            members: dict = {}
+            for i in ids:
+                if key[i]:
+                    members.setdefault(key[i], []).append(i)
+            near: dict[int, list[int]] = {m[0]: [m[0]] for m in members.values()}
+            for a, found in pairs.items():
+                for b in found:
+                    near[a].append(b)
+                    near[b].append(a)
+            self.kinds.append((key, members, near))
+
+    def get(self, i: int, default=()) -> list[int]:
+        found: set[int] = set()
+        for key, members, near in self.kinds:
+            if key[i]:
+                for first in near[members[key[i]][0]]:
+                    found.update(j for j in members[key[first]] if j > i)
+        return sorted(found)
+
+
 def duplicate_groups(rows: DataFrame, contained: bool) -> DataFrame:
-    """rows: keyed(). One row per member: owner, group_key, n, id, keep_id (best score, earliest in the group). Rows and
-    edges are settled first, as several branches use them."""
+    """rows: keyed(). One row per member: owner, group_key, n, id, keep_id (best score, earliest in the group). Pairs are
+    found between an owner's different keys, each at its first row, and hold for all rows of the keys; so copies cost no
+    pairs. Rows and pairs are settled first, as several branches use them."""
     rows = settled(rows)
-    fuzzy = similar_pairs(rows, "norm").select("owner", "a", "b").unionByName(similar_pairs(rows, "base").select("owner", "a", "b")).distinct().withColumn("kind", F.lit("f"))
-    edges = settled(fuzzy.unionByName(contained_pairs(rows).withColumn("kind", F.lit("c"))) if contained else fuzzy)
-    stars = edges.groupBy("owner", F.col("a").alias("id")).agg(F.array_sort(F.collect_list(F.when(F.col("kind") == "f", F.col("b")))).alias("fuzzy"), F.array_sort(F.collect_list(F.when(F.col("kind") == "c", F.col("b")))).alias("contained"))
+    norms, bases = (rows.filter(F.length(k) > 0).groupBy("owner", k).agg(F.min("id").alias("id")) for k in ("norm", "base"))
+    found = {"by_norm": similar_pairs(norms, "norm"), "by_base": similar_pairs(bases, "base")} | ({"contained": contained_pairs(bases)} if contained else {})
+    edges = None
+    for kind, pairs in found.items():
+        of_kind = pairs.select("owner", "a", "b", F.lit(kind).alias("kind"))
+        edges = of_kind if edges is None else edges.unionByName(of_kind)
+    edges = settled(edges)
+    stars = edges.groupBy("owner", F.col("a").alias("id")).agg(*(F.collect_list(F.when(F.col("kind") == k, F.col("b"))).alias(k) for k in found))
     full = rows.select("owner", "id", "norm", "base", "isbn_key", "score").join(stars, ["owner", "id"], "left")
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df = pd.concat(list(frames)).sort_values("id")
         ids = [int(i) for i in df["id"]]
         lists = lambda c: {i: [int(x) for x in v] for i, v in zip(ids, df[c]) if v is not None and len(v)}
-        found = grouped(ids, dict(zip(ids, df["norm"])), dict(zip(ids, df["base"])), dict(zip(ids, df["isbn_key"])), lists("fuzzy"), lists("contained") if contained else None)
+        norm, base = dict(zip(ids, df["norm"])), dict(zip(ids, df["base"]))
+        similar = Neighbours([(ids, norm, lists("by_norm")), (ids, base, lists("by_base"))])
+        found = grouped(ids, norm, base, dict(zip(ids, df["isbn_key"])), similar, Neighbours([(ids, base, lists("contained"))]) if contained else None)
         score = dict(zip(ids, df["score"]))
         out = []
         for key, members in found:
-            keep = max(members, key=lambda i: (score[i], -members.index(i)))
+            place = {i: k for k, i in enumerate(members)}
+            keep = max(members, key=lambda i: (score[i], -place[i]))
             out += [(df["owner"].iloc[0], key, len(members), i, keep) for i in members]
         yield pd.DataFrame(out, columns=["owner", "group_key", "n", "id", "keep_id"])
 

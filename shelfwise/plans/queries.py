@@ -199,9 +199,7 @@ def q18_list_authors(s: LibraryState) -> DataFrame:
 
 @query
 def q19_recommendation_duplicates(s: LibraryState) -> DataFrame:
-    """Of recommendations, each title counts once per author."""
-    once = s.recommendations.groupBy("author", "title").agg(F.min("id").alias("id")).select("id")
-    return dedupe.recommendation_duplicates(s.with_(recommendations=s.recommendations.join(once, "id", "left_semi")))
+    return dedupe.recommendation_duplicates(s)
 
 
 @query

@@ -287,6 +287,16 @@ def test_grouping_order():
     assert found == [("exact:a", [1, 2]), ("fuzzy:2", [2, 3]), ("contained:4", [4])] or [g[0] for g in found] == ["exact:a", "fuzzy:2"]
 
 
+def test_recommendation_duplicates_query_sees_copies(library):
+    """Copies whose first row has feedback against it are still looked at, all of them."""
+    from shelfwise.plans import queries
+
+    data = [(1, "Sea", "A", True), (2, "Sea", "A", None), (3, "Sea", "A", None)] + [(10 + k, t, "A", None) for k, t in enumerate(["Lake", "Hill", "Ruby moon", "Winter", "Bread", "Copper", "Orchid", "Thunder"])]
+    s = library(recommendations=("id long, title string, author string, thumbs_down boolean", data))
+    got = queries.q19_recommendation_duplicates(s)
+    assert rows(got.select("group_key", "n", "id")) == [("exact:sea", 2, 2), ("exact:sea", 2, 3)]
+
+
 def test_reports_and_approvals(spark, library, tmp_path):
     s = library(
         catalog=("id long, author_id long, title string, isbn string", [(i, 1, t, None) for i, t in enumerate(["Sea", "The Sea", "Sea!", "Lake"], 1)]),
