@@ -7,9 +7,12 @@ content importance is what is left of 1 after the mean entropy of its text block
 pages share scores near 0 and text of one page scores 1. Nodes seen on fewer than `Rules.least_pages` pages have
 importance 1. On a page, an element's importance is that of its own text and of its children, weighted by the length
 of their text, and of its presentation by the share `Rules.presentation`. To it is added a prior: -1 for elements that
-name themselves as something else than content (navigation, forms, adverts, comments, ...), on pages with an article
-also -1 for what lies outside, and +1 for the article. A branch goes if its own importance and that of all its descendants are under
-`Rules.threshold`.
+name themselves as something else than content (navigation, forms, adverts, comments, ...), and +1 for the article. A
+branch goes if its own importance and that of all its descendants are under `Rules.threshold`; so an element that names
+itself as something else stays, without its own text, where it holds the article (of several articles, those inside
+the fewest such elements count). On pages with an article, text outside stays only where its node is known on
+`Rules.least_pages` pages and has a content importance of `Rules.outside` or more; inside, branches that the host's pages
+share go too, except in an article that is shared as a whole.
 
 Two parses, no shuffle of pages: what is shuffled are counts by host, node and feature, summed map-side first, so a
 host with a third of all pages costs as much as its distinct nodes and blocks.
@@ -71,6 +74,7 @@ SPLIT = re.compile(r"[^a-z0-9]+")
 @dataclass(frozen=True)
 class Rules:
     threshold: float = 0.35
+    outside: float = 0.8
     presentation: float = 0.2
     least_pages: int = 3
     most_broadcast: int = 200_000
@@ -204,6 +208,24 @@ def style_trees(pages: DataFrame) -> DataFrame:
     )
 
 
+def _around_articles(root: Node) -> set[int]:
+    """The elements around the articles that the fewest elements with a word against them hold."""
+    found, stack = [], [(root, 0, ())]
+    while stack:
+        n, against, above = stack.pop()
+        if n.prior > 0:
+            found.append((against, above))
+            continue
+        above = (id(n), above)
+        stack += [(c, against + (n.prior < 0), above) for c in n.children if not isinstance(c, str)]
+    least, out = min(against for against, _ in found), set()
+    for against, above in found:
+        while against == least and above and above[0] not in out:
+            out.add(above[0])
+            above = above[1]
+    return out
+
+
 def extract_one(page: str | None, tree: dict, rules: Rules) -> str:
     """tree: (pages, presentation, content) by path, for the page's host."""
     if not page:
@@ -217,34 +239,32 @@ def extract_one(page: str | None, tree: dict, rules: Rules) -> str:
             style = content = 1.0
         total = length = best = 0.0
         for c in n.children:
-            size, imp, top = (len(c), content, content) if isinstance(c, str) else known[id(c)]
+            size, imp, top = (len(c), content, content) if isinstance(c, str) else known[id(c)][:3]
             total, length, best = total + size * imp, length + size, max(best, top)
         inner = total / length if length else content
         own = (1 - rules.presentation) * inner + rules.presentation * style if n.children else inner
-        known[id(n)] = (length, own, max(own, best))
+        known[id(n)] = (length, own, max(own, best), content if m >= rules.least_pages else 0.0)
+    spared = _around_articles(root) if articles else set()
     out: list[str] = []
 
-    def keep(n: Node, within: bool) -> None:
-        """within: an article holds the element, so only its own word against it counts."""
-        stack = [(n, within, 0)]
-        while stack:
-            n, within, k = stack.pop()
-            if k == 0 and n.path:
-                holds = not within and articles and any(x.prior > 0 for x in nodes(n))
-                score = known[id(n)][2] + n.prior + (1 if within or holds else 0)
-                if n.prior < 0 or score < rules.threshold:
-                    continue
-                within = within or n.prior > 0
-            for i in range(k, len(n.children)):
-                c = n.children[i]
-                if isinstance(c, str):
-                    if within or not articles:
-                        out.append(c)
-                else:
-                    stack += [(n, within, i + 1), (c, within, 0)]
-                    break
-
-    keep(root, False)
+    # within: an article holds the element; shared: that article is shared as a whole, so importance tells nothing in it.
+    stack = [(root, False, False, 0)]
+    while stack:
+        n, within, shared, k = stack.pop()
+        best = known[id(n)][2]
+        if k == 0 and n.path and id(n) not in spared:
+            if best + n.prior + shared < rules.threshold or n.prior < 0:
+                continue
+            if n.prior > 0 and not within:
+                within, shared = True, best < rules.threshold
+        for i in range(k, len(n.children)):
+            c = n.children[i]
+            if isinstance(c, str):
+                if within or not articles or n.prior >= 0 and known[id(n)][3] >= rules.outside:
+                    out.append(c)
+            else:
+                stack += [(n, within, shared, i + 1), (c, within, shared, 0)]
+                break
     return " ".join(out)
 
 

@@ -322,6 +322,17 @@ def test_html_site_style_trees(spark):
     assert extract(spark, pages[:2]) == [" ".join(["Welcome to the site", g, "Made by us all"]) for g in got[:2]]  # too few pages to tell
 
 
+def test_html_wrappers_and_importance_with_an_article(spark):
+    """Wrappers with a noise word keep their article; on a site, shared branches inside go and own text outside stays."""
+    for head in ('<body class="has-sidebar">', '<body><div class="no-comments">', '<body><div id="page-search-layout">'):
+        page = head + '<nav>menu</nav><article><p>Told here.</p></article><aside><article>teaser</article></aside>'
+        assert extract(spark, [("http://a.x/1", page)]) == ["Told here."]
+    pages = [(f"http://s.x/{i}", f'<body><div class="top">Welcome</div><div class="lead">Lead {i}</div><article><p>Story {i}.</p><div class="rules">House rules of us all</div></article></body>') for i in range(12)]
+    assert extract(spark, pages) == [f"Lead {i} Story {i}." for i in range(12)]
+    same = [(f"http://t.x/{i}", "<body><article><p>One for all</p></article></body>") for i in range(4)]
+    assert extract(spark, same) == ["One for all"] * 4
+
+
 @needs_tables
 def test_html_on_the_tables_pages(spark):
     import re
