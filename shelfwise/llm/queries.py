@@ -23,6 +23,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.maintained_totals(table(spark, sf_dir, "documents"))
 
 
+def op3_tokenizer_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = {v: public_tokenizers.path(f"{v}.json") for v in ("byte_bpe_50k", "word_bpe_49k")}
+    return rollup.tokenizer_totals(table(spark, sf_dir, "documents"), files)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -53,7 +58,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op2_html_text, op3_token_counts, op4_packing, op5_language_id, op6_substring_dedup, op7_quality_rules, op8_topk_search, op9_mixing, op10_simhash)
+    found = (op1_toxicity, op2_html_text, op3_token_counts, op3_tokenizer_totals, op4_packing, op5_language_id, op6_substring_dedup, op7_quality_rules, op8_topk_search, op9_mixing, op10_simhash)
     return {f.__name__: f for f in found}
 
 

@@ -18,6 +18,7 @@ import json
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -148,7 +149,37 @@ def maintained_totals(docs: DataFrame, least_words: int = 50) -> DataFrame:
         "2-recount": event("revise", "bytes-1", "bytes-2", "bytes-1"),
         "3-purge": event("delete", "bytes-1", "bytes-2", rows=short).unionByName(event("delete", "words-2", "words-2", rows=short)),
     }
-    totals = TokenTotals(spark, f"{scratch.root}/totals")
+    return _delivered_twice(TokenTotals(spark, f"{scratch.root}/totals"), batches)
+
+
+def tokenizer_totals(docs: DataFrame, files: dict[str, str], least_words: int = 50) -> DataFrame:
+    """Totals of all documents under each tokenizer file (version: path), after a life of batches: all documents come in
+    under one version after the other; those under least_words words are taken out of all versions and come back. Each
+    text is counted once, into a ledger; batches are delivered twice as in maintained_totals."""
+    spark = session_of(docs)
+    scratch = Scratch(spark)
+
+    def run(texts, words):
+        encoders = [Encoder.of_process(path) for path in files.values()]
+        texts = texts.to_pylist()
+        return [*(pa.array([len(e.encode(t)) // 4 for t in texts], pa.int64()) for e in encoders), pa.compute.less(words, least_words)]
+
+    source = docs.select("source", "lang", F.coalesce("text", F.lit("")).alias("t")).select("source", "lang", "t", F.size(words_of(F.col("t"))).alias("n"))
+    fields = [*((v, T.LongType()) for v in files), ("short", T.BooleanType())]
+    ledger = scratch.write(add_columns(source, run, ["t", "n"], fields, keep=["source", "lang"]), "ledger")
+
+    def events(kind: str, versions: list[str], rows: DataFrame = ledger) -> DataFrame:
+        counts = F.explode(F.array(*(F.struct(F.lit(v).alias("tokenizer"), F.col(f"`{v}`").alias("tokens")) for v in versions))).alias("x")
+        return rows.select("source", "lang", counts).select(F.lit(kind).alias("kind"), "source", "lang", "x.tokenizer", "x.tokens", F.lit(None).cast("long").alias("old_tokens"))
+
+    short = ledger.filter("short")
+    batches = {f"{k}-{v}": events("insert", [v]) for k, v in enumerate(files)}
+    batches |= {f"{len(files)}-purge": events("delete", list(files), short), f"{len(files) + 1}-return": events("insert", list(files), short)}
+    return _delivered_twice(TokenTotals(spark, f"{scratch.root}/totals"), batches)
+
+
+def _delivered_twice(totals: TokenTotals, batches: dict[str, DataFrame]) -> DataFrame:
+    """The totals after all batches, the first two delivered again before compaction and the others after it."""
     for name, events in batches.items():
         totals.commit(name, events)
     for name in list(batches)[:2]:

@@ -374,6 +374,22 @@ def test_rollup_of_tokenizer_counts(spark, prose):
     assert rows(totals.totals()) == [("s", "en", "bpe-1", len(prose), sum(len(slow.encode(t or "", add_special_tokens=False).ids) for t in prose))]
 
 
+@needs_tables
+def test_tokenizer_totals_cover_all_documents(spark):
+    """The registered query counts every document, short ones too, with both tokenizer files."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    want = {}
+    for version in ("byte_bpe_50k", "word_bpe_49k"):
+        slow = Tokenizer.from_file(public_tokenizers.path(f"{version}.json"))
+        for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
+            docs, tokens = want.get((r["source"], r["lang"], version), (0, 0))
+            want[(r["source"], r["lang"], version)] = (docs + 1, tokens + len(slow.encode(r["text"] or "", add_special_tokens=False).ids))
+    got = queries.queries()["op3_tokenizer_totals"](spark, "/root/testdata/sf0.001").collect()
+    assert {(r["source"], r["lang"], r["tokenizer"]): (r["docs"], r["tokens"]) for r in got} == want
+
+
 def test_rollup_is_order_free(spark):
     rnd = random.Random(8)
     schema = "kind string, source string, lang string, tokenizer string, tokens long, old_tokens long"
