@@ -200,14 +200,14 @@ def approve(state: LibraryState, removals: DataFrame, author_ids: list[int] | No
     return plan, state.with_(catalog=state.catalog.join(gone, "id", "left_anti"), recommendations=flagged.withColumn("duplicate", F.when(F.col("_hit"), True).otherwise(F.col("duplicate"))))
 
 
-def audit_author(state: LibraryState, author_id: int) -> DataFrame:
-    """Q23: one author's catalog, row by row: exact (F3) and near (F7) duplicate counts, language findings (C4 with the
+def audit_author(state: LibraryState, author_id: int | None = None) -> DataFrame:
+    """Q23: one author's catalog, or that of each, row by row: exact (F3) and near (F7) duplicate counts, language findings (C4 with the
     audit's words), whether it would be looked at (U2)."""
-    rows = state.catalog.filter(F.col("author_id") == author_id)
+    rows = state.catalog if author_id is None else state.catalog.filter(F.col("author_id") == author_id)
     t = F.col("title")
-    w = rows.select("id", "title", X.title_for_dedup(t).alias("_k"), X.title_near(t).alias("_n"), C.completeness().alias("score"), C.review_non_english(t, spanish=C.SPANISH_AUDIT).alias("_c"))
+    w = rows.select("id", "author_id", "title", X.title_for_dedup(t).alias("_k"), X.title_near(t).alias("_n"), C.completeness().alias("score"), C.review_non_english(t, spanish=C.SPANISH_AUDIT).alias("_c"))
     return w.select(
-        "id", "title", "score", F.count("*").over(Window.partitionBy("_k")).alias("same_title"), F.count("*").over(Window.partitionBy("_n")).alias("near_title"),
+        "id", "title", "score", F.count("*").over(Window.partitionBy("author_id", "_k")).alias("same_title"), F.count("*").over(Window.partitionBy("author_id", "_n")).alias("near_title"),
         F.col("_c.flag").alias("non_english"), F.col("_c.reasons").alias("reasons"), t.rlike(C.EDITION_OF["Language edition in parentheses"]).alias("language_edition"),
     ).withColumn("look_at", (F.col("same_title") > 1) | (F.col("near_title") > 1) | F.col("non_english"))
 

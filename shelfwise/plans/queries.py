@@ -229,6 +229,11 @@ def q23_audit(s: LibraryState) -> DataFrame:
     return parts[0].unionByName(parts[1]).select("id", "score", "same_title", "near_title", "non_english")
 
 
+@query
+def q23_audit_all(s: LibraryState) -> DataFrame:
+    return dedupe.audit_author(s).select("id", "score", "same_title", "near_title", "non_english")
+
+
 @query
 def q24_extract_series(s: LibraryState) -> DataFrame:
     return series.extract_series(s.with_(catalog=s.catalog.withColumn("series_name", F.lit(None).cast("string"))))[0].select("id", "new_series", "new_position")

@@ -297,6 +297,13 @@ def test_recommendation_duplicates_query_sees_copies(library):
     assert rows(got.select("group_key", "n", "id")) == [("exact:sea", 2, 2), ("exact:sea", 2, 3)]
 
 
+def test_audit_covers_all_authors(library):
+    from shelfwise.plans import queries
+
+    s = library(catalog=("id long, author_id long, title string, isbn string", [(1, 1, "Sea", None), (2, 1, "Sea", None), (3, 2, "Sea", None)]))
+    assert rows(queries.q23_audit_all(s), "id", "same_title") == [(1, 2), (2, 2), (3, 1)]
+
+
 def test_reports_and_approvals(spark, library, tmp_path):
     s = library(
         catalog=("id long, author_id long, title string, isbn string", [(i, 1, t, None) for i, t in enumerate(["Sea", "The Sea", "Sea!", "Lake"], 1)]),
