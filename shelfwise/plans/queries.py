@@ -219,7 +219,12 @@ def q20_contained_titles(s: LibraryState) -> DataFrame:
 
 
 @query
-def q21_reason_histogram(s: LibraryState) -> DataFrame:
+def q21_recommendation_reasons(s: LibraryState) -> DataFrame:
+    return dedupe.explained(dedupe.recommendation_duplicates(s), s.recommendations).select("owner", "group_key", "keep_id", "id", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query
+def q28_reason_histogram(s: LibraryState) -> DataFrame:
     return report.histogram(curation.cleanup_review(s), "reasons")
 
 

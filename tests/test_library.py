@@ -297,6 +297,15 @@ def test_recommendation_duplicates_query_sees_copies(library):
     assert rows(got.select("group_key", "n", "id")) == [("exact:sea", 2, 2), ("exact:sea", 2, 3)]
 
 
+def test_recommendation_reasons(library):
+    from shelfwise.plans import queries
+
+    titles = ["Sea", "Sea", "Lake", "Hill", "Ruby moon", "Winter", "Bread", "Copper", "Orchid", "Thunder"]
+    s = library(recommendations=("id long, title string, author string, isbn string", [(k, t, "A", None) for k, t in enumerate(titles, 1)]))
+    ((owner, key, keep, gone, reasons),) = rows(queries.q21_recommendation_reasons(s))
+    assert (owner, key, {keep, gone}) == ("A", "exact:sea", {1, 2}) and "exact_normalized" in reasons
+
+
 def test_audit_covers_all_authors(library):
     from shelfwise.plans import queries
 
