@@ -33,6 +33,14 @@ from .common import Scratch, session_of
 
 #: Characters on whose classes all Unicode versions agree; a text with others is left to the tokenizer's own splitter.
 OTHER = re.compile("[^\x00-\u024f\u2000-\u206f]")
+#: Fixed value: how word vocabularies split a text whose white space they drop, so that no piece reaches over a blank.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_END = "</w>"
+BLANKS = str.maketrans("\t\r\n", "   ")
+#: Words of characters that normalisation leaves alone, whose case and class no library sees differently, and that begin
+#: no special token; their pieces by WORD_PATTERN.
+PLAIN = re.compile("[!-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]*")
+WORD_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[^\\W\\d_]+|[0-9]|(?:[^\\w]|_)+")
 
 
 @dataclass(frozen=True)
@@ -61,7 +69,8 @@ def byte_symbols() -> dict[str, int]:
 class Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes, as the tokenizer file's own library gives them
     without added special tokens. Where the vocabulary is byte-level BPE in rank order, the same merges are run by a
-    faster library, built from that file; texts with rare characters go to the tokenizer itself."""
+    faster library, built from that file; texts with rare characters, and those whose runs of blanks are too long for
+    that library's pattern engine, go to the tokenizer itself."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -75,6 +84,24 @@ class Encoder:
             of, special = byte_symbols(), {t["content"]: t["id"] for t in spec["added_tokens"]}
             ranks = {bytes(of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
             self.fast = tiktoken.Encoding("of_file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        first = ((spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+        self.by_word = first.get("type") == "Split" and first["pattern"] == {"Regex": WORD_PATTERN} and first["behavior"] == "Removed" and first["invert"]
+        self.counts: dict[str, int] = {}
+        self.pieces = self._word_pieces(spec) if self.by_word and spec["model"].get("end_of_word_suffix") == WORD_END else None
+
+    def _word_pieces(self, spec: dict):
+        """The merges of a word vocabulary for the faster library: the end of a word is the byte 255, which no text has.
+        None if the vocabulary isn't in the order of its merges."""
+        import tiktoken
+
+        of, special = byte_symbols(), {t["content"] for t in spec["added_tokens"]}
+        merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in spec["model"]["merges"]]
+        order = [t for t in sorted(spec["model"]["vocab"], key=spec["model"]["vocab"].get) if t not in special]
+        if order[len(order) - len(merged) :] != merged:
+            return None
+        as_bytes = lambda t: bytes(of[c] for c in t.removesuffix(WORD_END)) + b"\xff" * t.endswith(WORD_END)
+        ranks = {as_bytes(t): i for i, t in enumerate(order)}
+        return tiktoken.Encoding("of_words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
     @classmethod
     def of_process(cls, path: str) -> Encoder:
@@ -85,9 +112,33 @@ class Encoder:
         return held.__dict__[path]
 
     def encode(self, text: str) -> bytes:
-        if self.fast is None or OTHER.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return array("I", self.fast.encode(text, allowed_special="all")).tobytes()
+        if self.fast is not None and not OTHER.search(text):
+            try:
+                return array("I", self.fast.encode(text, allowed_special="all")).tobytes()
+            except ValueError as e:  # the engine's stack ends at runs of about a million blanks
+                if "stack size exceeded" not in str(e):
+                    raise
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def count(self, text: str) -> int:
+        """How many ids encode() gives. Where no token reaches over a blank, words are counted once each and remembered;
+        what is remembered is bounded."""
+        if not self.by_word:
+            return len(self.encode(text)) // 4
+        counts, total = self.counts, 0
+        for word in text.translate(BLANKS).split(" "):
+            n = counts.get(word)
+            if n is None:
+                n = self._count_word(word)
+                if len(counts) < 300_000 and len(word) <= 40:
+                    counts[word] = n
+            total += n
+        return total
+
+    def _count_word(self, word: str) -> int:
+        if self.pieces is None or not PLAIN.fullmatch(word):
+            return len(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        return sum(len(self.pieces(p.encode() + b"\xff")) for p in WORD_PIECE.findall(word.lower()))
 
 
 def cut(n: int, size: int) -> list[tuple[int, int]]:
@@ -228,7 +279,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: Capacity = Ca
     bases = scratch.write(counts.select("length", "part", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "bases", pieces.count())
     histogram = {r["length"]: r["n"] for r in bases.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity.tokens rows at most
     shared = spark.sparkContext.broadcast(pack(histogram, capacity)[0])
-    ranked = pieces.join(bases.select("length", "part", "base"), ["length", "part"]).withColumn("rank", F.col("base") + F.col("rank_in_part"))
+    # The bases grow with the map tasks, so they aren't broadcast; no key of this join has more rows than one map task.
+    ranked = pieces.join(bases.select("length", "part", "base").hint("merge"), ["length", "part"]).withColumn("rank", F.col("base") + F.col("rank_in_part"))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else []), "rank"]
     return ranked.select(*columns).mapInArrow(lambda batches: _placed(shared.value, batches), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids array<int>" * with_ids)
 
