@@ -1,17 +1,23 @@
-"""Near copies by five-word similarity: the rule of the pipeline's near-duplicate stage.
+"""The SimHash operator at a wider radius: near copies by five-word similarity, for the pipeline.
 
 Two texts are near copies if the Jaccard similarity of their sets of five-word shingles is `LEAST` or more (a text of
-fewer than five words is one shingle). At that similarity 64-bit SimHash fingerprints differ in about ten bits, and
-keys short enough to meet at ten bits are shared by chance by more and more texts as the corpus grows; so candidates
-meet under min-wise keys of the same shingles: `BANDS` keys of `ROWS` minima each, of which a pair at similarity s
-shares none with probability (1 - s**ROWS)**BANDS (0.04 % at 0.8, less above). Candidates are verified exactly on their texts.
+fewer than five words is one shingle). Candidates come from two sides and are verified exactly on their texts:
 
-In runs of more than `ALL_PAIRS` classes under one key each class is paired with the next one only, in an order that
-differs from key to key; its group is joined over the links that its keys give together.
+* SimHash fingerprints of the shingles that link at three bits under the Golay keys of simhash.py;
+* min-wise keys of the same shingles: `BANDS` keys of `ROWS` minima each, of which a pair at similarity s shares none
+  with probability (1 - s**ROWS)**BANDS (0.04 % at 0.8, less above).
+
+The fingerprints alone can't give the stage's result: at a similarity of 0.8 they differ in ten of 64 bits (15 %), where
+even 24 bits of keys meet with 2 % only, so some 400 keys a text would be needed, and ever more as keys grow longer
+with the corpus. The min-wise keys don't replace them: what the Golay keys link is linked.
+
+In runs of more than `ALL_PAIRS` classes under one min-wise key each class is paired with the next one only, in an order
+that differs from key to key; its group is joined over the links that its keys give together.
 
 Rows: null texts count as empty, texts without words are one class; texts of equal words (case aside) are one class
 before any key is made. Of each component the row with the smallest doc_id stays (null last, then the smallest hash of
-its text), so a row goes only where another row of its component stays.
+its text), so a row goes only where another row of its component stays. An empty table gives an empty one. Columns
+besides doc_id and text are kept as they are; names that begin with two underscores are internal.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch, add_columns, bytes_of, session_of
-from .simhash import components
+from .simhash import components, keep_rows, links, text_mark
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS, ALL_PAIRS = 20, 5, 24
@@ -48,6 +54,14 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if both else 0.0
 
 
+def folded(h: np.ndarray) -> int:
+    """The SimHash fingerprint of a set of shingle hashes."""
+    total = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(h), 1 << 16):
+        total += np.unpackbits(h[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(h), bitorder="little").view("<u8")[0])
+
+
 def keys_of(h: np.ndarray) -> np.ndarray:
     low = np.full(len(FACTORS), np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(h), 2048):
@@ -56,17 +70,18 @@ def keys_of(h: np.ndarray) -> np.ndarray:
 
 
 def _marks(texts) -> list[pa.Array]:
-    """Class, number of shingles and keys of each text; texts without words have no key."""
-    cls, sizes, keys, ends = [], [], [], [0]
+    """Class, number of shingles, fingerprint and keys of each text; texts without words have no key."""
+    cls, sizes, fps, keys, ends = [], [], [], [], [0]
     for t in bytes_of(texts):
         h = shingles(t)
         cls.append(xxhash.xxh3_64_intdigest(b" ".join((t or b"").lower().split())))
         sizes.append(len(h))
+        fps.append(folded(h))
         if len(h):
             keys.append(keys_of(h))
         ends.append(len(keys) * BANDS)
     flat = np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64)
-    return [pa.array(np.array(cls, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))]
+    return [pa.array(np.array(cls, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))]
 
 
 def _pairs_of_runs(key: np.ndarray, cls: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -116,31 +131,36 @@ def _near(x, y) -> list[pa.Array]:
     return [pa.array([similarity(shingles(a), shingles(b)) >= LEAST for a, b in zip(bytes_of(x), bytes_of(y))], pa.bool_())]
 
 
+def _by_fingerprint(classes: DataFrame) -> DataFrame:
+    """(a, b): classes of one fingerprint with its first class, and the first classes of linked fingerprints."""
+    of_fp = classes.filter("size > 0").groupBy("fp").agg(F.min("cls").alias("one"))
+    same = classes.join(of_fp, "fp").filter("cls <> one").select(F.col("one").alias("a"), F.col("cls").alias("b"))
+    linked = links(of_fp).join(of_fp.select(F.col("fp").alias("a"), F.col("one").alias("x")), "a").join(of_fp.select(F.col("fp").alias("b"), F.col("one").alias("y")), "b")
+    return same.unionByName(linked.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def keep_distinct(docs: DataFrame) -> DataFrame:
     """docs with one row of each component of near copies."""
     scratch = Scratch(session_of(docs))
-    mark = F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark")
-    fields = [("cls", T.LongType()), ("size", T.IntegerType()), ("keys", T.ArrayType(T.LongType()))]
-    marked = scratch.write(add_columns(docs.select("doc_id", "text", mark), _marks, ["text"], fields, keep=["doc_id", "mark"]), "marked")
-    most = marked.count()
+    fields = [("cls", T.LongType()), ("size", T.IntegerType()), ("fp", T.LongType()), ("keys", T.ArrayType(T.LongType()))]
+    marked = add_columns(docs.select("doc_id", "text", text_mark().alias("mark")), _marks, ["text"], fields, keep=["doc_id", "mark"])
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
-    classes = scratch.write(marked.groupBy("cls").agg(F.min(first).alias("first"), F.any_value("size").alias("size"), F.any_value("keys").alias("keys")), "classes")
+    classes = scratch.write(marked.groupBy("cls").agg(F.min(first).alias("first"), F.any_value("size").alias("size"), F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys")), "classes")
     keyed = classes.select(F.explode("keys").alias("key"), "cls", "size").repartition("key").sortWithinPartitions("key")
-    pairs = scratch.write(keyed.mapInArrow(_candidates, "a long, b long").distinct(), "pairs")
+    pairs = scratch.write(keyed.mapInArrow(_candidates, "a long, b long").unionByName(_by_fingerprint(classes)).distinct(), "pairs")
     # A class's first row stands for it; only texts of candidates move.
     needed = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
     wanted = classes.join(needed, "cls", "left_semi").select("cls", "first.doc_id", "first.mark")
-    source = docs.select(F.col("doc_id").alias("_id"), mark, "text")
+    source = docs.select(F.col("doc_id").alias("_id"), text_mark().alias("mark"), "text")
     texts = wanted.join(source, (F.col("doc_id").eqNullSafe(F.col("_id"))) & (wanted["mark"] == source["mark"])).select("cls", "text").dropDuplicates(["cls"])
     texts = scratch.write(texts, "texts")
     both = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("y")), "b")
     edges = add_columns(both, _near, ["x", "y"], [("near", T.BooleanType())], keep=["a", "b"]).filter("near").select("a", "b")
     labels = components(edges, scratch)
-    for name in ("pairs", "texts", "marked"):
-        scratch.drop(name)
+    scratch.drop("pairs")
+    scratch.drop("texts")
     of_class = classes.select("cls", "first").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
     kept = of_class.groupBy(F.coalesce("label", "cls").alias("label")).agg(F.min("first").alias("first"))
-    stay = scratch.write(kept.select(F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_mark")), "stay", most)
+    stay = scratch.write(kept.select("first.doc_id", "first.mark"), "stay")
     scratch.drop("classes")
-    rows = docs.withColumn("__mark", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return rows.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("__mark") == F.col("_mark")), "left_semi").dropDuplicates(["doc_id", "__mark"]).select(*docs.columns)
+    return keep_rows(docs, stay)

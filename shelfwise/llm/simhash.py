@@ -1,11 +1,13 @@
 """SimHash near-duplicates by Golay-code fuzzy hashing.
 
-A 64-bit fingerprint is cut into three segments of at most 23 bits. Two fingerprints that differ in at most three
-bits differ in at most one bit in each of two segments at least (3 = 3+0+0 = 2+1+0 = 1+1+1). The perfect binary
-Golay code [23,12,7] gives each segment the indices of all codewords within distance 4 (one index, or six where the
-nearest codeword is at distance 3); segments that differ in one bit share one. So the pairs of indices of two
-segments are keys under which every linked pair meets. Pairs are verified bit by bit inside a key's run, where only
-a spanning forest of the verified links leaves the task; components follow by label propagation with pointer jumps.
+A 64-bit fingerprint is cut into three segments of at most 23 bits. The perfect binary Golay code [23,12,7] gives each
+segment the indices of all codewords within distance 4 (one index, or six where the nearest codeword is at distance
+3); segments that differ in one bit share one. Of two fingerprints that differ in at most three bits either one segment
+is equal and another differs in one bit at most (3 = 3+0+0 = 2+1+0), or each segment differs in one (1+1+1). So the keys
+are one segment whole with an index of another (33 bits or more), and the indices of all three (36 bits): every linked
+pair meets under one of them. That makes some 180 keys a fingerprint, so long that unrelated fingerprints seldom share
+one: with 10**10 of them a key still has about 20. Pairs are verified bit by bit inside a key's run, where only a
+spanning forest of the verified links leaves the task; components follow by label propagation with pointer jumps.
 
 Rows: null texts count as empty; a text without words has fingerprint zero and links like any other; rows with equal
 fingerprints are one class before any key is made, so groups of copies of any size cost one row. Null doc_id rows
@@ -14,12 +16,12 @@ keep their own row and take their class's smallest non-null id. Columns besides
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations, permutations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,16 +89,25 @@ def segment_indices(fp: np.ndarray, counts: np.ndarray, patterns: np.ndarray) ->
 
 
 def fuzzy_keys(fp: np.ndarray, counts: np.ndarray, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of every pair of indices of every pair of segments."""
+    """(row, key): for every ordered pair of segments, the first one whole with each index of the second one (kinds 0 to
+    5), and every triple of indices (kind 6)."""
     rows, keys = [], []
     segments = segment_indices(fp, counts, patterns)
-    for kind, (a, b) in enumerate(combinations(range(len(SEGMENTS)), 2)):
-        (na, ia), (nb, ib) = segments[a], segments[b]
-        for i in range(patterns.shape[1]):
-            for j in range(patterns.shape[1]):
-                on = np.flatnonzero((na > i) & (nb > j))
+    whole = [(fp >> np.uint64(shift) & np.uint64((1 << bits) - 1)).astype(np.int64) for shift, bits in SEGMENTS]
+    most = range(patterns.shape[1])
+    for kind, (a, b) in enumerate(permutations(range(len(SEGMENTS)), 2)):
+        n, index = segments[b]
+        for i in most:
+            on = np.flatnonzero(n > i)
+            rows.append(on)
+            keys.append(kind << 36 | whole[a][on] << 12 | index[on, i])
+    (n0, i0), (n1, i1), (n2, i2) = segments
+    for i in most:
+        for j in most:
+            for k in most:
+                on = np.flatnonzero((n0 > i) & (n1 > j) & (n2 > k))
                 rows.append(on)
-                keys.append(kind << 24 | ia[on, i] << 12 | ib[on, j])
+                keys.append(6 << 36 | i0[on, i] << 24 | i1[on, j] << 12 | i2[on, k])
     return np.concatenate(rows), np.concatenate(keys)
 
 
@@ -105,7 +116,7 @@ def _keyed(batches):
     for b in batches:
         fp = b.column(0).to_numpy(zero_copy_only=False)
         rows, keys = fuzzy_keys(fp.view(np.uint64), counts, patterns)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(fp[rows])], names=["key", "fp"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fp[rows])], names=["key", "fp"])
 
 
 def _forest(v: np.ndarray) -> tuple[list, list]:
@@ -172,7 +183,7 @@ def _verified(batches):
 
 def links(classes: DataFrame) -> DataFrame:
     """(a, b): a < b as unsigned fingerprints; a spanning forest, key by key, of all pairs at three bits or fewer."""
-    keyed = classes.select("fp").mapInArrow(_keyed, "key int, fp long")
+    keyed = classes.select("fp").mapInArrow(_keyed, "key long, fp long")
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_verified, "a long, b long").distinct()
 
 
@@ -210,15 +221,35 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return marked.join(of_class, "fp").select("doc_id", "fp", hexed.alias("fingerprint"), "component_id")
 
 
+def keep_rows(docs: DataFrame, stay: DataFrame) -> DataFrame:
+    """The rows of docs that stay names by (doc_id, mark: hash of the text), one of each. Texts are dealt out once, by
+    the keys of the join, which drop repeated rows as well."""
+    keys = ["__none", "__id", "__mark"]
+
+    def keyed(df: DataFrame, mark) -> DataFrame:
+        return df.withColumns({"__none": F.col("doc_id").isNull(), "__id": F.coalesce("doc_id", F.lit(0)), "__mark": mark})
+
+    wanted = keyed(stay, F.col("mark")).select(*keys)
+    return keyed(docs, text_mark()).join(wanted, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
+
+
+def text_mark() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def keep_representatives(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """docs with one document of each component: the one with the smallest doc_id (one row of it, if it repeats).
-    Rows without doc_id stay only where their component has no id at all, once."""
-    found = near_duplicates(docs, shingle)
-    # A null id is its class's only id or none of it: components without any id are told apart by their label.
-    keep = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = found.filter(F.col("component_id").isNull()).select("fp").distinct()
-    unnamed = docs.filter(F.col("doc_id").isNull())
-    spare = add_columns(unnamed, lambda t: [pa.array(np.array([fingerprint(x, shingle) for x in bytes_of(t)], dtype=np.uint64).view(np.int64))], ["text"], [("__fp", T.LongType())])
-    spare = spare.join(nameless.withColumnRenamed("fp", "__fp"), "__fp", "left_semi").dropDuplicates(["__fp"]).select(*docs.columns)
-    return named.unionByName(spare)
+    """docs with one row of each component: that with the smallest doc_id (null last, then the smallest hash of its
+    text). An id that stands on several texts is judged text by text, so a row goes only where another row of its own
+    component stays, whatever the order of the rows."""
+    scratch = Scratch(session_of(docs))
+
+    def run(texts):
+        return [pa.array(np.array([fingerprint(t, shingle) for t in bytes_of(texts)], dtype=np.uint64).view(np.int64))]
+
+    marked = add_columns(docs.select("doc_id", text_mark().alias("mark"), "text"), run, ["text"], [("fp", T.LongType())], keep=["doc_id", "mark"])
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    classes = scratch.write(marked.groupBy("fp").agg(F.min(first).alias("first")), "classes")
+    labels = components(links(classes), scratch)
+    of_class = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left")
+    kept = of_class.groupBy(F.coalesce("label", "fp").alias("label")).agg(F.min("first").alias("first"))
+    return keep_rows(docs, scratch.write(kept.select("first.doc_id", "first.mark"), "stay"))
