@@ -14,8 +14,9 @@ events besides those named are not read.
 
 from __future__ import annotations
 
-import json
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute
@@ -43,6 +44,10 @@ def deltas(events: DataFrame) -> DataFrame:
 
 
 class TokenTotals:
+    """path/batches/<id>: the deltas of a committed batch; path/snapshots/<n>: totals and, in rows of their own, the ids of
+    the batches folded into them. Folders appear by one rename and are never changed, so the file system must rename
+    folders atomically (HDFS and local ones do; on an object store a committer or table format has to stand in)."""
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
@@ -54,6 +59,10 @@ class TokenTotals:
         fs, where = self._fs(f"{self.path}/{folder}")
         return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
 
+    def _remove(self, place: str) -> None:
+        fs, where = self._fs(f"{self.path}/{place}")
+        fs.delete(where, True)
+
     def _publish(self, df: DataFrame, place: str) -> bool:
         """df as the folder `place`, whole or not at all; False if another writer was first."""
         staged = f"{self.path}/staging/{uuid.uuid4().hex}"
@@ -70,41 +79,53 @@ class TokenTotals:
             return False
         return True
 
-    def snapshot(self) -> tuple[str | None, set[str]]:
-        """The newest snapshot's folder and the batches folded into it."""
-        found = self._names("snapshots")
-        if not found:
-            return None, set()
-        folder = f"{self.path}/snapshots/{found[-1]}"
-        listed = self.spark.read.schema(f"{SCHEMA}, batches string").parquet(folder).filter("batches IS NOT NULL").select("batches").collect()
-        return folder, set(json.loads(listed[0][0]))
+    def _snapshot(self) -> DataFrame:
+        """The newest snapshot: SCHEMA and batch, which is null in rows of totals and an id in all others."""
+        found, schema = self._names("snapshots"), f"{SCHEMA}, batch string"
+        return self.spark.read.schema(schema).parquet(f"{self.path}/snapshots/{found[-1]}") if found else self.spark.createDataFrame([], schema)
+
+    def _pending(self) -> list[str]:
+        """Committed batches that the newest snapshot doesn't hold: those since the last compaction."""
+        names = self._names("batches")
+        folded = {r["batch"] for r in self._snapshot().filter(F.col("batch").isin(names)).select("batch").collect()}
+        return [n for n in names if n not in folded]
 
     def committed(self) -> set[str]:
-        return set(self._names("batches")) | self.snapshot()[1]
+        """All batches ever committed, for inspection."""
+        return set(self._names("batches")) | {r["batch"] for r in self._snapshot().filter("batch IS NOT NULL").select("batch").collect()}
+
+    def is_committed(self, batch_id: str) -> bool:
+        # Compaction publishes a snapshot before it removes what it folded, so this order misses no batch.
+        fs, where = self._fs(f"{self.path}/batches/{batch_id}")
+        return fs.exists(where) or not self._snapshot().filter(F.col("batch") == batch_id).isEmpty()
 
     def commit(self, batch_id: str, events: DataFrame) -> bool:
         """Adds the batch; False, without effect, if a batch of that id was committed before."""
-        if batch_id in self.committed():
-            return False
-        return self._publish(deltas(events), f"batches/{batch_id}")
+        return not self.is_committed(batch_id) and self._publish(deltas(events), f"batches/{batch_id}")
+
+    def _summed(self, pending: list[str]) -> DataFrame:
+        parts = self._snapshot().filter("batch IS NULL").drop("batch")
+        if pending:
+            parts = parts.unionByName(self.spark.read.schema(SCHEMA).parquet(*(f"{self.path}/batches/{b}" for b in pending)))
+        return parts.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs <> 0 OR tokens <> 0")
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, docs, tokens."""
-        folder, folded = self.snapshot()
-        paths = [f"{self.path}/batches/{b}" for b in self._names("batches") if b not in folded]
-        parts = self.spark.createDataFrame([], SCHEMA)
-        if folder:
-            parts = parts.unionByName(self.spark.read.schema(f"{SCHEMA}, batches string").parquet(folder).filter("batches IS NULL").drop("batches"))
-        if paths:
-            parts = parts.unionByName(self.spark.read.schema(SCHEMA).parquet(*paths))
-        return parts.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs <> 0 OR tokens <> 0")
+        return self._summed(self._pending())
 
     def compact(self) -> bool:
-        """Folds what is committed now into a new snapshot; batches committed meanwhile stay beside it."""
-        done = sorted(self.committed())
-        rows = self.totals().withColumn("batches", F.lit(None).cast("string"))
-        listed = self.spark.createDataFrame([(None, None, None, None, None, json.dumps(done))], f"{SCHEMA}, batches string")
-        return self._publish(rows.unionByName(listed), f"snapshots/{len(self._names('snapshots')):08d}")
+        """Folds what is committed now into a new snapshot, then removes the folders it replaces; batches committed
+        meanwhile stay beside it. A batch that a late writer commits again after that is listed, so it doesn't count."""
+        pending, old = self._pending(), self._names("snapshots")
+        ids = self._snapshot().filter("batch IS NOT NULL").select("batch")
+        if pending:
+            ids = ids.unionByName(self.spark.createDataFrame([(b,) for b in pending], "batch string"))
+        rows = self._summed(pending).withColumn("batch", F.lit(None).cast("string"))
+        if not self._publish(rows.unionByName(ids, allowMissingColumns=True), f"snapshots/{int(old[-1]) + 1 if old else 0:08d}"):
+            return False
+        for place in [f"batches/{b}" for b in pending] + [f"snapshots/{n}" for n in old[:-1]]:  # the last one may still be read
+            self._remove(place)
+        return True
 
 
 def native_counts(text: Column) -> dict[str, Column]:
@@ -123,16 +144,17 @@ def inserted(docs: DataFrame, tokenizer_path: str, version: str) -> DataFrame:
 
     def run(texts):
         encoder = Encoder.of_process(tokenizer_path)
-        return [pa.array([len(encoder.encode(t or "")) // 4 for t in texts.to_pylist()], pa.int64())]
+        return [pa.array([encoder.count(t or "") for t in texts.to_pylist()], pa.int64())]
 
     counted = add_columns(docs.select("source", "lang", "text"), run, ["text"], [("tokens", T.LongType())], keep=["source", "lang"])
     return counted.select(F.lit("insert").alias("kind"), "source", "lang", F.lit(version).alias("tokenizer"), "tokens", F.lit(None).cast("long").alias("old_tokens"))
 
 
 def maintained_totals(docs: DataFrame, least_words: int = 50) -> DataFrame:
-    """A corpus's life as batches: all documents come in under two counters; the word counter moves to its second
-    version; byte counts are revised to those without surrounding blanks; documents under least_words words are taken
-    out. All batches are delivered twice, one before and one after compaction. Gives the totals then."""
+    """A corpus's life as batches under counters that SQL can follow: all documents come in under two counters; the word
+    counter moves to its second version; byte counts are revised to those without surrounding blanks; documents under
+    least_words words are taken out and come back. Batches are delivered twice, before or after compaction. Gives the
+    totals then."""
     spark = session_of(docs)
     scratch = Scratch(spark)
     text = F.coalesce("text", F.lit(""))
@@ -140,41 +162,51 @@ def maintained_totals(docs: DataFrame, least_words: int = 50) -> DataFrame:
     ledger = scratch.write(docs.select("source", "lang", text.alias("t")).select("source", "lang", *(c.cast("long").alias(v) for v, c in counts.items())), "ledger")
 
     def event(kind: str, tokenizer: str, count: str, old: str | None = None, rows: DataFrame = ledger) -> DataFrame:
-        return rows.select(F.lit(kind).alias("kind"), "source", "lang", F.lit(tokenizer).alias("tokenizer"), F.col(f"`{count}`").alias("tokens"), (F.col(f"`{old}`") if old else F.lit(None).cast("long")).alias("old_tokens"))
+        return _events(rows, kind, tokenizer, F.col(f"`{count}`"), F.col(f"`{old}`") if old else None)
+
+    def both(kind: str) -> DataFrame:
+        short = ledger.filter(F.col("`words-1`") < least_words)
+        return event(kind, "bytes-1", "bytes-2", rows=short).unionByName(event(kind, "words-2", "words-2", rows=short))
 
-    short = ledger.filter(F.col("`words-1`") < least_words)
     batches = {
         "0-ingest": event("insert", "bytes-1", "bytes-1").unionByName(event("insert", "words-1", "words-1")),
         "1-retokenize": event("delete", "words-1", "words-1").unionByName(event("insert", "words-2", "words-2")),
         "2-recount": event("revise", "bytes-1", "bytes-2", "bytes-1"),
-        "3-purge": event("delete", "bytes-1", "bytes-2", rows=short).unionByName(event("delete", "words-2", "words-2", rows=short)),
+        "3-purge": both("delete"),
+        "4-return": both("insert"),
     }
     return _delivered_twice(TokenTotals(spark, f"{scratch.root}/totals"), batches)
 
 
+def _events(rows: DataFrame, kind: str, tokenizer: str, tokens: Column, old: Column | None = None) -> DataFrame:
+    return rows.select(F.lit(kind).alias("kind"), "source", "lang", F.lit(tokenizer).alias("tokenizer"), tokens.alias("tokens"), (F.lit(None) if old is None else old).cast("long").alias("old_tokens"))
+
+
 def tokenizer_totals(docs: DataFrame, files: dict[str, str], least_words: int = 50) -> DataFrame:
     """Totals of all documents under each tokenizer file (version: path), after a life of batches: all documents come in
-    under one version after the other; those under least_words words are taken out of all versions and come back. Each
-    text is counted once, into a ledger; batches are delivered twice as in maintained_totals."""
+    with an estimate (a quarter of their bytes), and each version's counts replace its estimates as revisions; documents
+    under least_words words are taken out of all versions and come back. Each text is counted once per version, into a
+    ledger; batches are delivered twice as in maintained_totals."""
     spark = session_of(docs)
     scratch = Scratch(spark)
 
     def run(texts, words):
         encoders = [Encoder.of_process(path) for path in files.values()]
         texts = texts.to_pylist()
-        return [*(pa.array([len(e.encode(t)) // 4 for t in texts], pa.int64()) for e in encoders), pa.compute.less(words, least_words)]
+        return [*(pa.array([e.count(t) for t in texts], pa.int64()) for e in encoders), pa.compute.less(words, least_words)]
 
-    source = docs.select("source", "lang", F.coalesce("text", F.lit("")).alias("t")).select("source", "lang", "t", F.size(words_of(F.col("t"))).alias("n"))
+    source = docs.select("source", "lang", F.coalesce("text", F.lit("")).alias("t"))
+    source = source.select("source", "lang", "t", F.size(words_of(F.col("t"))).alias("n"), F.floor(F.octet_length("t") / 4).cast("long").alias("estimate"))
     fields = [*((v, T.LongType()) for v in files), ("short", T.BooleanType())]
-    ledger = scratch.write(add_columns(source, run, ["t", "n"], fields, keep=["source", "lang"]), "ledger")
+    ledger = scratch.write(add_columns(source, run, ["t", "n"], fields, keep=["source", "lang", "estimate"]), "ledger")
 
-    def events(kind: str, versions: list[str], rows: DataFrame = ledger) -> DataFrame:
-        counts = F.explode(F.array(*(F.struct(F.lit(v).alias("tokenizer"), F.col(f"`{v}`").alias("tokens")) for v in versions))).alias("x")
-        return rows.select("source", "lang", counts).select(F.lit(kind).alias("kind"), "source", "lang", "x.tokenizer", "x.tokens", F.lit(None).cast("long").alias("old_tokens"))
+    def every(kind: str, rows: DataFrame, tokens: Callable[[str], Column]) -> DataFrame:
+        return reduce(DataFrame.unionByName, (_events(rows, kind, v, tokens(v)) for v in files))
 
     short = ledger.filter("short")
-    batches = {f"{k}-{v}": events("insert", [v]) for k, v in enumerate(files)}
-    batches |= {f"{len(files)}-purge": events("delete", list(files), short), f"{len(files) + 1}-return": events("insert", list(files), short)}
+    batches = {"0-estimate": every("insert", ledger, lambda v: F.col("estimate"))}
+    batches |= {f"1-count-{v}": _events(ledger, "revise", v, F.col(f"`{v}`"), F.col("estimate")) for v in files}
+    batches |= {"2-purge": every("delete", short, lambda v: F.col(f"`{v}`")), "3-return": every("insert", short, lambda v: F.col(f"`{v}`"))}
     return _delivered_twice(TokenTotals(spark, f"{scratch.root}/totals"), batches)
 
 
