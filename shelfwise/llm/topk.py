@@ -1,19 +1,27 @@
 """Exact top-k by inner product with two cover trees.
 
-Queries and data are indexed alike: a node has a point as its centre, the largest distance of its points from it (the
-covering radius), and children whose centres lie more than half the parent's radius apart. For a query node with
-centre p and radius a and a data node with centre r and radius b, no score between them exceeds
-p.r + a|r| + b|p| + ab; the pair is pruned if that is below the worst kth score of the query node's points.
-
-Queries are taken in blocks of bounded size, each broadcast as one tree; tasks index their rows chunk by chunk and
-stream the chunks through it, so kth scores that earlier chunks raised prune later ones. A task returns k rows per
-query at most, and a window over those picks the final ranks.
-
-Components x become floor(256 x); scores are exact integers (double products below 2**53, else Python integers; what
-no long can hold is clamped). Rows: vectors null or with null or non-finite components take no part; vectors of
-different length are never compared; a row without id is a candidate that sorts last among equal scores. A query's
-own id is no candidate, in any of its rows; a repeated query id is asked once, with its smallest vector. Rows repeated
-under another id are candidates each. Only vec_id and embedding are read.
+Queries and data are indexed alike, by cover trees over levels of halving radius: a node of level l holds points within
+2**l of its centre; its children are of level l - 1, the first of them around the same centre (nesting), every point
+within 2**(l - 1) of its child's centre (covering), and centres of children further than that apart (separation). For a
+query node with centre p and real radius a and a data node with centre r and real radius b no score between them exceeds
+p.r + a|r| + b|p| + ab; the pair is pruned if that is below the worst kth score of the query node's points, and data
+nodes that are left are looked at by falling bound, in blocks.
+
+Points without structure have no use for levels: where `Search.fan` centres cover less than half of a node's points it
+stays a leaf, so such data costs one matrix product, not a tree of single points. What `Search.most` centres leave over
+stays together in one node.
+
+One plan, whatever the number of queries: queries are dealt into blocks and rows into slices by hashes of their ids, each
+(block, slice) pair is one group of bounded size, which gives k rows per query at most, and a window over those picks the
+final ranks. No vector comes to the driver, nothing is broadcast; work is queries times rows at most, by nature, and every
+row crosses the network once for each block of queries.
+
+Components x become floor(256 x); scores are exact integers, and ranked as such: vectors whose products could exceed
+2**53 are multiplied as Python integers, and scores that no long holds are ordered by their digits and clamped only in
+what is returned. Rows: vectors null or with null or non-finite components take no part; vectors of different length are
+never compared; a row without id is a candidate that sorts last among equal scores. A query's own id is no candidate, in
+any of its rows; a repeated query id is asked once, with its smallest vector. Rows repeated under another id are
+candidates each. Empty tables give an empty one. Only vec_id and embedding are read.
 """
 
 from __future__ import annotations
@@ -29,73 +37,68 @@ from .common import session_of
 
 LAST_ID = np.iinfo(np.int64).max
 NONE = np.iinfo(np.int64).min
+EXACT = 2.0**53  # below, products of doubles are exact
 
 
 @dataclass(frozen=True)
 class Search:
     k: int = 5
-    block: int = 4096
-    chunk: int = 16384
+    block: int = 16384
+    slice: int = 131072
     leaf: int = 64
     fan: int = 32
+    most: int = 512
     scale: int = 256
 
 
 class CoverTree:
-    """Nodes in arrays: centre (row of points), radius, children (range of nodes) or, in leaves, points (range of order)."""
+    """Nodes in arrays: centre (row of points), level, radius, children (range of nodes; none in leaves) and points (range
+    of order)."""
 
     def __init__(self, points: np.ndarray, search: Search):
         self.points = points
         self.norms = np.sqrt((points * points).sum(1))
-        centre, radius, lo, hi, children = [], [], [], [], []
         order = np.arange(len(points))
-
-        def far(c: int, rows: np.ndarray) -> np.ndarray:
-            d = points[rows] - points[c]
-            return np.sqrt((d * d).sum(1))
-
-        # breadth first: the children of a node get consecutive numbers
-        queue = [(0, 0, len(points))]
-        centre.append(0)
-        radius.append(0.0)
-        lo.append(0)
-        hi.append(len(points))
-        children.append((0, 0))
+        nodes = [[0, 0, len(points), 0.0, 0, 0]]  # centre, begin, end, radius, children from, to
         at = 0
-        while at < len(queue):
-            c, s, e = queue[at]
+        while at < len(nodes):  # breadth first: the children of a node get consecutive numbers
+            c, s, e = nodes[at][:3]
             rows = order[s:e]
-            d = far(c, rows)
-            radius[at] = float(d.max())
-            if e - s > search.leaf and radius[at] > 0:
-                # farthest point first, until all are within half the radius of a centre or the fan is full
-                owner, least, centres = np.zeros(e - s, dtype=np.int64), d.copy(), [c]
-                while len(centres) < search.fan and least.max() > radius[at] / 2:
-                    c2 = int(rows[least.argmax()])
-                    d2 = far(c2, rows)
-                    closer = d2 < least
-                    owner[closer], least[closer] = len(centres), d2[closer]
-                    centres.append(c2)
-                by = np.argsort(owner, kind="stable")
-                order[s:e] = rows[by]
-                sizes = np.bincount(owner, minlength=len(centres))
-                first, begin = len(queue), s
-                for c2, n in zip(centres, sizes.tolist()):
-                    if n:
-                        queue.append((c2, begin, begin + n))
-                        centre.append(c2)
-                        radius.append(0.0)
-                        lo.append(begin)
-                        hi.append(begin + n)
-                        children.append((0, 0))
-                        begin += n
-                if len(queue) - first > 1:
-                    children[at] = (first, len(queue))
-                else:  # one centre owns all: a leaf after all
-                    del queue[first:], centre[first:], radius[first:], lo[first:], hi[first:], children[first:]
+            d = self._far(c, rows)
+            nodes[at][3] = float(d.max(initial=0.0))
+            if e - s > search.leaf and nodes[at][3] > 0:
+                found = self._cover(c, rows, d, 2.0 ** (np.ceil(np.log2(nodes[at][3])) - 1), search)
+                if found is not None:
+                    owner, centres = found
+                    order[s:e] = rows[np.argsort(owner, kind="stable")]
+                    ends = s + np.cumsum(np.bincount(owner, minlength=len(centres)))
+                    nodes[at][4:] = len(nodes), len(nodes) + len(centres)
+                    nodes += [[c2, b, t, 0.0, 0, 0] for c2, b, t in zip(centres, [s, *ends[:-1].tolist()], ends.tolist())]
             at += 1
-        self.order, self.centre, self.radius = order, np.array(centre), np.array(radius)
-        self.lo, self.hi, self.children = np.array(lo), np.array(hi), np.array(children)
+        table = list(zip(*nodes))
+        self.order, self.centre, self.lo, self.hi = order, *(np.array(x) for x in table[:3])
+        self.radius, self.children = np.array(table[3]), np.array(table[4:]).T
+
+    def _far(self, c: int, rows: np.ndarray) -> np.ndarray:
+        d = self.points[rows] - self.points[c]
+        return np.sqrt((d * d).sum(1))
+
+    def _cover(self, c: int, rows: np.ndarray, d: np.ndarray, within: float, search: Search):
+        """(child of each row, centres of the children): each centre is further than `within` from those before it."""
+        owner = np.where(d <= within, 0, -1)
+        centres, left = [c], np.flatnonzero(owner < 0)
+        while len(left) and len(centres) < search.most:
+            c2 = int(rows[left[0]])
+            near = self._far(c2, rows[left]) <= within
+            owner[left[near]] = len(centres)
+            centres.append(c2)
+            left = left[~near]
+            if len(centres) == search.fan and 2 * len(left) > len(rows):
+                return None
+        if len(left):  # the rest, as one node of its own radius
+            owner[left] = len(centres)
+            centres.append(int(rows[left[0]]))
+        return (owner, centres) if len(centres) > 1 else None
 
 
 def usable(embedding: str = "embedding"):
@@ -103,8 +106,8 @@ def usable(embedding: str = "embedding"):
     return x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
 
 
-def grid(vectors: list, scale: int) -> np.ndarray:
-    return np.floor(np.asarray(vectors, dtype=np.float64) * scale)
+def grid(vectors: np.ndarray, scale: int) -> np.ndarray:
+    return np.floor(vectors.astype(np.float64) * scale)
 
 
 class Answers:
@@ -122,22 +125,21 @@ class Answers:
         hot = np.flatnonzero((score >= self.worst(rows)[:, None]).any(1))
         if not len(hot):
             return
-        rows = rows[hot]
-        s = np.concatenate([self.score[rows], score[hot]], 1)
-        i = np.concatenate([self.id[rows], np.broadcast_to(ids, (len(hot), len(ids)))], 1)
+        rows, score = rows[hot], score[hot]
+        i = np.broadcast_to(ids, score.shape)
+        if score.shape[1] > 8 * k:  # what is under the kth score goes before anything is sorted; ties stay
+            least = np.partition(score, -k, axis=1)[:, -k]
+            most = int((score >= least[:, None]).sum(1).max())
+            pick = np.argpartition(~score, most - 1, axis=1)[:, :most] if most < score.shape[1] else None
+            if pick is not None:
+                score, i = np.take_along_axis(score, pick, 1), np.take_along_axis(i, pick, 1)
+        s, i = np.concatenate([self.score[rows], score], 1), np.concatenate([self.id[rows], i], 1)
         pick = np.lexsort((i, ~s), axis=1)[:, :k]
         self.score[rows], self.id[rows] = np.take_along_axis(s, pick, 1), np.take_along_axis(i, pick, 1)
 
 
-def products(q: np.ndarray, r: np.ndarray) -> np.ndarray:
-    if q.size and r.size and float(np.abs(q).max()) * float(np.abs(r).max()) * q.shape[1] >= 2.0**53:
-        exact = np.array([[sum(int(a) * int(b) for a, b in zip(x, y)) for y in r] for x in q], dtype=object)
-        return np.clip(exact, NONE + 1, LAST_ID).astype(np.int64)
-    return (q @ r.T).astype(np.int64)
-
-
 def dual_search(queries: CoverTree, query_ids: np.ndarray, data: CoverTree, data_ids: np.ndarray, best: Answers, slack: float = 1e-9) -> int:
-    """Raises best by all points of data; gives the number of scores computed."""
+    """Raises best by all points of data, whose products with the queries are exact; gives the number of scores computed."""
     done = 0
 
     def bounds(q: int, nodes: np.ndarray) -> np.ndarray:
@@ -166,44 +168,84 @@ def dual_search(queries: CoverTree, query_ids: np.ndarray, data: CoverTree, data
             continue
         top = bounds(q, nodes)
         by = np.argsort(-top)
-        for node, t in zip(nodes[by].tolist(), top[by].tolist()):
-            if t < best.worst(own).min():
+        nodes, top = nodes[by], top[by]
+        at, size = 0, 512
+        while at < len(nodes):
+            nodes, top = nodes[: np.searchsorted(-top, -float(best.worst(own).min()), side="right")], top
+            top = top[: len(nodes)]
+            if at >= len(nodes):
                 break
-            rows = data.order[data.lo[node] : data.hi[node]]
-            score = products(queries.points[own], data.points[rows])
-            done += score.size
-            ids = data_ids[rows]
-            score[query_ids[own][:, None] == ids[None, :]] = NONE
-            best.offer(own, score, ids)
+            sizes = np.cumsum(data.hi[nodes[at:]] - data.lo[nodes[at:]])
+            until = at + max(1, int(np.searchsorted(sizes, size, side="right")))
+            rows = np.concatenate([data.order[data.lo[n] : data.hi[n]] for n in nodes[at:until]])
+            for part in np.split(rows, range(8192, len(rows), 8192)):
+                score = (queries.points[own] @ data.points[part].T).astype(np.int64)
+                done += score.size
+                ids = data_ids[part]
+                score[query_ids[own][:, None] == ids[None, :]] = NONE
+                best.offer(own, score, ids)
+            at, size = until, 4 * size
     return done
 
 
-def _searched(shared, search: Search):
-    def run(batches):
-        blocks = {}  # by length of vectors: the queries' tree, their ids, the best answers so far
-        for dim, (ids, points) in shared.value.items():
-            blocks[dim] = (CoverTree(points, search), ids, Answers(len(ids), search.k))
-        held: dict = {}
-
-        def flush(dim):
-            ids, vectors = held.pop(dim)
-            tree, query_ids, best = blocks[dim]
-            dual_search(tree, query_ids, CoverTree(grid(vectors, search.scale), search), np.array(ids, dtype=np.int64), best)
-
-        for b in batches:
-            for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if len(v) in blocks:
-                    ids, vectors = held.setdefault(len(v), ([], []))
-                    ids.append(LAST_ID if i is None else i)
-                    vectors.append(v)
-                    if len(ids) >= search.chunk:
-                        flush(len(v))
-        for dim in list(held):
-            flush(dim)
-        for _, ids, best in blocks.values():
-            on = best.score > NONE
-            q = np.broadcast_to(ids[:, None], on.shape)[on]
-            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(best.id[on], mask=best.id[on] == LAST_ID), pa.array(best.score[on])], names=["query_id", "vec_id", "score"])
+def _digits(n: int) -> str | None:
+    """What orders scores beyond a long as text; None for all others."""
+    if abs(n) < LAST_ID - 1:
+        return None
+    d = str(abs(n))
+    return f"p{len(d):06d}{d}" if n > 0 else f"n{999_999 - len(d):06d}" + "".join(str(9 - int(c)) for c in d)
+
+
+def _large(query_ids, queries: np.ndarray, ids, points: np.ndarray, k: int):
+    """The k best of each query as (query, id, score, digits), by Python integers."""
+    whole = lambda m: [[int(x) for x in row] for row in m.tolist()]
+    rows = list(zip(ids.tolist(), whole(points)))
+    for q, v in zip(query_ids.tolist(), whole(queries)):
+        scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in rows if i != q)[:k]
+        for s, i in scored:
+            yield q, i, max(NONE + 1, min(LAST_ID, -s)), _digits(-s)
+
+
+def search_group(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, points: np.ndarray, search: Search) -> tuple[list[tuple], int]:
+    """Columns (query_id, vec_id, score, digits) of the k best of each query among the points, in parts, and the number of
+    scores computed. Vectors that are too large for exact doubles meet all others as integers."""
+    q_top, r_top = np.abs(queries).max(1, initial=0.0), np.abs(points).max(1, initial=0.0)
+    limit = EXACT / max(1, queries.shape[1])
+    # The largest that either side may hold so that all products of what is left are exact.
+    common = np.sqrt(limit)
+    q_ok, r_ok = q_top < common, r_top < common
+    parts, done = [], 0
+    if q_ok.any() and r_ok.any():
+        best, own = Answers(int(q_ok.sum()), search.k), query_ids[q_ok]
+        done = dual_search(CoverTree(queries[q_ok], search), own, CoverTree(points[r_ok], search), ids[r_ok], best)
+        on = best.score > NONE
+        parts.append((np.broadcast_to(own[:, None], on.shape)[on], best.id[on], best.score[on], [None] * int(on.sum())))
+    for a, b in ((q_ok, ~r_ok), (~q_ok, np.ones(len(ids), dtype=bool))):
+        if a.any() and b.any():
+            found = list(zip(*_large(query_ids[a], queries[a], ids[b], points[b], search.k)))
+            if found:
+                parts.append((*(np.array(x, dtype=np.int64) for x in found[:3]), list(found[3])))
+            done += int(a.sum()) * int(b.sum())
+    return parts, done
+
+
+def _group(search: Search):
+    def vectors(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        ids = t.column("vec_id").combine_chunks()
+        flat = t.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        return ids.fill_null(LAST_ID).to_numpy(zero_copy_only=False).astype(np.int64), grid(flat.reshape(len(ids), -1), search.scale)
+
+    def run(data: pa.Table, asked: pa.Table) -> pa.Table:
+        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("digits", pa.string())])
+        if not len(data) or not len(asked):
+            return schema.empty_table()
+        ids, points = vectors(data)
+        query_ids, queries = vectors(asked)
+        tables = [
+            pa.table([pa.array(q), pa.array(i, mask=i == LAST_ID), pa.array(s), pa.array(d, pa.string())], schema=schema)
+            for q, i, s, d in search_group(query_ids, queries, ids, points, search)[0]
+        ]
+        return pa.concat_tables(tables) if tables else schema.empty_table()
 
     return run
 
@@ -211,17 +253,17 @@ def _searched(shared, search: Search):
 def top_k(data: DataFrame, queries: DataFrame, search: Search = Search()) -> DataFrame:
     """query_id, rank (from 1), vec_id, score. Both frames have vec_id and embedding."""
     spark = session_of(data)
+    blocks = max(1, -(-queries.count() // search.block))
+    n, cores = data.count(), spark.sparkContext.defaultParallelism
+    slices = max(1, -(-n // search.slice), min(-(-2 * cores // blocks), -(-n // 4096)))  # enough groups for all cores
     rows = data.select("vec_id", "embedding").filter(usable())
     asked = queries.select("vec_id", "embedding").filter(usable() & F.col("vec_id").isNotNull()).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    n_blocks = max(1, -(-asked.count() // search.block))
-    found = None
-    for b in range(n_blocks):
-        block = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == b).toArrow().sort_by("vec_id")
-        by_dim: dict = {}
-        for i, v in zip(block["vec_id"].to_pylist(), block["embedding"].to_pylist()):
-            by_dim.setdefault(len(v), []).append((i, v))
-        shared = spark.sparkContext.broadcast({d: (np.array([i for i, _ in x], dtype=np.int64), grid([v for _, v in x], search.scale)) for d, x in by_dim.items()})
-        part = rows.mapInArrow(_searched(shared, search), "query_id long, vec_id long, score long")
-        found = part if found is None else found.unionByName(part)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    size = F.size("embedding").alias("size")
+    # Null ids have one hash; their vectors spread them.
+    dealt = rows.select("vec_id", "embedding", size, every(blocks).alias("block"), F.pmod(F.xxhash64("vec_id", F.when(F.col("vec_id").isNull(), F.col("embedding"))), F.lit(slices)).cast("int").alias("slice"))
+    met = asked.select("vec_id", "embedding", size, F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(blocks)).cast("int").alias("block"), every(slices).alias("slice"))
+    keys = ["size", "block", "slice"]
+    found = dealt.groupBy(*keys).cogroup(met.groupBy(*keys)).applyInArrow(_group(search), "query_id long, vec_id long, score long, digits string")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc_nulls_last("digits"), F.asc_nulls_last("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= search.k).select("query_id", "rank", "vec_id", "score")
