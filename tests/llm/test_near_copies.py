@@ -6,37 +6,12 @@ import random
 import pytest
 
 import corpus_pipeline
+from llm_brute import brute_kept
 from shelfwise.llm import near_copies
 
 SF = "/root/testdata/sf0.01"
 
 
-def brute_kept(rows):
-    """rows: (doc_id, text). The smallest id of each component of texts linked at five-word Jaccard >= 0.8."""
-    rows = sorted(rows)
-    sets = []
-    for _, t in rows:
-        w = (t or "").encode().lower().split()
-        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
-    by = {}
-    for i, s in enumerate(sets):
-        for x in s or {()}:
-            by.setdefault(x, []).append(i)
-    parent = list(range(len(rows)))
-
-    def find(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for i, j in {(a, b) for v in by.values() for a in v for b in v if a < b}:
-        both = len(sets[i] & sets[j])
-        if sets[i] == sets[j] or both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
-            x, y = sorted((find(i), find(j)))
-            parent[y] = x
-    return {rows[i][0] for i in range(len(rows)) if find(i) == i}
-
-
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
 def test_stage_drops_all_near_copies(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")

@@ -2,7 +2,6 @@
 
 import hashlib
 import itertools
-import json
 import math
 import os
 import random
@@ -14,7 +13,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from compare import duck, same
-from shelfwise.llm import html, language, mixing, packing, quality, queries, rollup, simhash, substring, topk, toxicity
+from llm_brute import brute_components, brute_fingerprint, brute_repeats
+from shelfwise.llm import html, language, mixing, near_copies, packing, quality, queries, rollup, simhash, substring, topk, toxicity
 from shelfwise.llm.common import Scratch
 
 SF = "/root/testdata/sf0.001"
@@ -55,20 +55,6 @@ def prose():
 # Substring dedup
 
 
-def brute_repeats(items, n=20):
-    seen, out = set(), {}
-    for key, text in items:
-        words = (text or "").encode().split()
-        gone = [False] * len(words)
-        for s in range(len(words) - n + 1):
-            window = tuple(words[s : s + n])
-            if window in seen:
-                gone[s : s + n] = [True] * n
-            seen.add(window)
-        out[key] = (len(words), sum(gone), hashlib.sha256(b" ".join(w for w, g in zip(words, gone) if not g)).hexdigest())
-    return out
-
-
 @pytest.mark.parametrize("spans", [substring.Spans(), substring.Spans(largest_shard=1), substring.Spans(seed=4, largest_shard=3, most_bits=20)])
 def test_substring_equals_brute_force(spark, prose, spans):
     df = with_extra(docs_of(spark, prose)).repartition(5)
@@ -110,34 +96,6 @@ def test_suffix_automaton_statistics():
 # SimHash
 
 
-def brute_fingerprint(text):
-    words = (text or "").encode().lower().split()
-    if not words:
-        return 0
-    grams = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
-    votes = [0] * 64
-    for g in grams:
-        h = xxhash.xxh64_intdigest(g, 42)
-        for b in range(64):
-            votes[b] += h >> b & 1
-    return sum(1 << b for b in range(64) if 2 * votes[b] > len(grams))
-
-
-def brute_components(ids, fps):
-    parent = list(range(len(ids)))
-
-    def find(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for i, j in itertools.combinations(range(len(ids)), 2):
-        if (fps[i] ^ fps[j]).bit_count() <= 3:
-            a, b = sorted((find(i), find(j)), key=lambda k: ids[k])
-            parent[b] = a
-    return [ids[find(i)] for i in range(len(ids))]
-
-
 def test_simhash_equals_brute_force(spark, prose):
     got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(with_extra(docs_of(spark, prose))).collect()}
     fps = [brute_fingerprint(t) for t in prose]
@@ -190,6 +148,15 @@ def test_keep_representatives(spark, prose):
     assert kept.columns == df.columns and [r[0] for r in rows(kept, "doc_id")] == sorted(set(comp), key=lambda i: repr((i,)))
 
 
+@pytest.mark.parametrize("order", [(0, 1, 2), (0, 2, 1), (2, 1, 0)])
+def test_repeated_ids_lose_no_text(spark, order):
+    """An id that stands on a copy of another id's text and on a text of its own keeps its own, in any order of the rows."""
+    found = [(3, "alpha beta gamma delta epsilon zeta"), (5, "alpha beta gamma delta epsilon zeta"), (5, "one two three four five six seven")]
+    df = spark.createDataFrame([found[k] for k in order], "doc_id long, text string").coalesce(1)
+    for kept in (simhash.keep_representatives(df), near_copies.keep_distinct(df)):
+        assert rows(kept) == [found[0], found[2]]
+
+
 # Quality rules
 
 
@@ -333,6 +300,68 @@ def test_html_wrappers_and_importance_with_an_article(spark):
     assert extract(spark, same) == ["One for all"] * 4
 
 
+def test_html_names_that_name_nothing_else():
+    for page, want in (
+        ('<article><h2 id="related-work">Related work</h2><p>Body one.</p></article>', "Related work Body one."),
+        ('<article><section id="comments-on-theory">On theory</section><p class="menu-items">Items</p></article>', "On theory Items"),
+        ('<article>a<div id="comments">reader</div><div class="ad-slot-3">buy</div><button>Share</button> b</article>', "a b"),
+        ('<article><p>seen</p><div hidden>unseen</div><p style="display: none">unseen</p></article>', "seen"),
+    ):
+        assert html.extract_one(page, {}, html.Rules()) == want
+
+
+def test_html_deep_and_broken_markup_takes_linear_time():
+    import time
+
+    start = time.perf_counter()
+    assert html.extract_one("<div>" * 100_000 + "<article><p>x</p></article>", {}, html.Rules()) == "x"
+    assert html.extract_one("<div>" * 50_000 + "</section>" * 100_000 + "y", {}, html.Rules()) == "y"
+    assert time.perf_counter() - start < 30
+
+
+def test_html_importances_equal_plain_entropies(spark):
+    """The tree's importances against entropies counted page by page."""
+    rnd = random.Random(21)
+    pages = []
+    for i in range(9):
+        items = "".join(f"<li>{rnd.choice('abc')}</li>" for _ in range(rnd.randint(1, 3)))
+        pages.append(f"<body><div class=top>Hello</div><div class=mid><p>{rnd.choice('xyz')}</p>{'<h2>t</h2>' * (i % 2)}</div><ul>{items}</ul></body>")
+    df = spark.createDataFrame([(i, "http://s.x/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r["path"]: (r["pages"], r["presentation"], r["content"]) for r in html.style_trees(df).collect()}
+    styles, blocks = {}, {}
+    for p in pages:
+        own = set()
+        for n in html.nodes(html.parse(p)[0]):
+            own.add((n.path, 0, tuple(c.path for c in n.children if not isinstance(c, str))))
+            own |= {(n.path, 1, c) for c in n.children if isinstance(c, str)}
+        for path, kind, feature in own:
+            of = (styles, blocks)[kind].setdefault(path, {})
+            of[feature] = of.get(feature, 0) + 1
+    assert set(got) == set(styles)
+    for path, of in styles.items():
+        m = sum(of.values())
+        entropy = -sum(n / m * math.log(n / m, m) for n in of.values()) if m > 1 else 1.0
+        texts = blocks.get(path, {})
+        mean = sum(n * math.log(n, m) for n in texts.values()) / sum(texts.values()) if texts and m > 1 else 0.0
+        assert got[path] == (m, pytest.approx(entropy), pytest.approx(1 - mean))
+
+
+@needs_tables
+def test_html_importances_decide_on_the_tables_pages(spark):
+    """Other importances give other texts: adverts and menus of many presentations would stay, shared headlines go."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet").limit(40).collect()
+
+    class Forged(dict):
+        def get(self, key, default=None):
+            return (9, 1.0, 1.0)
+
+    for r in pages:
+        assert html.extract_one(r["html"], {}, html.Rules()) != html.extract_one(r["html"], Forged(), html.Rules())
+        h1 = next(n.path for n in html.nodes(html.parse(r["html"])[0]) if n.tag == "h1")
+        lone = html.extract_one(r["html"], {h1: (9, 0.0, 0.0)}, html.Rules())
+        assert html.extract_one(r["html"], {}, html.Rules()).endswith(lone) and len(lone) < len(html.extract_one(r["html"], {}, html.Rules()))
+
+
 @needs_tables
 def test_html_on_the_tables_pages(spark):
     import re
@@ -367,6 +396,24 @@ def test_rollup_counts_each_batch_once(spark):
     assert again.committed() == {"1", "2"}
 
 
+def test_rollup_compaction_and_late_writers(spark):
+    schema = "kind string, source string, lang string, tokenizer string, tokens long, old_tokens long"
+    one = spark.createDataFrame([("insert", "a", "en", "t", 10, None)], schema)
+    totals = rollup.TokenTotals(spark, f"{Scratch(spark).root}/t")
+    for k in range(3):
+        assert totals.commit(f"{k}", one) and totals.compact()
+    assert totals._names("batches") == [] and len(totals._names("snapshots")) <= 2  # nothing folded is left behind
+    assert rows(totals.totals()) == [("a", "en", "t", 3, 30)] and totals.committed() == {"0", "1", "2"}
+    # A writer that looked before the others committed publishes its batch after compaction: it is listed, so it doesn't count.
+    assert totals._publish(rollup.deltas(one), "batches/1") and rows(totals.totals()) == [("a", "en", "t", 3, 30)]
+    # A compaction that died before it removed anything leaves folders that are listed too.
+    assert totals.commit("3", one) and rows(totals.totals()) == [("a", "en", "t", 4, 40)]
+    remove, totals._remove = totals._remove, lambda place: None
+    assert totals.compact() and rows(totals.totals()) == [("a", "en", "t", 4, 40)]
+    totals._remove = remove
+    assert totals.compact() and rows(totals.totals()) == [("a", "en", "t", 4, 40)] and not totals.commit("3", one)
+
+
 def test_rollup_of_tokenizer_counts(spark, prose):
     path, slow = tokenizer()
     totals = rollup.TokenTotals(spark, f"{Scratch(spark).root}/t")
@@ -386,7 +433,7 @@ def test_tokenizer_totals_cover_all_documents(spark):
         for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
             docs, tokens = want.get((r["source"], r["lang"], version), (0, 0))
             want[(r["source"], r["lang"], version)] = (docs + 1, tokens + len(slow.encode(r["text"] or "", add_special_tokens=False).ids))
-    got = queries.queries()["op3_tokenizer_totals"](spark, "/root/testdata/sf0.001").collect()
+    got = queries.queries()["op3_token_counts"](spark, "/root/testdata/sf0.001").collect()
     assert {(r["source"], r["lang"], r["tokenizer"]): (r["docs"], r["tokens"]) for r in got} == want
 
 
@@ -428,6 +475,69 @@ def test_encoder_equals_the_tokenizer():
     assert encoder.fast is not None
 
 
+@pytest.mark.parametrize("unit", [" ", "\n", "a", "ab \n"])
+def test_encoder_on_very_long_runs(unit):
+    path, slow = tokenizer()
+    encoder = packing.Encoder(path)
+    text = "x" + unit * (2_000_000 // len(unit)) + "y"
+    assert list(np.frombuffer(encoder.encode(text), dtype="<u4")) == slow.encode(text, add_special_tokens=False).ids
+    assert packing.Encoder(path.replace("byte_bpe_50k", "word_bpe_49k")).count(text) > 0
+
+
+def test_encoder_on_ten_million_blanks():
+    assert len(packing.Encoder(tokenizer()[0]).encode(" " * 10**7)) == 4 * 10**7
+
+
+def test_word_counts_equal_the_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, slow = packing.Encoder(path), Tokenizer.from_file(path)
+    assert encoder.by_word and encoder.pieces
+    rnd = random.Random(19)
+    alphabet = [*"abcXYZéÉßøœ0189'’s_-.,;:|#t \t\n\r", "'ll", "<|endoftext|>", "Đ", "ł", "İ", "ı", "ſ", "\x1c", "\x0b", "\x85", "\u3000", "é", "ΑΣ", "日本", "😀"]
+    for _ in range(3000):
+        t = "".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 30)))
+        assert encoder.count(t) == len(slow.encode(t, add_special_tokens=False).ids), repr(t)
+
+
+def best_fit_by_piece(sizes, capacity):
+    """Plain best fit: piece by piece by falling size, into the open sequence with the least weighted norm of what is left."""
+    limits, weights, bins = capacity.limits.astype(float), np.array(capacity.weights), []
+    for n in sorted(sizes, reverse=True):
+        demand = np.array([n, 1, n * n])
+        fits = [(float((weights * ((b - demand) / limits) ** 2).sum()), k) for k, b in enumerate(bins) if (b >= demand).all()]
+        if fits:
+            bins[min(fits)[1]] -= demand
+        else:
+            bins.append(capacity.limits - demand)
+    return len(bins)
+
+
+@pytest.mark.parametrize("limits", [{}, {"documents": 6}, {"attention": 3000}, {"documents": 5, "attention": 4000}])
+def test_packing_equals_best_fit_by_piece(limits):
+    rnd = random.Random(20)
+    capacity = packing.Capacity(tokens=100, **limits)
+    for _ in range(5):
+        sizes = [min(100 if "attention" not in limits else 54, int(rnd.expovariate(0.05)) + 1) for _ in range(400)]
+        opened = packing.pack({n: sizes.count(n) for n in set(sizes)}, capacity)[1]
+        assert abs(opened - best_fit_by_piece(sizes, capacity)) <= 1
+
+
+@needs_tables
+def test_capacities_bind_on_the_tables(spark):
+    """Under the document and attention capacities more sequences are needed, and none exceeds either."""
+    path, _ = tokenizer()
+    docs = spark.read.parquet(f"{SF2}/documents.parquet")
+    free = packing.pack_documents(docs, path).select("sequence_id").distinct().count()
+    capacity = packing.Capacity(documents=4, attention=2_000_000 + 2048**2 // 2)
+    packed = packing.pack_documents(docs.filter("length(text) < 4000"), path, packing.Capacity(documents=2, attention=2048**2))
+    most = packed.groupBy("sequence_id").agg(F.count("*").alias("n"), F.sum("length").alias("t"))
+    assert most.filter("n > 2 OR t > 2048").isEmpty() and capacity.limits[1] == 4
+    assert most.count() > packing.pack_documents(docs.filter("length(text) < 4000"), path).select("sequence_id").distinct().count() and free > 0
+
+
 def test_packing_round_trip(spark, prose):
     path, slow = tokenizer()
     texts = prose + ["word " * 5000, "other thing " * 1024, None]
@@ -507,7 +617,7 @@ def test_topk_equals_brute_force(spark):
     data = list(enumerate(vectors))
     odd = [(5000, None), (5050, [None] + [1.0] * 15), (5100, [float("nan")] + [1.0] * 15), (5150, [float("inf")] + [0.0] * 15), (5200, [])]
     df = with_extra(spark.createDataFrame(data + odd, "vec_id long, embedding array<float>")).repartition(6)
-    got = topk.top_k(df, df.filter("vec_id % 50 = 0"), topk.Search(block=12, chunk=200, leaf=16, fan=6))
+    got = topk.top_k(df, df.filter("vec_id % 50 = 0"), topk.Search(block=12, slice=200, leaf=16, fan=6))
     assert rows(got) == sorted(brute_topk(data, [(i, v) for i, v in data if i % 50 == 0]), key=repr)
 
 
@@ -532,9 +642,27 @@ def test_topk_few_rows_large_values_and_ties(spark):
         df = spark.createDataFrame([(0, [x, 1.0]), (50, [x, 2.0]), (7, [x, 2.0]), (None, [x, 2.0])], "vec_id long, embedding array<double>")
         return rows(topk.top_k(df, df.filter("vec_id % 50 = 0")), "query_id", "rank", "vec_id")
 
-    # beyond doubles' integers the scores are still exact; beyond longs they are all clamped, and ids decide
-    assert ranked(1e7) == sorted([(0, 1, 7), (0, 2, 50), (0, 3, None), (50, 1, 7), (50, 2, None), (50, 3, 0)], key=repr)
-    assert ranked(1e10) == sorted([(0, 1, 7), (0, 2, 50), (0, 3, None), (50, 1, 0), (50, 2, 7), (50, 3, None)], key=repr)
+    # beyond doubles' integers the scores are exact, and beyond longs they still rank as the integers they are
+    for x in (1.0, 1e7, 1e10, 1e200):
+        assert ranked(x) == sorted([(0, 1, 7), (0, 2, 50), (0, 3, None), (50, 1, 7), (50, 2, None), (50, 3, 0)], key=repr)
+    digits = [topk._digits(n) for n in (-(10**30), -(10**25) - 1, -(10**25), 10**25, 10**25 + 1, 10**30)]
+    assert digits == sorted(digits) and topk._digits(5) is None
+
+
+def test_cover_tree_levels():
+    rnd = np.random.default_rng(14)
+    points = np.concatenate([rnd.normal(size=(3, 5))[i % 3] * 100 + rnd.normal(size=(200, 5)) * 10 ** (i % 2) for i in range(6)])
+    tree = topk.CoverTree(points, topk.Search(leaf=8))
+    assert sorted(tree.order.tolist()) == list(range(len(points))) and (tree.children[:, 1] > 0).sum() > 20
+    for n, (a, b) in enumerate(tree.children):
+        own = points[tree.order[tree.lo[n] : tree.hi[n]]]
+        assert np.isclose(np.sqrt(((own - points[tree.centre[n]]) ** 2).sum(1)).max(), tree.radius[n])
+        if b:
+            within = 2.0 ** (np.ceil(np.log2(tree.radius[n])) - 1)
+            c = points[tree.centre[a:b]]
+            gaps = np.sqrt(((c[:, None] - c[None]) ** 2).sum(2))[np.triu_indices(b - a, 1)]
+            assert tree.centre[a] == tree.centre[n] and (gaps > within).all() and (tree.radius[a:b] <= within + 1e-9).all()
+            assert tree.lo[a] == tree.lo[n] and tree.hi[b - 1] == tree.hi[n]
 
 
 # Mixing
@@ -619,4 +747,4 @@ def test_null_rows(spark):
     assert rows(substring.repeated_words(docs), "n_words") == [(0,)] * 3
     assert quality.assess(docs).filter("base_failed AND NOT kept").count() == 3
     assert packing.pack_documents(docs, path).count() == 3 and mixing.mix_documents(docs).filter("kept").count() == 3
-    assert json.dumps(rows(rollup.maintained_totals(docs))) == "[]"
+    assert rows(rollup.maintained_totals(docs)) == [(None, None, "bytes-1", 3, 0), (None, None, "words-2", 3, 0)]
