@@ -8,12 +8,14 @@ of the contexts before them; matching statistics of a window's length or more sh
 and the context then joins the automaton. Maximal spans of such windows are removed.
 
 A shard is held by the one task that owns it, and only contexts with its anchor are streamed through it: sending each
-automaton to all documents would read the corpus once for every shard. Anchors with more than `largest_shard`
-contexts (a common line in many surroundings) are resolved window by window with a partial aggregate instead, which
-gives the same rows without gathering the contexts in one task.
+automaton to all documents would read the corpus once for every shard. Shards of more than `largest_shard` contexts (a
+common line in many surroundings) are cut into sub-shards with automata of their own: windows that reach half of their
+other words or more beyond the anchor go by the words that follow it, all others by the words before it. What is too
+large still shares an anchor and that side; there each window is a shard by itself, and its first place a partial aggregate.
 
-What is broadcast is a bitmap of anchor hashes of at most 2**`most_bits` bits, whatever the corpus; it decides how
-many anchors are looked at, not the result. Words are compared by 40 bits of their hash within equal anchors.
+Which anchors occur twice is broadcast as a bitmap of their hashes, of 2**`most_bits` bits at most; it decides how
+many anchors are looked at, not the result. A corpus with more such anchors than the bitmap can tell apart (one in 16
+bits) has its contexts joined with them instead. Words are compared by their 64-bit hashes, within equal 64-bit anchors.
 
 Rows: null texts have no words. Places are ordered by (doc_id, hash of the text, word); null ids come first. Rows
 with the same doc_id and text are one document and get the same result. Columns besides doc_id and text are not read.
@@ -34,7 +36,7 @@ from pyspark.sql import types as T
 
 from .common import Scratch, bytes_of, session_of
 
-BYTES = 5  # of a word's hash that a context keeps
+BYTES = 8  # of a word's hash that a context keeps
 SLICE = 14  # bits of the places that one group packs into the bitmap
 GAP = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -46,6 +48,15 @@ class Spans:
     largest_shard: int = 256
     most_bits: int = 29
 
+    def __post_init__(self):
+        if not 1 <= self.seed < self.window or self.reach > 62:
+            raise ValueError("seed has to be under window, by 62 words at most: a mask of 63 bits holds the windows of an anchor")
+
+    @property
+    def half(self) -> int:
+        """Words on one side that tell sub-shards apart: every window reaches so many beyond one of its anchor's ends."""
+        return (self.reach + 1) // 2
+
     @property
     def reach(self) -> int:
         """Words of a window besides its anchor."""
@@ -89,29 +100,35 @@ def _counted(spans: Spans):
     return run
 
 
-def repeated_anchors(docs: DataFrame, spans: Spans, scratch: Scratch) -> tuple[np.ndarray, int]:
-    """A bitmap over the leading bits of the hashes of anchors that occur twice, and the number of those bits."""
+def repeated_anchors(docs: DataFrame, spans: Spans, scratch: Scratch) -> tuple[DataFrame, np.ndarray | None, int]:
+    """The hashes of anchors that occur twice (key); a bitmap over their leading bits, and the number of those bits. No
+    bitmap where `most_bits` are too few to tell them apart."""
     counts = docs.select("text").mapInArrow(_counted(spans), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     twice = scratch.write(counts.filter("n > 1").select("key"), "twice")
-    bits = int(min(spans.most_bits, max(20, np.ceil(np.log2(16 * max(1, twice.count()))))))
+    bits = int(max(min(20, spans.most_bits), np.ceil(np.log2(16 * max(1, twice.count())))))
+    if bits > spans.most_bits:
+        return twice, None, 0
     # Places in the bitmap are distinct and lie in slices of 2**SLICE: what one group gathers is bounded.
+    width = min(SLICE, bits)
     places = twice.select(F.shiftrightunsigned("key", 64 - bits).alias("place")).distinct()
 
     def packed(rows: pa.Table) -> pa.Table:
-        on = np.zeros(1 << SLICE, dtype=bool)
+        on = np.zeros(1 << width, dtype=bool)
         place = rows.column("place").to_numpy()
-        on[place & ((1 << SLICE) - 1)] = True
-        return pa.table({"slice": pa.array([int(place[0] >> SLICE)]), "bits": pa.array([np.packbits(on).tobytes()], pa.binary())})
+        on[place & ((1 << width) - 1)] = True
+        return pa.table({"slice": pa.array([int(place[0] >> width)]), "bits": pa.array([np.packbits(on).tobytes()], pa.binary())})
 
-    slices = places.withColumn("slice", F.shiftright("place", SLICE)).groupBy("slice").applyInArrow(packed, "slice long, bits binary").toArrow()
+    slices = places.withColumn("slice", F.shiftright("place", width)).groupBy("slice").applyInArrow(packed, "slice long, bits binary").toArrow()
     bitmap = np.zeros(1 << (bits - 3), dtype=np.uint8)
     for at, b in zip(slices["slice"].to_pylist(), slices["bits"].to_pylist()):
-        bitmap[at << (SLICE - 3) : (at + 1) << (SLICE - 3)] = np.frombuffer(b, dtype=np.uint8)
-    scratch.drop("twice")
-    return bitmap, bits
+        bitmap[at << (width - 3) : (at + 1) << (width - 3)] = np.frombuffer(b, dtype=np.uint8)
+    return twice, bitmap, bits
 
 
-def _on(bitmap: np.ndarray, bits: int, key: np.ndarray) -> np.ndarray:
+def _on(bitmap: np.ndarray | None, bits: int, key: np.ndarray) -> np.ndarray:
+    """Which anchors may occur twice: all, where no bitmap tells."""
+    if bitmap is None:
+        return np.ones(len(key), dtype=bool)
     place = (key >> np.uint64(64 - bits)).astype(np.int64)
     return bitmap[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1 > 0
 
@@ -262,6 +279,32 @@ def _resolved(spans: Spans):
     return run
 
 
+def _sides(spans: Spans):
+    """The two sub-shards of each context, as rows (key, side, context, first): side begins with A and holds the words that
+    follow the anchor, for windows that reach `half` of them, or with B and the words before it, for all other windows."""
+
+    def run(batches):
+        for b in batches:
+            rows, side, cut = [], [], []
+            for r, context in enumerate(b.column(1).to_pylist()):
+                least, most, words = context[0], context[1], context[2:]
+                anchor = BYTES * most
+                last_a = min(most, spans.reach - spans.half)  # windows with so many words before the anchor reach half after it
+                if least <= last_a:
+                    rows.append(r)
+                    side.append(b"A" + words[anchor : anchor + BYTES * spans.half])
+                    cut.append(bytes((least, last_a)) + words[BYTES * (most - last_a) :])
+                first_b = max(least, last_a + 1)
+                if first_b <= most:
+                    rows.append(r)
+                    side.append(b"B" + words[anchor - BYTES * (spans.reach - spans.half + 1) : anchor])
+                    cut.append(bytes((first_b, most)) + words[: anchor + BYTES * (spans.reach - first_b)])
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), pa.array(side, pa.binary()), pa.array(cut, pa.binary()), b.column(2).take(take)], names=["key", "side", "context", "first"])
+
+    return run
+
+
 def _windows(spans: Spans):
     """A row for each window of each context."""
 
@@ -282,26 +325,45 @@ def _windows(spans: Spans):
     return run
 
 
+def _shards(contexts: DataFrame, shard: list[str], spans: Spans) -> DataFrame:
+    """(doc_id, text_hash, place, own) of the contexts, each shard streamed through its automaton."""
+    flat = contexts.select(F.xxhash64(*shard).alias("key") if len(shard) > 1 else F.col("key"), *shard[1:], "context", "first.doc_id", "first.text_hash", "first.place")
+    ordered = flat.repartition("key").sortWithinPartitions("key", *shard[1:], "doc_id", "text_hash", "place")
+    return ordered.drop(*shard[1:]).mapInArrow(_resolved(spans), "doc_id long, text_hash long, place int, own long")
+
+
 def first_places(docs: DataFrame, spans: Spans, scratch: Scratch):
-    """(firsts, bitmap, bits). firsts: for documents, the anchors with windows that occur nowhere earlier, as
-    (doc_id, text_hash, found: array of (place, own)). An anchor in the bitmap that isn't there has earlier ones only."""
+    """(firsts, bitmap, bits). firsts: for documents, the anchors that may occur twice and have windows that occur nowhere
+    earlier, as (doc_id, text_hash, found: array of (place, own)). With a bitmap, an anchor in it that isn't there has
+    earlier windows only; without one, such anchors are there too, with own 0."""
     spark = docs.sparkSession
-    bitmap, bits = repeated_anchors(docs, spans, scratch)
+    twice, bitmap, bits = repeated_anchors(docs, spans, scratch)
     shared = spark.sparkContext.broadcast(bitmap)
     seen = docs.select("doc_id", "text_hash", "text").mapInArrow(_contexts(spans, shared, bits), "key long, context binary, doc_id long, text_hash long, place int")
+    known = None
+    if bitmap is None:
+        seen = scratch.write(seen.join(twice, "key", "left_semi"), "seen")
+        known = seen.select("doc_id", "text_hash", "place", F.lit(0).cast("long").alias("own"))
     # Copies of a passage meet map-side already: one row for each distinct context.
     distinct = scratch.write(seen.groupBy("key", "context").agg(F.min(F.struct("doc_id", "text_hash", "place")).alias("first")), "contexts")
+    scratch.drop("twice")
     hot = scratch.write(distinct.groupBy("key").count().filter(F.col("count") > spans.largest_shard).select("key"), "hot")
-    flat = distinct.join(hot, "key", "left_anti").select("key", "context", "first.doc_id", "first.text_hash", "first.place")
-    cold = flat.repartition("key").sortWithinPartitions("key", "doc_id", "text_hash", "place").mapInArrow(_resolved(spans), "doc_id long, text_hash long, place int, own long")
     first_type = distinct.schema["first"].dataType.simpleString()
-    exploded = distinct.join(hot, "key", "left_semi").select("key", "context", "first").mapInArrow(_windows(spans), f"key long, o int, window binary, first {first_type}")
+    cold = _shards(distinct.join(hot, "key", "left_anti"), ["key"], spans)
+    sides = distinct.join(hot, "key", "left_semi").select("key", "context", "first").mapInArrow(_sides(spans), f"key long, side binary, context binary, first {first_type}")
+    # Contexts that differ beyond a side's windows are one there.
+    sides = scratch.write(sides.groupBy("key", "side", "context").agg(F.min("first").alias("first")), "sides")
+    large = scratch.write(sides.groupBy("key", "side").count().filter(F.col("count") > spans.largest_shard).select("key", "side"), "large")
+    warm = _shards(sides.join(large, ["key", "side"], "left_anti"), ["key", "side"], spans)
+    exploded = sides.join(large, ["key", "side"], "left_semi").select("key", "context", "first").mapInArrow(_windows(spans), f"key long, o int, window binary, first {first_type}")
     least = exploded.groupBy("key", "o", "window").agg(F.min("first").alias("first"))
-    warm = least.select("first.doc_id", "first.text_hash", "first.place", F.expr("shiftleft(1L, o)").alias("own"))
-    firsts = cold.unionByName(warm).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("place", "own")).alias("found"))
+    rest = least.select("first.doc_id", "first.text_hash", "first.place", F.expr("shiftleft(1L, o)").alias("own"))
+    every = cold.unionByName(warm).unionByName(rest)
+    every = every if known is None else every.unionByName(known)
+    firsts = every.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("place", "own")).alias("found"))
     firsts = scratch.write(firsts, "firsts")
-    scratch.drop("contexts")
-    scratch.drop("hot")
+    for name in ("contexts", "hot", "sides", "large", "seen"):
+        scratch.drop(name)
     return firsts, shared, bits
 
 
@@ -311,12 +373,12 @@ def covered(h: np.ndarray, found: list, bitmap: np.ndarray, bits: int, spans: Sp
     if len(h) < spans.window:
         return none
     key, place, least, most = anchors(h, spans)
-    on = np.flatnonzero(_on(bitmap, bits, key))
-    if not len(on):
-        return none
     own: dict = {}
     for x in found or ():
         own[x["place"]] = own.get(x["place"], 0) | x["own"]
+    on = np.flatnonzero(_on(bitmap, bits, key) if bitmap is not None else np.isin(place, list(own)))
+    if not len(on):
+        return none
     place, least, most = place[on], least[on], most[on]
     mine = np.array([own.get(p, 0) for p in place.tolist()], dtype=np.int64)
     # Anchors without a first window cover one run of words; only others are taken window by window.
