@@ -2,14 +2,18 @@
 document's score is their noisy-or, 1 - prod(1 - p). Only document labels are learned from; the sentences that make
 a document toxic follow from their own p.
 
-A sentence's features are its distinct words and their prefixes of 4 to 6 letters (lower case, letters only). The
-vocabulary is what separates documents: features in Sample.least_docs toxic documents or more, of which Sample.features
-with the highest log odds are kept. The chances are fitted to the noisy-or likelihood by gradient steps on a bounded
-sample (Sample.rows documents per label at most, by smallest hash).
+A sentence's features are its distinct words and their prefixes of 4 to 6 letters (lower case, letters only), each with a
+weight of 0 or more. With e the sum of its features' weights, a sentence's chance is that of its evidence alone:
+1 - p = (1 + exp(bias)) / (1 + exp(bias + e)), which is 1 without evidence, however many such sentences a document has.
+The vocabulary is what separates documents: features in Sample.least_docs toxic documents or more, of which
+Sample.features with the highest log odds are kept. The weights are fitted to the likelihood of the noisy-or of just
+these chances, and the score is that noisy-or. Learned from are Sample.rows documents per label at most, by smallest
+hash; their features are counted, and their sentences reduced to features, on the executors.
 
 Rows: a null or empty text has no sentence and score 0; with nothing to learn from (no labelled row, or one label
 only) all scores are 0. Null labels and labels of unknown documents are left out, a document with several labels is
-toxic if one says so. Repeated rows are scored one by one. Only doc_id, text and toxic are read.
+toxic if one says so. Repeated rows are scored one by one. An empty table gives an empty one. Only doc_id, text and
+toxic are read.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, fold, session_of
+from .common import Scratch, add_columns, fold, session_of
 
 #: Where sentences end (fixed value: regular expression).
 BOUNDARY = re.compile(r"[.!?…。！？]+|\n")
@@ -41,6 +45,7 @@ class Sample:
     least_docs: int = 4
     least_odds: float = 2.0
     steps: int = 300
+    bias: float = -5.0
 
 
 @dataclass(frozen=True)
@@ -65,48 +70,60 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def fit(texts: list[str], toxic: list[int], sample: Sample = Sample()) -> Model | None:
+def bag_of(text: str) -> list[set[str]]:
+    """The distinct words of each sentence."""
+    return [set(WORD.findall(text[a:b].lower())) for a, b in sentences(text)]
+
+
+def choose(counts: list[tuple[str, int, int]], bad: int, clean: int, sample: Sample) -> list[str]:
+    """The features to learn; counts: feature, toxic and clean documents that have it."""
+    odds = {f: np.log((n + 0.5) / (bad + 1)) - np.log((m + 0.5) / (clean + 1)) for f, n, m in counts if n >= sample.least_docs}
+    of = {f: n for f, n, _ in counts}
+    return sorted((f for f, o in odds.items() if o >= sample.least_odds), key=lambda f: (-odds[f] * np.sqrt(of[f]), f))[: sample.features]
+
+
+def hits_of(text: str, place: dict) -> list[list[int]]:
+    """The chosen features of each sentence that has any."""
+    found = ({place[f] for w in words for f in word_features(w) if f in place} for words in bag_of(text))
+    return [sorted(x) for x in found if x]
+
+
+def fit_weights(bags: list[list[list[int]]], toxic: list[int], chosen: list[str], sample: Sample) -> Model:
+    """bags: for each document, the features of its sentences (those without any have chance 0)."""
     y = np.array(toxic, dtype=float)
-    if not len(y) or y.min() == y.max():
+    doc_of = np.array([d for d, bag in enumerate(bags) for _ in bag], dtype=np.int64)
+    lines = [x for bag in bags for x in bag]
+    row = np.repeat(np.arange(len(lines)), [len(x) for x in lines]).astype(np.int64)
+    col = np.array([f for x in lines for f in x], dtype=np.int64)
+    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y == 0).sum()))
+    w, velocity, b = np.full(len(chosen), 0.5), np.zeros(len(chosen)), sample.bias
+    for _ in range(sample.steps):
+        z = np.clip(b + np.bincount(row, w[col], minlength=len(lines)), None, 30)
+        hazard = np.bincount(doc_of, np.logaddexp(0, z) - np.logaddexp(0, b), minlength=len(y))
+        score = np.maximum(-np.expm1(-hazard), 1e-3)
+        # The likelihood is -hazard of a clean document and log(1 - exp(-hazard)) of a toxic one; d hazard / d z is the sigmoid.
+        g = (share * np.where(y > 0, np.exp(-hazard) / score, -1.0))[doc_of] / (1 + np.exp(-z))
+        velocity = 0.9 * velocity + np.bincount(col, g[row], minlength=len(chosen)) - 1e-5 * w
+        w = np.maximum(0, w + 8 * velocity)  # evidence only: words of clean sentences add nothing
+    return Model({f: float(x) for f, x in zip(chosen, w) if x > 0}, b)
+
+
+def fit(texts: list[str], toxic: list[int], sample: Sample = Sample()) -> Model | None:
+    """The model of texts at hand; train() takes the same steps on the executors."""
+    if not len(toxic) or min(toxic) == max(toxic):
         return None
-    parts = [[set(WORD.findall(t[a:b].lower())) for a, b in sentences(t)] for t in texts]
     seen = (Counter(), Counter())
-    for bag, label in zip(parts, toxic):
-        seen[label].update({f for w in set().union(*bag) for f in word_features(w)} if bag else ())
-    clean, bad = (y == 0).sum(), (y == 1).sum()
-    odds = {f: np.log((n + 0.5) / (bad + 1)) - np.log((seen[0][f] + 0.5) / (clean + 1)) for f, n in seen[1].items() if n >= sample.least_docs}
-    chosen = sorted((f for f, o in odds.items() if o >= sample.least_odds), key=lambda f: (-odds[f] * np.sqrt(seen[1][f]), f))[: sample.features]
+    for t, label in zip(texts, toxic):
+        seen[label].update({f for words in bag_of(t) for w in words for f in word_features(w)})
+    chosen = choose([(f, n, seen[0][f]) for f, n in seen[1].items()], sum(toxic), len(toxic) - sum(toxic), sample)
     place = {f: i for i, f in enumerate(chosen)}
-    doc_of, row, col = [], [], []
-    for d, bag in enumerate(parts):
-        for words in bag:
-            hits = {place[f] for w in words for f in word_features(w) if f in place}
-            row += [len(doc_of)] * len(hits)
-            col += hits
-            doc_of.append(d)
-    row, col, doc_of = (np.array(x, dtype=np.int64) for x in (row, col, doc_of))
-    n, m = len(doc_of), len(chosen)
-    w, b = np.zeros(m), -6.0
-    share = np.where(y > 0, 0.5 / bad, 0.5 / clean)
-    velocity, velocity_b = np.zeros(m), 0.0
-    for _ in range(sample.steps):
-        z = np.clip(b + np.bincount(row, w[col], minlength=n), -30, 30)
-        log_not = -np.logaddexp(0, z)  # log(1 - p)
-        left = np.bincount(doc_of, log_not, minlength=len(y))
-        score = np.clip(1 - np.exp(left), 1e-9, 1 - 1e-12)
-        # d/dz of the log likelihood: -p for a clean bag, p * (1 - score) / score for a toxic one
-        p = 1 / (1 + np.exp(-z))
-        g = p * (share * np.where(y > 0, np.exp(left) / score, -1.0))[doc_of]
-        velocity = 0.9 * velocity + np.bincount(col, g[row], minlength=m) - 1e-5 * w
-        velocity_b = 0.9 * velocity_b + g.sum()
-        w = np.maximum(0, w + 8 * velocity)  # evidence only: words of clean sentences add nothing
-        b = min(-5.0, b + 0.05 * velocity_b)
-    return Model({f: float(x) for f, x in zip(chosen, w) if x > 0.05}, float(b))
+    return fit_weights([hits_of(t, place) for t in texts], toxic, chosen, sample)
 
 
-def sentence_chances(text: str, model: Model, cache: dict) -> tuple[list[tuple[int, int]], np.ndarray]:
+def sentence_hazards(text: str, model: Model, cache: dict) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """The sentences, and -log(1 - p) of each."""
     spans = sentences(text)
-    z = np.empty(len(spans))
+    z = np.zeros(len(spans))
     for k, (a, b) in enumerate(spans):
         hits = set()
         for w in set(WORD.findall(text[a:b].lower())):
@@ -116,21 +133,20 @@ def sentence_chances(text: str, model: Model, cache: dict) -> tuple[list[tuple[i
                 if len(cache) < 500_000:
                     cache[w] = found
             hits.update(found)
-        z[k] = model.bias + sum(model.weights[f] for f in hits)
-    return spans, 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        z[k] = sum(model.weights[f] for f in sorted(hits))
+    return spans, np.logaddexp(0, np.minimum(model.bias + z, 30)) - np.logaddexp(0, model.bias)
 
 
 def score_one(text: str | None, model: Model | None, cache: dict, suspect: float = 0.5) -> tuple[float, list[dict]]:
     """The document's score, and the sentences whose own chance is `suspect` or more."""
     if model is None or not text:
         return 0.0, []
-    spans, p = sentence_chances(text, model, cache)
+    spans, hazard = sentence_hazards(text, model, cache)
     if not spans:
         return 0.0, []
+    p = -np.expm1(-hazard)
     worst = [{"start": spans[k][0], "end": spans[k][1], "chance": float(p[k])} for k in np.flatnonzero(p >= suspect)]
-    # What any sentence has without evidence isn't evidence, however many sentences there are.
-    rest = 1 / (1 + np.exp(-model.bias))
-    return max(0.0, float(-np.expm1(np.sum(np.log1p(-p[p > 1.5 * rest]))))), worst
+    return float(-np.expm1(-hazard.sum())), worst
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: Sample = Sample()) -> Model | None:
@@ -143,8 +159,33 @@ def train(docs: DataFrame, labels: DataFrame, sample: Sample = Sample()) -> Mode
     # The picked labels number 2 * sample.rows at most: their size is bounded, so they may be broadcast.
     # An id may repeat in any number of rows; one text of it is enough.
     found = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id")
-    got = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).toArrow().sort_by("doc_id")
-    return fit(got["text"].to_pylist(), got["toxic"].to_pylist(), sample)
+    scratch = Scratch(docs.sparkSession)
+    texts = scratch.write(found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")), "labelled")
+    numbers = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if len(numbers) < 2:
+        return None
+
+    def features(batches):
+        for b in batches:
+            seen = (Counter(), Counter())
+            for t, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                seen[label].update({f for words in bag_of(t) for w in words for f in word_features(w)})
+            every = sorted(seen[0].keys() | seen[1].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *(pa.array([seen[k][f] for f in every], pa.int64()) for k in (1, 0))], names=["feature", "bad", "clean"])
+
+    def hits(batches):
+        place = shared.value
+        for b in batches:
+            found = [hits_of(t, place) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.list_(pa.list_(pa.int32())))], names=["doc_id", "toxic", "hits"])
+
+    counts = texts.select("text", "toxic").mapInArrow(features, "feature string, bad long, clean long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("clean").alias("clean"))
+    counts = counts.filter(F.col("bad") >= sample.least_docs).toArrow().sort_by("feature")
+    chosen = choose(list(zip(*(counts[c].to_pylist() for c in ("feature", "bad", "clean")))), numbers[1], numbers[0], sample)
+    shared = docs.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(chosen)})
+    got = texts.select("doc_id", "text", "toxic").mapInArrow(hits, "doc_id long, toxic int, hits array<array<int>>").toArrow().sort_by("doc_id")
+    scratch.drop("labelled")
+    return fit_weights(got["hits"].to_pylist(), got["toxic"].to_pylist(), chosen, sample)
 
 
 def with_score(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
