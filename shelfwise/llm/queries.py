@@ -11,6 +11,16 @@ from . import html, language, mixing, packing, quality, rollup, simhash, substri
 from .common import table
 
 
+#: The mixture that is asked for: a hot source held down, English at half, topics alike.
+MIX = mixing.Mix(
+    targets={
+        "source": {"src0": 0.2, mixing.OTHERS: 0.8},
+        "lang": {"en": 0.5, "fr": 0.15, "de": 0.15, "es": 0.15, mixing.OTHERS: 0.05},
+        "topic": {**{f"topic-{k}": 1.0 for k in range(mixing.Topics.groups)}, mixing.OTHERS: 0.5},
+    }
+)
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
@@ -51,7 +61,7 @@ def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_documents(table(spark, sf_dir, "documents"))
+    return mixing.mix_documents(table(spark, sf_dir, "documents"), MIX)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
