@@ -55,7 +55,7 @@ def prose():
 # Substring dedup
 
 
-@pytest.mark.parametrize("spans", [substring.Spans(), substring.Spans(largest_shard=1), substring.Spans(seed=4, largest_shard=3, most_bits=20)])
+@pytest.mark.parametrize("spans", [substring.Spans(), substring.Spans(largest_shard=1), substring.Spans(seed=4, largest_shard=3, most_bits=20), substring.Spans(largest_shard=2, most_bits=3)])
 def test_substring_equals_brute_force(spark, prose, spans):
     df = with_extra(docs_of(spark, prose)).repartition(5)
     got = {r[0]: tuple(r[1:]) for r in substring.repeated_words(df, spans).collect()}
@@ -238,6 +238,42 @@ def test_toxicity_on_held_out_rows(spark):
     assert not wrong and np.mean([r["predicted"] for r in got if r["toxic"] == 1]) > 0.7
 
 
+def test_toxicity_scores_the_likelihood_it_was_fitted_to():
+    """The trained weights beat their neighbours under the noisy-or of exactly the chances that scores are made of."""
+    rnd = random.Random(24)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    common = [word() for _ in range(60)]
+    texts, toxic = [], []
+    for i in range(300):
+        lines = [" ".join(rnd.choice(common) for _ in range(6)) + "." for _ in range(5)]
+        if i % 3 == 0 or rnd.random() < 0.02:
+            lines.append(rnd.choice(["vilest wretch", "odious vermin"]) + " " + rnd.choice(common) + ".")
+        texts.append(" ".join(lines))
+        toxic.append(int(i % 3 == 0))
+    model = toxicity.fit(texts, toxic, toxicity.Sample(steps=2000))
+
+    def likelihood(weights):
+        scores = [toxicity.score_one(t, toxicity.Model(weights, model.bias), {})[0] for t in texts]
+        bad, clean = sum(toxic), len(toxic) - sum(toxic)
+        return sum(math.log(max(s, 1e-12)) / bad if y else math.log(1 - s) / clean for s, y in zip(scores, toxic))
+
+    best = likelihood(model.weights)
+    for f in list(model.weights)[:6]:
+        for change in (-0.5, 0.5):
+            assert likelihood(model.weights | {f: max(0.0, model.weights[f] + change)}) <= best + 2e-3
+    long = " ".join(" ".join(rnd.choice(common) for _ in range(6)) + "." for _ in range(20000))
+    assert toxicity.score_one(long, model, {})[0] < 0.05  # sentences without evidence add nothing
+
+
+@needs_tables
+def test_toxicity_trains_alike_on_executors(spark):
+    d, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    one = toxicity.train(d, labels)
+    rows_ = sorted((r["doc_id"], r["text"], r["toxic"]) for r in d.join(labels, "doc_id").collect() if r["text"] is not None)
+    two = toxicity.fit([t for _, t, _ in rows_], [y for *_, y in rows_])
+    assert one.weights.keys() == two.weights.keys() and all(abs(one.weights[f] - two.weights[f]) < 1e-6 for f in one.weights)
+
+
 def test_toxicity_finds_sentences(spark):
     rnd = random.Random(6)
     clean = [" ".join(rnd.choice(["tree", "lake", "road", "house", "cloud"]) for _ in range(6)) + "." for _ in range(40)]
@@ -708,7 +744,7 @@ def test_mixing_documents(spark):
     rnd = random.Random(14)
     data = [(i, " ".join(["w"] * rnd.randint(1, 40)), rnd.choice(["en", "en", "en", "fr"]), "big" if i % 4 else f"s{i % 3}", None) for i in range(4000)] + [(None, None, None, None, None), (9, "", "en", "big", 0)]
     df = with_extra(spark.createDataFrame(data, DOCS))
-    mix = mixing.Mix(rate=0.4, targets={"source": {"big": 0.4, "s0": 0.2, "s1": 0.2, "s2": 0.2}, "lang": {"en": 0.6, "fr": 0.4, "(none)": 0.0}, "topic": {"note": 1.0}})
+    mix = mixing.Mix(rate=0.4, targets={"source": {"big": 0.4, "s0": 0.2, "s1": 0.2, "s2": 0.2}, "lang": {"en": 0.6, "fr": 0.4, None: 0.0}, "topic": {mixing.OTHERS: 1.0}})
     got = mixing.mix_documents(df, mix).collect()
     kept = [r for r in got if r["kept"]]
     total = sum(r["n_tokens"] for r in got)
@@ -723,6 +759,58 @@ def test_mixing_documents(spark):
     assert sample.columns == df.columns and sample.count() == len(kept)
 
 
+def test_targets_of_named_and_other_categories(spark):
+    mix = mixing.Mix(targets={"source": {"a": 3.0, None: 1.0, mixing.OTHERS: 4.0}})
+    shares = mixing.target_shares(["a", "b", None, "c"], np.array([10.0, 100.0, 50.0, 900.0]), "source", mix)
+    assert np.allclose(shares, [3 / 8, 4 / 8 * 10 / 40, 1 / 8, 4 / 8 * 30 / 40])
+    rnd = np.random.default_rng(22)
+    tokens = rnd.integers(50, 200, size=(4, 3)).astype(float)
+    cells = [(s, lang, "t") for s in ("a", "b", None, "(none)") for lang in ("x", "y", None)]
+    some = mixing.Mix(rate=0.2, steps=5, targets={"source": {"a": 3.0, None: 1.0, mixing.OTHERS: 4.0}})
+    near = dict(zip(cells, mixing.rake(cells, tokens.ravel(), some)))
+    df = spark.createDataFrame([(*c, int(n)) for c, n in zip(cells, tokens.ravel())], "__source string, __lang string, __topic string, tokens long")
+    far = {tuple(r[:3]): r["p"] for r in mixing.rake_distributed(df, some, Scratch(spark)).select("__source", "__lang", "__topic", "p").collect()}
+    assert set(far) == set(near) and all(abs(near[c] - p) < 1e-9 for c, p in far.items())
+
+
+def test_topics_follow_subjects_not_languages(spark):
+    """Two languages, two subjects each: topics tell subjects apart within each language, though languages differ more."""
+    rnd = random.Random(23)
+    data = []
+    for i in range(400):
+        lang, subject = "ab"[i % 2], i // 2 % 2
+        words = [f"{lang}{rnd.randrange(30)}" for _ in range(60)] + [f"{lang}s{subject}w{rnd.randrange(15)}" for _ in range(25)]
+        data.append((i, " ".join(words), lang, "s", None))
+    mix = mixing.Mix(topics=mixing.Topics(groups=4, sample=300))
+    got = mixing.mix_documents(spark.createDataFrame(data, DOCS), mix).collect()
+    for lang in "ab":
+        of = [{r["topic"] for r in got if r["lang"] == lang and r["doc_id"] // 2 % 2 == subject} for subject in (0, 1)]
+        assert of[0] and of[1] and of[0].isdisjoint(of[1])
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    df = docs_of(spark, ["a b c d"] * 40).withColumns({"__source": F.lit("mine"), "__mix_source": F.lit("too"), "__p": F.lit(3), "tokens": F.lit(5)})
+    kept = mixing.sample_mix(df)
+    assert kept.columns == df.columns and {(r["__source"], r["__mix_source"], r["tokens"]) for r in kept.collect()} <= {("mine", "too", 5)}
+
+
+@needs_tables
+def test_registered_mixture_meets_its_targets(spark):
+    got = queries.queries()["op9_mixing"](spark, SF2).collect()
+    total = sum(r["n_tokens"] for r in got)
+    cells = {}
+    for r in got:
+        cells.setdefault((r["source"], r["lang"], r["topic"]), []).append(r["n_tokens"])
+    keys = sorted(cells, key=repr)
+    p = mixing.rake(keys, np.array([sum(cells[k]) for k in keys], dtype=float), queries.MIX)
+    chance = dict(zip(keys, p))
+    assert all(abs(chance[r["source"], r["lang"], r["topic"]] - r["probability"]) < 1e-9 for r in got)
+    for lang, share in (("en", 0.5), ("fr", 0.15), ("de", 0.15)):
+        expected = sum(r["probability"] * r["n_tokens"] for r in got if r["lang"] == lang)
+        assert abs(expected / (0.5 * total) - share / 0.95) < 0.06
+    assert len({r["topic"] for r in got}) >= 6
+
+
 # Empty tables
 
 
