@@ -12,30 +12,35 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shelfwise.llm import language, mixing, near_copies, packing, substring
 from shelfwise.llm.common import Scratch, table
+from shelfwise.llm.queries import MIX
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose language can't be told go."""
+    """Rows whose language can't be told (a null text, one without a letter) go; repeated rows are judged one by one."""
     return language.keep_identified(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts linked at five-word similarity 0.8 stays: that with the smallest id."""
+    """One row of each group of texts linked at five-word similarity 0.8 stays: that with the smallest id, null last, then
+    the smallest hash of its text. Texts without words are one group."""
     return near_copies.keep_distinct(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 20 words or more that stand earlier in the corpus are cut out; documents left empty by that go."""
+    """Passages of 20 words or more that stand earlier in the corpus (smaller id, null first) are cut out; documents left
+    empty by that go, those that had no word stay."""
     return substring.remove_repeats(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are sampled with the probabilities of their source, language and form."""
-    return mixing.sample_mix(docs)
+    """Documents are sampled by the target weights of their source, language and topic: about half of the tokens stay. Cells
+    without a word keep all their rows, repeated rows stay or go together."""
+    return mixing.sample_mix(docs, MIX)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of each document with their place in a training sequence."""
+    """The pieces of each document with their place in a training sequence; a null text is the end id alone. An empty table
+    passes all stages as one."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
