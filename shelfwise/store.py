@@ -1,9 +1,8 @@
-"""Versioned snapshots of a library: a version is written whole, then a pointer names it."""
+"""Versioned snapshots of a library: a version is written whole beside the others, then one rename makes it one of them."""
 
 from __future__ import annotations
 
 import atexit
-import json
 import tempfile
 import uuid
 
@@ -12,46 +11,61 @@ from pyspark.sql import DataFrame, SparkSession
 from .schema import TABLES, LibraryState, conform
 
 
+class Conflict(RuntimeError):
+    """Another writer published a version since the one that this change started from."""
+
+
 class SnapshotStore:
-    """path/v00000001/<table> and path/CURRENT. The pointer is replaced by a rename, so readers see old or new."""
+    """path/v00000001/<table>, and path/staging for what is being written. A folder v... appears by one rename, is whole
+    then and never changes, so the highest one is the newest version whenever a writer dies. A version is published
+    once: of two writers that started from the same one the second gets Conflict and loads again. The file system has
+    to rename folders atomically, as HDFS and local ones do."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._base: int | None = None
 
     def version(self) -> int:
-        pointer = self._path(f"{self.path}/CURRENT")
-        if not self._fs.exists(pointer):
-            return 0
-        return json.loads(self.spark.read.text(f"{self.path}/CURRENT").first()[0])["version"]
+        root = self._path(self.path)
+        names = [s.getPath().getName() for s in self._fs.listStatus(root)] if self._fs.exists(root) else []
+        return max((int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit()), default=0)
 
     def load(self, version: int | None = None) -> LibraryState:
+        """A version, the newest if none is given; the next publish starts from it."""
         v = self.version() if version is None else version
+        if version is None:
+            self._base = v
         if not v:
             return LibraryState.of(self.spark)
         return LibraryState.of(self.spark, **{t: self.spark.read.parquet(f"{self.path}/v{v:08d}/{t}") for t in TABLES})
 
     def publish(self, state: LibraryState) -> int:
-        v = self.version() + 1
+        """state as the version after the one loaded last (after the newest, if none was loaded)."""
+        v = (self.version() if self._base is None else self._base) + 1
+        staged = f"{self.path}/staging/{uuid.uuid4().hex}"
         for t, df in state.tables().items():
-            conform(df, t).write.mode("overwrite").parquet(f"{self.path}/v{v:08d}/{t}")
-        staged = self._path(f"{self.path}/CURRENT.{v}")
-        out = self._fs.create(staged, True)
-        out.write(bytearray(json.dumps({"version": v}).encode()))
-        out.close()
-        pointer = self._path(f"{self.path}/CURRENT")
-        if self._fs.exists(pointer):
-            self._fs.delete(pointer, False)
-        self._fs.rename(staged, pointer)
+            conform(df, t).write.parquet(f"{staged}/{t}")
+        target, source = self._path(f"{self.path}/v{v:08d}"), self._path(staged)
+        inside = self._path(f"{self.path}/v{v:08d}/{staged.rsplit('/', 1)[1]}")
+        # A rename onto a folder that another writer made meanwhile moves into it on some file systems; that is undone.
+        lost = self.version() >= v or not self._fs.rename(source, target) or self._fs.exists(inside)
+        if lost:
+            for left in (source, inside):
+                self._fs.delete(left, True)
+            raise Conflict(f"version {v} was published by another writer")
+        self._base = v
         return v
 
 
-def _shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """A new folder that driver and executors share, under spark.checkpoint.dir, or under one of our own where that is
-    unset. It goes when the application ends."""
+    unset and all run on this machine. It goes when the application ends."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not shared:
         if not getattr(spark.sparkContext, "_shelfwise_settled", None):
             spark.sparkContext._shelfwise_settled = "file://" + tempfile.mkdtemp(prefix="shelfwise-")
@@ -64,7 +78,7 @@ def _shared_folder(spark: SparkSession) -> str:
 def settled(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: what several branches of a plan use is computed once, and a lost
     executor costs no more than the last step."""
-    root = _shared_folder(df.sparkSession)
+    root = shared_folder(df.sparkSession)
     df.write.parquet(root)
     return df.sparkSession.read.schema(df.schema).parquet(root)
 
