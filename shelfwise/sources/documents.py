@@ -1,7 +1,7 @@
 """Catalog documents of two book APIs, and the JSON files of reviews.
 
-Responses come through DocumentClient: a cache table first, then the network, one partition per host so that the rate
-limit is global. Parsed documents are DataFrames with explicit schemas; fields that come in two shapes (a string or an
+Responses come through DocumentClient: a cache table first, then the network, in batches of `Limits.batch` calls whose
+answers are kept before the next batch starts; one task per host, so that the rate limit holds for the host as a whole. Parsed documents are DataFrames with explicit schemas; fields that come in two shapes (a string or an
 object) are read as variants."""
 
 from __future__ import annotations
@@ -14,11 +14,12 @@ import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify as C
 from ..functions import text as X
+from ..store import settled
 
 RESPONSES = "host string, endpoint string, params string, payload string"
 
@@ -26,7 +27,7 @@ RESPONSES = "host string, endpoint string, params string, payload string"
 @dataclass(frozen=True)
 class Limits:
     """The pause between calls that the cache doesn't answer; retries after `too many requests`; how many calls in
-    a row may get no answer at all before a host is given up."""
+    a row may get no answer at all before a host is given up; after how many calls the answers are kept."""
 
     pause: float = 0.5
     timeout: float = 10.0
@@ -35,6 +36,7 @@ class Limits:
     least_wait: float = 30.0
     most_wait: float = 120.0
     errors: int = 5
+    batch: int = 100
 
 
 def http_get(url: str, limits: Limits) -> tuple[int, dict, str]:
@@ -98,24 +100,39 @@ class DocumentClient:
         return full.groupBy("host", "endpoint", "params").agg(F.max("payload").alias("payload"))
 
     def fetch(self, requests: DataFrame) -> DataFrame:
-        """requests: host, endpoint, params (a JSON object). Gives RESPONSES; new ones are added to the cache."""
+        """requests: host, endpoint, params (a JSON object). Gives RESPONSES; new ones are added to the cache batch by batch,
+        so a host that goes down (HostDown) or a driver that dies costs one batch at most. Tasks never raise for a host's
+        sake, so nothing is asked again by a retry of Spark's."""
         keys = ["host", "endpoint", "params"]
-        wanted = requests.select(*keys).distinct()
+        wanted = settled(requests.select(*keys).distinct())
         known = self.cached()
-        missing = wanted.join(known, keys, "left_anti")
+        place = F.row_number().over(Window.partitionBy("host").orderBy("endpoint", "params")) - 1
+        missing = settled(wanted.join(known, keys, "left_anti").withColumn("batch", F.floor(place / self.limits.batch)))
         limits, get, sleep = self.limits, self.get, self.sleep
 
         def call(batches: Iterator) -> Iterator:
             failed: list = []
             for pdf in batches:
-                urls = [f"{h}{e}?{urllib.parse.urlencode(json.loads(p or '{}'))}".rstrip("?") for h, e, p in zip(pdf["host"], pdf["endpoint"], pdf["params"])]
-                yield pdf.assign(payload=[request(u, limits, get, sleep, failed) for u in urls])
-
-        fresh = missing.repartition("host").mapInPandas(call, RESPONSES)
-        if self.cache_path is not None:
-            fresh.write.mode("append").parquet(self.cache_path)
-            return wanted.join(self.cached(), keys, "left").select(*keys, F.coalesce("payload", F.lit("{}")).alias("payload"))
-        return wanted.join(known, keys).select(*keys, "payload").unionByName(fresh)
+                payload = []
+                for h, e, p in zip(pdf["host"], pdf["endpoint"], pdf["params"]):
+                    try:
+                        url = f"{h}{e}?{urllib.parse.urlencode(json.loads(p or '{}'))}".rstrip("?")
+                        payload.append(request(url, limits, get, sleep, failed) if len(failed) < limits.errors else None)
+                    except HostDown:
+                        payload.append(None)
+                yield pdf.assign(payload=payload)
+
+        fresh = self.spark.createDataFrame([], RESPONSES)
+        for n in range((missing.agg(F.max("batch")).first()[0] or 0) + 1 if not missing.isEmpty() else 0):
+            answers = settled(missing.filter(F.col("batch") == n).select(*keys).repartition("host").mapInPandas(call, RESPONSES))
+            got = answers.filter("payload IS NOT NULL")
+            if self.cache_path is not None:
+                got.write.mode("append").parquet(self.cache_path)
+            fresh = fresh.unionByName(got)
+            down = answers.filter("payload IS NULL").select("host").first()
+            if down is not None:
+                raise HostDown(f"{down[0]} gave no answer to {limits.errors} calls in a row; what came before is kept")
+        return wanted.join(known.unionByName(fresh).groupBy(*keys).agg(F.max("payload").alias("payload")), keys, "left").select(*keys, F.coalesce("payload", F.lit("{}")).alias("payload"))
 
     # The calls of the two APIs; `host` is where they are served.
     def search_author(self, name: str) -> tuple[str, dict]:
@@ -205,6 +222,23 @@ def read_volumes(payloads: DataFrame) -> DataFrame:
     )
 
 
+def read_search(payloads: DataFrame) -> DataFrame:
+    """payloads: key, payload of author searches: one row per result with an author key, in order."""
+    rows = payloads.select("key", F.posexplode(F.try_variant_get(F.try_parse_json("payload"), "$.docs", "array<variant>")).alias("rank", "v"))
+    return rows.select("key", "rank", X.author_key(F.try_variant_get("v", "$.key", "string")).alias("author_key")).filter("author_key <> ''")
+
+
+def read_author_works(payloads: DataFrame) -> DataFrame:
+    """payloads: key (of an author), payload of their works: work key and title, in order."""
+    rows = payloads.select("key", F.posexplode(F.try_variant_get(F.try_parse_json("payload"), "$.entries", "array<variant>")).alias("pos", "v"))
+    return rows.select(F.col("key").alias("author_key"), "pos", F.try_variant_get("v", "$.key", "string").alias("key"), F.try_variant_get("v", "$.title", "string").alias("title"))
+
+
+def read_names(payloads: DataFrame) -> DataFrame:
+    """payloads: key, payload of authors: author_key, name."""
+    return payloads.select(F.col("key").alias("author_key"), F.try_variant_get(F.try_parse_json("payload"), "$.name", "string").alias("name")).filter("name <> ''")
+
+
 def read_works_from(spark: SparkSession, path: str) -> DataFrame:
     """Work documents in JSON lines (author_id, key, payload), with their author."""
     raw = spark.read.schema("author_id long, key string, payload string").json(path)
@@ -222,9 +256,9 @@ REPORT = (
 )
 
 
-def read_report(spark: SparkSession, path: str) -> DataFrame:
-    """A duplicate report, one row per row to remove."""
-    groups = spark.read.schema(REPORT).json(path, multiLine=True).select(F.explode("authors").alias("a")).select("a.author_id", "a.author_name", F.explode("a.duplicate_details").alias("g"))
+def read_report(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A duplicate report (one document, or a document a line), one row per row to remove."""
+    groups = spark.read.schema(REPORT).json(path, multiLine=not lines).select(F.explode("authors").alias("a")).select("a.author_id", "a.author_name", F.explode("a.duplicate_details").alias("g"))
     return groups.select("author_id", "author_name", "g.group_key", F.col("g.keep.id").alias("keep_id"), "g.pattern_types", F.explode("g.remove").alias("r")).select("author_id", "author_name", "group_key", "keep_id", "pattern_types", F.col("r.id").alias("remove_id"), "r.reasons")
 
 
