@@ -210,6 +210,13 @@ def recommendation_completeness() -> Column:
     return reduce(add, (F.when(c, n).otherwise(0) for c, n in flags))
 
 
+#: The tags of duplicate_reasons, in its order.
+DUPLICATE_TAGS = (
+    "exact_normalized", "base_title_match", "isbn_match", "fuzzy_match", "apostrophe_variations", "punctuation_variations",
+    "series_variations", "edition_variations", "volume_variations",
+)
+
+
 def duplicate_reasons(kept: Column, other: Column, kept_isbn: Column, other_isbn: Column) -> Column:
     """Why a title counts as a duplicate of the kept one, as tags in fixed order."""
     ka, oa, kb, ob = X.title_advanced(kept), X.title_advanced(other), F.lower(X.base_title(kept)), F.lower(X.base_title(other))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import classify as C
 from ..functions import text as X
 from ..schema import LibraryState, assign_ids
+from ..store import settle, settled
 
 
 def duplicate_authors(state: LibraryState, min_overlap: int = 1) -> DataFrame:
@@ -17,7 +18,8 @@ def duplicate_authors(state: LibraryState, min_overlap: int = 1) -> DataFrame:
     titles = state.catalog.select(F.col("author_id"), X.lower_trim(F.col("title")).alias("_t")).filter("_t <> ''").distinct()
     one = a.join(titles, a["id"] == titles["author_id"]).select("_f", "_l", "_t", F.col("id").alias("id1"), F.col("name").alias("name1"), F.col("open_library_id").alias("k1"))
     two = one.select("_f", "_l", "_t", F.col("id1").alias("id2"), F.col("name1").alias("name2"), F.col("k1").alias("k2"))
-    pairs = one.join(two, ["_f", "_l", "_t"]).filter("id1 < id2").groupBy("id1", "id2", "name1", "name2", "k1", "k2").agg(F.count("*").alias("overlap"), F.slice(F.array_sort(F.collect_list("_t")), 1, 5).alias("sample_titles"))
+    both = one.join(two, ["_f", "_l", "_t"]).filter("id1 < id2").withColumn("_rn", F.row_number().over(Window.partitionBy("id1", "id2").orderBy("_t")))
+    pairs = both.groupBy("id1", "id2", "name1", "name2", "k1", "k2").agg(F.count("*").alias("overlap"), F.array_sort(F.collect_list(F.when(F.col("_rn") <= 5, F.col("_t")))).alias("sample_titles"))
     same = F.coalesce(F.col("k1") == F.col("k2"), F.lit(False))
     high = same | (F.col("overlap") >= 3) | F.col("k1").isNotNull() | F.col("k2").isNotNull()
     return pairs.filter(F.col("overlap") >= min_overlap).select(
@@ -83,11 +85,31 @@ def mixed_identities(state: LibraryState, work_authors: DataFrame) -> DataFrame:
     return g.withColumn("keys", F.count("*").over(Window.partitionBy("author_id"))).filter("keys > 1").drop("keys")
 
 
-def fix_mixed_identities(state: LibraryState, work_authors: DataFrame, author_works: DataFrame, names: DataFrame, now: Column) -> tuple[DataFrame, LibraryState]:
-    """Q8, first part: an author's rows stay with the outside author whose works best match the loans (10 for each work
+def fix_mismatches(
+    state: LibraryState, work_authors: DataFrame, author_works: DataFrame, names: DataFrame, now: Column, limit: int | None = None, only_cataloged: bool = False
+) -> tuple[DataFrame, LibraryState]:
+    """Q8: first authors whose rows come from several outside authors, then authors of one normalised name. limit: so many
+    authors with two catalog rows or more are looked at, by id; what is left of it after those that were mixed bounds the
+    names. only_cataloged: names of which an author has a catalog. plan: step, author_id, to_id and the row it concerns."""
+    many = state.catalog.groupBy("author_id").agg(F.count("*").alias("n")).filter("n > 1").select("author_id")
+    scope = many if limit is None else many.orderBy("author_id").limit(limit)
+    found = settled(work_authors.join(state.catalog.join(scope, "author_id", "left_semi").select(F.col("open_library_key").alias("key")).distinct(), "key", "left_semi"))
+    first, mid = fix_mixed_identities(state, found, author_works, names, now, settled(scope))
+    first, mid = settled(first), settle(mid)
+    mixed = first.select("author_id").distinct().count()
+    plan = first.select(F.lit("identity").alias("step"), "author_id", "to_id", F.explode("catalog_ids").alias("id"), F.lit("move").alias("action"))
+    if limit is not None and mixed >= limit:
+        return plan, mid
+    second, new = fix_duplicate_names(mid, author_works, None if limit is None else limit - mixed, only_cataloged, state.authors.select("id"))
+    return plan.unionByName(second.select(F.lit("name").alias("step"), "author_id", "to_id", "id", "action")), new
+
+
+def fix_mixed_identities(state: LibraryState, work_authors: DataFrame, author_works: DataFrame, names: DataFrame, now: Column, scope: DataFrame | None = None) -> tuple[DataFrame, LibraryState]:
+    """Q8, first part (of the authors in scope, if given): an author's rows stay with the outside author whose works best match the loans (10 for each work
     read, 5 for each catalog title read; without any, the most rows); the rows of others move to an author of that
     outside id, of that name, or a new one. author_works: author_key, title; names: author_key, name."""
     mixed = mixed_identities(state, work_authors)
+    mixed = settled(mixed if scope is None else mixed.join(scope, "author_id", "left_semi"))
     loans = state.books.select(F.col("author").alias("normalized_name"), X.lower_trim(F.col("title")).alias("_t")).distinct()
     owners = state.authors.select(F.col("id").alias("author_id"), "normalized_name", F.col("name").alias("own_name"))
     base = mixed.join(owners, "author_id")
@@ -99,7 +121,7 @@ def fix_mixed_identities(state: LibraryState, work_authors: DataFrame, author_wo
     by_key = state.authors.filter("open_library_id IS NOT NULL").groupBy(F.col("open_library_id").alias("author_key")).agg(F.min("id").alias("_i1"))
     by_name = state.authors.groupBy(F.col("name").alias("target")).agg(F.min("id").alias("_i2"))
     placed = others.join(by_key, "author_key", "left").join(by_name, "target", "left").withColumn("to_id", F.coalesce("_i1", "_i2"))
-    new = assign_ids(placed.filter("to_id IS NULL").groupBy("target").agg(F.min("author_key").alias("open_library_id")), state.authors, F.col("target"), F.col("open_library_id")).select("id", F.col("target").alias("name"), X.author_name(F.col("target")).alias("normalized_name"), "open_library_id", now.alias("created_at"))
+    new = assign_ids(placed.filter("to_id IS NULL").groupBy("target").agg(F.min("author_key").alias("open_library_id"), F.min_by("normalized_name", "author_id").alias("normalized_name")), state.authors, F.col("target"), F.col("open_library_id")).select("id", F.col("target").alias("name"), "normalized_name", "open_library_id", now.alias("created_at"))
     plan = placed.join(new.select(F.col("name").alias("target"), F.col("id").alias("_new")), "target", "left").select("author_id", "author_key", "score", F.coalesce("to_id", "_new").alias("to_id"), "target", "catalog_ids")
     moves = plan.select(F.explode("catalog_ids").alias("id"), "to_id")
     catalog = state.catalog.join(moves, "id", "left").withColumn("author_id", F.coalesce("to_id", "author_id"))
@@ -117,11 +139,18 @@ def pick_candidates(found: DataFrame, works: DataFrame, books: DataFrame, first_
     return rows.groupBy("author").agg(F.min(F.struct((~F.col("certain")).alias("u"), "rank", "author_key", "certain")).alias("m")).select("author", "m.author_key", "m.certain")
 
 
-def fix_duplicate_names(state: LibraryState, author_works: DataFrame) -> tuple[DataFrame, LibraryState]:
+def fix_duplicate_names(state: LibraryState, author_works: DataFrame, limit: int | None = None, only_cataloged: bool = False, known: DataFrame | None = None) -> tuple[DataFrame, LibraryState]:
     """Q8, second part: of authors with one normalised name, that whose outside works (10 each) and catalog titles (5
     each) best match the loans of the name takes the others' catalog rows; rows whose title it has go. Names without
-    loans or without any match stay as they are; authors left without a catalog go. plan: author_id, to_id, id, action."""
-    many = state.authors.withColumn("_n", F.count("*").over(Window.partitionBy("normalized_name"))).filter("_n > 1").select(F.col("id").alias("author_id"), "normalized_name", X.author_key(F.col("open_library_id")).alias("author_key"))
+    loans or without any match stay as they are; authors left without a catalog go. plan: author_id, to_id, id, action.
+    limit: so many names, in order; only_cataloged: names of which an author has a catalog; known: ids of the authors that
+    are looked at (all, if None)."""
+    looked_at = state.authors if known is None else state.authors.join(known, "id", "left_semi")
+    many = looked_at.withColumn("_n", F.count("*").over(Window.partitionBy("normalized_name"))).filter("_n > 1").select(F.col("id").alias("author_id"), "normalized_name", X.author_key(F.col("open_library_id")).alias("author_key"))
+    if only_cataloged:
+        many = many.join(many.join(state.catalog.select("author_id").distinct(), "author_id", "left_semi").select("normalized_name").distinct(), "normalized_name", "left_semi")
+    if limit is not None:
+        many = many.join(many.select("normalized_name").distinct().orderBy("normalized_name").limit(limit), "normalized_name", "left_semi")
     loans = state.books.select(F.col("author").alias("normalized_name"), X.lower_trim(F.col("title")).alias("_t")).distinct()
     w = many.join(author_works.select(X.author_key(F.col("author_key")).alias("author_key"), X.lower_trim(F.col("title")).alias("_t")), "author_key").join(loans, ["normalized_name", "_t"], "left_semi").select("author_id", F.lit(10).alias("points"))
     rows = state.catalog.select("id", "author_id", X.lower_trim(F.col("title")).alias("_t")).join(many.select("author_id", "normalized_name"), "author_id")
@@ -174,7 +203,8 @@ def split_groups(state: LibraryState, names: DataFrame | None = None, manual: bo
 
 def publisher_authors(state: LibraryState, many: int = 50, samples: int = 5) -> DataFrame:
     """Authors that look like publishers, with their label, and others with more than `many` catalog rows."""
-    c = state.catalog.groupBy(F.col("author_id").alias("id")).agg(F.count("*").alias("catalog_books"), F.slice(F.array_sort(F.collect_list("title")), 1, samples).alias("sample_titles"))
+    ranked = state.catalog.select(F.col("author_id").alias("id"), "title", F.row_number().over(Window.partitionBy("author_id").orderBy(F.asc_nulls_last("title"))).alias("_rn"))
+    c = ranked.groupBy("id").agg(F.count("*").alias("catalog_books"), F.array_sort(F.collect_list(F.when(F.col("_rn") <= samples, F.col("title")))).alias("sample_titles"))
     rows = state.authors.join(c, "id", "left").withColumns({"catalog_books": F.coalesce("catalog_books", F.lit(0)), "_p": C.is_publisher(F.col("name"))})
     return rows.filter(F.col("_p") | (F.col("catalog_books") > many)).select("id", "name", F.when(F.col("_p"), C.publisher_label(F.col("name"))).otherwise("Many books").alias("label"), "catalog_books", F.coalesce("sample_titles", F.array().cast("array<string>")).alias("sample_titles")).orderBy("label", F.desc("catalog_books"), "id")
 

@@ -85,7 +85,7 @@ def fetch_all(
     """Q3: author groups are split, the authors that are due get their works, then the rows fetched are cleaned: with
     recent works only, titles first and then languages within the fetched rows; otherwise languages, then titles, over
     the whole catalog. plan: that of the fetch."""
-    state = settle(split_groups(state, names)[1])
+    state = split_first(state, names)
     due = due_authors(state, now, force).filter("due").select(F.col("id").alias("author_id"))
     plan, new = fetch_catalog(state, works.join(due, "author_id", "left_semi"), editions, now, recent_years)
     metadata = set_metadata(new.metadata, "last_catalog_check", F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss"), now)
@@ -99,6 +99,17 @@ def fetch_all(
     return plan, new
 
 
+def split_first(state: LibraryState, names: DataFrame | None = None) -> LibraryState:
+    """The library with its author groups taken apart, as a fetch begins."""
+    return settle(split_groups(state, names)[1])
+
+
+def with_author_keys(state: LibraryState, keys: DataFrame) -> LibraryState:
+    """keys: author_id, author_key, as found for authors without an outside id."""
+    found = keys.select(F.col("author_id").alias("id"), F.col("author_key").alias("_key")).dropDuplicates(["id"])
+    return state.with_(authors=state.authors.join(found, "id", "left").withColumn("open_library_id", F.coalesce(F.nullif("open_library_id", F.lit("")), "_key")))
+
+
 def sliced(catalog: DataFrame, limit: int | None = None, offset: int = 0, ids: DataFrame | None = None) -> DataFrame:
     """O1: the rows with the given ids, else a slice by id."""
     if ids is not None:

@@ -8,9 +8,11 @@ from operator import or_
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import blocks as B
 from ..functions import classify as C
 from ..functions import text as X
-from ..schema import LibraryState
+from ..schema import LibraryState, with_numbers
+from .catalog import sliced
 from .matching import eligible
 
 #: Titles that the pattern filter takes by default.
@@ -25,12 +27,14 @@ def composites(state: LibraryState) -> DataFrame:
     whole = rows.filter("_c").select(F.col("id").alias("composite_id"), "author_id", "title", "series_name", "series_position", X.composite_parts(F.col("title")).alias("parts"))
     single = rows.filter("NOT _c").select(F.col("id").alias("standalone_id"), "author_id", F.lower("title").alias("_sl"), X.title_advanced(F.col("title")).alias("_sn"), F.lower(X.base_title(F.col("title"))).alias("_sb"))
     part = whole.select("composite_id", "author_id", F.posexplode("parts").alias("pos", "part")).withColumns({"_pl": F.lower("part"), "_pn": X.title_advanced(F.col("part")), "_pb": F.lower(X.base_title(F.col("part")))})
-    score = (
-        F.when((F.col("_pn") != "") & (F.col("_pn") == F.col("_sn")), 1.0)
-        .when((F.col("_pb") != "") & (F.col("_pb") == F.col("_sb")), 0.8)
-        .when(F.contains("_sl", F.col("_pl")) | F.contains("_pl", F.col("_sl")), 0.7)
-    )
-    scored = part.join(single, "author_id").withColumn("score", score).filter("score IS NOT NULL")
+    keys = ["composite_id", "pos", "part", "standalone_id"]
+    equal = [
+        part.filter(f"{p} <> ''").join(single.withColumnRenamed(q, p), ["author_id", p]).select(*keys, F.lit(score).alias("score"))
+        for p, q, score in (("_pn", "_sn", 1.0), ("_pb", "_sb", 0.8))
+    ]
+    held = part.withColumn("_key", B.needle(F.col("_pl"))).join(single.withColumn("_key", F.explode(B.haystack(F.col("_sl")))), ["author_id", "_key"]).filter(F.contains("_sl", F.col("_pl")))
+    holds = part.withColumn("_key", F.explode(B.haystack(F.col("_pl")))).join(single.withColumn("_key", B.needle(F.col("_sl"))), ["author_id", "_key"]).filter(F.contains("_pl", F.col("_sl")))
+    scored = reduce(DataFrame.unionByName, [*equal, *(x.select(*keys, F.lit(0.7).alias("score")) for x in (held, holds))])
     best = scored.groupBy("composite_id", "pos", "part").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("standalone_id"))).alias("m"))
     per = best.groupBy("composite_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("m.standalone_id").alias("standalone_id"), (-F.col("m.s")).alias("score")))).alias("matches"))
     n, k = F.size("parts"), F.coalesce(F.size("matches"), F.lit(0))
@@ -41,10 +45,16 @@ def composites(state: LibraryState) -> DataFrame:
     )
 
 
-def remove_composites(state: LibraryState, backfill: bool = True, keep_ids: list[int] | None = None) -> tuple[DataFrame, LibraryState]:
-    """Q26 applied: listed composites go, whatever the confidence; their standalone rows take the composite's series
-    and are numbered over the matched ones (W7)."""
+def numbered_composites(state: LibraryState) -> DataFrame:
+    return numbered(composites(state), "composite_id")
+
+
+def remove_composites(state: LibraryState, backfill: bool = True, keep_ids: list[int] | None = None, keep_numbers: list[int] | None = None) -> tuple[DataFrame, LibraryState]:
+    """Q26 applied: listed composites go, whatever the confidence, but for those whose id or number is kept; their
+    standalone rows take the composite's series and are numbered over the matched ones (W7)."""
     plan = composites(state)
+    if keep_numbers:
+        plan = numbered(plan, "composite_id").filter(~F.col("number").isin(keep_numbers)).drop("number")
     if keep_ids:
         plan = plan.filter(~F.col("composite_id").isin(keep_ids))
     catalog = state.catalog.join(plan.select(F.col("composite_id").alias("id")), "id", "left_anti")
@@ -61,9 +71,10 @@ def childrens_books(state: LibraryState) -> DataFrame:
     return rows.select("id", "author_id", "title", F.col("_c.reasons").alias("reasons"))
 
 
-def numbered(plan: DataFrame) -> DataFrame:
-    """A preview list with numbers."""
-    return plan.withColumn("number", F.row_number().over(Window.orderBy("author_id", "id")))
+def numbered(plan: DataFrame, by: str = "id") -> DataFrame:
+    """A preview list with numbers, by author and row; rows are numbered within their author, and only authors' counts
+    meet in one task."""
+    return with_numbers(plan, F.col("author_id"), F.col(by))
 
 
 def delete_rows(state: LibraryState, plan: DataFrame, keep_numbers: list[int] | None = None) -> tuple[DataFrame, LibraryState]:
@@ -84,6 +95,12 @@ def cleanup_review(state: LibraryState) -> DataFrame:
     return rows.select("id", "author_id", "title", F.col("_c.reasons").alias("reasons"))
 
 
+def verify_cleanup(state: LibraryState, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """Q28, verify: of a slice of the catalog, one row: how many books, how many the cleanup (C3) would take, and the share."""
+    rows = sliced(state.catalog, limit, offset).agg(F.count("*").alias("checked"), F.count_if(C.cleanup_non_english(F.col("title"))).alias("flagged"))
+    return rows.select("checked", "flagged", F.when(F.col("checked") > 0, 100.0 * F.col("flagged") / F.col("checked")).otherwise(0.0).alias("flagged_pct"))
+
+
 def language_report(state: LibraryState, at_least: int = 0) -> DataFrame:
     """English and other titles per author with more than `at_least` catalog rows."""
     other = F.count_if(C.non_english(F.col("title"))["flag"])

@@ -1,7 +1,7 @@
 """Duplicate groups of recommendations and catalog rows (Q19-Q23).
 
-Edges between similar titles are found natively, blocked by author and by length band, so the pairs that are compared
-are those whose lengths allow the similarity asked for. The groups themselves depend on the order in which rows are
+Edges between similar titles are found natively, blocked by author and by keys that similar titles share, so titles that
+have nothing in common never meet. The groups themselves depend on the order in which rows are
 taken; that last step sees one author's keys and edges at a time."""
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import blocks as B
 from ..functions import classify as C
 from ..functions import text as X
 from ..schema import LibraryState, on
@@ -32,23 +33,27 @@ def keyed(rows: DataFrame, owner: str, score: Column) -> DataFrame:
 
 
 def similar_pairs(rows: DataFrame, key: str, least: float = SIMILAR) -> DataFrame:
-    """(owner, a, b, sim) with a < b and similarity of `key` at `least` or more. Lengths that far apart in ratio
-    lie at most one band apart, so each row meets three bands of its owner."""
-    n = F.length(key)
-    band = F.floor(F.log(n) / F.log(F.lit(1 / least))).cast("int")
-    base = rows.filter(n > 0).select("owner", "id", F.col(key).alias("k"), band.alias("band"))
-    left = base.select("owner", F.col("id").alias("a"), F.col("k").alias("ka"), "band")
-    right = base.select("owner", F.col("id").alias("b"), F.col("k").alias("kb"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    return left.join(right, ["owner", "band"]).filter((F.col("a") < F.col("b")) & X.similar(F.col("ka"), F.col("kb"), least)).select("owner", "a", "b", X.similarity(F.col("ka"), F.col("kb")).alias("sim"))
+    """(owner, a, b, sim) with a < b and similarity of `key` at `least` or more. Rows of an owner meet under keys of
+    which similar texts share one; pairs of lengths too far apart go before any distance is computed."""
+    base = rows.filter(F.length(key) > 0).select("owner", "id", F.col(key).alias("k"))
+    keys = base.select("owner", "id", F.length("k").alias("n"), F.explode(B.near_keys(F.col("k"), least)).alias("key"))
+    left, right = keys.select("owner", "key", F.col("id").alias("a"), F.col("n").alias("na")), keys.select("owner", "key", F.col("id").alias("b"), F.col("n").alias("nb"))
+    met = left.join(right, ["owner", "key"]).filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9)).select("owner", "a", "b").distinct()
+    texts = base.select(F.col("owner").alias("_o"), F.col("id").alias("_i"), "k")
+    pairs = met.join(texts.withColumnRenamed("k", "ka"), (F.col("owner") == F.col("_o")) & (F.col("a") == F.col("_i"))).drop("_o", "_i")
+    pairs = pairs.join(texts.withColumnRenamed("k", "kb"), (F.col("owner") == F.col("_o")) & (F.col("b") == F.col("_i"))).drop("_o", "_i")
+    return pairs.filter(X.similar(F.col("ka"), F.col("kb"), least)).select("owner", "a", "b", X.similarity(F.col("ka"), F.col("kb")).alias("sim"))
 
 
 def contained_pairs(rows: DataFrame, most_longer: int = 30, shortest: int = 3) -> DataFrame:
-    """(owner, a, b) with a < b whose base titles are equal, or one holds the other (at most `most_longer` shorter)."""
+    """(owner, a, b) with a < b whose base titles are equal, or one holds the other (at most `most_longer` shorter). A
+    title meets those that have its key among the keys of their parts."""
     base = rows.filter("base <> ''").select("owner", "id", "base")
-    left, right = base.select("owner", F.col("id").alias("a"), F.col("base").alias("x")), base.select("owner", F.col("id").alias("b"), F.col("base").alias("y"))
-    lx, ly = F.length("x"), F.length("y")
-    holds = (F.contains("x", F.col("y")) | F.contains("y", F.col("x"))) & (F.abs(lx - ly) < most_longer) & (F.least(lx, ly) >= shortest)
-    return left.join(right, "owner").filter((F.col("a") < F.col("b")) & ((F.col("x") == F.col("y")) | holds)).select("owner", "a", "b")
+    equal = base.select("owner", "base", F.col("id").alias("a")).join(base.select("owner", "base", F.col("id").alias("b")), ["owner", "base"]).filter("a < b").select("owner", "a", "b")
+    long = base.select("owner", F.col("id").alias("l"), F.col("base").alias("x"), F.explode(B.haystack(F.col("base"))).alias("key"))
+    short = base.filter(F.length("base") >= shortest).select("owner", F.col("id").alias("s"), F.col("base").alias("y"), B.needle(F.col("base")).alias("key"))
+    holds = (F.col("x") != F.col("y")) & F.contains("x", F.col("y")) & (F.length("x") - F.length("y") < most_longer)
+    return equal.unionByName(long.join(short, ["owner", "key"]).filter(holds).select("owner", F.least("l", "s").alias("a"), F.greatest("l", "s").alias("b")))
 
 
 def grouped(ids: list[int], norm: dict, base: dict, isbn: dict, fuzzy: dict[int, list[int]] | Neighbours, contained: dict[int, list[int]] | Neighbours | None) -> list[tuple[str, list[int]]]:
@@ -185,6 +190,18 @@ def explained(groups: DataFrame, rows: DataFrame) -> DataFrame:
     return groups.filter("id <> keep_id").join(kept, "keep_id").join(other, "id").select("owner", "group_key", "keep_id", "keep_title", "id", "title", C.duplicate_reasons(F.col("keep_title"), F.col("title"), F.col("_ki"), F.col("isbn")).alias("reasons"))
 
 
+def prolific_report(state: LibraryState, min_books: int = 100) -> DataFrame:
+    """Q21: for authors with at least min_books visible recommendations one row: their number, duplicate groups, rows to
+    remove, how many of these have each tag (C13), and titles in another script."""
+    rows = visible(state.recommendations)
+    groups = settled(recommendation_duplicates(state, min_books))
+    per = groups.groupBy("owner").agg(F.count_distinct("group_key").alias("duplicate_groups"), F.count_if(F.col("id") != F.col("keep_id")).alias("total_duplicates"))
+    tags = explained(groups, state.recommendations).groupBy("owner").agg(*(F.count_if(F.array_contains("reasons", t)).alias(t) for t in C.DUPLICATE_TAGS))
+    every = rows.groupBy(F.col("author").alias("owner")).agg(F.count("*").alias("total_recommendations"), F.count_if(X.or_empty(F.col("title")).rlike(C.SCRIPT_CLASS)).alias("non_english_detected"))
+    out = every.filter(F.col("total_recommendations") >= min_books).join(per, "owner", "left").join(tags, "owner", "left")
+    return out.na.fill(0, ["duplicate_groups", "total_duplicates", *C.DUPLICATE_TAGS])
+
+
 def sure(removals: DataFrame) -> DataFrame:
     """C14 of an approval: high where isbn or normalised title agree."""
     return removals.withColumn("confidence", F.when(F.array_contains("reasons", "isbn_match") | F.array_contains("reasons", "exact_normalized"), "high").otherwise("medium"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..schema import LibraryState, on
+from ..schema import LibraryState, on, with_numbers
 
 #: The order in which states are shown.
 STATUS_ORDER = ("partial", "not_started", "complete")
@@ -86,10 +86,15 @@ def consolidations(state: LibraryState) -> DataFrame:
     return g.filter(F.size("variants") > 1).select("author_id", "series_key", "canonical", "variants", "books", F.when(sure, "high").otherwise("medium").alias("confidence"))
 
 
-def consolidate(state: LibraryState, keep_numbers: list[int] | None = None) -> tuple[DataFrame, LibraryState]:
-    """Q25 applied; plan is numbered (W3), and only the numbers given (all, if none are) take effect."""
-    found = consolidations(state)
-    plan = found.withColumn("number", F.row_number().over(Window.orderBy("author_id", "series_key")))
+def numbered(found: DataFrame) -> DataFrame:
+    """Consolidations with numbers, by author and series."""
+    return with_numbers(found, F.col("author_id"), F.col("series_key"))
+
+
+def consolidate(state: LibraryState, keep_numbers: list[int] | None = None, without: list[int] | None = None) -> tuple[DataFrame, LibraryState]:
+    """Q25 applied; plan is numbered (W3), and only the numbers given (all, if none are), less those in `without`, take effect."""
+    plan = numbered(consolidations(state))
     chosen = plan if keep_numbers is None else plan.filter(F.col("number").isin(keep_numbers))
+    chosen = chosen.filter(~F.col("number").isin(without)) if without else chosen
     renamed = state.catalog.withColumn("_k", X.series_key(F.col("series_name"))).join(chosen.select("author_id", F.col("series_key").alias("_k"), "canonical"), ["author_id", "_k"], "left")
     return chosen, state.with_(catalog=renamed.withColumn("series_name", F.coalesce("canonical", "series_name")))

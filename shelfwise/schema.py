@@ -76,16 +76,26 @@ def on(flag: str) -> F.Column:
     return F.coalesce(F.col(flag), F.lit(False))
 
 
-def assign_ids(rows: DataFrame, taken: DataFrame, bucket: F.Column, *order: F.Column) -> DataFrame:
-    """rows with consecutive ids after the largest in `taken`, in the order of bucket, then order. Only bucket counts
-    go through one task; rows are numbered within their bucket."""
+def with_numbers(rows: DataFrame, *order: F.Column, name: str = "number") -> DataFrame:
+    """rows with consecutive numbers from 1 in the given order: rows are sorted by ranges, numbered within their range, and
+    what meets in one task is one count per range. The order has to tell rows apart, or ties take any place."""
     from pyspark.sql import Window
 
+    from .store import settled
+
+    dealt = settled(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()))
+    local = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    counts = dealt.groupBy("__part").agg(F.count("*").alias("__n"))  # as many rows as partitions
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    numbered = dealt.withColumn("__local", local).join(F.broadcast(bases), "__part")
+    return numbered.withColumn(name, (F.col("__base") + F.col("__local")).cast("int")).drop("__part", "__local", "__base")
+
+
+def assign_ids(rows: DataFrame, taken: DataFrame, bucket: F.Column, *order: F.Column) -> DataFrame:
+    """rows with consecutive ids after the largest in `taken`, in the order of bucket, then order; only counts of ranges
+    meet in one task."""
     start = taken.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__start"))
-    tagged = rows.withColumn("__bucket", bucket)
-    counts = tagged.groupBy("__bucket").agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base")).crossJoin(F.broadcast(start))
-    local = F.row_number().over(Window.partitionBy("__bucket").orderBy(*order))
-    numbered = tagged.withColumn("__local", local).join(bases, tagged["__bucket"].eqNullSafe(bases["__bucket"]))
-    return numbered.withColumn("id", (F.col("__start") + F.col("__base") + F.col("__local")).cast("long")).drop("__bucket", "__base", "__local", "__start")
+    tagged = rows.drop("id").withColumn("__bucket", bucket)
+    numbered = with_numbers(tagged, F.col("__bucket"), *order, name="__number").crossJoin(F.broadcast(start))  # one row
+    return numbered.withColumn("id", (F.col("__start") + F.col("__number")).cast("long")).drop("__bucket", "__number", "__start")
