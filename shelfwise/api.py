@@ -4,6 +4,8 @@ GET  /api/status, /api/series, /api/recommendations/<format>, /api/books-to-read
 POST /api/recommendations/<format>/<feedback | flag-non-english | flag-already-read | flag-duplicate | recategorize>
      /api/authors/<name>/<hide | unhide>
 
+Lists come in pages: ?limit= (1000, if none is given; 10000 at most) and ?offset=, with the total beside them.
+
 What it serves is the newest version of the library; each change publishes one. Requests are taken one at a time."""
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 import json
 import sys
 from http.server import BaseHTTPRequestHandler, HTTPServer
-from urllib.parse import unquote
+from urllib.parse import parse_qs, unquote
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,27 +26,41 @@ FORMATS = ("audiobook", "ebook")
 FLAG_PATHS = {"flag-non-english": "non_english", "flag-already-read": "already_read", "flag-duplicate": "duplicate"}
 
 
+PAGE, MOST = 1000, 10_000
+
+
 def items(df: DataFrame) -> list:
+    """Rows of a frame that is small by nature or paged."""
     return [json.loads(x) for x in df.toJSON().collect()]
 
 
+def page(df: DataFrame, query: str, *order) -> tuple[list, int]:
+    """A page of df in the given order, and the number of all rows."""
+    given = parse_qs(query)
+    number = lambda name, default: int(given[name][0]) if given.get(name, [""])[0].isdigit() else default
+    return items(df.orderBy(*order).offset(number("offset", 0)).limit(min(MOST, number("limit", PAGE)))), df.count()
+
+
 class Library:
     def __init__(self, store: SnapshotStore):
         self.store, self.spark = store, store.spark
 
     def get(self, path: str) -> tuple[int, object]:
-        state, parts = self.store.load(), [unquote(p) for p in path.split("?")[0].strip("/").split("/")]
+        state, (path, _, query) = self.store.load(), path.partition("?")
+        parts = [unquote(p) for p in path.strip("/").split("/")]
         match parts:
             case ["api", "status"]:
                 return 200, items(report.status(state, F.current_timestamp()))[0]
             case ["api", "series"]:
-                return 200, {"series": items(series.analyze_series(state)), "summary": items(series.series_summary(state))[0]}
+                rows, total = page(series.analyze_series(state), query, "author_id", "series_name")
+                return 200, {"series": rows, "total": total, "summary": items(series.series_summary(state))[0]}
             case ["api", "books-to-read"]:
-                rows = items(recommend.books_to_read(state))
-                return 200, {"books": rows, "total": len(rows)}
+                rows, total = page(recommend.books_to_read(state), query, "author", F.desc("similarity_score"), "id")
+                return 200, {"books": rows, "total": total}
             case ["api", "recommendations", fmt] if fmt in FORMATS:
-                rows = items(recommend.web_recommendations(state, fmt))
-                return 200, {"recommendations": rows, "total": len(rows), "hidden": items(recommend.hidden_section(state, fmt))}
+                shown = recommend.web_recommendations(state, fmt)
+                rows, total = page(shown, query, *(c for c in ("author", "title", "catalog_id", "category") if c in shown.columns))
+                return 200, {"recommendations": rows, "total": total, "hidden": page(recommend.hidden_section(state, fmt), query, "author")[0]}
         return 404, {"error": "not found"}
 
     def post(self, path: str, body: dict) -> tuple[int, object]:

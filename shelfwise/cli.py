@@ -1,18 +1,27 @@
 """Command line: python -m shelfwise.cli --db PATH COMMAND. Commands that change a library publish a new version; with
---dry-run they print the plan only."""
+--dry-run they print the plan only. Commands that delete or move rows ask first, unless --yes is given."""
 
 from __future__ import annotations
 
 import argparse
+import os
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import authors, catalog, curation, feedback, ingest, recommend, report, series
+from .operators import authors, catalog, curation, dedupe, feedback, fetch, ingest, recommend, report, series
 from .session import get_session
-from .sources import newest, read_editions_from, read_loans, read_works_from
+from .sources import DocumentClient, newest, read_approvals, read_editions_from, read_loans, read_report, read_works_from
+from .sources.documents import Limits
 from .store import SnapshotStore
 
+#: Commands that ask before they change a library.
+ASKS = ("cleanup", "fix-authors", "remove-duplicates", "merge-authors", "composites", "childrens", "consolidate-series", "approve")
+
+
+def _numbers(text: str) -> list[int]:
+    return [int(x) for x in text.replace(",", " ").split()]
+
 
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="shelfwise")
@@ -27,19 +36,24 @@ def _parser() -> argparse.ArgumentParser:
             c.add_argument(f"--{o.replace('_', '-')}", type=kind, default=None)
         return c
 
+    network = {"host": str, "volumes_host": str, "cache": str, "pause": float}
     command("ingest", "update").add_argument("csv")
-    command("catalog", "force", "only-recent", "auto-cleanup", "yes", recent_years=int, works=str, editions=str)
+    command("catalog", "force", "only-recent", "auto-cleanup", "yes", "list-due", recent_years=int, works=str, editions=str, **network)
     command("series", format=str)
     command("recommend", "save", category=str).add_argument("kind", choices=("audiobook", "ebook"))
     command("status")
-    command("cleanup", "yes", "dry-run", limit=int, offset=int)
-    command("fix-authors", "yes", "only-cataloged", limit=int)
+    command("cleanup", "yes", "dry-run", "titles-only", limit=int, offset=int, **network)
+    command("fix-authors", "yes", "dry-run", "only-cataloged", limit=int, **network)
+    command("fix-names", "dry-run")
     command("remove-duplicates", "yes", "dry-run", limit=int, offset=int)
     command("merge-authors", "yes", "dry-run", author1=str, author2=str, author1_id=int, author2_id=int, keep=str)
     command("list-authors", search=str)
-    command("composites", "dry-run")
-    command("childrens", "dry-run")
-    command("consolidate-series", "dry-run")
+    for name in ("composites", "childrens", "consolidate-series"):
+        command(name, "yes", "dry-run", keep=_numbers)
+    command("verify-cleanup", limit=int, offset=int)
+    command("review-cleanup")
+    command("duplicates", author=str, min_books=int).add_argument("what", choices=("recommendations", "catalog", "prolific"))
+    command("approve", "yes", "dry-run", "all", file=str, author_ids=_numbers, groups=str).add_argument("report")
     f = command("feedback")
     f.add_argument("format")
     f.add_argument("action", choices=tuple(feedback.ACTIONS))
@@ -52,6 +66,17 @@ def show(df: DataFrame, n: int = 20) -> None:
     df.show(n, truncate=80)
 
 
+def confirmed(args: argparse.Namespace) -> bool:
+    if args.command not in ASKS or args.yes or args.dry_run:
+        return True
+    return input("Continue? (yes/no): ").strip().lower() in ("yes", "y")
+
+
+def _client(spark, args: argparse.Namespace) -> DocumentClient:
+    limits = Limits() if args.pause is None else Limits(pause=args.pause)
+    return DocumentClient(spark, args.cache or os.path.join(args.db, "cache"), limits)
+
+
 def main(argv: list[str] | None = None) -> None:
     args = _parser().parse_args(argv)
     spark = get_session()
@@ -62,11 +87,19 @@ def main(argv: list[str] | None = None) -> None:
         case "ingest":
             plan, state = ingest.ingest(state, read_loans(spark, newest(spark, args.csv)), now, args.update)
         case "catalog":
-            if args.works:  # fetched documents; without any, the authors that are due
-                years = (args.recent_years or 3) if getattr(args, "only_recent") else None
-                plan, state = catalog.fetch_all(state, read_works_from(spark, args.works), read_editions_from(spark, args.editions or args.works), now, args.force, years, args.auto_cleanup)
-            else:
+            now = F.lit(spark.range(1).select(F.current_timestamp()).first()[0])  # one time for all steps
+            years = (args.recent_years or 3) if args.only_recent else None
+            if args.list_due:
                 show(catalog.due_authors(state, now, args.force).filter("due"))
+            else:
+                if args.works:  # documents that were fetched before
+                    works, editions = read_works_from(spark, args.works), read_editions_from(spark, args.editions or args.works)
+                else:  # groups are taken apart first, as their members are what is looked for
+                    state = catalog.split_first(state)
+                    works, editions, keys = fetch.catalog_documents(_client(spark, args), args.host or fetch.WORKS, state, now, args.force)
+                    state = catalog.with_author_keys(state, keys)
+                plan, state = catalog.fetch_all(state, works, editions, now, args.force, years, args.auto_cleanup)
+                show(authors.duplicate_authors(state))
         case "series":  # --format is accepted and has no effect
             show(series.analyze_series(state).limit(10))
             show(series.series_summary(state))
@@ -78,9 +111,15 @@ def main(argv: list[str] | None = None) -> None:
         case "status":
             show(report.status(state, now))
         case "cleanup":
-            plan, state = catalog.cleanup_non_english(state, args.limit, args.offset or 0)
+            parts = volumes = None
+            if not args.titles_only:
+                ids = catalog.sliced(state.catalog, args.limit, args.offset or 0).select("id") if args.limit or args.offset else None
+                parts, volumes = fetch.language_documents(_client(spark, args), args.host or fetch.WORKS, args.volumes_host or fetch.VOLUMES, state, ids)
+            plan, state = catalog.cleanup_non_english(state, args.limit, args.offset or 0, editions=parts, volumes=volumes)
         case "fix-authors":
-            show(authors.name_mismatches(state))
+            found = fetch.mismatch_documents(_client(spark, args), args.host or fetch.WORKS, state)
+            plan, state = authors.fix_mismatches(state, *found, now, args.limit, args.only_cataloged)
+        case "fix-names":
             plan, state = authors.fix_name_mismatches(state)
         case "remove-duplicates":
             plan, state = catalog.remove_duplicate_titles(state, args.limit, args.offset or 0)
@@ -88,23 +127,54 @@ def main(argv: list[str] | None = None) -> None:
             one, two = args.author1_id or args.author1, args.author2_id or args.author2
             if one is None and two is None:
                 show(authors.duplicate_authors(state))
+            elif one is None or two is None or isinstance(one, int) != isinstance(two, int):
+                raise SystemExit("two names or two ids are needed")
             else:
-                plan, state = authors.merge_authors(state, one, two, args.keep)
+                keep = one if args.keep in ("1", "author1", "first") else two if args.keep in ("2", "author2", "second") else args.keep
+                plan, state = authors.merge_authors(state, one, two, keep)
         case "list-authors":
             show(report.list_authors(state, args.search), 1000)
         case "composites":
-            plan, state = curation.remove_composites(state)
+            listed = curation.numbered_composites(state)
+            show(listed)
+            plan, state = curation.remove_composites(state, keep_numbers=args.keep)
         case "childrens":
-            plan, state = curation.delete_rows(state, curation.childrens_books(state))
+            listed = curation.childrens_books(state)
+            show(curation.numbered(listed))
+            plan, state = curation.delete_rows(state, listed, args.keep)
         case "consolidate-series":
-            plan, state = series.consolidate(state)
+            listed = series.numbered(series.consolidations(state))
+            show(listed)
+            plan, state = series.consolidate(state, without=args.keep)
+        case "verify-cleanup":
+            show(curation.verify_cleanup(state, args.limit, args.offset or 0))
+        case "review-cleanup":
+            show(report.histogram(curation.cleanup_review(state), "reasons"))
+        case "duplicates":
+            least = {"recommendations": 10, "catalog": 10, "prolific": 100}[args.what] if args.min_books is None else args.min_books
+            if args.what == "prolific":
+                show(dedupe.prolific_report(state, least))
+            else:
+                rows = state.catalog if args.what == "catalog" else state.recommendations
+                groups = dedupe.catalog_duplicates(state, least) if args.what == "catalog" else dedupe.recommendation_duplicates(state, least, args.author)
+                show(dedupe.explained(groups, rows))
+        case "approve":
+            given = read_approvals(spark, args.file).first() if args.file else None
+            chosen = {"author_ids": args.author_ids, "group_keys": args.groups.split("|") if args.groups else None, "approve_all": args.all}
+            if given is not None:
+                chosen = {"author_ids": given["author_ids"], "group_keys": given["group_keys"], "approve_all": bool(given["approve_all"])}
+            plan, state = dedupe.approve(state, read_report(spark, args.report), **chosen)
         case "feedback":
             event = spark.range(1).select(F.lit(args.title).alias("title"), F.lit(args.author).alias("author"), F.lit(args.format).alias("format"), F.lit(args.action).alias("action"), now.alias("at"))
             plan, state = feedback.apply_feedback(state, event, now)
     if plan is not None:
         show(plan)
-        if not getattr(args, "dry_run", False):
+        if getattr(args, "dry_run", False):
+            return
+        if confirmed(args):
             print("version", store.publish(state))
+        else:
+            print("Cancelled.")
 
 
 if __name__ == "__main__":
