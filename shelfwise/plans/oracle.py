@@ -3,203 +3,13 @@
 from __future__ import annotations
 
 from ..functions import lexicon as L
-from .queries import NOW
+from . import oracle_groups, oracle_more
+from .oracle_text import (
+    _since, BAD, C12, CATS, F20, FICTION, JUDGED, MATCH, STANDALONE, _similar, c2_reason, c3, c4, c7, c8, c9, c10, candidates, f2, f3, f4, f5, f7, f8, f10, f15, gone, has, lt, parts_of, squeeze, strip,
+)
 from .views import shared_sql
 
 
-def _q(pattern: str) -> str:
-    return pattern.replace("'", "''")
-
-
-def gone(x: str, pattern: str, by: str = "", flags: str = "gi") -> str:
-    return f"regexp_replace({x}, '{_q(pattern)}', '{by}', '{flags}')"
-
-
-def gone_all(x: str, *patterns: str) -> str:
-    for p in patterns:
-        x = gone(x, p)
-    return x
-
-
-def squeeze(x: str) -> str:
-    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
-
-
-def strip(x: str) -> str:
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
-
-
-def has(x: str, pattern: str) -> str:
-    return f"regexp_matches({x}, '{_q(pattern)}', 'i')"
-
-
-def any_of(x: str, patterns) -> str:
-    return "(" + " OR ".join(has(x, p) for p in patterns) + ")"
-
-
-def parts_of(x: str, parts) -> str:
-    return "(" + " OR ".join(f"contains({x}, '{_q(p)}')" for p in parts) + ")"
-
-
-def lt(x: str) -> str:
-    return f"lower({strip(x)})"
-
-
-def f2(x: str) -> str:
-    return f"lower({squeeze(gone(gone_all(x, L.SERIES_PAREN, L.EDITION_PAREN, L.EDITION_BRACKET, L.LEADING_ARTICLE), L.APOSTROPHES))})"
-
-
-def f3(x: str) -> str:
-    return squeeze(f"lower({gone_all(gone(x, L.SPLIT_PART, ' '), L.EDITION_PAREN_PLAIN, L.EDITION_BRACKET_PLAIN)})")
-
-
-def f4(x: str) -> str:
-    y = gone(gone_all(x, L.SERIES_PAREN_STRICT, L.EDITION_PAREN, L.EDITION_BRACKET, L.EDITION_WORD, *L.VOLUME), L.SPLIT_PART, " ")
-    return f"lower({squeeze(gone(gone(y, L.LEADING_ARTICLE), L.APOSTROPHES))})"
-
-
-def f5(x: str) -> str:
-    y = gone_all(gone(x, r"\s*\([^)]+\)\s*$"), L.SERIES_PAREN_STRICT, *L.VOLUME, L.EDITION_WORD)
-    return strip(gone(gone(y, r"\s*\[[^\]]+\]\s*$"), L.APOSTROPHES))
-
-
-def f7(x: str) -> str:
-    return strip(f"lower({gone_all(x, L.EDITION_PAREN_PLAIN[3:], L.EDITION_BRACKET_PLAIN[3:])})")
-
-
-def f8(x: str) -> str:
-    y = gone_all(strip(f"lower(coalesce({x}, ''))"), L.LEADING_ARTICLE, r"\s*series\s*$")
-    return gone(squeeze(y), r"[^\w\s]")
-
-
-def f15(x: str) -> str:
-    """The parts by slash (the titles have no bar)."""
-    some = f"list_filter(list_transform(string_split({x}, '/'), lambda y: trim(y)), lambda y: length(y) > 3)"
-    return f"(CASE WHEN contains({x}, '/') AND len({some}) > 1 THEN {some} ELSE CAST([] AS VARCHAR[]) END)"
-
-
-def f10(x: str) -> tuple[str, str]:
-    inner = rf"regexp_extract({x}, '\(([^)]+)\)', 1)"
-    name = strip(gone(strip(f"regexp_extract({inner}, '{L.SERIES_NUMBER}', 1, 'i')"), r"\s+Book\s*$"))
-    number = f"TRY_CAST(regexp_extract({inner}, '{L.SERIES_NUMBER}', 2, 'i') AS INTEGER)"
-    ok = f"length({name}) > 2 AND {number} IS NOT NULL"
-    return f"CASE WHEN {ok} THEN {name} END", f"CASE WHEN {ok} THEN {number} END"
-
-
-NAMES = "(?:" + "|".join(L.LANGUAGES) + ")"
-EDITIONS = (rf"\([^)]*{NAMES}\s*(?:edition|version|translation)?[^)]*\)", rf"\[[^\]]*{NAMES}\s*(?:edition|version|translation)?[^\]]*\]", rf"\b{NAMES}\s+(?:edition|version|translation)\b")
-SPANISH = rf"\b(?:{'|'.join(L.SPANISH_WORDS)})\b"
-SCRIPTS = "[" + "".join(rf"\x{{{a}}}-\x{{{b}}}" for a, b in L.SCRIPTS) + "]"
-
-
-def c2_reason(x: str) -> str:
-    words = f"list_filter(regexp_split_to_array({squeeze(x)}, ' '), lambda w: w <> '')"
-    mixed = ", ".join(f"'{w}'" for w in L.MIXED_CASE_WORDS)
-    odd = rf"list_filter({words}, lambda w: length(w) BETWEEN 3 AND 5 AND regexp_matches(w, '^[A-Z]') AND regexp_matches(w[2:], '[a-z]') AND regexp_matches(w[2:], '[A-Z]') AND lower(w) NOT IN ({mixed}) AND rtrim(lower(w), '''s') NOT IN ({mixed}))"
-    articles = " OR ".join(rf"len(regexp_extract_all({x}, '\b(?:{'|'.join(a)})\s+[A-Z]', 0, 'i')) / len({words}) > 0.3" for a in (L.ARTICLES, L.PARTICLES))
-    heb = any_of(x, [p for p in L.HEBREW_WORDS if "x{" not in p])
-    first = f"lower({words}[1]) NOT IN ({', '.join(repr(w) for w in L.X_WORDS)})"
-    labels = ("Language edition in parentheses", "Language edition in brackets", "Standalone language edition")
-    eds = " ".join(f"WHEN {has(x, p)} THEN '{label}: ''' || regexp_extract({x}, '{_q(p)}', 0, 'i') || ''''" for label, p in zip(labels, EDITIONS))
-    return f"""CASE WHEN regexp_matches({x}, '{SCRIPTS}') THEN 'Non-English script detected (CJK/Cyrillic/Arabic/Hebrew)'
-      WHEN {heb} THEN 'Hebrew transliteration pattern detected' {eds}
-      WHEN NOT contains(lower({x}), 'house edition') AND {has(x, SPANISH)} THEN 'Spanish text indicator: ''' || regexp_extract({x}, '{SPANISH}', 0, 'i') || ''''
-      WHEN regexp_matches({x}, '[¿¡]') THEN 'Spanish punctuation (¿ or ¡)' WHEN contains({x}, 'ß') THEN 'German ß character'
-      WHEN {has(x, '^X[a-z]{2,}')} AND {first} THEN 'Suspicious encoding pattern: X prefix'
-      WHEN len({odd}) > 0 THEN 'Suspicious capitalization pattern: ''' || {odd}[1] || ''''
-      WHEN len({words}) > 2 AND ({articles}) THEN 'Non-English article/preposition pattern detected' END"""
-
-
-def c3(x: str) -> str:
-    """The titles are plain letters, so accents never decide."""
-    return f"({any_of(x, EDITIONS)} OR (NOT contains(lower({x}), 'house edition') AND {has(x, SPANISH)}))"
-
-
-def c4(x: str) -> str:
-    """Compared in any case, the dotless i of the review rule also stands for i: with plain titles, only that counts."""
-    n, letters = f"len(regexp_extract_all({x}, '[iI]'))", f"length(regexp_replace({x}, '[^A-Za-z]', '', 'g'))"
-    return f"({c3(x)} OR ({n} > 0 AND ({n} / {letters} > 0.05 OR (length({x}) < 15 AND {n} >= 2) OR {n} >= 3)))"
-
-
-def c7(t: str, s: str, c: str, d: str) -> str:
-    t, s, c, d = (f"lower(coalesce({x}, ''))" for x in (t, s, c, d))
-    every = f"concat_ws(' ', {t}, {c}, {d})"
-    known = f"({any_of(every, L.KNOWN_CHILDRENS_SERIES)} AND {parts_of(every, L.CHILDRENS_CONTEXT)})"
-    return f"({any_of(t, L.CHILDRENS_TITLE)} OR {any_of(t, L.CHILDRENS_SERIES)} OR {any_of(every, L.AGE_RANGES)} OR {parts_of(c, L.CHILDRENS_CATEGORIES)} OR {parts_of(d, L.CHILDRENS_DESCRIPTION)} OR {known})"
-
-
-def c8(x: str) -> str:
-    return f"(regexp_matches({x}, '[/|]') OR {any_of(x, L.COMPOSITE_RANGES)})"
-
-
-def c9(x: str) -> str:
-    return f"({any_of(f'lower({x})', L.PUBLISHER_PATTERNS)} OR {parts_of(f'lower({x})', L.PUBLISHER_NAMES)})"
-
-
-def c10(x: str) -> str:
-    cases = " ".join(f"WHEN {parts_of(f'lower({x})', parts)} THEN '{label}'" for label, parts in L.PUBLISHER_LABELS)
-    return f"CASE {cases} WHEN upper({x}) = {x} AND regexp_matches({x}, '[A-Z]') AND len(string_split({x}, ' ')) <= 3 THEN 'Acronyms' ELSE 'Other' END"
-
-
-CATS = "(CASE WHEN coalesce(categories, '') = '' THEN CAST([] AS VARCHAR[]) ELSE string_split(categories, ', ') END)"
-FICTION = f"(len(list_filter({CATS}, lambda c: {parts_of('lower(c)', L.NON_FICTION)})) = 0)"
-C12 = "(CASE WHEN coalesce(isbn, '') <> '' THEN 10 ELSE 0 END + CASE WHEN coalesce(description, '') <> '' THEN 5 ELSE 0 END + CASE WHEN coalesce(open_library_key, '') <> '' THEN 3 ELSE 0 END + CASE WHEN coalesce(google_books_id, '') <> '' THEN 2 ELSE 0 END + CASE WHEN coalesce(publication_date, '') <> '' THEN 1 ELSE 0 END)"
-_MARKED = f"(CASE WHEN list_contains({CATS}, 'Non-Fiction') THEN {CATS} ELSE list_append({CATS}, 'Non-Fiction') END)"
-_FACT = f"(CASE WHEN len(list_filter({_MARKED}, lambda c: {parts_of('lower(c)', L.NON_FICTION_MARKS)})) > 0 THEN {_MARKED} ELSE list_append({_MARKED}, 'History') END)"
-_REST = f"list_filter({CATS}, lambda c: NOT {parts_of('lower(c)', L.NON_FICTION)})"
-F20 = f"array_to_string(CASE WHEN {FICTION} THEN {_FACT} WHEN list_contains({_REST}, 'Fiction') THEN {_REST} ELSE list_prepend('Fiction', {_REST}) END, ', ')"
-
-BAD = "(coalesce(thumbs_down, false) OR coalesce(non_english, false) OR coalesce(already_read, false) OR coalesce(duplicate, false))"
-VISIBLE = f"NOT {BAD}"
-
-
-def candidates(fmt: str) -> str:
-    only = "WHERE format = 'audiobook'" if fmt == "audiobook" else ""
-    score, why = ("CAST(0.95 AS DOUBLE)", "listened to") if fmt == "audiobook" else ("CAST(0.9 AS DOUBLE)", "read")
-    return f"""hist AS (SELECT * FROM books {only}),
-chosen AS (SELECT h.author, coalesce((SELECT min(id) FROM authors a WHERE a.name = h.author), (SELECT min(id) FROM authors a WHERE a.normalized_name = h.author)) AS author_id FROM (SELECT DISTINCT author FROM hist) h),
-readn AS (SELECT a.id AS author_id, (SELECT count(*) FROM books b WHERE b.author = a.normalized_name) + (SELECT count(*) FROM recommendations r WHERE r.already_read AND lower(r.author) = lower(a.name)) AS books_by_author_count FROM authors a),
-eligible AS (SELECT * FROM catalog WHERE NOT is_read AND ({c2_reason('title')}) IS NULL),
-cand AS (SELECT c.id AS catalog_id, c.author_id, c.title, a.name AS author, {score} AS similarity_score, 'You''ve {why} other books by ' || a.name AS reason, {CATS} AS categories,
-  CASE WHEN length(description) > 200 THEN substr(description, 1, 200) || '...' ELSE description END AS description, n.books_by_author_count, nullif(c.series_name, '') AS series_name, nullif(c.series_position, 0) AS series_position
-  FROM eligible c JOIN chosen ch ON ch.author_id = c.author_id JOIN authors a ON a.id = c.author_id JOIN readn n ON n.author_id = c.author_id
-  WHERE lower(c.title) NOT IN (SELECT lower(title) FROM hist WHERE title IS NOT NULL))"""
-
-
-JUDGED = f"""judged AS (
-  SELECT c.*, a.name AS author, c.is_read OR EXISTS (SELECT 1 FROM recommendations r WHERE r.already_read AND {lt('r.title')} = {lt('c.title')} AND {lt('r.author')} = {lt('a.name')}) AS rd,
-         EXISTS (SELECT 1 FROM recommendations r WHERE (r.thumbs_down OR r.duplicate OR r.non_english) AND {lt('r.title')} = {lt('c.title')} AND {lt('r.author')} = {lt('a.name')}) AS bad
-  FROM catalog c JOIN authors a ON a.id = c.author_id WHERE c.series_name <> ''
-), rolled AS (
-  SELECT author_id, author, series_name, count(*) AS total_books, count(*) FILTER (rd) AS books_read, count(*) FILTER (NOT rd AND NOT bad) AS un,
-         coalesce(string_agg(CASE WHEN NOT rd AND NOT bad THEN title END, '|' ORDER BY CASE WHEN coalesce(series_position, 0) = 0 THEN 999 ELSE series_position END, id), '') AS unread_titles
-  FROM judged GROUP BY ALL
-), series AS (
-  SELECT author_id, author, series_name, total_books, books_read, books_read / total_books * 100 AS completion_pct,
-         CASE WHEN books_read = 0 THEN 'not_started' WHEN un = 0 THEN 'complete' ELSE 'partial' END AS status, CAST(un AS INTEGER) AS unread, unread_titles
-  FROM rolled WHERE books_read > 0 OR un > 0
-)"""
-
-STANDALONE = "SELECT c.id, a.name AS author, c.title FROM catalog c JOIN authors a ON a.id = c.author_id WHERE coalesce(c.series_name, '') = '' AND NOT c.is_read"
-
-MATCH = f"""cm AS (SELECT c.id, c.isbn, {lt('c.title')} AS t, a.normalized_name AS author FROM catalog c JOIN authors a ON a.id = c.author_id),
-bm AS (SELECT id, isbn, author, {lt('title')} AS t, lower(title) AS raw FROM books),
-m AS (SELECT cm.id, (SELECT max(b.id) FROM bm b WHERE b.author = cm.author AND b.isbn = cm.isbn AND b.isbn <> '') AS m1, (SELECT max(b.id) FROM bm b WHERE b.author = cm.author AND b.t = cm.t) AS m2,
-  (SELECT min(b.id) FROM bm b WHERE b.author = cm.author AND (contains(b.raw, cm.t) OR contains(cm.t, b.raw))) AS m3 FROM cm)"""
-
-
-def _similar(a: str, b: str) -> str:
-    return f"(length({a}) > 0 AND length({b}) > 0 AND 1.0 - levenshtein({a}, {b}) / greatest(length({a}), length({b})) >= 0.85)"
-
-
-def _since(x: str) -> str:
-    sec = f"date_diff('second', {x}, TIMESTAMP '{NOW}')"
-    d, h, mi = f"({sec} // 86400)", f"({sec} // 3600)", f"(({sec} % 3600) // 60)"
-    ago = lambda n, u: f"CAST({n} AS VARCHAR) || ' {u}' || CASE WHEN {n} > 1 THEN 's' ELSE '' END || ' ago'"
-    return f"""CASE WHEN {x} IS NULL THEN 'Never' WHEN {d} < 1 AND {h} < 1 AND {mi} < 1 THEN 'Just now' WHEN {d} < 1 AND {h} < 1 THEN {ago(mi, 'minute')} WHEN {d} < 1 THEN CASE WHEN {h} = 1 THEN '1 hour ago' ELSE CAST({h} AS VARCHAR) || ' hours ago' END
-      WHEN {d} = 1 THEN '1 day ago' WHEN {d} < 7 THEN CAST({d} AS VARCHAR) || ' days ago' WHEN {d} < 30 THEN {ago(f'({d} // 7)', 'week')} ELSE {ago(f'({d} // 30)', 'month')} END"""
-
-
 def _texts() -> dict[str, str]:
     t = "title"
     name10, pos10 = f10(t)
@@ -243,15 +53,15 @@ def _texts() -> dict[str, str]:
         "q28_non_english": f"SELECT id, ({c2_reason(t)}) AS reasons FROM catalog WHERE ({c2_reason(t)}) IS NOT NULL",
         "q28_language_report": f"""SELECT author_id, count(*) AS books, count(*) - count({c2_reason(t)}) AS english, count({c2_reason(t)}) AS non_english, 100.0 * count({c2_reason(t)}) / count(*) AS non_english_pct FROM catalog GROUP BY 1 HAVING count(*) > 3""",
         "q29_publisher_authors": f"""SELECT id, name, CASE WHEN {c9('name')} THEN {c10('name')} ELSE 'Many books' END AS label, n AS catalog_books FROM (SELECT a.*, (SELECT count(*) FROM catalog c WHERE c.author_id = a.id) AS n FROM authors a) WHERE {c9('name')} OR n > 50""",
-        "q29_remove_authors": """SELECT 'authors' AS "table", count(*) AS n FROM authors WHERE contains(lower(name), 'press') OR contains(lower(normalized_name), 'press')
-            UNION ALL SELECT 'catalog', count(*) FROM catalog WHERE author_id IN (SELECT id FROM authors WHERE contains(lower(name), 'press') OR contains(lower(normalized_name), 'press'))
-            UNION ALL SELECT 'books', count(*) FROM books WHERE author IN (SELECT normalized_name FROM authors WHERE contains(lower(name), 'press') OR contains(lower(normalized_name), 'press'))
-            UNION ALL SELECT 'recommendations', count(*) FROM recommendations WHERE lower(author) IN (SELECT lower(name) FROM authors WHERE contains(lower(name), 'press') OR contains(lower(normalized_name), 'press'))""",
+        "q29_remove_authors": """SELECT 'authors' AS "table", id FROM authors WHERE contains(lower(name), 'press') OR contains(lower(normalized_name), 'press')
+            UNION ALL SELECT 'catalog', id FROM catalog WHERE author_id IN (SELECT id FROM authors WHERE contains(lower(name), 'press') OR contains(lower(normalized_name), 'press'))
+            UNION ALL SELECT 'books', id FROM books WHERE author IN (SELECT normalized_name FROM authors WHERE contains(lower(name), 'press') OR contains(lower(normalized_name), 'press'))
+            UNION ALL SELECT 'recommendations', id FROM recommendations WHERE lower(author) IN (SELECT lower(name) FROM authors WHERE contains(lower(name), 'press') OR contains(lower(normalized_name), 'press'))""",
         "q30_name_mismatches": f"""SELECT id, trim(split_part(name, ',', 1)) AS fixed_name, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) AS overlap, n AS catalog_books
             FROM (SELECT id, name, list_distinct(string_split(lower({squeeze('name')}), ' ')) AS a, list_distinct(string_split(lower({squeeze('normalized_name')}), ' ')) AS b, (SELECT count(*) FROM catalog c WHERE c.author_id = x.id) AS n FROM authors x)
             WHERE n > 0 AND len(a) > 1 AND len(b) > 1 AND len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) < 0.3""",
-        "q31_reassign": """SELECT 'catalog' AS "table", count(*) AS n FROM catalog WHERE author_id = 3 HAVING count(*) > 0 UNION ALL SELECT 'books', count(*) FROM books WHERE author = (SELECT normalized_name FROM authors WHERE id = 3) HAVING count(*) > 0
-            UNION ALL SELECT 'recommendations', count(*) FROM recommendations WHERE lower(author) = (SELECT lower(name) FROM authors WHERE id = 3) HAVING count(*) > 0""",
+        "q31_reassign": """SELECT 'catalog' AS "table", id FROM catalog WHERE author_id = 3 UNION ALL SELECT 'books', id FROM books WHERE author = (SELECT normalized_name FROM authors WHERE id = 3)
+            UNION ALL SELECT 'recommendations', id FROM recommendations WHERE lower(author) = (SELECT lower(name) FROM authors WHERE id = 3)""",
         "q32_filter_books": f"SELECT id FROM catalog WHERE {has(t, 'widget' + chr(92) + 'b')} OR {has(t, '^the' + chr(92) + 's')}",
         "q33_inspect": "SELECT 'books' AS what, count(*) AS n FROM books UNION ALL SELECT 'authors', count(*) FROM authors UNION ALL SELECT 'catalog', count(*) FROM catalog UNION ALL SELECT 'series', 0 UNION ALL SELECT 'recommendations', count(*) FROM recommendations UNION ALL SELECT 'metadata', 0 UNION ALL SELECT 'authors_with_catalog', count(DISTINCT author_id) FROM catalog",
         "q33_top_authors": "SELECT author_id, count(*) AS n, name FROM catalog c JOIN authors a ON a.id = c.author_id GROUP BY author_id, name ORDER BY n DESC, author_id LIMIT 10",
@@ -261,7 +71,7 @@ def _texts() -> dict[str, str]:
         "q34_hide_authors": "SELECT true AS hidden, count(*) AS n FROM authors",
         "q34_recategorize": f"""SELECT id, categories AS old_categories, {F20} AS new_categories FROM (SELECT c.*, row_number() OVER (PARTITION BY {lt('c.title')}, {lt('a.name')} ORDER BY c.id) AS rn FROM catalog c JOIN authors a ON a.id = c.author_id) WHERE rn = 1""",
         "q9_mixed_identities": "SELECT author_id, '/authors/OL' || CAST(id % 3 AS VARCHAR) || 'A' AS author_key, count(*) AS books FROM catalog WHERE open_library_key IS NOT NULL AND author_id IN (SELECT author_id FROM catalog WHERE open_library_key IS NOT NULL GROUP BY 1 HAVING count(DISTINCT id % 3) > 1) GROUP BY ALL",
-        "q23_audit": f"""SELECT id, {C12} AS score, count(*) OVER (PARTITION BY author_id, {f3(t)}) AS same_title, count(*) OVER (PARTITION BY author_id, {f7(t)}) AS near_title, {c4(t)} AS non_english FROM catalog WHERE author_id IN (3, 4)""",
+        "q23_audit": f"""SELECT id, {C12} AS score, count(*) OVER (PARTITION BY author_id, {f3(t)}) AS same_title, count(*) OVER (PARTITION BY author_id, {f7(t)}) AS near_title, {c4(t)} AS non_english FROM catalog""",
     }
     chained = {
         "q2_match_history": (MATCH, "SELECT id, coalesce(m1, m2, m3) IS NOT NULL AS is_read, coalesce(m1, m2, m3) AS matched_book_id FROM m"),
@@ -279,7 +89,6 @@ def _texts() -> dict[str, str]:
             WHERE NOT EXISTS (SELECT 1 FROM recommendations r WHERE r.format = 'ebook' AND {BAD} AND {lt('r.title')} = {lt('cand.title')} AND {lt('r.author')} = {lt('cand.author')})
             AND {lt('author')} NOT IN (SELECT {lt('name')} FROM authors WHERE hidden)"""),
         "q15_hidden_authors": (candidates("ebook"), f"SELECT author, count(*) AS n, string_agg(title, '|' ORDER BY title) AS titles FROM cand WHERE {lt('author')} IN (SELECT {lt('name')} FROM authors WHERE hidden) GROUP BY author"),
-        "d6_save_recommendations": (candidates("ebook"), """SELECT action, count(*) AS n FROM (SELECT CASE WHEN EXISTS (SELECT 1 FROM recommendations r WHERE r.title = k.title AND r.author = k.author) THEN 'update' ELSE 'insert' END AS action FROM (SELECT DISTINCT title, author FROM cand) k) GROUP BY 1"""),
         "q7_duplicate_authors": (
             f"""pa AS (SELECT id, name, open_library_id AS k, lower(regexp_replace(p[1], '\\W', '', 'g')) AS f, CASE WHEN len(p) > 1 THEN lower(regexp_replace(p[-1], '\\W', '', 'g')) ELSE '' END AS l FROM (SELECT *, string_split({squeeze('name')}, ' ') AS p FROM authors)),
             tt AS (SELECT DISTINCT author_id, {lt('title')} AS t FROM catalog), one AS (SELECT * FROM pa JOIN tt ON pa.id = tt.author_id WHERE f <> '' AND l <> '')""",
@@ -287,15 +96,6 @@ def _texts() -> dict[str, str]:
             CASE WHEN coalesce(x.k = y.k, false) OR count(*) >= 3 OR x.k IS NOT NULL OR y.k IS NOT NULL THEN 'high' ELSE 'medium' END AS confidence, CASE WHEN coalesce(x.k = y.k, false) THEN 'same_open_library_id' ELSE 'name_match_with_overlapping_books' END AS reason
             FROM one x JOIN one y ON x.f = y.f AND x.l = y.l AND x.t = y.t AND x.id < y.id GROUP BY x.id, x.name, y.id, y.name, x.k, y.k""",
         ),
-        "q26_composites": (
-            f"""el AS (SELECT *, count(*) OVER (PARTITION BY author_id) AS cnt FROM catalog WHERE NOT is_read AND ({c2_reason('title')}) IS NULL), ee AS (SELECT *, {c8('title')} AS comp FROM el WHERE cnt > 1),
-            wh AS (SELECT id, author_id, {f15('title')} AS parts FROM ee WHERE comp), pt AS (SELECT id, author_id, unnest(range(1, len(parts) + 1)) AS pos, parts FROM wh),
-            sg AS (SELECT id, author_id, lower(title) AS sl, {f4('title')} AS sn, lower({f5('title')}) AS sb FROM ee WHERE NOT comp),
-            mt AS (SELECT DISTINCT p.id, p.pos FROM (SELECT id, author_id, pos, lower(parts[pos]) AS pl, {f4('parts[pos]')} AS pn, lower({f5('parts[pos]')}) AS pb FROM pt) p JOIN sg s ON s.author_id = p.author_id
-              WHERE (pn <> '' AND pn = sn) OR (pb <> '' AND pb = sb) OR contains(sl, pl) OR contains(pl, sl))""",
-            """SELECT wh.id AS composite_id, CASE WHEN len(parts) > 0 AND k = len(parts) THEN 'high' WHEN k > 0 THEN 'medium' ELSE 'low' END AS confidence, CAST(len(parts) AS INTEGER) AS n_parts, CAST(k AS INTEGER) AS n_matches
-            FROM (SELECT wh.*, (SELECT count(*) FROM mt WHERE mt.id = wh.id) AS k FROM wh) wh""",
-        ),
         "q1_ingest": (
             f"""lo AS (SELECT id, {squeeze('title')} AS title, {strip("split_part(" + squeeze("author") + ", ',', 1)")} AS author, isbn, publisher, borrowed_date FROM books),
             g1 AS (SELECT *, min(id) OVER (PARTITION BY coalesce(isbn, 'x' || CAST(id AS VARCHAR))) AS a FROM lo), g2 AS (SELECT *, min(id) OVER (PARTITION BY title, author) AS b FROM g1 WHERE a = id)""",
@@ -304,12 +104,14 @@ def _texts() -> dict[str, str]:
         "q10_split_groups": (
             f"""gr AS (SELECT id AS group_id, normalized_name AS gn, list_filter(list_transform(string_split(name, ','), lambda x: trim(x)), lambda x: length(x) > 2) AS members FROM authors WHERE contains(name, ',')),
             ev AS (SELECT 'catalog' AS "table", c.id, {lt('c.title')} AS t, group_id, members FROM catalog c JOIN gr ON c.author_id = gr.group_id UNION ALL SELECT 'books', b.id, {lt('b.title')}, group_id, members FROM books b JOIN gr ON b.author = gr.gn)""",
-            """SELECT "table", group_id, coalesce(hit, members[1]) AS member, CASE WHEN hit IS NOT NULL THEN 'last_name' ELSE 'first' END AS how, count(*) AS n
-            FROM (SELECT *, list_filter(members, lambda m: contains(t, lower(string_split(m, ' ')[-1])))[1] AS hit FROM ev) GROUP BY ALL""",
+            """SELECT "table", id, group_id, coalesce(hit, members[1]) AS member, CASE WHEN hit IS NOT NULL THEN 'last_name' ELSE 'first' END AS how
+            FROM (SELECT *, list_filter(members, lambda m: contains(t, lower(string_split(m, ' ')[-1])))[1] AS hit FROM ev)""",
         ),
     }
     out = {k: f"{with_} {v}" for k, v in plain.items()}
-    return out | {k: f"{with_}, {a} {b}" for k, (a, b) in chained.items()}
+    out |= {k: f"{with_}, {a} {b}" for k, (a, b) in (chained | oracle_more.texts()).items()}
+    recursive = with_.replace("WITH", "WITH RECURSIVE", 1)
+    return out | {k: f"{recursive}, {a} {b}" for k, (a, b) in oracle_groups.texts().items()}
 
 
 def oracle_sql() -> dict[str, str]:

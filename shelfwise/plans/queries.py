@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import classify as C
 from ..functions import text as X
 from ..operators import authors, catalog, curation, dedupe, feedback, ingest, matching, recommend, report, series
-from ..schema import LibraryState, on
+from ..schema import LibraryState, conform, on
+from ..sources import newest, read_loans, read_report
+from ..store import shared_folder, write_report
+from . import documents
 from .views import library
 
 NOW = "2026-01-31 12:00:00"
@@ -80,12 +84,23 @@ def c_loan_format(s: LibraryState) -> DataFrame:
 # Pipelines
 
 
+def _export(s: LibraryState) -> DataFrame:
+    """The loans of the library, spelled with a second author."""
+    nothing = F.lit(None).cast("string")
+    return s.books.select(
+        F.lit(0).cast("long").alias("_bucket"), F.col("id").alias("_pos"), X.squeeze(F.col("title")).alias("title"), F.concat("author", F.lit(", Else Who")).alias("author"), "isbn", "publisher",
+        F.date_format("borrowed_date", "MMMM d, yyyy HH:mm").alias("timestamp"), nothing.alias("cover"), F.lit("L").alias("library"), F.lit("21 days").alias("details"),
+    )
+
+
 @query
 def q1_ingest(s: LibraryState) -> DataFrame:
-    """The loans of the library, spelled with a second author, into an empty one."""
-    b = s.books.select(F.lit(0).cast("long").alias("_bucket"), F.col("id").alias("_pos"), X.squeeze(F.col("title")).alias("title"), F.concat("author", F.lit(", Else Who")).alias("author"), "isbn", "publisher", F.date_format("borrowed_date", "MMMM d, yyyy HH:mm").alias("timestamp"), F.lit(None).cast("string").alias("cover"), F.lit("L").alias("library"), F.lit("21 days").alias("details"))
-    _, state = ingest.ingest(LibraryState.of(s.spark), b, now())
-    return state.books.select("id", "title", "author", "isbn", "format", "borrowed_date")
+    return ingest.ingest(LibraryState.of(s.spark), _export(s), now())[1].books.select("id", "title", "author", "isbn", "format", "borrowed_date")
+
+
+@query
+def q1_ingest_authors(s: LibraryState) -> DataFrame:
+    return ingest.ingest(LibraryState.of(s.spark), _export(s), now())[1].authors.select("id", "name", "normalized_name")
 
 
 @query
@@ -125,6 +140,12 @@ def catalog_merge(s: LibraryState):
     return authors.merge_authors(s, 1, 2, keep=1)
 
 
+@query
+def q6_merge_plan(s: LibraryState) -> DataFrame:
+    """Authors 3 and 4, the one with more catalog rows kept."""
+    return authors.merge_authors(s, 3, 4)[0].select("keep_id", "remove_id", "table", "id", "action")
+
+
 @query
 def q7_duplicate_authors(s: LibraryState) -> DataFrame:
     return authors.duplicate_authors(s).withColumn("sample_titles", F.array_join("sample_titles", "|"))
@@ -139,7 +160,7 @@ def q9_mixed_identities(s: LibraryState) -> DataFrame:
 
 @query
 def q10_split_groups(s: LibraryState) -> DataFrame:
-    return authors.split_groups(s)[0].groupBy("table", "group_id", "member", "how").agg(F.count("*").alias("n"))
+    return authors.split_groups(s)[0].select("table", "id", "group_id", "member", "how")
 
 
 @query
@@ -230,12 +251,6 @@ def q28_reason_histogram(s: LibraryState) -> DataFrame:
 
 @query
 def q23_audit(s: LibraryState) -> DataFrame:
-    parts = [dedupe.audit_author(s, 3), dedupe.audit_author(s, 4)]
-    return parts[0].unionByName(parts[1]).select("id", "score", "same_title", "near_title", "non_english")
-
-
-@query
-def q23_audit_all(s: LibraryState) -> DataFrame:
     return dedupe.audit_author(s).select("id", "score", "same_title", "near_title", "non_english")
 
 
@@ -251,7 +266,15 @@ def q25_consolidations(s: LibraryState) -> DataFrame:
 
 @query
 def q26_composites(s: LibraryState) -> DataFrame:
-    return curation.composites(s).select("composite_id", "confidence", F.size("parts").alias("n_parts"), F.size("matches").alias("n_matches"))
+    found = F.transform("matches", lambda m: F.concat_ws(":", m["pos"], m["standalone_id"], (m["score"] * 10).cast("int")))
+    return curation.composites(s).select("composite_id", "confidence", F.size("parts").alias("n_parts"), F.array_join(found, "|").alias("found"))
+
+
+@query
+def q26_backfilled(s: LibraryState) -> DataFrame:
+    """Series and positions of the standalone rows once the composites are gone."""
+    rows = s.with_(catalog=s.catalog.withColumn("series_name", F.when(C.is_composite(F.col("title")), F.concat(F.lit("Of "), F.col("id").cast("string")))))
+    return curation.remove_composites(rows)[1].catalog.filter("series_name IS NOT NULL").select("id", "series_name", "series_position")
 
 
 @query
@@ -276,7 +299,7 @@ def q29_publisher_authors(s: LibraryState) -> DataFrame:
 
 @query
 def q29_remove_authors(s: LibraryState) -> DataFrame:
-    return authors.remove_authors(s, ["press"], substring=True)[0].groupBy("table").agg(F.count("*").alias("n"))
+    return authors.remove_authors(s, ["press"], substring=True)[0].select("table", "id")
 
 
 @query
@@ -286,7 +309,7 @@ def q30_name_mismatches(s: LibraryState) -> DataFrame:
 
 @query
 def q31_reassign(s: LibraryState) -> DataFrame:
-    return authors.reassign_author(s, 3, 6)[0].groupBy("table").agg(F.count("*").alias("n"))
+    return authors.reassign_author(s, 3, 6)[0].select("table", "id")
 
 
 @query
@@ -328,7 +351,194 @@ def q34_recategorize(s: LibraryState) -> DataFrame:
 @query
 def d6_save_recommendations(s: LibraryState) -> DataFrame:
     plan, state = recommend.save(s, recommend.candidates(s, "ebook"), now())
-    return plan.groupBy("action").agg(F.count("*").alias("n"))
+    return plan.select("id", "action")
+
+
+@query
+def d6_saved_values(s: LibraryState) -> DataFrame:
+    state = recommend.save(s, recommend.candidates(s, "ebook"), now())[1]
+    return state.recommendations.select("id", "title", "author", "similarity_score", "reason", "category", "format")
+
+
+# Sources and fetching
+
+
+@query
+def s1_loans(s: LibraryState) -> DataFrame:
+    """The loans as a CSV export with quoted commas, blanks and a row without an author, read again."""
+    b = s.books.select(F.concat(F.lit(" "), "title", F.lit(", \"vol\"")).alias("title"), F.when(F.col("id") % 9 != 0, F.col("author")).alias("author"), "isbn", "publisher", F.date_format("borrowed_date", "MMMM d, yyyy HH:mm").alias("timestamp"))
+    where = f"{shared_folder(s.spark)}/export"
+    b.coalesce(1).write.option("header", True).option("escape", '"').csv(where)
+    read = read_loans(s.spark, newest(s.spark, f"{where}/*.csv"))
+    return ingest.prepared(read).select("title", "author", "isbn", "publisher", "format", "borrowed_date")
+
+
+@query
+def s4_author_search(s: LibraryState) -> DataFrame:
+    return authors.pick_candidates(documents.found_authors(s), documents.listed_works(s), s.books)
+
+
+@query
+def s6_works(s: LibraryState) -> DataFrame:
+    return documents.works(s).select("author_id", "key", "title", "series_name", "series_position", "isbn", "publication_date", F.array_join("languages", ",").alias("languages"), F.array_join("author_keys", ",").alias("author_keys"))
+
+
+@query
+def s6_editions(s: LibraryState) -> DataFrame:
+    return documents.editions(s).select("key", "pos", "title", F.array_join("languages", ",").alias("languages"), "isbn", "publication_date")
+
+
+@query
+def s7_volumes(s: LibraryState) -> DataFrame:
+    return documents.volumes(s).select("key", "pos", "google_books_id", "series_name", "series_position", "english")
+
+
+@query
+def s10_report(s: LibraryState) -> DataFrame:
+    """The duplicate titles as a report document, written and read again."""
+    found = catalog.duplicate_titles(s).filter(F.col("table") == "catalog").join(s.catalog.select("id", "author_id", "title", "isbn"), "id")
+    removal = F.struct("id", "title", "isbn", F.array(F.lit("exact_normalized")).alias("reasons"))
+    detail = found.groupBy("author_id", "keep_id").agg(F.sort_array(F.collect_list(removal)).alias("remove"))
+    one = F.struct(F.col("keep_id").cast("string").alias("group_key"), F.struct(F.col("keep_id").alias("id")).alias("keep"), "remove", F.array(F.lit("exact")).alias("pattern_types"))
+    author = detail.groupBy("author_id").agg(F.sort_array(F.collect_list(one)).alias("duplicate_details"))
+    where = f"{shared_folder(s.spark)}/report"
+    write_report(author.select(F.array(F.struct("author_id", "duplicate_details")).alias("authors")), where)
+    return read_report(s.spark, where, lines=True).select("author_id", "group_key", "keep_id", "remove_id", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query
+def c6_editions_english(s: LibraryState) -> DataFrame:
+    """Catalog rows of which no early edition and not the work is English."""
+    e = documents.editions(s).join(documents.works(s).select("key", F.col("languages").alias("of_work")), "key")
+    none = F.lit(None).cast("array<string>")
+    english = C.languages_english(F.col("languages"), none, F.col("title")) | C.languages_english(none, F.col("of_work"), F.col("title"))
+    coded = s.with_(catalog=s.catalog.withColumn("open_library_key", F.concat(F.lit("/works/OL"), F.col("id").cast("string"), F.when(F.col("id") % 4 == 0, "W").otherwise("N"))))
+    return catalog.cleanup_non_english(coded, editions=e.select("key", "pos", english.alias("english")))[0].select("id", "cause")
+
+
+@query
+def q2_pick_works(s: LibraryState) -> DataFrame:
+    return catalog.pick_works(documents.works(s), documents.editions(s), now(), s, recent_years=30).select("author_id", "key", "title", "isbn", "publication_date")
+
+
+@query
+def q2_fetch_catalog(s: LibraryState) -> DataFrame:
+    """Rows that a fetch adds or updates."""
+    state = catalog.fetch_catalog(s, documents.works(s), documents.editions(s), now())[1]
+    return state.catalog.filter(F.col("fetched_at") == now()).select("id", "author_id", "open_library_key", "title", "isbn", "publication_date", "series_name", "series_position")
+
+
+def _first_authors(s: LibraryState) -> DataFrame:
+    return s.catalog.filter("open_library_key IS NOT NULL").select(F.col("open_library_key").alias("key"), F.concat(F.lit("/authors/OL"), (F.col("id") % 3).cast("string"), F.lit("A")).alias("author_key")).distinct()
+
+
+@query
+def q8_fix_identities(s: LibraryState) -> DataFrame:
+    """Works of every third key are by another outside author; its list of works are the titles of such rows."""
+    listed = s.catalog.select(F.concat(F.lit("/authors/OL"), (F.col("id") % 3).cast("string"), F.lit("A")).alias("author_key"), F.upper("title").alias("title"))
+    names = s.spark.createDataFrame([("/authors/OL1A", "Outside One"), ("/authors/OL2A", "Outside Two")], "author_key string, name string")
+    return authors.fix_mixed_identities(s, _first_authors(s), listed, names, now())[0].select("author_id", "author_key", F.col("score").cast("long").alias("score"), "to_id", "target", F.size("catalog_ids").alias("n"))
+
+
+@query
+def q8_fix_names(s: LibraryState) -> DataFrame:
+    """Authors of one normalised name: here those of equal first names."""
+    first = s.authors.withColumn("normalized_name", F.split("name", " ")[0])
+    loans = s.books.join(s.authors.select(F.col("normalized_name").alias("author"), F.split("name", " ")[0].alias("first")), "author").withColumn("author", F.col("first"))
+    state = s.with_(authors=first, books=loans)
+    return authors.fix_duplicate_names(state, s.spark.createDataFrame([], "author_key string, title string"))[0].select("author_id", "to_id", "id", "action")
+
+
+@query
+def q22_approve(s: LibraryState) -> DataFrame:
+    """Of the duplicate titles, those of two authors and two groups are approved."""
+    return dedupe.approve(s, _removals(s), author_ids=[3, 6], group_keys=["11", "12"])[0]
+
+
+@query
+def q22_approved_state(s: LibraryState) -> DataFrame:
+    state = dedupe.approve(s, _removals(s), approve_all=True)[1]
+    return state.recommendations.agg(F.count("*").alias("rows"), F.count_if("duplicate").alias("flagged")).crossJoin(state.catalog.agg(F.count("*").alias("left")))
+
+
+def _removals(s: LibraryState) -> DataFrame:
+    found = catalog.duplicate_titles(s).filter(F.col("table") == "catalog")
+    return found.join(s.catalog.select("id", "author_id"), "id").select("author_id", F.col("keep_id").cast("string").alias("group_key"), F.col("id").alias("remove_id"))
+
+
+@query
+def q21_prolific_report(s: LibraryState) -> DataFrame:
+    return dedupe.prolific_report(s)
+
+
+@query
+def q27_numbered(s: LibraryState) -> DataFrame:
+    return curation.numbered(curation.childrens_books(s)).select("id", "author_id", "number")
+
+
+@query
+def q27_kept(s: LibraryState) -> DataFrame:
+    """The catalog once the listed rows are gone, but for the first three of the list."""
+    return curation.delete_rows(s, curation.childrens_books(s), [1, 2, 3])[1].catalog.select("id")
+
+
+@query
+def q28_verify_cleanup(s: LibraryState) -> DataFrame:
+    return curation.verify_cleanup(s, 1000, 50)
+
+
+@query
+def d4_metadata(s: LibraryState) -> DataFrame:
+    once = ingest.set_metadata(s.metadata, "a", F.lit("1"), now())
+    return ingest.set_metadata(ingest.set_metadata(once, "b", F.lit("2"), now()), "a", F.lit("3"), now()).select("id", "key", "value")
+
+
+@query
+def d13_conformed(s: LibraryState) -> DataFrame:
+    """Authors of an older schema."""
+    return conform(s.authors.select("id", "name"), "authors").select("id", "name", "normalized_name", "hidden")
+
+
+@query
+def p4_resolved(s: LibraryState) -> DataFrame:
+    """Names by each rule: exact, any case, normalised, part of a name."""
+    found = [authors.resolve_author(s, who).select(F.lit(who).alias("who"), "id") for who in ("Karen B. Eason", "karen b. eason", "someone else 7", "eason", "nobody")]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query
+def p11_category(s: LibraryState) -> DataFrame:
+    return recommend.candidates(s, "ebook", "hISTORY").select("catalog_id")
+
+
+@query
+def a5_author_chunk(s: LibraryState) -> DataFrame:
+    return report.author_chunk(s, 10, 5)
+
+
+@query
+def a12_histogram(s: LibraryState) -> DataFrame:
+    return report.histogram(s.catalog.select(X.category_list(F.col("categories")).alias("tags")), "tags", 10)
+
+
+@query
+def a13_shares(s: LibraryState) -> DataFrame:
+    return report.shares(s.books, "format")
+
+
+@query
+def o1_slice(s: LibraryState) -> DataFrame:
+    return catalog.cleanup_non_english(s, 100, 30)[0]
+
+
+@query
+def o4_first_recommendations(s: LibraryState) -> DataFrame:
+    return recommend.candidates(s, "audiobook").orderBy(F.desc("similarity_score"), "author", "title", "catalog_id").limit(20).select("catalog_id")
+
+
+@query
+def q29_samples(s: LibraryState) -> DataFrame:
+    return authors.publisher_authors(s).select("id", F.array_join("sample_titles", "|").alias("samples"))
 
 
 def queries() -> dict[str, Query]:
