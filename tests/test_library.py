@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shelfwise.operators import authors, catalog, curation, dedupe, feedback, ingest, matching, recommend, report, series
 from shelfwise.schema import LibraryState, conform
 from shelfwise.sources import DocumentClient, newest, read_approvals, read_editions, read_loans, read_report, read_volumes, read_works
-from shelfwise.sources.documents import Limits, request
+from shelfwise.sources.documents import HostDown, Limits, request
 from shelfwise.store import SnapshotStore
 from shelfwise.streaming import latest_feedback, stream_loans
 
@@ -310,7 +310,7 @@ def test_audit_covers_all_authors(library):
     from shelfwise.plans import queries
 
     s = library(catalog=("id long, author_id long, title string, isbn string", [(1, 1, "Sea", None), (2, 1, "Sea", None), (3, 2, "Sea", None)]))
-    assert rows(queries.q23_audit_all(s), "id", "same_title") == [(1, 2), (2, 2), (3, 1)]
+    assert rows(queries.q23_audit(s), "id", "same_title") == [(1, 2), (2, 2), (3, 1)]
 
 
 def test_reports_and_approvals(spark, library, tmp_path):
@@ -337,6 +337,17 @@ def test_document_client(spark, tmp_path):
     asked = spark.createDataFrame([("http://h", end, json.dumps(params)), ("http://h", end, json.dumps({"q": "b"}))], "host string, endpoint string, params string")
     assert rows(client.fetch(asked), "payload") == [('{"url": "http://h/search/authors.json?q=a"}',), ("{}",)]
     assert client.cached().count() == 1  # what came back empty is asked again
+    # A host that goes down keeps what it answered before; nothing is asked again by a retry.
+    def failing(url, limits):
+        with open(tmp_path / "asked", "a") as f:
+            f.write(url + "\n")
+        return (200, {}, '{"ok": 1}') if int(url.rsplit("=", 1)[1]) < 6 else (0, {}, "")
+
+    down = DocumentClient(spark, str(tmp_path / "cache2"), Limits(pause=0, errors=2, batch=2), get=failing, sleep=lambda s: None)
+    many = spark.createDataFrame([("http://h", "/e", json.dumps({"q": i})) for i in range(10)], "host string, endpoint string, params string")
+    with pytest.raises(HostDown):
+        down.fetch(many)
+    assert down.cached().count() == 6 and len(open(tmp_path / "asked").read().split()) == 8
     waits, answers = [], iter([(429, {"Retry-After": "500"}, ""), (429, {}, ""), (200, {}, "[1]")])
     assert request("u", Limits(), lambda u, limits: next(answers), waits.append) == "[1]"
     assert waits == [0.5, 120.0, 0.5, 60.0, 0.5]
@@ -352,6 +363,26 @@ def test_store_and_migration(spark, library, tmp_path):
     assert old.first()["hidden"] is False and old.first()["hidden_at"] is None
 
 
+def test_a_publish_that_dies_and_two_writers(spark, library, tmp_path):
+    from shelfwise.store import Conflict
+
+    path = str(tmp_path / "lib")
+    one, two = SnapshotStore(spark, path), SnapshotStore(spark, path)
+    s = reading(library)
+    assert one.publish(s) == 1
+    one.load(), two.load()
+    # Cut before the rename: the version is as it was, and the next publish goes on from it.
+    rename, one._fs = one._fs, type("Cut", (), {"__getattr__": lambda self, name: (_ for _ in ()).throw(KeyboardInterrupt()) if name == "rename" else getattr(rename, name)})()
+    with pytest.raises(KeyboardInterrupt):
+        one.publish(s)
+    one._fs = rename
+    assert two.version() == 1 and two.load().authors.count() == 2
+    assert two.publish(s) == 2
+    with pytest.raises(Conflict):
+        one.publish(s)
+    assert one.version() == 2 and one.load().authors.count() == 2 and one.publish(s) == 3
+
+
 def test_streams(spark, tmp_path):
     (tmp_path / "in").mkdir()
     write(tmp_path / "in/a.csv", HEADER + "Sea,Jane Roe,,Orbit,,,,\n")
@@ -360,6 +391,7 @@ def test_streams(spark, tmp_path):
     write(tmp_path / "in/b.csv", HEADER + "Lake,Jane Roe,,Orbit,,,,\nSea,Jane Roe,,,,,,\n")
     stream_loans(spark, str(tmp_path / "in"), store, str(tmp_path / "cp")).awaitTermination(120)
     assert rows(store.load().books, "title") == [("Lake",), ("Sea",)]
+    assert rows(store.load().metadata.filter("key LIKE 'stream:%'"), "value") == [("1",)]
     events = spark.createDataFrame([("e1", "ebook", "thumbs_up", 1), ("e1", "ebook", "thumbs_up", 1), ("e2", "ebook", "thumbs_up", 2)], "event_id string, format string, action string, s long").withColumn("at", F.timestamp_seconds("s"))
     events.write.parquet(str(tmp_path / "ev"))
     stream = latest_feedback(spark.readStream.schema(events.schema).parquet(str(tmp_path / "ev")))

@@ -27,22 +27,99 @@ def store(spark, tmp_path):
     return s
 
 
-def test_command_line(spark, store, capsys):
+def test_command_line(spark, store, capsys, monkeypatch):
     db = store.path
     assert store.load().books.count() == 1 and store.load().authors.first()["name"] == "Jane Roe"
     cli.main(["--db", db, "remove-duplicates", "--dry-run"])
     assert store.load().catalog.count() == 3
+    monkeypatch.setattr("builtins.input", lambda prompt: "no")
     cli.main(["--db", db, "remove-duplicates"])
-    cli.main(["--db", db, "cleanup"])
+    assert store.load().catalog.count() == 3 and "Cancelled." in capsys.readouterr().out
+    monkeypatch.setattr("builtins.input", lambda prompt: "Yes ")
+    cli.main(["--db", db, "remove-duplicates"])
+    cli.main(["--db", db, "cleanup", "--yes", "--titles-only"])
     assert [r["title"] for r in store.load().catalog.collect()] == ["Lake"]
     cli.main(["--db", db, "recommend", "audiobook", "--save"])
     assert [r["title"] for r in store.load().recommendations.collect()] == ["Lake"]
     cli.main(["--db", db, "feedback", "audiobook", "thumbs_up", "Lake", "Jane Roe"])
-    for command in (["status"], ["series"], ["list-authors", "--search", "roe"], ["catalog"], ["merge-authors"], ["fix-authors"], ["composites"], ["childrens"], ["consolidate-series"], ["recommend", "ebook", "--category", "Fiction"]):
+    for command in (["status"], ["series"], ["list-authors", "--search", "roe"], ["catalog", "--list-due"], ["merge-authors"], ["fix-names"], ["composites", "--yes"], ["childrens", "--yes", "--keep", "1,2"], ["verify-cleanup"], ["review-cleanup"], ["duplicates", "prolific"], ["recommend", "ebook", "--category", "Fiction"]):
         cli.main(["--db", db, *command])
     assert "Jane Roe" in capsys.readouterr().out
 
 
+class Host(threading.Thread):
+    """A stub of the two book APIs; answers by path, and counts what it was asked."""
+
+    def __init__(self, answers):
+        super().__init__(daemon=True)
+        asked = self.asked = []
+
+        class Handler(api.BaseHTTPRequestHandler):
+            def do_GET(self):
+                asked.append(self.path)
+                found = answers.get(self.path.split("?")[0])
+                body = json.dumps(found(self.path) if callable(found) else found).encode()
+                self.send_response(200 if found is not None else 404)
+                self.send_header("Content-Length", str(len(body)))
+                self.end_headers()
+                self.wfile.write(body)
+
+            def log_message(self, *args):
+                pass
+
+        self.server = api.HTTPServer(("127.0.0.1", 0), Handler)
+        self.url = f"http://127.0.0.1:{self.server.server_port}"
+
+    def run(self):
+        self.server.serve_forever()
+
+
+def test_catalog_is_fetched(spark, store, capsys):
+    """The author is found by a title that was read; known works aren't asked for; the next run is answered by the cache."""
+    english = [{"key": "/languages/eng"}]
+    host = Host({
+        "/search/authors.json": {"docs": [{"key": "OL9A"}, {"key": "OL1A"}]},
+        "/authors/OL9A/works.json": {"entries": [{"key": "/works/OL90W", "title": "Other"}]},
+        "/authors/OL1A/works.json": {"entries": [{"key": "/works/OL1W", "title": "Sea"}, {"key": "/works/OL2W", "title": "Hill"}, {"key": "/works/OL3W", "title": "Libro"}]},
+        "/works/OL1W.json": {"title": "Sea", "languages": english}, "/works/OL2W.json": {"languages": english, "isbn_10": ["123"]}, "/works/OL3W.json": {"title": "Libro", "languages": [{"key": "/languages/spa"}]},
+        "/works/OL1W/editions.json": {"entries": [{"languages": english, "publish_date": "May 2001", "isbn_13": ["978"]}]}, "/works/OL2W/editions.json": {"entries": []},
+        "/works/OL3W/editions.json": {"entries": [{"languages": [{"key": "/languages/spa"}]}]},
+    })
+    host.start()
+    flags = ["--host", host.url, "--pause", "0"]
+    cli.main(["--db", store.path, "catalog", "--force", *flags])
+    state = store.load()
+    assert sorted((r["title"], r["isbn"], r["publication_date"], r["is_read"]) for r in state.catalog.filter("open_library_key IS NOT NULL").collect()) == [("Hill", "123", None, False), ("Sea", "978", "May 2001", True)]
+    assert state.authors.first()["open_library_id"] == "/authors/OL1A"
+    assert "/search/authors.json?q=Jane+Roe" in host.asked and any(p.startswith("/authors/OL1A/works.json?limit=200") for p in host.asked)
+    before = len(host.asked)
+    cli.main(["--db", store.path, "catalog", "--force", *flags])
+    assert all("OL3W" in p or "editions" in p for p in host.asked[before:])  # empty answers only
+    assert store.load().catalog.filter("open_library_key IS NOT NULL").count() == 2
+    host.server.shutdown()
+
+
+def test_authors_are_fixed_from_the_network(spark, tmp_path, monkeypatch):
+    db = str(tmp_path / "lib")
+    store = SnapshotStore(spark, db)
+    store.publish(LibraryState.of(
+        spark, authors=spark.createDataFrame([(1, "Jane Roe", "Jane Roe")], "id long, name string, normalized_name string"), books=spark.createDataFrame([(1, "Sea", "Jane Roe")], "id long, title string, author string"),
+        catalog=spark.createDataFrame([(1, 1, "Sea", "/works/OL1W"), (2, 1, "Law", "/works/OL2W"), (3, 1, "Tax", "/works/OL3W")], "id long, author_id long, title string, open_library_key string"),
+    ))
+    host = Host({
+        "/works/OL1W.json": {"title": "Sea", "authors": [{"author": {"key": "/authors/OL1A"}}]}, "/works/OL2W.json": {"title": "Law", "authors": [{"key": "OL2A"}]}, "/works/OL3W.json": {"title": "Tax", "authors": ["/authors/OL2A"]},
+        "/authors/OL1A/works.json": {"entries": [{"key": "/works/OL1W", "title": "Sea"}]}, "/authors/OL2A/works.json": {"entries": [{"key": "/works/OL2W", "title": "Law"}]}, "/authors/OL2A.json": {"name": "Jane Roe, LLM"},
+    })
+    host.start()
+    cli.main(["--db", db, "fix-authors", "--dry-run", "--host", host.url, "--pause", "0"])
+    assert store.load().authors.count() == 1
+    cli.main(["--db", db, "fix-authors", "--yes", "--limit", "5", "--host", host.url, "--pause", "0"])
+    state = store.load()
+    assert sorted((r["id"], r["name"], r["open_library_id"]) for r in state.authors.collect()) == [(1, "Jane Roe", None), (2, "Jane Roe, LLM", "/authors/OL2A")]
+    assert sorted((r["id"], r["author_id"]) for r in state.catalog.collect()) == [(1, 1), (2, 2), (3, 2)]
+    host.server.shutdown()
+
+
 def test_http(store):
     server = api.HTTPServer(("127.0.0.1", 0), api.handler(api.Library(store)))
     threading.Thread(target=server.serve_forever, daemon=True).start()
@@ -64,6 +141,8 @@ def test_http(store):
     assert call("/api/recommendations/audiobook/feedback", {"title": " "})[0] == 400
     assert call("/api/recommendations/audiobook/recategorize", {"title": "Lake", "author": "Jane Roe"})[1]["done"][0]["new_categories"] == "Fiction, Non-Fiction"
     assert call("/api/authors/jane%20roe/hide", {})[0] == 200 and call("/api/authors/nobody/hide", {})[0] == 404
+    first = call("/api/recommendations/ebook?limit=1&offset=0")[1]
+    assert len(first["recommendations"]) <= 1 <= first["total"] + 1
     assert call("/api/status")[1]["books"] == 1 and call("/api/series")[0] == 200 and call("/nothing")[0] == 404
     server.shutdown()
 
