@@ -4,23 +4,23 @@ machines among the languages of that family.
 A text is the relative frequencies of its hashed byte 1- to 4-grams (bytes of the lower-cased text, whole text). Families
 are told apart by one-versus-one machines as well; a step's choice is by votes, ties by the sum of margins. The
 machines are trained on a bounded sample of labelled rows (Sample.rows per language at most, by smallest hash of
-doc_id; rows without id teach nothing), by squared-hinge loss and Nesterov steps.
+doc_id, of the Sample.languages languages with most rows; rows without id teach nothing), by squared-hinge loss and Nesterov steps.
 
 Rows: `und` with score 0 where the text is null or has no letter, and everywhere if nothing was learned (no labelled
 row). A language that FAMILIES doesn't name is a family of its own. Repeated rows are predicted one by one. With one
-learned language, that is predicted with score 1. Columns besides doc_id, text and (for learning) lang are not read.
+learned language, that is predicted with score 1. An empty table gives an empty one. Columns besides doc_id, text and
+(for learning) lang are not read, and stay as they are, whatever their names.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,6 +46,7 @@ class Sample:
     """The bound on what the machines are fitted to; everything else covers all rows."""
 
     rows: int = 600
+    languages: int = 64
     steps: int = 200
     ridge: float = 1e-4
 
@@ -102,11 +103,12 @@ def train(labelled: DataFrame, sample: Sample = Sample()) -> Machines | None:
     rows = labelled.select("doc_id", "text", "lang").filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
     named = rows.select("doc_id", "lang").distinct()  # no text is read until the sample is known
     order = F.xxhash64("doc_id")
-    picked = [named.filter(F.col("lang") == r[0]).orderBy(order, "doc_id").limit(sample.rows) for r in named.select("lang").distinct().orderBy("lang").collect()]
-    if not picked:
+    most = [r["lang"] for r in named.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample.languages).collect()]
+    if not most:
         return None
-    # sample.rows keys per language at most: their size is bounded, so they may be broadcast and only their texts come.
-    keys = reduce(DataFrame.unionByName, picked)
+    # sample.rows keys of sample.languages at most: their size is bounded, so they may be broadcast and only their texts come.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))
+    keys = named.filter(F.col("lang").isin(most)).withColumn("place", place).filter(F.col("place") <= sample.rows).select("doc_id", "lang")
     found = rows.filter(F.col("text").rlike(r"\p{L}")).join(F.broadcast(keys), ["doc_id", "lang"], "left_semi")
     # A key may repeat in any number of rows; one text of it is enough.
     got = found.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
@@ -178,4 +180,8 @@ def identify(docs: DataFrame, sample: Sample = Sample()) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float = 0.05, sample: Sample = Sample()) -> DataFrame:
     """docs without the rows whose language can't be told (`und`) or is told with a score under `least`."""
     model = train(docs.filter(~held_out(F.col("doc_id"))), sample)
-    return with_language(docs, model, "__lang_pred", "__lang_score").filter((F.col("__lang_pred") != "und") & (F.col("__lang_score") >= least)).select(*docs.columns)
+    names = ["__lang_pred", "__lang_score"]
+    while {n.lower() for n in names} & {c.lower() for c in docs.columns}:  # columns of any name stay as they are
+        names = [f"_{n}" for n in names]
+    pred, score = names
+    return with_language(docs, model, pred, score).filter((F.col(pred) != "und") & (F.col(score) >= least)).select(*docs.columns)
