@@ -29,10 +29,13 @@ def session_of(df: DataFrame) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and all run
+    on this machine (tests)."""
     known = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if known:
         return known
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not getattr(spark.sparkContext, "_shelfwise_shared", None):
         spark.sparkContext._shelfwise_shared = "file://" + tempfile.mkdtemp(prefix="shelfwise-")
     return spark.sparkContext._shelfwise_shared

@@ -212,6 +212,19 @@ def test_language_on_held_out_rows(spark):
     assert all(zlib.crc32(str(r[0]).encode()) % 4 == 2 for r in fold)
 
 
+def test_language_keeps_columns_of_any_name(spark):
+    df = docs_of(spark, ["the cat and the dog", "12"] * 8).withColumns({"__lang_pred": F.lit("mine"), "__Lang_Score": F.lit(2)})
+    kept = language.keep_identified(df)
+    assert kept.columns == df.columns and {(r["text"], r["__lang_pred"]) for r in kept.collect()} == {("the cat and the dog", "mine")}
+
+
+def test_language_learns_the_most_frequent_languages(spark):
+    rows_ = [(i, f"{'abcdef'[i % 3] * 5} {'ghijkl'[i % 3] * 4} {i}", ["aa", "bb", "cc"][i % 3] if i < 30 else "aa", "s", None) for i in range(60)]
+    df = spark.createDataFrame(rows_, DOCS)
+    assert {v for _, members in language.train(df, language.Sample(languages=2)).families for v in members} == {"aa", "bb"}
+    assert language.train(df.limit(0)) is None
+
+
 def test_language_odd_rows(spark):
     texts = ["the cat and the dog", "le chat et le chien", "der hund und die katze", "el perro y el gato"] * 20 + [None, "", "123 !!", "x", "日本"]
     langs = ["en", "fr", "de", "es"] * 20 + ["en"] * 5
@@ -811,6 +824,37 @@ def test_registered_mixture_meets_its_targets(spark):
     assert len({r["topic"] for r in got}) >= 6
 
 
+# Repeated rows and very long texts
+
+
+def test_repeated_rows_get_equal_results(spark):
+    base = docs_of(spark, ["You are a fine fellow. It was a good day.", "le chat et le chien", "", None, "#a b *c\n" * 30])
+    df = base.union(base)
+    labels = spark.createDataFrame([(0, 1, 0), (1, 1, 1)], "doc_id long, quality int, toxic int")
+    pages = spark.createDataFrame([(1, "http://a.x/", "<p>one</p>")] * 3, "page_id long, url string, html string")
+    for out, n in ((toxicity.detect(df, labels), 10), (language.identify(df), 10), (quality.assess(df), 10), (html.extract(pages), 3)):
+        got = rows(out)
+        assert len(got) == n and all(got.count(r) >= 2 for r in got)
+
+
+def test_very_long_texts(spark):
+    """Two million characters in one word, in one line, and in many words."""
+    texts = ["a" * 2_000_000, "word " * 400_000, "\n" * 2_000_000, " ".join(f"w{i}" for i in range(250_000))]
+    df = docs_of(spark, texts)
+    path, slow = tokenizer()
+    labels = spark.createDataFrame([(0, 1, 0), (1, 1, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.detect(df, labels).count() == 4 and language.identify(df).count() == 4
+    assert {r["doc_id"]: r["n_words"] for r in quality.assess(df).collect()} == {0: 1, 1: 400_000, 2: 0, 3: 250_000}
+    found = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring.repeated_words(df).collect()}
+    assert found == {0: (1, 0), 1: (400_000, 399_999), 2: (0, 0), 3: (250_000, 0)}
+    assert {r["doc_id"]: r["fingerprint"] for r in simhash.near_duplicates(df).collect()} == {i: f"{brute_fingerprint(t):016x}" for i, t in enumerate(texts)}
+    assert near_copies.keep_distinct(df).count() == 4 and mixing.mix_documents(df).count() == 4
+    packed = {r["doc_id"]: r["n"] for r in packing.pack_documents(df, path).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    assert packed == {i: len(slow.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+    page = spark.createDataFrame([(1, "http://a.x/", "<p>" + texts[1] + "</p>" + "<div>" * 200_000)], "page_id long, url string, html string")
+    assert html.extract(page).first()["n_chars"] == 5 * 400_000 - 1
+
+
 # Empty tables
 
 
