@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions import lexicon as L
 from .documents import EDITION_FIELDS, WORK_FIELDS
-from .oracle_text import C12, CATS, c2_reason, c3, c7, c8, c9, candidates, f3, f4, f5, f10, f15, lt, parts_of, squeeze, strip
+from .oracle_text import C12, CATS, c2_reason, c3, c4_reasons, c7, c8, c9, candidates, f3, f4, f5, f10, f15, lt, parts_of, squeeze, strip
 
 ENGLISH = "coalesce({} = '/languages/eng', true)"
 _SERIES = f"CASE WHEN w.series <> '' THEN w.series ELSE {f10('w.title')[0]} END AS series_name, CASE WHEN w.series <> '' THEN w.series_position ELSE {f10('w.title')[1]} END AS series_position"
@@ -100,6 +100,7 @@ def texts() -> dict[str, tuple[str, str]]:
         "q27_numbered": (CHILDREN, "SELECT * FROM ch"),
         "q27_kept": (CHILDREN, "SELECT id FROM catalog WHERE id NOT IN (SELECT id FROM ch WHERE number NOT IN (1, 2, 3))"),
         "q28_verify_cleanup": (f"sl AS (SELECT {c3('title')} AS bad FROM (SELECT * FROM catalog ORDER BY id LIMIT 1000 OFFSET 50))", "SELECT count(*) AS checked, count(*) FILTER (bad) AS flagged, CASE WHEN count(*) > 0 THEN 100.0 * count(*) FILTER (bad) / count(*) ELSE 0.0 END AS flagged_pct FROM sl"),
+        "q28_reason_histogram": ("nothing AS (SELECT 1)", f"SELECT tag, count(*) AS n FROM (SELECT unnest({c4_reasons('title')}) AS tag FROM catalog) GROUP BY tag"),
         "q1_ingest_authors": (
             f"""lo AS (SELECT id, {squeeze('title')} AS title, author || ', Else Who' AS raw, {FIRST_NAME} AS author, isbn FROM books),
             h1 AS (SELECT *, min(id) OVER (PARTITION BY coalesce(isbn, 'x' || CAST(id AS VARCHAR))) AS a FROM lo), h2 AS (SELECT *, min(id) OVER (PARTITION BY title, author) AS b FROM h1 WHERE a = id)""",

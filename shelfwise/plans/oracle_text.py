@@ -120,6 +120,20 @@ def c4(x: str) -> str:
     return f"({c3(x)} OR ({n} > 0 AND ({n} / {letters} > 0.05 OR (length({x}) < 15 AND {n} >= 2) OR {n} >= 3)))"
 
 
+def c4_reasons(x: str) -> str:
+    """All reasons of the review rule, as a list; of accents only the dotless i, as in c4."""
+    n, letters = f"len(regexp_extract_all({x}, '[iI]'))", f"length(regexp_replace({x}, '[^A-Za-z]', '', 'g'))"
+    labels = ("Language edition in parentheses", "Language edition in brackets", "Standalone language edition")
+    quote = "''''"
+    cases = [f"CASE WHEN {has(x, p)} THEN '{label}: ''' || regexp_extract({x}, '{_q(p)}', 0, 'i') || {quote} END" for label, p in zip(labels, EDITIONS)]
+    cases.append(f"CASE WHEN NOT contains(lower({x}), 'house edition') AND {has(x, SPANISH)} THEN 'Spanish text indicator: ''' || regexp_extract({x}, '{SPANISH}', 0, 'i') || {quote} END")
+    cases.append(
+        f"CASE WHEN {n} > 0 AND ({n} / {letters} > 0.05 OR (length({x}) < 15 AND {n} >= 2) OR {n} >= 3) "
+        f"THEN 'High accented character ratio (' || CAST({n} AS VARCHAR) || '/' || CAST({letters} AS VARCHAR) || ', ' || printf('%.1f', 100.0 * {n} / {letters}) || '%)' END"
+    )
+    return f"list_filter([{', '.join(cases)}], lambda r: r IS NOT NULL)"
+
+
 def c7(t: str, s: str, c: str, d: str) -> str:
     t, s, c, d = (f"lower(coalesce({x}, ''))" for x in (t, s, c, d))
     every = f"concat_ws(' ', {t}, {c}, {d})"
