@@ -50,3 +50,53 @@ def test_duplicates_go_once_and_saving_twice_adds_nothing(spark):
     once = recommend.save(state, recs, now)[1]
     plan, twice = recommend.save(once, recs, now)
     assert plan.filter("action = 'insert'").isEmpty() and twice.recommendations.count() == once.recommendations.count()
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_keyed_title_joins_miss_no_pair(spark):
+    """Similar, contained and matching titles against all pairs, with short, repeated and long titles."""
+    from shelfwise.operators import dedupe, matching
+
+    rnd = random.Random(31)
+    titles = ["", "a", "ab", "abc", "aaaa", "aaaaa", "aaaaaaaa", "aaaaaaaab"]
+    for _ in range(60):
+        t = "".join(rnd.choice("abc ") for _ in range(rnd.choice([2, 5, 8, 15, 30, 45]))).strip()
+        titles += [t, t[rnd.randrange(3) :], t + rnd.choice("abc")]
+        changed = list(t)
+        for _ in range(rnd.randint(0, max(1, len(t) // 6))):
+            if changed:
+                changed[rnd.randrange(len(changed))] = rnd.choice(["", "x", "ab"])
+        titles.append("".join(changed))
+    data = [(i % 2, i, t, t) for i, t in enumerate(titles)]
+    rows_ = spark.createDataFrame(data, "owner int, id long, norm string, base string")
+    near, held = set(), set()
+    for o, i, s, _ in data:
+        for p, j, t, _ in data:
+            if o == p and i < j and s and t:
+                n = max(len(s), len(t))
+                if 1 - edit_distance(s, t) / n >= 0.85:
+                    near.add((o, i, j))
+                if s == t or ((s in t or t in s) and abs(len(s) - len(t)) < 30 and min(len(s), len(t)) >= 3):
+                    held.add((o, i, j))
+    assert {tuple(r)[:3] for r in dedupe.similar_pairs(rows_, "norm").collect()} == near
+    got = [tuple(r) for r in dedupe.contained_pairs(rows_).collect()]
+    assert len(got) == len(set(got)) and set(got) == held
+    half = len(titles) // 2
+    authors = spark.createDataFrame([(1, "A")], "id long, normalized_name string")
+    catalog = spark.createDataFrame([(i, 1, None, t, False, None) for i, t in enumerate(titles[:half])], "id long, author_id long, isbn string, title string, is_read boolean, matched_book_id long")
+    loans = [(1000 + i, t) for i, t in enumerate(titles[half:]) if len(t) > 3]
+    books = spark.createDataFrame([(i, "A", None, t) for i, t in loans], "id long, author string, isbn string, title string")
+    want = {}
+    for i, t in enumerate(titles[:half]):
+        equal = [b for b, s in loans if s.strip() == t.strip()]
+        part = [b for b, s in loans if t.strip() in s or s in t.strip()]
+        want[i] = max(equal) if equal else min(part, default=None)
+    assert {r["id"]: r["matched_book_id"] for r in matching.match_to_history(catalog, authors, books).collect()} == want
