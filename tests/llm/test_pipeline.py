@@ -73,3 +73,17 @@ def test_run_equals_the_stages(spark, steps):
     key = lambda r: (r["doc_id"], r["piece"], r["length"], r["ids_crc32"])
     assert sorted(map(key, got.collect())) == sorted(map(key, steps["packing"][1].collect()))
     assert zlib.crc32(b"") == 0 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_run_on_odd_tables(spark, tmp_path):
+    """An empty table, and one of nulls, repeated rows and ids that stand on several texts."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "empty/documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).collect() == []
+    text = "the quick brown fox jumps over the lazy dog near the old mill by the river bank today"
+    other = "a tale of two towns that no one else has told in just these words before now"
+    rows = [(3, text, "en", "s", 1), (5, text, "en", "s", 1), (5, other, "en", None, 1), (5, other, "en", None, 1), (None, None, None, None, None), (9, "123", None, "s", 3)]
+    docs = spark.createDataFrame(rows, schema)
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, "")
+    assert sorted((r["doc_id"], r["text"]) for r in docs.collect()) == [(3, text), (5, other)]
