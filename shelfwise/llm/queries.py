@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, language, mixing, packing, quality, rollup, simhash, substring, topk, toxicity
+from . import html, language, mixing, packing, quality, rollup, simhash, substring, topk, toxicity, whitening
 from .common import table
 
 
@@ -68,8 +68,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op2_html_text, op3_token_counts, op4_packing, op5_language_id, op6_substring_dedup, op7_quality_rules, op8_topk_search, op9_mixing, op10_simhash, rollup_native_counts)
+    found = (op1_toxicity, op2_html_text, op3_token_counts, op4_packing, op5_language_id, op6_substring_dedup, op7_quality_rules, op8_topk_search, op9_mixing, op10_simhash, op12_whitening, rollup_native_counts)
     return {f.__name__: f for f in found}
 
 
