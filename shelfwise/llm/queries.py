@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, language, mixing, packing, quality, rollup, simhash, substring, topk, toxicity, whitening
+from . import html, language, mixing, packing, quality, rollup, simhash, substring, topk, toxicity, vector_packing, whitening
 from .common import table
 
 
@@ -72,8 +72,14 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every id of a document is one that a model learns to predict, so all bear loss."""
+    placed = vector_packing.pack_examples(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op2_html_text, op3_token_counts, op4_packing, op5_language_id, op6_substring_dedup, op7_quality_rules, op8_topk_search, op9_mixing, op10_simhash, op12_whitening, rollup_native_counts)
+    found = (op1_toxicity, op2_html_text, op3_token_counts, op4_packing, op5_language_id, op6_substring_dedup, op7_quality_rules, op8_topk_search, op9_mixing, op10_simhash, op12_whitening, op13_vector_packing, rollup_native_counts)
     return {f.__name__: f for f in found}
 
 
