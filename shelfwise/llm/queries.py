@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, language, mixing, packing, quality, rollup, simhash, substring, topk, toxicity, vector_packing, whitening
-from .common import table
+from . import html, language, mixing, packing, quality, rollup, simhash, substring, topk, toxicity, upsert, vector_packing, whitening
+from .common import shared_dir, table
 
 
 #: The mixture that is asked for: a hot source held down, English at half, topics alike.
@@ -68,6 +69,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op11_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = f"{shared_dir(spark)}/upsert-{uuid.uuid4().hex}"
+    return upsert.upsert_clients(table(spark, sf_dir, "clients"), table(spark, sf_dir, "client_changes"), root)
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -79,7 +85,7 @@ def op13_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op2_html_text, op3_token_counts, op4_packing, op5_language_id, op6_substring_dedup, op7_quality_rules, op8_topk_search, op9_mixing, op10_simhash, op12_whitening, op13_vector_packing, rollup_native_counts)
+    found = (op1_toxicity, op2_html_text, op3_token_counts, op4_packing, op5_language_id, op6_substring_dedup, op7_quality_rules, op8_topk_search, op9_mixing, op10_simhash, op11_upsert, op12_whitening, op13_vector_packing, rollup_native_counts)
     return {f.__name__: f for f in found}
 
 
