@@ -6,9 +6,6 @@ taken; that last step sees one author's keys and edges at a time."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +14,7 @@ from ..functions import classify as C
 from ..functions import text as X
 from ..schema import LibraryState, on
 from ..store import settled
+from .stars import stars
 
 SIMILAR = 0.85
 
@@ -56,116 +54,76 @@ def contained_pairs(rows: DataFrame, most_longer: int = 30, shortest: int = 3) -
     return equal.unionByName(long.join(short, ["owner", "key"]).filter(holds).select("owner", F.least("l", "s").alias("a"), F.greatest("l", "s").alias("b")))
 
 
-def grouped(ids: list[int], norm: dict, base: dict, isbn: dict, fuzzy: dict[int, list[int]] | Neighbours, contained: dict[int, list[int]] | Neighbours | None) -> list[tuple[str, list[int]]]:
-    """The groups of one owner's rows, in order: equal normalised titles; of the rest equal base titles, then equal
-    isbns; then stars of similar titles around each row that no star has used yet (it may belong to a group already,
-    but no pair is made twice); then, if wanted, stars of contained titles, which join the first group they touch."""
-    groups: list[tuple[str, list[int]]] = []
-    of: dict[int, set[int]] = {i: set() for i in ids}  # the places of the groups that hold a row
-
-    def add(name: str, members: list[int]) -> None:
-        for i in members:
-            of[i].add(len(groups))
-        groups.append((name, members))
-
-    taken: set[int] = set()
-    for kind, key in (("exact", norm), ("base", base), ("isbn", isbn)):
-        by: dict = {}
-        for i in ids:
-            if key[i] and i not in taken:
-                by.setdefault(key[i], []).append(i)
-        for k, members in by.items():
-            if len(members) > 1:
-                add(f"{kind}:{k}", members)
-        taken |= {i for _, members in groups for i in members}
-
-    used: set[int] = set()
-    for i in ids:
-        if i in used:
-            continue
-        star = [i] + [j for j in fuzzy.get(i, ()) if j not in used and of[i].isdisjoint(of[j])]
-        if len(star) > 1:
-            used.update(star)
-            add(f"fuzzy:{i}", star)
-    for i in ids if contained is not None else ():
-        if i in used:
-            continue
-        star = [i] + [j for j in contained.get(i, ()) if j not in used and of[i].isdisjoint(of[j])]
-        used.update(star[1:])
-        if len(star) > 1:
-            touched = min((g for j in star for g in of[j]), default=None)
-            if touched is None:
-                add(f"contained:{i}", star)
-            else:
-                groups[touched][1].extend(j for j in star if touched not in of[j])
-                for j in star:
-                    of[j].add(touched)
-    return groups
-
-
-class Neighbours:
-    """The later rows that a row is paired with: pairs are known between keys, whose rows share them."""
-
-    def __init__(self, parts: list[tuple[list[int], dict, dict[int, list[int]]]]):
-        """Of each kind: the rows in order, their keys, and the pairs between the first rows of different keys."""
-        self.kinds = []
-        for ids, key, pairs in parts:
-            members: dict = {}
-            for i in ids:
-                if key[i]:
-                    members.setdefault(key[i], []).append(i)
-            near: dict[int, list[int]] = {m[0]: [m[0]] for m in members.values()}
-            for a, found in pairs.items():
-                for b in found:
-                    near[a].append(b)
-                    near[b].append(a)
-            self.kinds.append((key, members, near))
-
-    def get(self, i: int, default=()) -> list[int]:
-        found: set[int] = set()
-        for key, members, near in self.kinds:
-            if key[i]:
-                for first in near[members[key[i]][0]]:
-                    found.update(j for j in members[key[first]] if j > i)
-        return sorted(found)
+def _first_groups(rows: DataFrame) -> DataFrame:
+    """rows with g_rank, g_first, g_name of the group that equal keys make: normalised titles; of the rest base titles, then
+    isbns. g_first, its first row, tells groups apart; groups are in the order of rank and first row."""
+    placed = rows.withColumns({"g_rank": F.lit(None).cast("int"), "g_first": F.lit(None).cast("long"), "g_name": F.lit(None).cast("string")})
+    for rank, (kind, key) in enumerate((("exact", "norm"), ("base", "base"), ("isbn", "isbn_key"))):
+        free = placed.filter(F.col("g_first").isNull() & (F.col(key) != ""))
+        found = free.groupBy("owner", key).agg(F.count("*").alias("_n"), F.min("id").alias("_first")).filter("_n > 1").select("owner", key, "_first")
+        hit = F.col("g_first").isNull() & F.col("_first").isNotNull()
+        values = {"g_rank": F.lit(rank), "g_first": F.col("_first"), "g_name": F.concat(F.lit(f"{kind}:"), F.col(key))}
+        placed = placed.join(found, ["owner", key], "left")
+        placed = placed.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in values.items()}).drop("_first")
+    return placed
+
+
+def _in_stars(rows: DataFrame, hubs: list[Column], near: DataFrame) -> DataFrame:
+    """id, middle of all rows in a star, the middle too. Rows with the same keys and mates are one node under their smallest
+    number: they have the same neighbours and aren't each other's, so they are taken together or all free."""
+    hubs = [h.alias(f"_h{k}") for k, h in enumerate(hubs)]
+    of_row = rows.select("id", F.col("g_first").alias("mates"), *hubs)
+    same = ["mates", *(f"_h{k}" for k in range(len(hubs)))]
+    nodes = settled(of_row.groupBy(*same).agg(F.min("id").alias("node")))
+    hangs = nodes.select("node", F.explode(F.array(*same[1:])).alias("hub")).filter("hub IS NOT NULL")
+    labels = settled(stars(nodes.join(hangs, "node", "left_semi").select("node", "mates"), hangs, near))
+    taken = nodes.join(labels, "node").select(*(F.col(c).alias(f"_{c}") for c in same), "middle")
+    alike = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in same]
+    members = of_row.join(taken, alike).select("id", "middle")
+    return settled(members.unionByName(labels.select(F.col("middle").alias("id"), "middle").distinct()))
 
 
 def duplicate_groups(rows: DataFrame, contained: bool) -> DataFrame:
-    """rows: keyed(). One row per member: owner, group_key, n, id, keep_id (best score, earliest in the group). Pairs are
-    found between an owner's different keys, each at its first row, and hold for all rows of the keys; so copies cost no
-    pairs. Rows and pairs are settled first, as several branches use them."""
-    rows = settled(rows)
-    norms, bases = (rows.filter(F.length(k) > 0).groupBy("owner", k).agg(F.min("id").alias("id")) for k in ("norm", "base"))
-    found = {"by_norm": similar_pairs(norms, "norm"), "by_base": similar_pairs(bases, "base")} | ({"contained": contained_pairs(bases)} if contained else {})
-    edges = None
-    for kind, pairs in found.items():
-        of_kind = pairs.select("owner", "a", "b", F.lit(kind).alias("kind"))
-        edges = of_kind if edges is None else edges.unionByName(of_kind)
-    edges = settled(edges)
-    stars = edges.groupBy("owner", F.col("a").alias("id")).agg(*(F.collect_list(F.when(F.col("kind") == k, F.col("b"))).alias(k) for k in found))
-    full = rows.select("owner", "id", "norm", "base", "isbn_key", "score").join(stars, ["owner", "id"], "left")
-
-    def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df = pd.concat(list(frames)).sort_values("id")
-        ids = [int(i) for i in df["id"]]
-        lists = lambda c: {i: [int(x) for x in v] for i, v in zip(ids, df[c]) if v is not None and len(v)}
-        norm, base = dict(zip(ids, df["norm"])), dict(zip(ids, df["base"]))
-        similar = Neighbours([(ids, norm, lists("by_norm")), (ids, base, lists("by_base"))])
-        found = grouped(ids, norm, base, dict(zip(ids, df["isbn_key"])), similar, Neighbours([(ids, base, lists("contained"))]) if contained else None)
-        score = dict(zip(ids, df["score"]))
-        out = []
-        for key, members in found:
-            place = {i: k for k, i in enumerate(members)}
-            keep = max(members, key=lambda i: (score[i], -place[i]))
-            out += [(df["owner"].iloc[0], key, len(members), i, keep) for i in members]
-        yield pd.DataFrame(out, columns=["owner", "group_key", "n", "id", "keep_id"])
-
-    owner_type = rows.schema["owner"].dataType.simpleString()
-    # Owners without a pair or a repeated key have no group; they never reach Python.
-    keys = F.explode(F.array(F.struct(F.lit("n").alias("k"), F.col("norm").alias("v")), F.struct(F.lit("b").alias("k"), F.col("base").alias("v")), F.struct(F.lit("i").alias("k"), F.col("isbn_key").alias("v"))))
-    repeated = rows.select("owner", keys.alias("x")).filter("x.v <> ''").groupBy("owner", "x").agg(F.count("*").alias("n")).filter("n > 1").select("owner")
-    busy = repeated.unionByName(edges.select("owner")).distinct()
-    return full.join(busy, "owner", "left_semi").groupBy("owner").applyInPandas(lambda df: next(assign(iter([df]))), f"owner {owner_type}, group_key string, n int, id long, keep_id long")
+    """rows: keyed(). One row per member: owner, group_key, n, id, keep_id (best score, earliest in the group). Groups are, in
+    this order: rows of equal normalised titles; of the rest equal base titles, then equal isbns; stars of similar titles
+    around each row that no star has used yet (it may belong to a group already, but no pair is made twice); then, if
+    wanted, stars of contained titles among rows that no star has used, which join the first group they touch.
+
+    Pairs are found between an owner's different keys, each at its first row, and hold for all rows of the keys, so copies cost
+    no pairs. What several branches use is settled first."""
+    blank = {k: F.coalesce(k, F.lit("")) for k in ("norm", "base", "isbn_key")}
+    rows = settled(rows.withColumns(blank))
+    norms, bases = (rows.filter(F.col(k) != "").groupBy("owner", k).agg(F.min("id").alias("id")) for k in ("norm", "base"))
+    firsts = {"norm": norms.withColumnRenamed("id", "n1"), "base": bases.withColumnRenamed("id", "b1")}
+    placed = _first_groups(rows)
+    for key, first in firsts.items():
+        placed = placed.join(first, ["owner", key], "left")
+    placed = settled(placed.select("owner", "id", "score", "g_rank", "g_first", "g_name", "n1", "b1"))
+    norm_hub, base_hub = F.col("n1") * 2, F.col("b1") * 2 + 1  # each key by its first row
+
+    def between(pairs: DataFrame, hub) -> DataFrame:
+        pairs = pairs.select(hub("a").alias("hub"), hub("b").alias("other"))
+        return pairs.unionByName(pairs.select(F.col("other").alias("hub"), F.col("hub").alias("other")))
+
+    as_norm, as_base = (lambda c: F.col(c) * 2), (lambda c: F.col(c) * 2 + 1)
+    similar = between(similar_pairs(norms, "norm"), as_norm).unionByName(between(similar_pairs(bases, "base"), as_base))
+    fuzzy = _in_stars(placed, [norm_hub, base_hub], settled(similar))
+    mine = placed.filter("g_first IS NOT NULL").select("owner", F.col("g_name").alias("group_key"), F.lit(0).alias("later"), F.lit(0).cast("long").alias("middle"), "id", "score")
+    around = placed.select("owner", "id", "score").join(fuzzy, "id")
+    members = mine.unionByName(around.select("owner", F.format_string("fuzzy:%d", "middle").alias("group_key"), F.lit(0).alias("later"), F.lit(0).cast("long").alias("middle"), "id", "score"))
+    if contained:
+        free = placed.join(fuzzy.select("id"), "id", "left_anti")
+        inside = settled(free.join(_in_stars(free, [base_hub], settled(between(contained_pairs(bases), as_base))), "id"))
+        touched = inside.groupBy("middle").agg(F.min(F.when(F.col("g_first").isNotNull(), F.struct("g_rank", "g_first", "g_name"))).alias("to"))
+        joining = inside.join(touched, "middle").filter("NOT (g_first <=> to.g_first) OR to IS NULL")
+        name = F.coalesce("to.g_name", F.format_string("contained:%d", "middle"))
+        members = members.unionByName(joining.select("owner", name.alias("group_key"), F.col("to").isNotNull().cast("int").alias("later"), "middle", "id", "score"))
+    members = settled(members)
+    # The best score, of equal ones the earliest in the group: first its own rows, then those of stars that joined it.
+    best = F.max_by("id", F.struct("score", -F.col("later"), -F.col("middle"), -F.col("id")))
+    groups = members.groupBy("owner", "group_key").agg(F.count("*").cast("int").alias("n"), best.alias("keep_id"))
+    ordered = members.join(groups, ["owner", "group_key"]).orderBy("owner", "group_key", "later", "middle", "id")
+    return ordered.select("owner", "group_key", "n", "id", "keep_id")
 
 
 def recommendation_duplicates(state: LibraryState, min_books: int = 10, author: str | None = None) -> DataFrame:

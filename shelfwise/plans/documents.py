@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import LibraryState
+from ..sources.book_api import register
 from ..sources.documents import read_editions, read_search, read_volumes, read_works
+from ..store import shared_folder
 
 #: Over the view `catalog`. Some works are known by key, some by title, some are another author's, some have no title.
 WORK_FIELDS = """
@@ -33,6 +35,14 @@ def _fields(state: LibraryState, sql: str) -> DataFrame:
     return state.spark.sql(sql.replace("FROM catalog", "FROM {catalog}"), catalog=state.catalog)
 
 
+def served(state: LibraryState, kind: str, payloads: DataFrame, limit: int | None = None) -> DataFrame:
+    """key, payload as the data source of the APIs serves them, from a mirror of their documents in Parquet."""
+    root = shared_folder(state.spark)
+    payloads.select(F.lit(kind).alias("kind"), "key", "payload").write.parquet(root)
+    found = state.spark.read.format(register(state.spark)).option("mirror", root).load().filter(F.col("kind") == kind)
+    return (found if limit is None else found.filter(F.col("limit") == limit)).select("key", "payload")
+
+
 def _some(c: str):
     return F.when(F.col(c).isNotNull(), F.array(F.col(c)))
 
@@ -55,14 +65,14 @@ def works(state: LibraryState) -> DataFrame:
     parts = f.select("author_id", "key", series.alias("a"), author.alias("b"), languages.alias("c"), rest.alias("d"))
     joined = F.concat(F.lit("{"), F.concat_ws(",", *(F.nullif(inner(x), F.lit("")) for x in "abcd")), F.lit("}"))
     payloads = parts.select("author_id", "key", joined.alias("payload"))
-    return payloads.select("author_id", "key").join(read_works(payloads.select("key", "payload")), "key")
+    return payloads.select("author_id", "key").join(read_works(served(state, "work", payloads)), "key")
 
 
 def editions(state: LibraryState) -> DataFrame:
     f = _fields(state, EDITION_FIELDS)
     entry = F.struct("k", "title", F.when(F.col("language").isNotNull(), F.array(F.struct(F.col("language").alias("key")))).alias("languages"), _some("isbn_13").alias("isbn_13"), _some("isbn_10").alias("isbn_10"), "publish_date")
     lists = f.groupBy("key").agg(F.array_sort(F.collect_list(entry)).alias("entries"))  # three at most
-    return read_editions(lists.select("key", F.to_json(F.struct("entries")).alias("payload")))
+    return read_editions(served(state, "editions", lists.select("key", F.to_json(F.struct("entries")).alias("payload")), 100))
 
 
 def volumes(state: LibraryState) -> DataFrame:
@@ -70,14 +80,14 @@ def volumes(state: LibraryState) -> DataFrame:
     language = F.when(F.col("id") % 4 == 0, "fr").when(F.col("id") % 4 == 1, "en-GB")
     info = F.struct("title", F.when(F.col("id") % 3 == 0, F.concat(F.lit("Tales Book "), (F.col("id") % 9).cast("string"))).alias("subtitle"), language.alias("language"), F.array(F.lit("Fiction")).alias("categories"), "description")
     item = F.struct(F.col("id").cast("string").alias("id"), info.alias("volumeInfo"))
-    return read_volumes(state.catalog.select(F.col("id").cast("string").alias("key"), F.to_json(F.struct(F.array(item).alias("items"))).alias("payload")))
+    return read_volumes(served(state, "volumes_by_isbn", state.catalog.select(F.col("id").cast("string").alias("key"), F.to_json(F.struct(F.array(item).alias("items"))).alias("payload")), 1))
 
 
 def found_authors(state: LibraryState) -> DataFrame:
     """Search results: each author's own key second, another's first."""
     own, other = F.concat(F.lit("OL"), F.col("id").cast("string"), F.lit("A")), F.concat(F.lit("/authors/OL"), (F.col("id") + 1).cast("string"), F.lit("A"))
     docs = F.array(F.struct(other.alias("key")), F.struct(own.alias("key")))
-    found = read_search(state.authors.select(F.col("id").cast("string").alias("key"), F.to_json(F.struct(docs.alias("docs"))).alias("payload")))
+    found = read_search(served(state, "author_search", state.authors.select(F.col("id").cast("string").alias("key"), F.to_json(F.struct(docs.alias("docs"))).alias("payload")), 2))
     names = state.authors.select(F.col("id").cast("string").alias("key"), F.col("normalized_name").alias("author"))
     return found.join(names, "key").groupBy("author", "author_key").agg(F.min("rank").alias("rank"))
 

@@ -1,83 +1,24 @@
 """Catalog documents of two book APIs, and the JSON files of reviews.
 
-Responses come through DocumentClient: a cache table first, then the network, in batches of `Limits.batch` calls whose
-answers are kept before the next batch starts; one task per host, so that the rate limit holds for the host as a whole. Parsed documents are DataFrames with explicit schemas; fields that come in two shapes (a string or an
-object) are read as variants."""
+Responses come through DocumentClient: a cache table first, then the network, by the data source of book_api.py. Parsed
+documents are DataFrames with explicit schemas; fields that come in two shapes (a string or an object) are read as
+variants."""
 
 from __future__ import annotations
 
-import json
-import time
-import urllib.error
-import urllib.parse
-import urllib.request
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify as C
 from ..functions import text as X
-from ..store import settled
-
-RESPONSES = "host string, endpoint string, params string, payload string"
+from ..store import _remove, settled, shared_folder
+from .book_api import CALLS, HostDown, Limits, http_get, register, request, time
 
+__all__ = ["DocumentClient", "HostDown", "Limits", "request"]
 
-@dataclass(frozen=True)
-class Limits:
-    """The pause between calls that the cache doesn't answer; retries after `too many requests`; how many calls in
-    a row may get no answer at all before a host is given up; after how many calls the answers are kept."""
-
-    pause: float = 0.5
-    timeout: float = 10.0
-    retries: int = 2
-    wait: float = 60.0
-    least_wait: float = 30.0
-    most_wait: float = 120.0
-    errors: int = 5
-    batch: int = 100
-
-
-def http_get(url: str, limits: Limits) -> tuple[int, dict, str]:
-    try:
-        with urllib.request.urlopen(url, timeout=limits.timeout) as r:
-            return r.status, dict(r.headers), r.read().decode()
-    except urllib.error.HTTPError as e:
-        return e.code, dict(e.headers or {}), ""
-    except (urllib.error.URLError, TimeoutError):
-        return 0, {}, ""
-
-
-class HostDown(RuntimeError):
-    """Several calls in a row got no answer."""
-
-
-def request(url: str, limits: Limits, get: Callable = http_get, sleep: Callable = time.sleep, failed: list | None = None) -> str:
-    """The payload, or '{}' where there is none (not found, errors, retries used up). failed: calls in a row that got no
-    answer; beyond limits.errors it raises."""
-    failed = [] if failed is None else failed
-    for attempt in range(limits.retries + 1):
-        sleep(limits.pause)
-        status, headers, body = get(url, limits)
-        if status == 0:
-            failed.append(url)
-            if len(failed) >= limits.errors:
-                raise HostDown(f"{len(failed)} calls without an answer, the last of them {url}")
-            return "{}"
-        failed.clear()
-        if status == 429 and attempt < limits.retries:
-            after = {k.lower(): v for k, v in headers.items()}.get("retry-after", "")
-            sleep(min(limits.most_wait, max(limits.least_wait, float(after) if after.replace(".", "", 1).isdigit() else limits.wait)))
-            continue
-        if status != 200:
-            return "{}"
-        try:
-            json.loads(body)
-        except ValueError:
-            return "{}"
-        return body
-    return "{}"
+RESPONSES = "host string, endpoint string, params string, payload string"
 
 
 class DocumentClient:
@@ -100,64 +41,67 @@ class DocumentClient:
         return full.groupBy("host", "endpoint", "params").agg(F.max("payload").alias("payload"))
 
     def fetch(self, requests: DataFrame) -> DataFrame:
-        """requests: host, endpoint, params (a JSON object). Gives RESPONSES; new ones are added to the cache batch by batch,
-        so a host that goes down (HostDown) or a driver that dies costs one batch at most. Tasks never raise for a host's
-        sake, so nothing is asked again by a retry of Spark's."""
+        """requests: host, endpoint, params (a JSON object). Gives RESPONSES; new ones are added to the cache. One job asks all
+        of them, dealt to `Limits.tasks` tasks that share one pace and one count of errors a host (book_api.py). Tasks never
+        raise for a host's sake; where a host was given up, HostDown comes once all answers are kept. Of a fetch whose
+        driver dies the answers are in the spool beside the cache, from where the next one takes them."""
         keys = ["host", "endpoint", "params"]
-        wanted = settled(requests.select(*keys).distinct())
+        root = shared_folder(self.spark)
+        spool = f"{self.cache_path}-spool" if self.cache_path is not None else f"{root}-spool"
+        self._keep_spooled(spool)
         known = self.cached()
-        place = F.row_number().over(Window.partitionBy("host").orderBy("endpoint", "params")) - 1
-        missing = settled(wanted.join(known, keys, "left_anti").withColumn("batch", F.floor(place / self.limits.batch)))
-        limits, get, sleep = self.limits, self.get, self.sleep
-
-        def call(batches: Iterator) -> Iterator:
-            failed: list = []
-            for pdf in batches:
-                payload = []
-                for h, e, p in zip(pdf["host"], pdf["endpoint"], pdf["params"]):
-                    try:
-                        url = f"{h}{e}?{urllib.parse.urlencode(json.loads(p or '{}'))}".rstrip("?")
-                        payload.append(request(url, limits, get, sleep, failed) if len(failed) < limits.errors else None)
-                    except HostDown:
-                        payload.append(None)
-                yield pdf.assign(payload=payload)
-
+        wanted = settled(requests.select(*keys).distinct())
+        task = F.pmod(F.xxhash64(*keys), F.lit(self.limits.tasks)).cast("int")
+        missing = settled(wanted.join(known, keys, "left_anti"))
         fresh = self.spark.createDataFrame([], RESPONSES)
-        for n in range((missing.agg(F.max("batch")).first()[0] or 0) + 1 if not missing.isEmpty() else 0):
-            answers = settled(missing.filter(F.col("batch") == n).select(*keys).repartition("host").mapInPandas(call, RESPONSES))
-            got = answers.filter("payload IS NOT NULL")
+        if not missing.isEmpty():
+            missing.withColumn("task", task).repartition(self.limits.tasks, "task").write.partitionBy("task").parquet(root)
+            source = self.spark.read.format(register(self.spark, self.get, self.sleep)).options(**self.limits.options())
+            answers = settled(source.option("requests", self._qualified(root)).option("spool", self._qualified(spool)).load().select(*keys, "payload"))
+            fresh = answers.filter("payload IS NOT NULL")
             if self.cache_path is not None:
-                got.write.mode("append").parquet(self.cache_path)
-            fresh = fresh.unionByName(got)
+                fresh.write.mode("append").parquet(self.cache_path)
+            _remove(self.spark, spool)
             down = answers.filter("payload IS NULL").select("host").first()
             if down is not None:
-                raise HostDown(f"{down[0]} gave no answer to {limits.errors} calls in a row; what came before is kept")
+                raise HostDown(f"{down[0]} gave no answer to {self.limits.errors} calls in a row; what came before is kept")
         return wanted.join(known.unionByName(fresh).groupBy(*keys).agg(F.max("payload").alias("payload")), keys, "left").select(*keys, F.coalesce("payload", F.lit("{}")).alias("payload"))
 
+    def _qualified(self, path: str) -> str:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+
+    def _keep_spooled(self, spool: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{spool}/answers")
+        if self.cache_path is not None and where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where):
+            found = self.spark.read.schema(RESPONSES).json(where.toString()).filter("payload IS NOT NULL AND params IS NOT NULL")
+            found.write.mode("append").parquet(self.cache_path)
+        _remove(self.spark, spool)
+
     # The calls of the two APIs; `host` is where they are served.
     def search_author(self, name: str) -> tuple[str, dict]:
-        return "/search/authors.json", {"q": name}
+        return CALLS["author_search"](name, None)
 
     def author_works(self, key: str, limit: int = 100) -> tuple[str, dict]:
-        return f"/authors/{key.rsplit('/', 1)[-1]}/works.json", {"limit": limit}
+        return CALLS["author_works"](key, limit)
 
     def work(self, key: str) -> tuple[str, dict]:
-        return f"/works/{key.rsplit('/', 1)[-1]}.json", {}
+        return CALLS["work"](key, None)
 
     def editions(self, key: str, limit: int = 100) -> tuple[str, dict]:
-        return f"/works/{key.rsplit('/', 1)[-1]}/editions.json", {"limit": limit}
+        return CALLS["editions"](key, limit)
 
     def by_isbn(self, isbn: str) -> tuple[str, dict]:
-        return f"/isbn/{isbn}.json", {}
+        return CALLS["isbn"](isbn, None)
 
     def volumes_by_author(self, name: str) -> tuple[str, dict]:
-        return "/volumes", {"q": f'inauthor:"{name}"', "maxResults": 40}
+        return CALLS["volumes_by_author"](name, None)
 
     def volume_by_isbn(self, isbn: str) -> tuple[str, dict]:
-        return "/volumes", {"q": f"isbn:{isbn}", "maxResults": 1}
+        return CALLS["volumes_by_isbn"](isbn, None)
 
     def volumes_by_title(self, title: str) -> tuple[str, dict]:
-        return "/volumes", {"q": f"intitle:{title}", "maxResults": 10}
+        return CALLS["volumes_by_title"](title, None)
 
 
 def _get(v: Column, path: str, kind: str = "string") -> Column:

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from brute_groups import grouped
 from shelfwise.operators import authors, catalog, curation, dedupe, feedback, ingest, matching, recommend, report, series
 from shelfwise.schema import LibraryState, conform
 from shelfwise.sources import DocumentClient, newest, read_approvals, read_editions, read_loans, read_report, read_volumes, read_works
@@ -258,7 +259,7 @@ def plain_groups(items, contained):
         if bi and bj and (bi == bj or ((bi in bj or bj in bi) and abs(len(bi) - len(bj)) < 30 and min(len(bi), len(bj)) >= 3)):
             inside.setdefault(i, []).append(j)
     ids = [i for i, *_ in items]
-    return dedupe.grouped(ids, {i: n for i, n, _, _ in items}, {i: b for i, _, b, _ in items}, {i: s for i, _, _, s in items}, fuzzy, inside if contained else None)
+    return grouped(ids, {i: n for i, n, _, _ in items}, {i: b for i, _, b, _ in items}, {i: s for i, _, _, s in items}, fuzzy, inside if contained else None)
 
 
 def test_duplicate_groups_find_all_edges(spark):
@@ -283,7 +284,7 @@ def test_duplicate_groups_find_all_edges(spark):
 def test_grouping_order():
     keys = {1: "a", 2: "a", 3: "b", 4: "c"}
     none = dict.fromkeys(keys, "")
-    found = dedupe.grouped([1, 2, 3, 4], keys, none, none, {2: [3], 3: [4]}, {3: [4]})
+    found = grouped([1, 2, 3, 4], keys, none, none, {2: [3], 3: [4]}, {3: [4]})
     assert found == [("exact:a", [1, 2]), ("fuzzy:2", [2, 3]), ("contained:4", [4])] or [g[0] for g in found] == ["exact:a", "fuzzy:2"]
 
 
@@ -343,7 +344,7 @@ def test_document_client(spark, tmp_path):
             f.write(url + "\n")
         return (200, {}, '{"ok": 1}') if int(url.rsplit("=", 1)[1]) < 6 else (0, {}, "")
 
-    down = DocumentClient(spark, str(tmp_path / "cache2"), Limits(pause=0, errors=2, batch=2), get=failing, sleep=lambda s: None)
+    down = DocumentClient(spark, str(tmp_path / "cache2"), Limits(pause=0, errors=2, tasks=1), get=failing, sleep=lambda s: None)
     many = spark.createDataFrame([("http://h", "/e", json.dumps({"q": i})) for i in range(10)], "host string, endpoint string, params string")
     with pytest.raises(HostDown):
         down.fetch(many)
