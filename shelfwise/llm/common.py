@@ -95,6 +95,17 @@ def add_columns(df: DataFrame, fn: Callable, inputs: list[str], fields: list[tup
     return df.mapInArrow(run, schema)
 
 
+def id_type(docs: DataFrame) -> str:
+    return docs.schema["doc_id"].dataType.simpleString()
+
+
+def plain_names(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with all columns but doc_id and text under names that clash with nothing, and what gives a result with these
+    columns their names back."""
+    own = {c: c if c in ("doc_id", "text") else f"c{k}_" for k, c in enumerate(docs.columns)}
+    return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in own.items())), lambda df: df.select(*(F.col(n).alias(c) for c, n in own.items()))
+
+
 def bytes_of(column: pa.Array) -> list:
     """The UTF-8 bytes of each text; None stays None."""
     return column.cast(pa.binary()).to_pylist()

@@ -83,6 +83,13 @@ def features(text: str) -> np.ndarray:
     return np.sqrt(total / total.sum())
 
 
+def _sparse(texts: pa.Array) -> list[pa.Array]:
+    """Places and values of each text's features that aren't zero."""
+    found = [features(t) for t in texts.to_pylist()]
+    at = [np.flatnonzero(f) for f in found]
+    return [pa.array([i.astype("<u2").tobytes() for i in at], pa.binary()), pa.array([f[i].astype("<f4").tobytes() for f, i in zip(found, at)], pa.binary())]
+
+
 def _svm(x: np.ndarray, y: np.ndarray, sample: Sample) -> tuple[np.ndarray, float]:
     """Squared hinge, classes weighted alike; x: rows by features, y: -1 or 1."""
     c = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
@@ -110,15 +117,17 @@ def train(labelled: DataFrame, sample: Sample = Sample()) -> Machines | None:
     place = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))
     keys = named.filter(F.col("lang").isin(most)).withColumn("place", place).filter(F.col("place") <= sample.rows).select("doc_id", "lang")
     found = rows.filter(F.col("text").rlike(r"\p{L}")).join(F.broadcast(keys), ["doc_id", "lang"], "left_semi")
-    # A key may repeat in any number of rows; one text of it is enough.
-    got = found.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+    # A key may repeat in any number of rows; one text of it is enough. Texts become features where they are.
+    one = found.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    fields = [("at", T.BinaryType()), ("value", T.BinaryType())]
+    got = add_columns(one, _sparse, ["text"], fields, keep=["doc_id", "lang"]).toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
     lang = np.array(got["lang"].to_pylist(), dtype=object)
     langs = sorted(set(lang.tolist()))
     if not langs:
         return None
-    x = np.empty((len(lang), BUCKETS), dtype=np.float32)
-    for i, t in enumerate(got["text"]):
-        x[i] = features(t.as_py())
+    x = np.zeros((len(lang), BUCKETS), dtype=np.float32)
+    for i, (at, value) in enumerate(zip(got["at"], got["value"])):
+        x[i, np.frombuffer(at.as_py(), dtype="<u2")] = np.frombuffer(value.as_py(), dtype="<f4")
     names = sorted({family_of(v) for v in langs})
     families = tuple((f, tuple(v for v in langs if family_of(v) == f)) for f in names)
     family = np.array([names.index(family_of(v)) for v in lang])

@@ -11,13 +11,17 @@ The fingerprints alone can't give the stage's result: at a similarity of 0.8 the
 even 24 bits of keys meet with 2 % only, so some 400 keys a text would be needed, and ever more as keys grow longer
 with the corpus. The min-wise keys don't replace them: what the Golay keys link is linked.
 
-In runs of more than `ALL_PAIRS` classes under one min-wise key each class is paired with the next one only, in an order
-that differs from key to key; its group is joined over the links that its keys give together.
+Keys that more than `ALL_PAIRS` classes share (a template, a large group of copies) would make the square of their number
+of pairs. Each of these classes is compared with one of its key, which joins true groups, and beyond that exactly: of
+any two sets of shingles at `LEAST` or more, with all shingles in one order, the first (1 - LEAST) of the larger and the
+first ninth of the smaller have a common one, at places that leave enough after it. In the order of their frequency these are
+the rare ones, so what a template's texts have in common is no reason to meet. Such pairs are looked for where
+they aren't in one group yet. So no link is lost to a long run.
 
 Rows: null texts count as empty, texts without words are one class; texts of equal words (case aside) are one class
 before any key is made. Of each component the row with the smallest doc_id stays (null last, then the smallest hash of
 its text), so a row goes only where another row of its component stays. An empty table gives an empty one. Columns
-besides doc_id and text are kept as they are; names that begin with two underscores are internal.
+besides doc_id and text are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -84,47 +88,50 @@ def _marks(texts) -> list[pa.Array]:
     return [pa.array(np.array(cls, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))]
 
 
-def _pairs_of_runs(key: np.ndarray, cls: np.ndarray, size: np.ndarray) -> np.ndarray:
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    counts = np.diff(np.r_[starts, len(key)])
-    large = np.repeat(counts > ALL_PAIRS, counts)
-    order = np.lexsort(((cls ^ key).view(np.uint64) * FACTORS[0], key))  # each key has its own order of classes
-    key, cls, size = key[order], cls[order], size[order]
-    at, found = np.arange(len(key)), []
-    for lag in range(1, ALL_PAIRS):
-        at = at[at + lag < len(key)]
-        at = at[key[at + lag] == key[at]]
-        # Sizes further apart than LEAST allow no such similarity.
-        on = at[np.minimum(size[at], size[at + lag]) >= LEAST * np.maximum(size[at], size[at + lag])]
-        found.append(np.stack([np.minimum(cls[on], cls[on + lag]), np.maximum(cls[on], cls[on + lag])], 1))
-        at = at[~large[at]]
-        if not len(at):
-            break
-    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-
-
-def _candidates(batches):
-    """Batches are sorted by key within a task; a run that a batch cuts is carried to the next one."""
-    held, rows = [], 0
-
-    def out(cols):
-        pairs = _pairs_of_runs(*cols)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    for batch in batches:
-        held.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
-        rows += batch.num_rows
-        if rows < 200_000:
-            continue
-        cols = [np.concatenate(x) for x in zip(*held)]
-        cut = int(np.searchsorted(cols[0], cols[0][-1]))
-        if cut:
-            yield out([c[:cut] for c in cols])
-        held, rows = [[c[cut:] for c in cols]], 0
-    if held:
-        cols = [np.concatenate(x) for x in zip(*held)]
-        if len(cols[0]):
-            yield out(cols)
+def _tokens(texts) -> list[pa.Array]:
+    found = [shingles(t).view(np.int64) for t in bytes_of(texts)]
+    ends = np.cumsum([0, *map(len, found)])
+    return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))]
+
+
+def _candidates(classes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(pairs (a, b) that share a key, classes of long runs). Sizes further apart than LEAST allow no such similarity."""
+    keyed = classes.select(F.explode("keys").alias("key"), "cls", "size")
+    pick = F.min(F.struct(F.xxhash64("cls", "key").alias("h"), "cls", "size")).alias("one")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), pick).filter("n > 1")
+    met = scratch.write(keyed.join(shared, "key"), "met")
+    short = met.filter(F.col("n") <= ALL_PAIRS)
+    other = short.select("key", F.col("cls").alias("b"), F.col("size").alias("m"))
+    fits = lambda x, y: F.least(x, y) >= LEAST * F.greatest(x, y)
+    pairs = short.join(other, "key").filter((F.col("cls") < F.col("b")) & fits("size", "m")).select(F.col("cls").alias("a"), "b")
+    long = met.filter(F.col("n") > ALL_PAIRS)
+    stars = long.filter((F.col("cls") != F.col("one.cls")) & fits("size", "one.size")).select(F.least("cls", "one.cls").alias("a"), F.greatest("cls", "one.cls").alias("b"))
+    return pairs.unionByName(stars), scratch.write(long.select("cls").distinct(), "long")
+
+
+def _prefix_pairs(texts: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
+    """texts: cls, text; groups: node, label. (a, b): all pairs of classes of different groups that can be at LEAST: their
+    rarest shingles meet. Of a shingle whose classes are mostly of one group only pairs with another group are made."""
+    of_text = add_columns(texts, _tokens, ["text"], [("h", T.ArrayType(T.LongType()))], keep=["cls"])
+    every = scratch.write(of_text.select("cls", F.explode("h").alias("h")), "tokens")
+    often = every.groupBy("h").agg(F.count("*").alias("often"))
+    ordered = every.join(often, "h").groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("often", "h"))).alias("t"))  # one text's shingles
+    n = F.col("n")
+    longer, shorter = n - F.floor((4 * n + 4) / 5) + 1, n - F.floor((8 * n + 8) / 9) + 1  # exact for LEAST = 4/5
+    rows = ordered.select("cls", F.size("t").alias("n"), "t").select("cls", "n", shorter.cast("int").alias("shorter"), F.posexplode(F.slice("t", F.lit(1), longer.cast("int"))).alias("at", "x"))
+    label = groups.select(F.col("node").alias("cls"), "label")
+    rows = rows.filter("x.often > 1").join(label, "cls", "left").select("cls", F.coalesce("label", "cls").alias("group"), "n", "at", F.col("x.h").alias("h"), (F.col("at") < F.col("shorter")).alias("first"))
+    rows = scratch.write(rows, "prefixes")
+    per = rows.groupBy("h", "group").agg(F.count("*").alias("k")).groupBy("h").agg(F.max(F.struct("k", "group")).alias("top"), F.count("*").alias("groups"))
+    mixed = per.filter("groups > 1").select("h", F.col("top.group").alias("most"))
+    met = scratch.write(rows.join(mixed, "h"), "mixed")
+    x = met.filter("first").select("h", F.col("cls").alias("a"), F.col("group").alias("ga"), F.col("n").alias("na"), F.col("at").alias("ia"), (F.col("group") == F.col("most")).alias("main"))
+    y = met.select("h", F.col("cls").alias("b"), F.col("group").alias("gb"), F.col("n").alias("nb"), F.col("at").alias("ib"), (F.col("group") != F.col("most")).alias("aside"))
+    both = x.filter("NOT main").join(y, "h").unionByName(x.filter("main").join(y.filter("aside"), "h"))
+    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    left = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))  # what both have from there on
+    enough = left >= F.floor((4 * (F.col("na") + F.col("nb")) + 8) / 9)
+    return both.filter("ga <> gb").filter(smaller & (5 * F.col("na") >= 4 * F.col("nb")) & enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _near(x, y) -> list[pa.Array]:
@@ -146,18 +153,29 @@ def keep_distinct(docs: DataFrame) -> DataFrame:
     marked = add_columns(docs.select("doc_id", "text", text_mark().alias("mark")), _marks, ["text"], fields, keep=["doc_id", "mark"])
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
     classes = scratch.write(marked.groupBy("cls").agg(F.min(first).alias("first"), F.any_value("size").alias("size"), F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys")), "classes")
-    keyed = classes.select(F.explode("keys").alias("key"), "cls", "size").repartition("key").sortWithinPartitions("key")
-    pairs = scratch.write(keyed.mapInArrow(_candidates, "a long, b long").unionByName(_by_fingerprint(classes)).distinct(), "pairs")
+    shared, long = _candidates(classes, scratch)
+    pairs = scratch.write(shared.unionByName(_by_fingerprint(classes)).distinct(), "pairs")
+    scratch.drop("met")
     # A class's first row stands for it; only texts of candidates move.
-    needed = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    needed = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(long).distinct()
     wanted = classes.join(needed, "cls", "left_semi").select("cls", "first.doc_id", "first.mark")
     source = docs.select(F.col("doc_id").alias("_id"), text_mark().alias("mark"), "text")
     texts = wanted.join(source, (F.col("doc_id").eqNullSafe(F.col("_id"))) & (wanted["mark"] == source["mark"])).select("cls", "text").dropDuplicates(["cls"])
     texts = scratch.write(texts, "texts")
-    both = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("y")), "b")
-    edges = add_columns(both, _near, ["x", "y"], [("near", T.BooleanType())], keep=["a", "b"]).filter("near").select("a", "b")
+
+    def verified(found: DataFrame) -> DataFrame:
+        both = found.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("y")), "b")
+        return add_columns(both, _near, ["x", "y"], [("near", T.BooleanType())], keep=["a", "b"]).filter("near").select("a", "b")
+
+    edges = scratch.write(verified(pairs), "near")
     labels = components(edges, scratch)
     scratch.drop("pairs")
+    if not long.isEmpty():
+        labels = scratch.write(labels, "groups")
+        more = _prefix_pairs(texts.join(long, "cls", "left_semi"), labels, scratch)
+        labels = components(edges.unionByName(verified(scratch.write(more, "more"))), scratch)
+        for name in ("tokens", "prefixes", "mixed", "more", "groups"):
+            scratch.drop(name)
     scratch.drop("texts")
     of_class = classes.select("cls", "first").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
     kept = of_class.groupBy(F.coalesce("label", "cls").alias("label")).agg(F.min("first").alias("first"))

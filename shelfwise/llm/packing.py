@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, session_of
+from .common import Scratch, id_type, session_of
 
 #: Characters on whose classes all Unicode versions agree; a text with others is left to the tokenizer's own splitter.
 OTHER = re.compile("[^\x00-\u024f\u2000-\u206f]")
@@ -272,7 +272,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: Capacity = Ca
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset, and if wanted ids (array of int), of every piece."""
     spark = session_of(docs)
     scratch = Scratch(spark)
-    cut_docs = docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer_path, capacity.tokens, end_id, with_ids), "doc_id long, piece int, start long, length long, ids_crc32 long, rank_in_part long, part long" + ", ids array<int>" * with_ids)
+    cut_docs = docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer_path, capacity.tokens, end_id, with_ids), f"doc_id {id_type(docs)}, piece int, start long, length long, ids_crc32 long, rank_in_part long, part long" + ", ids array<int>" * with_ids)
     pieces = scratch.write(cut_docs, "pieces")
     counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -282,7 +282,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: Capacity = Ca
     # The bases grow with the map tasks, so they aren't broadcast; no key of this join has more rows than one map task.
     ranked = pieces.join(bases.select("length", "part", "base").hint("merge"), ["length", "part"]).withColumn("rank", F.col("base") + F.col("rank_in_part"))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else []), "rank"]
-    return ranked.select(*columns).mapInArrow(lambda batches: _placed(shared.value, batches), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids array<int>" * with_ids)
+    return ranked.select(*columns).mapInArrow(lambda batches: _placed(shared.value, batches), f"doc_id {id_type(docs)}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids array<int>" * with_ids)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

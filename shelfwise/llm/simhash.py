@@ -7,7 +7,7 @@ is equal and another differs in one bit at most (3 = 3+0+0 = 2+1+0), or each seg
 are one segment whole with an index of another (33 bits or more), and the indices of all three (36 bits): every linked
 pair meets under one of them. That makes some 180 keys a fingerprint, so long that unrelated fingerprints seldom share
 one: with 10**10 of them a key still has about 20. Pairs are verified bit by bit inside a key's run, where only a
-spanning forest of the verified links leaves the task; components follow by label propagation with pointer jumps.
+spanning forest of the verified links leaves the task; components follow by large-star and small-star rounds.
 
 Rows: null texts count as empty; a text without words has fingerprint zero and links like any other; rows with equal
 fingerprints are one class before any key is made, so groups of copies of any size cost one row. Null doc_id rows
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, add_columns, bytes_of, session_of
+from .common import Scratch, add_columns, bytes_of, plain_names, session_of
 
 #: Generator polynomial of the Golay code, the three segments as (shift, bits).
 GENERATOR = 0b110001110101
@@ -188,22 +188,26 @@ def links(classes: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, label): label is the smallest node of its component. Each round takes the smallest label around a node,
-    then follows that label one step; rounds grow with the logarithm of the longest path."""
-    both = scratch.write(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a")), "edges")
-    most = both.count()
-    labels = scratch.write(both.groupBy("node").agg(F.min("other").alias("low")).select("node", F.least("node", "low").alias("label")), "labels0", most)
-    n = 0
-    while True:
-        around = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("low"))
-        hooked = labels.join(around, "node").select("node", F.col("label").alias("old"), F.least("label", "low").alias("mid"))
-        roots = labels.select(F.col("node").alias("mid"), F.col("label").alias("root"))
-        moved = scratch.write(hooked.join(roots, "mid").select("node", F.least("mid", "root").alias("label"), (F.least("mid", "root") != F.col("old")).alias("changed")), f"labels{n + 1}", most)
-        scratch.drop(f"labels{n}")
-        labels, n = moved.select("node", "label"), n + 1
-        if moved.filter("changed").isEmpty():
-            scratch.drop("edges")
-            return labels
+    """(node, label): label is the smallest node of its component. Large-star and small-star rounds in turn: each node hands
+    the smallest one around it to its larger neighbours, then to itself and its smaller ones, until every node hangs on
+    its label. The number of edges doesn't grow, and paths shrink to about half a round: 1,024 nodes in a row take about ten,
+    whatever their order (tested)."""
+    a, b = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
+    now, n = scratch.write(edges.filter("a <> b").select(a, b).distinct(), "edges0"), 0
+    held = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
+    while held["n"]:
+        both = now.select(F.col("a").alias("node"), F.col("b").alias("other")).union(now.select("b", "a"))
+        around = both.groupBy("node").agg(F.min("other").alias("low")).select("node", F.least("node", "low").alias("low"))
+        large = both.join(around, "node").filter("other > node").select(F.col("other").alias("a"), F.col("low").alias("b"))
+        lowest = large.groupBy("a").agg(F.min("b").alias("low"))
+        small = large.join(lowest, "a").filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).union(lowest.select("a", "low"))
+        now, n = scratch.write(small.distinct(), f"edges{n + 1}", held["n"]), n + 1
+        scratch.drop(f"edges{n - 1}")
+        seen = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
+        if seen == held:
+            break
+        held = seen
+    return now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(now.select("b", "b").distinct())
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -223,14 +227,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 def keep_rows(docs: DataFrame, stay: DataFrame) -> DataFrame:
     """The rows of docs that stay names by (doc_id, mark: hash of the text), one of each. Texts are dealt out once, by
-    the keys of the join, which drop repeated rows as well."""
+    the keys of the join, which drop repeated rows as well. All columns of docs stay, whatever their names."""
     keys = ["__none", "__id", "__mark"]
+    plain, named = plain_names(docs)
 
     def keyed(df: DataFrame, mark) -> DataFrame:
-        return df.withColumns({"__none": F.col("doc_id").isNull(), "__id": F.coalesce("doc_id", F.lit(0)), "__mark": mark})
+        return df.withColumns({"__none": F.col("doc_id").isNull(), "__id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "__mark": mark})
 
     wanted = keyed(stay, F.col("mark")).select(*keys)
-    return keyed(docs, text_mark()).join(wanted, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
+    return named(keyed(plain, text_mark()).join(wanted, keys, "left_semi").dropDuplicates(keys))
 
 
 def text_mark() -> Column:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, bytes_of, session_of
+from .common import Scratch, bytes_of, id_type, plain_names, session_of
 
 BYTES = 8  # of a word's hash that a context keeps
 SLICE = 14  # bits of the places that one group packs into the bitmap
@@ -327,9 +327,10 @@ def _windows(spans: Spans):
 
 def _shards(contexts: DataFrame, shard: list[str], spans: Spans) -> DataFrame:
     """(doc_id, text_hash, place, own) of the contexts, each shard streamed through its automaton."""
+    kind = contexts.select("first.doc_id").schema["doc_id"].dataType.simpleString()
     flat = contexts.select(F.xxhash64(*shard).alias("key") if len(shard) > 1 else F.col("key"), *shard[1:], "context", "first.doc_id", "first.text_hash", "first.place")
     ordered = flat.repartition("key").sortWithinPartitions("key", *shard[1:], "doc_id", "text_hash", "place")
-    return ordered.drop(*shard[1:]).mapInArrow(_resolved(spans), "doc_id long, text_hash long, place int, own long")
+    return ordered.drop(*shard[1:]).mapInArrow(_resolved(spans), f"doc_id {kind}, text_hash long, place int, own long")
 
 
 def first_places(docs: DataFrame, spans: Spans, scratch: Scratch):
@@ -339,7 +340,7 @@ def first_places(docs: DataFrame, spans: Spans, scratch: Scratch):
     spark = docs.sparkSession
     twice, bitmap, bits = repeated_anchors(docs, spans, scratch)
     shared = spark.sparkContext.broadcast(bitmap)
-    seen = docs.select("doc_id", "text_hash", "text").mapInArrow(_contexts(spans, shared, bits), "key long, context binary, doc_id long, text_hash long, place int")
+    seen = docs.select("doc_id", "text_hash", "text").mapInArrow(_contexts(spans, shared, bits), f"key long, context binary, doc_id {id_type(docs)}, text_hash long, place int")
     known = None
     if bitmap is None:
         seen = scratch.write(seen.join(twice, "key", "left_semi"), "seen")
@@ -449,9 +450,10 @@ def repeated_words(docs: DataFrame, spans: Spans = Spans()) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, spans: Spans = Spans()) -> DataFrame:
     """docs with the repeated spans cut out of text (n_chars, where there is one, follows), without the rows of which
-    nothing is left. All columns stay; internal names begin or end in two underscores."""
-    columns = docs.columns
-    out = _run(docs, spans, True).filter("n_words__ = 0 OR n_removed__ < n_words__").withColumn("text", F.col("last__"))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed__") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*columns)
+    nothing is left. All columns stay, whatever their names."""
+    plain, named = plain_names(docs)
+    out = _run(plain, spans, True).filter("n_words__ = 0 OR n_removed__ < n_words__").withColumn("text", F.col("last__"))
+    if "n_chars" in docs.columns:
+        n_chars = plain.columns[docs.columns.index("n_chars")]
+        out = out.withColumn(n_chars, F.when(F.col("n_removed__") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(n_chars)))
+    return named(out)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, add_columns, fold, session_of
+from .common import Scratch, add_columns, fold, id_type, session_of
 
 #: Where sentences end (fixed value: regular expression).
 BOUNDARY = re.compile(r"[.!?…。！？]+|\n")
@@ -183,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: Sample = Sample()) -> Mode
     counts = counts.filter(F.col("bad") >= sample.least_docs).toArrow().sort_by("feature")
     chosen = choose(list(zip(*(counts[c].to_pylist() for c in ("feature", "bad", "clean")))), numbers[1], numbers[0], sample)
     shared = docs.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(chosen)})
-    got = texts.select("doc_id", "text", "toxic").mapInArrow(hits, "doc_id long, toxic int, hits array<array<int>>").toArrow().sort_by("doc_id")
+    got = texts.select("doc_id", "text", "toxic").mapInArrow(hits, f"doc_id {id_type(docs)}, toxic int, hits array<array<int>>").toArrow().sort_by("doc_id")
     scratch.drop("labelled")
     return fit_weights(got["hits"].to_pylist(), got["toxic"].to_pylist(), chosen, sample)
 

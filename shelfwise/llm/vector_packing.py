@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, session_of
+from .common import Scratch, id_type, session_of
 from .packing import Encoder
 
 
@@ -234,7 +234,7 @@ def pack_examples(examples: DataFrame, tokenizer_path: str, limits: Limits = Lim
     little-endian unsigned 32-bit numbers). prompt names the column of what comes before the text and bears no loss."""
     spark = session_of(examples)
     scratch = Scratch(spark)
-    kind_of_id = examples.schema["doc_id"].dataType.simpleString()
+    kind_of_id = id_type(examples)
     asked = examples.select("doc_id", "text", (F.col(prompt) if prompt else F.lit(None).cast("string")).alias("prompt"))
     schema = f"doc_id {kind_of_id}, doc_tokens long, start long, length long, loss long, kind long, ids_crc32 long, rank_in_part long, part long, ids binary"
     pieces = scratch.write(asked.mapInArrow(_pieces(tokenizer_path, limits, end_id, with_ids), schema), "pieces")
