@@ -8,12 +8,12 @@ from operator import or_
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import blocks as B
 from ..functions import classify as C
 from ..functions import text as X
 from ..schema import LibraryState, with_numbers
 from .catalog import sliced
 from .matching import eligible
+from .parts import either_holding
 
 #: Titles that the pattern filter takes by default.
 DEFAULT_PATTERNS = (r"modern\s+principle", "macroeconomics", "microeconomics")
@@ -32,9 +32,7 @@ def composites(state: LibraryState) -> DataFrame:
         part.filter(f"{p} <> ''").join(single.withColumnRenamed(q, p), ["author_id", p]).select(*keys, F.lit(score).alias("score"))
         for p, q, score in (("_pn", "_sn", 1.0), ("_pb", "_sb", 0.8))
     ]
-    held = part.withColumn("_key", B.needle(F.col("_pl"))).join(single.withColumn("_key", F.explode(B.haystack(F.col("_sl")))), ["author_id", "_key"]).filter(F.contains("_sl", F.col("_pl")))
-    holds = part.withColumn("_key", F.explode(B.haystack(F.col("_pl")))).join(single.withColumn("_key", B.needle(F.col("_sl"))), ["author_id", "_key"]).filter(F.contains("_pl", F.col("_sl")))
-    scored = reduce(DataFrame.unionByName, [*equal, *(x.select(*keys, F.lit(0.7).alias("score")) for x in (held, holds))])
+    scored = reduce(DataFrame.unionByName, [*equal, either_holding(part, single, ["author_id"], "_pl", "_sl").select(*keys, F.lit(0.7).alias("score"))])
     best = scored.groupBy("composite_id", "pos", "part").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("standalone_id"))).alias("m"))
     per = best.groupBy("composite_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("m.standalone_id").alias("standalone_id"), (-F.col("m.s")).alias("score")))).alias("matches"))
     n, k = F.size("parts"), F.coalesce(F.size("matches"), F.lit(0))

@@ -14,6 +14,7 @@ from ..functions import classify as C
 from ..functions import text as X
 from ..schema import LibraryState, on
 from ..store import settled
+from .parts import holding
 from .stars import stars
 
 SIMILAR = 0.85
@@ -45,13 +46,13 @@ def similar_pairs(rows: DataFrame, key: str, least: float = SIMILAR) -> DataFram
 
 def contained_pairs(rows: DataFrame, most_longer: int = 30, shortest: int = 3) -> DataFrame:
     """(owner, a, b) with a < b whose base titles are equal, or one holds the other (at most `most_longer` shorter). A
-    title meets those that have its key among the keys of their parts."""
+    title meets others under its rarest part (parts.py)."""
     base = rows.filter("base <> ''").select("owner", "id", "base")
     equal = base.select("owner", "base", F.col("id").alias("a")).join(base.select("owner", "base", F.col("id").alias("b")), ["owner", "base"]).filter("a < b").select("owner", "a", "b")
-    long = base.select("owner", F.col("id").alias("l"), F.col("base").alias("x"), F.explode(B.haystack(F.col("base"))).alias("key"))
-    short = base.filter(F.length("base") >= shortest).select("owner", F.col("id").alias("s"), F.col("base").alias("y"), B.needle(F.col("base")).alias("key"))
-    holds = (F.col("x") != F.col("y")) & F.contains("x", F.col("y")) & (F.length("x") - F.length("y") < most_longer)
-    return equal.unionByName(long.join(short, ["owner", "key"]).filter(holds).select("owner", F.least("l", "s").alias("a"), F.greatest("l", "s").alias("b")))
+    long = base.select("owner", F.col("id").alias("l"), F.col("base").alias("x"))
+    short = base.filter(F.length("base") >= shortest).select("owner", F.col("id").alias("s"), F.col("base").alias("y"))
+    holds = (F.col("x") != F.col("y")) & (F.length("x") - F.length("y") < most_longer)
+    return equal.unionByName(holding(short, long, ["owner"], "y", "x").filter(holds).select("owner", F.least("l", "s").alias("a"), F.greatest("l", "s").alias("b")))
 
 
 def _first_groups(rows: DataFrame) -> DataFrame:

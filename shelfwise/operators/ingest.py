@@ -84,6 +84,16 @@ def mark_read(recommendations: DataFrame, books: DataFrame) -> DataFrame:
     return keyed.join(history, ["_t", "_a"], "left").withColumn("_read", F.coalesce("_hit", F.lit(False))).drop("_t", "_a", "_hit")
 
 
+def set_values(metadata: DataFrame, values: DataFrame, now: Column) -> DataFrame:
+    """D4 for many: values (key, value), a row a key; known keys keep their id, new ones get ids in the order of the keys."""
+    old = metadata.select(F.col("key"), F.col("id").alias("_id"))
+    rows = settled(values.join(old, "key", "left").select("_id", "key", "value", now.alias("updated_at")))
+    known = rows.filter("_id IS NOT NULL").select(F.col("_id").alias("id"), "key", "value", "updated_at")
+    new = assign_ids(rows.filter("_id IS NULL").drop("_id").withColumn("id", F.lit(None).cast("long")), metadata, F.col("key"))
+    rest = metadata.join(values.select("key"), "key", "left_anti")
+    return rest.select(*metadata.columns).unionByName(known.unionByName(new.select("id", "key", "value", "updated_at")))
+
+
 def set_metadata(metadata: DataFrame, key: str, value: Column, now: Column) -> DataFrame:
     """The key's value and time, replaced or added."""
     spark = metadata.sparkSession

@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import blocks as B
 from ..functions import classify as C
 from ..functions import text as X
 from ..schema import LibraryState, on
+from .parts import either_holding
 
 
 def match_to_history(catalog: DataFrame, authors: DataFrame, books: DataFrame, unmatched_only: bool = False) -> DataFrame:
     """Catalog with is_read and matched_book_id set anew: by isbn (last loan), by title (last loan), by one title
     holding the other (first loan), each within the author's own loans. Rows without a match are reset.
 
-    The two equi joins run on aggregates; what they leave meets those of the author's loans that have the key of a part in
-    common (blocks.py), in either direction."""
+    The two equi joins run on aggregates; what they leave meets the author's loans under its rarest part (parts.py), in either
+    direction."""
     scope = catalog.filter(~on("is_read")) if unmatched_only else catalog
     rows = scope.select("id", "author_id", "isbn", X.lower_trim(F.col("title")).alias("_t")).join(authors.select(F.col("id").alias("author_id"), F.col("normalized_name").alias("_author")), "author_id")
     loans = books.select(F.col("id").alias("_book"), F.col("author").alias("_author"), F.col("isbn").alias("_isbn"), X.lower_trim(F.col("title")).alias("_bt"), F.lower("title").alias("_raw"))
@@ -25,9 +25,7 @@ def match_to_history(catalog: DataFrame, authors: DataFrame, books: DataFrame, u
     equi = rows.join(by_isbn, ["_author", "isbn"], "left").join(by_title, ["_author", "_t"], "left").withColumn("_equi", F.coalesce("_m1", "_m2"))
     rest = equi.filter("_equi IS NULL AND _t IS NOT NULL").select("id", "_author", "_t")
     held = loans.filter("_raw IS NOT NULL").select("_author", "_book", "_raw")
-    inside = rest.withColumn("_key", B.needle(F.col("_t"))).join(held.withColumn("_key", F.explode(B.haystack(F.col("_raw")))), ["_author", "_key"]).filter(F.contains("_raw", F.col("_t")))
-    around = rest.withColumn("_key", F.explode(B.haystack(F.col("_t")))).join(held.withColumn("_key", B.needle(F.col("_raw"))), ["_author", "_key"]).filter(F.contains("_t", F.col("_raw")))
-    by_part = inside.select("id", "_book").unionByName(around.select("id", "_book")).groupBy("id").agg(F.min("_book").alias("_m3"))
+    by_part = either_holding(rest, held, ["_author"], "_t", "_raw").groupBy("id").agg(F.min("_book").alias("_m3"))
     found = equi.join(by_part, "id", "left").select("id", F.coalesce("_equi", "_m3").alias("_match"))
     fresh = catalog.join(found.withColumn("_in", F.lit(True)), "id", "left")
     return fresh.select(*(

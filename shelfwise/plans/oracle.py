@@ -68,6 +68,14 @@ def _texts() -> dict[str, str]:
         "q34_feedback": f"""SELECT title, author, format, u AS thumbs_up, d AS thumbs_down, coalesce(ne, false) AS non_english, coalesce(ar, false) AS already_read, coalesce(du, false) AS duplicate FROM (
             SELECT arg_max(title, id) AS title, arg_max(author, id) AS author, format, arg_max(thumbs_up, id) FILTER (thumbs_up OR thumbs_down) AS u, arg_max(thumbs_down, id) FILTER (thumbs_up OR thumbs_down) AS d, max(true) FILTER (non_english) AS ne, max(true) FILTER (already_read) AS ar, max(true) FILTER (duplicate) AS du
             FROM recommendations WHERE thumbs_up OR thumbs_down OR non_english OR already_read OR duplicate GROUP BY {lt('title')}, {lt('author')}, format)""",
+        "q34_feedback_stream": f"""SELECT title, author, format, u AS thumbs_up, d AS thumbs_down, coalesce(ne, false) AS non_english, coalesce(ar, false) AS already_read, coalesce(du, false) AS duplicate FROM (
+            SELECT arg_max(title, id) AS title, arg_max(author, id) AS author, format, arg_max(thumbs_up, id) FILTER (thumbs_up OR thumbs_down) AS u, arg_max(thumbs_down, id) FILTER (thumbs_up OR thumbs_down) AS d, max(true) FILTER (non_english) AS ne, max(true) FILTER (already_read) AS ar, max(true) FILTER (duplicate) AS du
+            FROM recommendations WHERE thumbs_up OR thumbs_down OR non_english OR already_read OR duplicate GROUP BY {lt('title')}, {lt('author')}, format)""",
+        "q34_feedback_onto_rows": f"""SELECT r.id, u AS thumbs_up, d AS thumbs_down, ne AS non_english, ar AS already_read, du AS duplicate FROM recommendations r LEFT JOIN (
+            SELECT f.id, e.* FROM (SELECT {lt('title')} AS t, {lt('author')} AS a, format, min(id) AS id FROM recommendations GROUP BY ALL) f JOIN (
+              SELECT {lt('title')} AS t, {lt('author')} AS a, format, arg_max(thumbs_up, id) FILTER (thumbs_up OR thumbs_down) AS u, arg_max(thumbs_down, id) FILTER (thumbs_up OR thumbs_down) AS d, max(true) FILTER (non_english) AS ne, max(true) FILTER (already_read) AS ar, max(true) FILTER (duplicate) AS du
+              FROM recommendations WHERE thumbs_up OR thumbs_down OR non_english OR already_read OR duplicate GROUP BY ALL) e USING (t, a, format)) x ON x.id = r.id""",
+        "q34_unhide_authors": f"SELECT id, {lt('name')} NOT IN (SELECT {lt('name')} FROM authors WHERE id % 2 = 0) AS hidden FROM authors",
         "q34_hide_authors": "SELECT true AS hidden, count(*) AS n FROM authors",
         "q34_recategorize": f"""SELECT id, categories AS old_categories, {F20} AS new_categories FROM (SELECT c.*, row_number() OVER (PARTITION BY {lt('c.title')}, {lt('a.name')} ORDER BY c.id) AS rn FROM catalog c JOIN authors a ON a.id = c.author_id) WHERE rn = 1""",
         "q9_mixed_identities": "SELECT author_id, '/authors/OL' || CAST(id % 3 AS VARCHAR) || 'A' AS author_key, count(*) AS books FROM catalog WHERE open_library_key IS NOT NULL AND author_id IN (SELECT author_id FROM catalog WHERE open_library_key IS NOT NULL GROUP BY 1 HAVING count(DISTINCT id % 3) > 1) GROUP BY ALL",

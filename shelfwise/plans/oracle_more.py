@@ -111,6 +111,12 @@ def texts() -> dict[str, tuple[str, str]]:
         "p4_resolved": ("nothing AS (SELECT 1)", " UNION ALL ".join(one(n) for n in ("Karen B. Eason", "karen b. eason", "someone else 7", "eason", "nobody"))),
         "p11_category": (candidates("ebook"), "SELECT catalog_id FROM cand WHERE len(list_filter(categories, lambda c: lower(c) = 'history')) > 0"),
         "a5_author_chunk": ("nothing AS (SELECT 1)", "SELECT DISTINCT author_id FROM catalog ORDER BY author_id LIMIT 10 OFFSET 5"),
+        "a12_subtotals": ("nothing AS (SELECT 1)", f"SELECT author_id, tag, count(*) AS n, CAST(bit_count(GROUPING_ID(author_id, tag)) AS INTEGER) AS level FROM (SELECT author_id, unnest({CATS}) AS tag FROM catalog) GROUP BY ROLLUP (author_id, tag)"),
+        "a18_subtotals": ("nothing AS (SELECT 1)", f"SELECT author_id, tag, count(*) AS n, CAST(bit_count(GROUPING_ID(author_id, tag)) AS INTEGER) AS level FROM (SELECT author_id, unnest({c4_reasons('title')}) AS tag FROM catalog) GROUP BY ROLLUP (author_id, tag)"),
+        "d4_table_counts": (
+            "counted AS (SELECT 'books' AS key, count(*) AS n FROM books UNION ALL SELECT 'authors', count(*) FROM authors UNION ALL SELECT 'catalog', count(*) FROM catalog UNION ALL SELECT 'series', 0 UNION ALL SELECT 'recommendations', count(*) FROM recommendations UNION ALL SELECT 'metadata', 0 UNION ALL SELECT 'authors_with_catalog', count(DISTINCT author_id) FROM catalog)",
+            "SELECT row_number() OVER (ORDER BY key >= 'c', key) AS id, key, CAST(n AS VARCHAR) AS value FROM counted",
+        ),
         "a12_histogram": ("nothing AS (SELECT 1)", f"SELECT tag, count(*) AS n FROM (SELECT unnest({CATS}) AS tag FROM catalog) GROUP BY tag ORDER BY n DESC, tag LIMIT 10"),
         "a13_shares": ("nothing AS (SELECT 1)", "SELECT format, n, 100.0 * n / CAST(sum(n) OVER () AS BIGINT) AS pct FROM (SELECT format, count(*) AS n FROM books GROUP BY format)"),
         "o1_slice": ("nothing AS (SELECT 1)", f"SELECT id, title, 'title' AS cause FROM (SELECT * FROM catalog ORDER BY id LIMIT 100 OFFSET 30) WHERE {c3('title')}"),

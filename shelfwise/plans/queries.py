@@ -14,6 +14,7 @@ from ..operators import authors, catalog, curation, dedupe, feedback, ingest, ma
 from ..schema import LibraryState, conform, on
 from ..sources import newest, read_loans, read_report
 from ..store import shared_folder, write_report
+from ..streaming.feedback import latest_rows, stream_feedback
 from . import documents
 from .views import library
 
@@ -336,6 +337,39 @@ def q34_feedback(s: LibraryState) -> DataFrame:
     return state.recommendations.select("title", "author", "format", "thumbs_up", "thumbs_down", "non_english", "already_read", "duplicate")
 
 
+def _feedback_events(s: LibraryState) -> DataFrame:
+    kinds = F.array(*(F.when(F.col(a), F.lit(a)) for a in feedback.ACTIONS))
+    at = F.to_timestamp(F.lit("2025-01-01 00:00:00")) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("id").cast("decimal(18,6)"))
+    return s.recommendations.select("id", "title", "author", "format", F.explode(F.array_compact(kinds)).alias("action"), at.alias("at"))
+
+
+@query
+def q34_feedback_stream(s: LibraryState) -> DataFrame:
+    """The events of q34_feedback as a stream with state: three deliveries, the latest events first, then one of them again,
+    the stream started anew for each."""
+    root, events = f"{shared_folder(s.spark)}-stream", _feedback_events(s)
+    for part in (2, 0, 1, 0):
+        events.filter(F.col("id") % 3 == part).drop("id").write.mode("append").parquet(f"{root}/events")
+        stream_feedback(s.spark, f"{root}/events", f"{root}/rows", f"{root}/checkpoint").awaitTermination()
+    return latest_rows(s.spark, f"{root}/rows").drop("feedback_date")
+
+
+@query
+def q34_feedback_onto_rows(s: LibraryState) -> DataFrame:
+    """The recommendations' own flags as events, onto the rows without flags: all are updates of what is there."""
+    bare = s.with_(recommendations=s.recommendations.withColumns({f: F.lit(None).cast("boolean") for f in feedback.FLAGS}))
+    plan, state = feedback.apply_feedback(bare, _feedback_events(s).drop("id"), now())
+    return state.recommendations.select("id", *feedback.FLAGS)
+
+
+@query
+def q34_unhide_authors(s: LibraryState) -> DataFrame:
+    """Every second author's name; those without a match have no id."""
+    names = s.authors.filter(F.col("id") % 2 == 0).select("name").unionByName(s.authors.select(F.concat(F.lit("No "), "name").alias("name")))
+    hidden = feedback.set_hidden(s, s.authors.select("name"), True, now())[1]
+    return feedback.set_hidden(hidden, names, False, now())[1].authors.select("id", "hidden")
+
+
 @query
 def q34_hide_authors(s: LibraryState) -> DataFrame:
     names = s.authors.filter(~on("hidden")).select(F.upper("name").alias("name"))
@@ -521,6 +555,26 @@ def a12_histogram(s: LibraryState) -> DataFrame:
     return report.histogram(s.catalog.select(X.category_list(F.col("categories")).alias("tags")), "tags", 10)
 
 
+@query
+def a12_subtotals(s: LibraryState) -> DataFrame:
+    """Categories by author, with each author's sum and the total."""
+    return report.subtotals(s.catalog.select("author_id", F.explode(X.category_list(F.col("categories"))).alias("tag")), "author_id", "tag")
+
+
+@query
+def a18_subtotals(s: LibraryState) -> DataFrame:
+    """Findings of the language review by author and reason."""
+    return report.subtotals(curation.cleanup_review(s).select("author_id", F.explode("reasons").alias("tag")), "author_id", "tag")
+
+
+@query
+def d4_table_counts(s: LibraryState) -> DataFrame:
+    """The number of rows of each table as metadata: written as 0 for some, then set for all."""
+    counts = report.inspect(s).select(F.col("what").alias("key"), F.col("n").cast("string").alias("value"))
+    once = ingest.set_values(s.metadata, counts.filter("key < 'c'").withColumn("value", F.lit("0")), now())
+    return ingest.set_values(once, counts, now()).select("id", "key", "value")
+
+
 @query
 def a13_shares(s: LibraryState) -> DataFrame:
     return report.shares(s.books, "format")

@@ -76,7 +76,7 @@ def on(flag: str) -> F.Column:
     return F.coalesce(F.col(flag), F.lit(False))
 
 
-def with_numbers(rows: DataFrame, *order: F.Column, name: str = "number") -> DataFrame:
+def with_numbers(rows: DataFrame, *order: F.Column, name: str = "number", kind: str = "int") -> DataFrame:
     """rows with consecutive numbers from 1 in the given order: rows are sorted by ranges, numbered within their range, and
     what meets in one task is one count per range. The order has to tell rows apart, or ties take any place."""
     from pyspark.sql import Window
@@ -89,7 +89,7 @@ def with_numbers(rows: DataFrame, *order: F.Column, name: str = "number") -> Dat
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
     numbered = dealt.withColumn("__local", local).join(F.broadcast(bases), "__part")
-    return numbered.withColumn(name, (F.col("__base") + F.col("__local")).cast("int")).drop("__part", "__local", "__base")
+    return numbered.withColumn(name, (F.col("__base") + F.col("__local")).cast(kind)).drop("__part", "__local", "__base")
 
 
 def assign_ids(rows: DataFrame, taken: DataFrame, bucket: F.Column, *order: F.Column) -> DataFrame:
@@ -97,5 +97,5 @@ def assign_ids(rows: DataFrame, taken: DataFrame, bucket: F.Column, *order: F.Co
     meet in one task."""
     start = taken.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__start"))
     tagged = rows.drop("id").withColumn("__bucket", bucket)
-    numbered = with_numbers(tagged, F.col("__bucket"), *order, name="__number").crossJoin(F.broadcast(start))  # one row
+    numbered = with_numbers(tagged, F.col("__bucket"), *order, name="__number", kind="long").crossJoin(F.broadcast(start))  # one row
     return numbered.withColumn("id", (F.col("__start") + F.col("__number")).cast("long")).drop("__bucket", "__number", "__start")
