@@ -84,6 +84,7 @@ def _texts() -> dict[str, str]:
     chained = {
         "q2_match_history": (MATCH, "SELECT id, coalesce(m1, m2, m3) IS NOT NULL AS is_read, coalesce(m1, m2, m3) AS matched_book_id FROM m"),
         "q11_series": (JUDGED, "SELECT * FROM series"),
+        "q11_series_kept_up": (JUDGED, "SELECT author_id, author, series_name, total_books, books_read, completion_pct, status, unread FROM series"),
         "q11_series_summary": (JUDGED, f"SELECT count(*) AS total_series, count(*) FILTER (status = 'complete') AS complete, count(*) FILTER (status = 'partial') AS partial, count(*) FILTER (status = 'not_started') AS not_started, (SELECT count(*) FROM ({STANDALONE})) AS standalone FROM series"),
         "q17_status": (JUDGED, f"""SELECT (SELECT count(*) FROM books) AS books, (SELECT count(*) FROM books WHERE format = 'audiobook') AS audiobooks, (SELECT count(*) FROM books WHERE format = 'ebook') AS ebooks, (SELECT count(*) FROM authors) AS authors,
             (SELECT count(*) FROM catalog) AS catalog_books, (SELECT count(*) FROM recommendations) AS recommendations, count(*) AS total_series, count(*) FILTER (status = 'complete') AS complete, count(*) FILTER (status = 'partial') AS partial,

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import classify as C
 from ..functions import text as X
 from ..operators import authors, catalog, curation, dedupe, feedback, ingest, matching, recommend, report, series
+from ..operators.series_totals import SeriesTotals, changes, counted, shown
 from ..schema import LibraryState, conform, on
 from ..sources import newest, read_loans, read_report
 from ..store import shared_folder, write_report
@@ -174,6 +175,18 @@ def q11_series_summary(s: LibraryState) -> DataFrame:
     return series.series_summary(s)
 
 
+@query
+def q11_series_kept_up(s: LibraryState) -> DataFrame:
+    """The totals of q11 from the bare catalog and three batches of feedback, one of them delivered twice."""
+    flags = ("already_read", "thumbs_down", "duplicate", "non_english")
+    after = lambda n: s.with_(recommendations=s.recommendations.withColumns({f: F.when(F.col("id") % 3 < n, F.col(f)) for f in flags}))
+    store = SeriesTotals(s.spark, f"{shared_folder(s.spark)}-totals")
+    store.apply("catalog", counted(after(0)))
+    for n in (0, 1, 1, 2):
+        store.apply(f"feedback-{n}", changes(after(n), after(n + 1), s.recommendations.filter(F.col("id") % 3 == n)))
+    return shown(store.totals())
+
+
 @query
 def q12_standalone(s: LibraryState) -> DataFrame:
     return series.standalone_unread(s).select("id", "author", "title")
