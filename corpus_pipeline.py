@@ -16,7 +16,8 @@ from shelfwise.llm.queries import MIX
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose language can't be told (a null text, one without a letter) go; repeated rows are judged one by one."""
+    """Rows whose language can't be told (a null text, one without a letter) go, and those told with a score under 0.05;
+    repeated rows are judged one by one."""
     return language.keep_identified(docs)
 
 
