@@ -15,8 +15,9 @@ Keys that more than `ALL_PAIRS` classes share (a template, a large group of copi
 of pairs. Each of these classes is compared with one of its key, which joins true groups, and beyond that exactly: of
 any two sets of shingles at `LEAST` or more, with all shingles in one order, the first (1 - LEAST) of the larger and the
 first ninth of the smaller have a common one, at places that leave enough after it. In the order of their frequency these are
-the rare ones, so what a template's texts have in common is no reason to meet. Such pairs are looked for where
-they aren't in one group yet. So no link is lost to a long run.
+the rare ones, so what a template's texts have in common is no reason to meet; and the parities of two sets differ in no more
+bits than the sets in shingles, which rules out nearly all others. Such pairs are looked for where they aren't in one
+group yet. So no link is lost to a long run.
 
 Rows: null texts count as empty, texts without words are one class; texts of equal words (case aside) are one class
 before any key is made. Of each component the row with the smallest doc_id stays (null last, then the smallest hash of
@@ -26,6 +27,9 @@ besides doc_id and text are kept as they are, whatever their names.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -38,6 +42,8 @@ from .simhash import components, keep_rows, links, text_mark
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS, ALL_PAIRS = 20, 5, 24
+#: Words of 64 bits of a text's parities.
+PARITY = 8
 #: Odd multipliers, one for each minimum.
 FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
@@ -89,9 +95,14 @@ def _marks(texts) -> list[pa.Array]:
 
 
 def _tokens(texts) -> list[pa.Array]:
-    found = [shingles(t).view(np.int64) for t in bytes_of(texts)]
+    """The shingles of each text, and in 512 bits whether an even or odd number of them has each remainder: the bits in
+    which two texts differ are at most the shingles that only one of them has."""
+    found = [shingles(t) for t in bytes_of(texts)]
     ends = np.cumsum([0, *map(len, found)])
-    return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))]
+    flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
+    odd = [np.packbits(np.bincount((h & np.uint64(511)).astype(np.int64), minlength=512) & 1, bitorder="little").view("<i8") for h in found]
+    eight = np.arange(len(found) + 1) * PARITY
+    return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), pa.ListArray.from_arrays(pa.array(eight, pa.int32()), pa.array(np.concatenate(odd) if odd else np.zeros(0, np.int64)))]
 
 
 def _candidates(classes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -112,8 +123,8 @@ def _candidates(classes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFr
 def _prefix_pairs(texts: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
     """texts: cls, text; groups: node, label. (a, b): all pairs of classes of different groups that can be at LEAST: their
     rarest shingles meet. Of a shingle whose classes are mostly of one group only pairs with another group are made."""
-    of_text = add_columns(texts, _tokens, ["text"], [("h", T.ArrayType(T.LongType()))], keep=["cls"])
-    every = scratch.write(of_text.select("cls", F.explode("h").alias("h")), "tokens")
+    of_text = scratch.write(add_columns(texts, _tokens, ["text"], [("h", T.ArrayType(T.LongType())), ("odd", T.ArrayType(T.LongType()))], keep=["cls"]), "tokens")
+    every = of_text.select("cls", F.explode("h").alias("h"))
     often = every.groupBy("h").agg(F.count("*").alias("often"))
     ordered = every.join(often, "h").groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("often", "h"))).alias("t"))  # one text's shingles
     n = F.col("n")
@@ -124,13 +135,15 @@ def _prefix_pairs(texts: DataFrame, groups: DataFrame, scratch: Scratch) -> Data
     rows = scratch.write(rows, "prefixes")
     per = rows.groupBy("h", "group").agg(F.count("*").alias("k")).groupBy("h").agg(F.max(F.struct("k", "group")).alias("top"), F.count("*").alias("groups"))
     mixed = per.filter("groups > 1").select("h", F.col("top.group").alias("most"))
-    met = scratch.write(rows.join(mixed, "h"), "mixed")
-    x = met.filter("first").select("h", F.col("cls").alias("a"), F.col("group").alias("ga"), F.col("n").alias("na"), F.col("at").alias("ia"), (F.col("group") == F.col("most")).alias("main"))
-    y = met.select("h", F.col("cls").alias("b"), F.col("group").alias("gb"), F.col("n").alias("nb"), F.col("at").alias("ib"), (F.col("group") != F.col("most")).alias("aside"))
+    met = scratch.write(rows.join(mixed, "h").join(of_text.select("cls", "odd"), "cls"), "mixed")
+    x = met.filter("first").select("h", F.col("cls").alias("a"), F.col("group").alias("ga"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("odd").alias("oa"), (F.col("group") == F.col("most")).alias("main"))
+    y = met.select("h", F.col("cls").alias("b"), F.col("group").alias("gb"), F.col("n").alias("nb"), F.col("at").alias("ib"), F.col("odd").alias("ob"), (F.col("group") != F.col("most")).alias("aside"))
     both = x.filter("NOT main").join(y, "h").unionByName(x.filter("main").join(y.filter("aside"), "h"))
     smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
     left = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))  # what both have from there on
-    enough = left >= F.floor((4 * (F.col("na") + F.col("nb")) + 8) / 9)
+    common = F.floor((4 * (F.col("na") + F.col("nb")) + 8) / 9)  # the least that a pair at LEAST has
+    apart = reduce(add, (F.bit_count(F.get("oa", F.lit(k)).bitwiseXOR(F.get("ob", F.lit(k)))) for k in range(PARITY)))
+    enough = (left >= common) & (apart <= F.col("na") + F.col("nb") - 2 * common)
     return both.filter("ga <> gb").filter(smaller & (5 * F.col("na") >= 4 * F.col("nb")) & enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
