@@ -87,6 +87,8 @@ class Library:
         done = items(plan)
         if not done:
             return 404, {"error": "no such book"}
+        if body.get("dry_run") is True:
+            return 200, {"would": done}
         return 200, {"done": done, "version": self.store.publish(new)}
 
 

@@ -16,7 +16,7 @@ from .sources.documents import Limits
 from .store import SnapshotStore
 
 #: Commands that ask before they change a library.
-ASKS = ("cleanup", "fix-authors", "remove-duplicates", "merge-authors", "composites", "childrens", "consolidate-series", "approve")
+ASKS = ("cleanup", "fix-authors", "remove-duplicates", "merge-authors", "composites", "childrens", "consolidate-series", "approve", "reassign", "filter-books", "remove-authors", "split-groups")
 
 
 def _numbers(text: str) -> list[int]:
@@ -54,7 +54,16 @@ def _parser() -> argparse.ArgumentParser:
     command("review-cleanup")
     command("duplicates", author=str, min_books=int).add_argument("what", choices=("recommendations", "catalog", "prolific"))
     command("approve", "yes", "dry-run", "all", file=str, author_ids=_numbers, groups=str).add_argument("report")
-    f = command("feedback")
+    command("reassign", "yes", "dry-run", source=str, target=str, source_id=int, target_id=int)
+    command("filter-books", "yes", "dry-run", author_id=int, patterns=str)
+    command("publisher-authors", samples=int)
+    command("remove-authors", "yes", "dry-run", "substring", names=str)
+    command("extract-series", "dry-run", limit=int, offset=int)
+    command("split-groups", "yes", "dry-run", names=str)
+    command("standalone")
+    command("audit", author_id=int)
+    command("inspect", top=int)
+    f = command("feedback", "dry-run")
     f.add_argument("format")
     f.add_argument("action", choices=tuple(feedback.ACTIONS))
     f.add_argument("title")
@@ -164,6 +173,32 @@ def main(argv: list[str] | None = None) -> None:
             if given is not None:
                 chosen = {"author_ids": given["author_ids"], "group_keys": given["group_keys"], "approve_all": bool(given["approve_all"])}
             plan, state = dedupe.approve(state, read_report(spark, args.report), **chosen)
+        case "reassign":
+            source, target = args.source_id or args.source, args.target_id or args.target
+            if source is None or target is None:
+                raise SystemExit("a source and a target are needed")
+            plan, state = authors.reassign_author(state, source, target)
+        case "filter-books":
+            chosen = {} if args.patterns is None else {"patterns": tuple(args.patterns.split("|"))}
+            plan, state = curation.filter_books(state, args.author_id, **chosen)
+        case "publisher-authors":
+            show(authors.publisher_authors(state, samples=args.samples or 5), 1000)
+        case "remove-authors":
+            if not args.names:
+                raise SystemExit("names, parted by |, are needed")
+            plan, state = authors.remove_authors(state, args.names.split("|"), args.substring)
+        case "extract-series":
+            plan, state = series.extract_series(state, args.limit, args.offset or 0)
+        case "split-groups":  # named groups are taken apart whatever their form
+            names = None if args.names is None else spark.createDataFrame([(n,) for n in args.names.split("|")], "name string")
+            plan, state = authors.split_groups(state, names, manual=names is not None)
+        case "standalone":
+            show(series.standalone_unread(state).orderBy("author", "title"), 1000)
+        case "audit":
+            show(dedupe.audit_author(state, args.author_id).filter("look_at"), 1000)
+        case "inspect":
+            show(report.inspect(state))
+            show(report.top_authors(state, limit=args.top or 10))
         case "feedback":
             event = spark.range(1).select(F.lit(args.title).alias("title"), F.lit(args.author).alias("author"), F.lit(args.format).alias("format"), F.lit(args.action).alias("action"), now.alias("at"))
             plan, state = feedback.apply_feedback(state, event, now)

@@ -47,6 +47,29 @@ def test_command_line(spark, store, capsys, monkeypatch):
     assert "Jane Roe" in capsys.readouterr().out
 
 
+def test_maintenance_commands(spark, tmp_path, capsys):
+    db = str(tmp_path / "lib")
+    SnapshotStore(spark, db).publish(LibraryState.of(
+        spark, authors=spark.createDataFrame([(1, "Jane Roe", "Jane Roe"), (2, "Big Press", "Big Press"), (3, "Ann Lee, Bob Ray", "Ann Lee")], "id long, name string, normalized_name string"),
+        catalog=spark.createDataFrame([(1, 1, "Sea (Saga #2)", None), (2, 1, "Macroeconomics", None), (3, 2, "Catalog", None), (4, 1, "Alone", None)], "id long, author_id long, title string, series_name string"),
+    ))
+    titles = lambda: sorted(r["title"] for r in SnapshotStore(spark, db).load().catalog.collect())
+    for command in (["publisher-authors"], ["standalone"], ["audit"], ["audit", "--author-id", "1"], ["inspect", "--top", "2"], ["filter-books", "--dry-run"], ["extract-series", "--dry-run"]):
+        cli.main(["--db", db, *command])
+    shown = capsys.readouterr().out
+    assert "authors_with_catalog" in shown and "Alone" in shown and len(titles()) == 4
+    cli.main(["--db", db, "filter-books", "--yes"])
+    cli.main(["--db", db, "extract-series"])
+    assert titles() == ["Alone", "Catalog", "Sea (Saga #2)"] and SnapshotStore(spark, db).load().catalog.filter("series_name = 'Saga'").count() == 1
+    cli.main(["--db", db, "reassign", "--yes", "--source-id", "2", "--target-id", "1"])
+    assert {r["author_id"] for r in SnapshotStore(spark, db).load().catalog.collect()} == {1}
+    cli.main(["--db", db, "split-groups", "--yes"])
+    cli.main(["--db", db, "remove-authors", "--yes", "--names", "press", "--substring"])
+    assert {"Ann Lee", "Bob Ray", "Jane Roe"} >= {r["name"] for r in SnapshotStore(spark, db).load().authors.collect()}
+    with pytest.raises(SystemExit):
+        cli.main(["--db", db, "reassign", "--yes"])
+
+
 class Host(threading.Thread):
     """A stub of the two book APIs; answers by path, and counts what it was asked."""
 
@@ -134,6 +157,10 @@ def test_http(store):
             return e.code, json.loads(e.read())
 
     assert call("/api/recommendations/audiobook")[1]["total"] == 2
+    for path, body in (("recommendations/audiobook/flag-duplicate", {"title": "Lake", "author": "Jane Roe"}), ("recommendations/audiobook/recategorize", {"title": "Lake", "author": "Jane Roe"}), ("authors/jane%20roe/hide", {})):
+        status, answer = call(f"/api/{path}", body | {"dry_run": True})
+        assert status == 200 and answer["would"] and "version" not in answer
+    assert call("/api/recommendations/audiobook")[1]["total"] == 2
     assert call("/api/recommendations/audiobook/feedback", {"title": "Lake", "author": "Jane Roe", "thumbs_up": True})[0] == 200
     assert [b["title"] for b in call("/api/books-to-read")[1]["books"]] == ["Lake"]
     assert call("/api/recommendations/audiobook/flag-duplicate", {"title": "Lake", "author": "Jane Roe"})[0] == 200
