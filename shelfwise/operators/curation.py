@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import classify as C
 from ..functions import text as X
 from ..schema import LibraryState, with_numbers
+from ..store import settled
 from .catalog import sliced
 from .matching import eligible
 from .parts import either_holding
@@ -27,6 +28,7 @@ def composites(state: LibraryState) -> DataFrame:
     whole = rows.filter("_c").select(F.col("id").alias("composite_id"), "author_id", "title", "series_name", "series_position", X.composite_parts(F.col("title")).alias("parts"))
     single = rows.filter("NOT _c").select(F.col("id").alias("standalone_id"), "author_id", F.lower("title").alias("_sl"), X.title_advanced(F.col("title")).alias("_sn"), F.lower(X.base_title(F.col("title"))).alias("_sb"))
     part = whole.select("composite_id", "author_id", F.posexplode("parts").alias("pos", "part")).withColumns({"_pl": F.lower("part"), "_pn": X.title_advanced(F.col("part")), "_pb": F.lower(X.base_title(F.col("part")))})
+    part, single = settled(part), settled(single)
     keys = ["composite_id", "pos", "part", "standalone_id"]
     equal = [
         part.filter(f"{p} <> ''").join(single.withColumnRenamed(q, p), ["author_id", p]).select(*keys, F.lit(score).alias("score"))

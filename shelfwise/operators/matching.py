@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import classify as C
 from ..functions import text as X
 from ..schema import LibraryState, on
+from ..store import settled
 from .parts import either_holding
 
 
@@ -22,9 +23,9 @@ def match_to_history(catalog: DataFrame, authors: DataFrame, books: DataFrame, u
     loans = books.select(F.col("id").alias("_book"), F.col("author").alias("_author"), F.col("isbn").alias("_isbn"), X.lower_trim(F.col("title")).alias("_bt"), F.lower("title").alias("_raw"))
     by_isbn = loans.filter("_isbn <> ''").groupBy("_author", F.col("_isbn").alias("isbn")).agg(F.max("_book").alias("_m1"))
     by_title = loans.filter("_bt IS NOT NULL").groupBy("_author", F.col("_bt").alias("_t")).agg(F.max("_book").alias("_m2"))
-    equi = rows.join(by_isbn, ["_author", "isbn"], "left").join(by_title, ["_author", "_t"], "left").withColumn("_equi", F.coalesce("_m1", "_m2"))
+    equi = settled(rows.join(by_isbn, ["_author", "isbn"], "left").join(by_title, ["_author", "_t"], "left").select("id", "_author", "_t", F.coalesce("_m1", "_m2").alias("_equi")))
     rest = equi.filter("_equi IS NULL AND _t IS NOT NULL").select("id", "_author", "_t")
-    held = loans.filter("_raw IS NOT NULL").select("_author", "_book", "_raw")
+    held = settled(loans.filter("_raw IS NOT NULL").select("_author", "_book", "_raw"))
     by_part = either_holding(rest, held, ["_author"], "_t", "_raw").groupBy("id").agg(F.min("_book").alias("_m3"))
     found = equi.join(by_part, "id", "left").select("id", F.coalesce("_equi", "_m3").alias("_match"))
     fresh = catalog.join(found.withColumn("_in", F.lit(True)), "id", "left")

@@ -38,9 +38,21 @@ def by_category(recs: DataFrame) -> DataFrame:
     return recs.withColumn("category", F.explode(F.when(F.size("categories") > 0, F.col("categories")).otherwise(F.array(F.lit("Uncategorized")))))
 
 
+def _kinds(recs: DataFrame) -> DataFrame:
+    return recs.select("*", F.when(C.is_fiction(F.col("categories")), "Fiction").otherwise("Non-Fiction").alias("kind"), F.coalesce(F.get("categories", F.lit(0)), F.lit("Uncategorized")).alias("primary_category"))
+
+
+def first_of_categories(recs: DataFrame, most: int = 10) -> DataFrame:
+    """A11 for lists of any size: of each kind and category the first rows with their rank. No category is gathered: each task
+    hands on its own first rows."""
+    order = Window.partitionBy("kind", "primary_category").orderBy(F.desc("books_by_author_count"), "author", "title", "catalog_id")
+    return _kinds(recs).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+
+
 def categorized(recs: DataFrame) -> DataFrame:
-    """Kind, category, size, and its rows by books read of the author."""
-    tagged = recs.select("*", F.when(C.is_fiction(F.col("categories")), "Fiction").otherwise("Non-Fiction").alias("kind"), F.coalesce(F.get("categories", F.lit(0)), F.lit("Uncategorized")).alias("primary_category"))
+    """Kind, category, size, and its rows by books read of the author, as one list a category (first_of_categories
+    where that is too long)."""
+    tagged = _kinds(recs)
     order = F.struct((-F.col("books_by_author_count")).alias("k"), "author", "title", "catalog_id")
     return tagged.groupBy("kind", "primary_category").agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(order)), lambda s: F.struct(s["title"].alias("title"), s["author"].alias("author"), (-s["k"]).alias("books_by_author_count"))).alias("items")).orderBy("kind", F.desc("n"), "primary_category")
 

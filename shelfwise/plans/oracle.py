@@ -93,6 +93,9 @@ def _texts() -> dict[str, str]:
         "q14_new_books": (candidates("ebook"), "SELECT catalog_id, title, author, unnest(CASE WHEN len(categories) > 0 THEN categories ELSE ['Uncategorized'] END) AS category, description, books_by_author_count FROM cand"),
         "q14_by_category": (candidates("ebook"), f"""SELECT CASE WHEN len(list_filter(categories, lambda c: {parts_of('lower(c)', L.NON_FICTION)})) = 0 THEN 'Fiction' ELSE 'Non-Fiction' END AS kind, coalesce(categories[1], 'Uncategorized') AS primary_category, count(*) AS n,
             string_agg(CAST(books_by_author_count AS VARCHAR), ',' ORDER BY books_by_author_count DESC) AS counts FROM cand GROUP BY 1, 2"""),
+        "q14_first_of_categories": (candidates("ebook"), f"""SELECT kind, primary_category, CAST(rank AS INTEGER) AS rank, catalog_id, title FROM (
+            SELECT *, row_number() OVER (PARTITION BY kind, primary_category ORDER BY books_by_author_count DESC, author, title, catalog_id) AS rank FROM (
+              SELECT *, CASE WHEN len(list_filter(categories, lambda c: {parts_of('lower(c)', L.NON_FICTION)})) = 0 THEN 'Fiction' ELSE 'Non-Fiction' END AS kind, coalesce(categories[1], 'Uncategorized') AS primary_category FROM cand)) WHERE rank <= 10"""),
         "q15_recommendations": (candidates("ebook"), f"""SELECT catalog_id, title, author, unnest(CASE WHEN len(categories) > 0 THEN categories ELSE ['Uncategorized'] END) AS category, similarity_score,
             EXISTS (SELECT 1 FROM recommendations r WHERE r.format = 'ebook' AND r.thumbs_up AND {lt('r.title')} = {lt('cand.title')} AND {lt('r.author')} = {lt('cand.author')}) AS thumbs_up FROM cand
             WHERE NOT EXISTS (SELECT 1 FROM recommendations r WHERE r.format = 'ebook' AND {BAD} AND {lt('r.title')} = {lt('cand.title')} AND {lt('r.author')} = {lt('cand.author')})

@@ -99,6 +99,7 @@ def texts() -> dict[str, tuple[str, str]]:
         "q22_approved_state": (DOUBLES, 'SELECT count(*) AS "rows", count(*) FILTER (duplicate OR catalog_book_id IN (SELECT id FROM dt)) AS flagged, (SELECT count(*) FROM catalog WHERE id NOT IN (SELECT id FROM dt)) AS "left" FROM recommendations'),
         "q27_numbered": (CHILDREN, "SELECT * FROM ch"),
         "q27_kept": (CHILDREN, "SELECT id FROM catalog WHERE id NOT IN (SELECT id FROM ch WHERE number NOT IN (1, 2, 3))"),
+        "q28_verify_all": (f"sl AS (SELECT {c3('title')} AS bad FROM catalog)", "SELECT count(*) AS checked, count(*) FILTER (bad) AS flagged, CASE WHEN count(*) > 0 THEN 100.0 * count(*) FILTER (bad) / count(*) ELSE 0.0 END AS flagged_pct FROM sl"),
         "q28_verify_cleanup": (f"sl AS (SELECT {c3('title')} AS bad FROM (SELECT * FROM catalog ORDER BY id LIMIT 1000 OFFSET 50))", "SELECT count(*) AS checked, count(*) FILTER (bad) AS flagged, CASE WHEN count(*) > 0 THEN 100.0 * count(*) FILTER (bad) / count(*) ELSE 0.0 END AS flagged_pct FROM sl"),
         "q28_reason_histogram": ("nothing AS (SELECT 1)", f"SELECT tag, count(*) AS n FROM (SELECT unnest({c4_reasons('title')}) AS tag FROM catalog) GROUP BY tag"),
         "q1_ingest_authors": (

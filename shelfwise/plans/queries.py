@@ -207,6 +207,11 @@ def q14_by_category(s: LibraryState) -> DataFrame:
     return recommend.categorized(recommend.candidates(s, "ebook")).select("kind", "primary_category", "n", F.array_join(F.transform("items", lambda i: i["books_by_author_count"].cast("string")), ",").alias("counts"))
 
 
+@query
+def q14_first_of_categories(s: LibraryState) -> DataFrame:
+    return recommend.first_of_categories(recommend.candidates(s, "ebook")).select("kind", "primary_category", "rank", "catalog_id", "title")
+
+
 @query
 def q15_recommendations(s: LibraryState) -> DataFrame:
     return recommend.web_recommendations(s, "ebook").select("catalog_id", "title", "author", "category", "similarity_score", "thumbs_up")
@@ -534,6 +539,11 @@ def q28_verify_cleanup(s: LibraryState) -> DataFrame:
     return curation.verify_cleanup(s, 1000, 50)
 
 
+@query
+def q28_verify_all(s: LibraryState) -> DataFrame:
+    return curation.verify_cleanup(s)
+
+
 @query
 def d4_metadata(s: LibraryState) -> DataFrame:
     once = ingest.set_metadata(s.metadata, "a", F.lit("1"), now())
