@@ -64,8 +64,10 @@ def stream_feedback(spark: SparkSession, folder: str, out: str, checkpoint: str)
     """Events that arrive as Parquet under folder; each batch's rows are written to out/batch=N, again if it runs again."""
     own = spark.newSession()
     own.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    for k in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
-        own.conf.set(k, spark.conf.get(k))
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    # Each partition has a state store of its own, so there are no more of them than tasks that run at once need.
+    stores = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    own.conf.set("spark.sql.shuffle.partitions", str(stores))
     events = own.readStream.schema("title string, author string, format string, action string, at timestamp").parquet(folder)
 
     def keep(batch: DataFrame, batch_id: int) -> None:
