@@ -44,8 +44,8 @@ def _texts() -> dict[str, str]:
         "q18_list_authors": "SELECT id, name, (SELECT count(*) FROM catalog c WHERE c.author_id = a.id) AS catalog_books, (SELECT count(*) FROM books b WHERE b.author = a.normalized_name) AS loans FROM authors a WHERE contains(lower(name), 'e') OR contains(lower(normalized_name), 'e')",
         "q20_similar_titles": f"""SELECT * FROM (WITH k AS MATERIALIZED (SELECT author_id AS owner, id, {f4(t)} AS k FROM catalog), c AS MATERIALIZED (SELECT owner, k, min(id) AS id FROM k WHERE k <> '' GROUP BY ALL)
             SELECT k.owner, 'member' AS kind, c.id AS a, k.id AS b FROM k JOIN c USING (owner, k) UNION ALL SELECT x.owner, 'link', x.id, y.id FROM c x JOIN c y ON x.owner = y.owner AND x.id < y.id WHERE {_similar('x.k', 'y.k')})""",
-        "q20_contained_titles": f"""SELECT x.author_id AS owner, x.id AS a, y.id AS b FROM (SELECT author_id, id, lower({f5(t)}) AS k FROM catalog) x JOIN (SELECT author_id, id, lower({f5(t)}) AS k FROM catalog) y ON x.author_id = y.author_id AND x.id < y.id
-            WHERE x.k <> '' AND y.k <> '' AND (x.k = y.k OR ((contains(x.k, y.k) OR contains(y.k, x.k)) AND abs(length(x.k) - length(y.k)) < 30 AND least(length(x.k), length(y.k)) >= 3))""",
+        "q20_contained_titles": f"""SELECT * FROM (WITH k AS MATERIALIZED (SELECT author_id AS owner, id, lower({f5(t)}) AS k FROM catalog), c AS MATERIALIZED (SELECT owner, k, min(id) AS id FROM k WHERE k <> '' GROUP BY ALL)
+            SELECT k.owner, 'member' AS kind, c.id AS a, k.id AS b FROM k JOIN c USING (owner, k) UNION ALL SELECT x.owner, 'link', x.id, y.id FROM c x JOIN c y ON x.owner = y.owner AND x.id < y.id WHERE (contains(x.k, y.k) OR contains(y.k, x.k)) AND abs(length(x.k) - length(y.k)) < 30 AND least(length(x.k), length(y.k)) >= 3)""",
         "q24_extract_series": f"SELECT id, {name10} AS new_series, {pos10} AS new_position FROM catalog WHERE ({name10}) IS NOT NULL",
         "q25_consolidations": f"""SELECT author_id, k AS series_key, arg_min(series_name, (NOT contains(lower(series_name), 'series'), regexp_matches(series_name, '^[a-z]'), length(series_name), series_name)) AS canonical, string_agg(DISTINCT series_name, '|' ORDER BY series_name) AS variants, count(*) AS books,
             CASE WHEN count(p) <> count(DISTINCT p) OR (count(DISTINCT p) > 1 AND max(p) - min(p) + 1 = count(DISTINCT p)) THEN 'high' ELSE 'medium' END AS confidence

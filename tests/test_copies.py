@@ -33,3 +33,11 @@ def test_similar_classes_hold_every_pair(spark):
     assert len(got) == len(set(got)) and spread(got) == {tuple(r)[:3] for r in dedupe.similar_pairs(rows, "norm").collect()}
     links = lambda n: dedupe.in_classes(catalog_rows(spark, n), "norm", find).filter("kind = 'link'").count()
     assert 0 < links(9) == links(27)  # rows of one owner's title are one class however many they are
+
+
+def test_contained_classes_hold_every_pair(spark):
+    rows = catalog_rows(spark, 3)
+    got = [tuple(r) for r in dedupe.in_classes(rows, "base", dedupe.contained_pairs).collect()]
+    assert len(got) == len(set(got)) and spread(got) == {tuple(r) for r in dedupe.contained_pairs(rows).collect()}
+    links = lambda n: dedupe.in_classes(catalog_rows(spark, n), "base", dedupe.contained_pairs).filter("kind = 'link'").count()
+    assert 0 < links(9) == links(27)
