@@ -11,7 +11,8 @@ COLUMNS = ("title", "author", "isbn", "publisher", "timestamp", "cover", "librar
 
 
 def newest(spark: SparkSession, pattern: str) -> str:
-    """The newest file a pattern matches; a path that matches nothing as a pattern is taken as it stands."""
+    """The newest file a pattern matches, or folder, which is one export in parts; a path that matches nothing as a
+    pattern is taken as it stands."""
     where = spark._jvm.org.apache.hadoop.fs.Path(pattern)
     fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
     found = fs.globStatus(where) or []

@@ -3,6 +3,8 @@
 import random
 
 from shelfwise.operators import dedupe
+from shelfwise.plans import queries, views
+from shelfwise.schema import LibraryState
 
 
 def catalog_rows(spark, copies: int):
@@ -41,3 +43,23 @@ def test_contained_classes_hold_every_pair(spark):
     assert len(got) == len(set(got)) and spread(got) == {tuple(r) for r in dedupe.contained_pairs(rows).collect()}
     links = lambda n: dedupe.in_classes(catalog_rows(spark, n), "base", dedupe.contained_pairs).filter("kind = 'link'").count()
     assert 0 < links(9) == links(27)
+
+
+def test_loans_are_read_in_parts(spark, monkeypatch):
+    """An export is written and read by more than one task, and no row is lost between its files."""
+    loans = spark.range(60).selectExpr("id", "concat('T', id) AS title", "'An Author' AS author", "'1' AS isbn", "'P' AS publisher", "timestamp'2024-05-06 07:08:00' AS borrowed_date")
+    monkeypatch.setattr(queries, "EXPORT_ROWS", 5)
+    state = LibraryState.of(spark, books=loans.repartition(3))
+    got = queries.s1_loans(state)
+    assert len(got.inputFiles()) >= 12
+    assert sorted(r["title"] for r in got.collect()) == sorted(f'T{i}, "vol"' for i in range(60) if i % 9)
+
+
+def test_titles_are_dealt_to_all_tasks(spark, tmp_path):
+    """One row group of titles doesn't make one task of what is computed from them, conditions included."""
+    part = spark.range(4000).selectExpr("id AS p_partkey", "concat('T', id) AS p_name", "concat('Brand#', id % 9 + 1) AS p_brand", "'X' AS p_type", "CAST(1 AS INT) AS p_size", "1.0D AS p_retailprice")
+    part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(3).selectExpr("id AS l_partkey", "timestamp'2024-05-06 07:08:00' AS l_shipdate", "'R' AS l_returnflag", "50.0D AS l_quantity").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(3).selectExpr("id AS event_id", "'click' AS event_type", "1.0D AS value").write.parquet(f"{tmp_path}/events.parquet")
+    titles = views.library(spark, str(tmp_path)).catalog
+    assert titles.count() == 4000 and titles.filter("title rlike '9'").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
