@@ -7,8 +7,10 @@ is then kept with its cell's probability, by a hash of its id and text: the same
 
 Documents without a topic column get one of `Topics.groups` topics: the nearest centre of spherical k-means over hashed
 words (distinct words of a text, weighted by rarity), less the mean of the text's language, so that topics are what texts
-of one language differ in. The centres are fitted to a bounded sample, `Topics.sample` documents by smallest hash; every
-document is given a topic, from its whole text.
+of one language differ in. Rarity, means and centres are those of all documents: each round of k-means is a pass over
+the buckets of all texts that adds up a vector a centre. Only the documents where the centres begin come from the `Topics.sample`
+of smallest hash. Every document is given a topic, from its whole text. The sums are of whole numbers (steps of 2^-20), so they are
+the same however the rows lie.
 
 Texts are read once: what the cells and draws need is written beside the rows. Only sums by cell are shuffled, summed
 map-side first, so a source with a third of all rows is no hot spot. Up to Mix.most_cells cells are raked on the driver
@@ -23,6 +25,8 @@ whatever their names.
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -40,12 +44,15 @@ OTHERS = ...
 
 @dataclass(frozen=True)
 class Topics:
-    """words: hash buckets of words; sample: the bound on the documents that centres are fitted to."""
+    """words: hash buckets of words; sample: the bound on the documents of which some are the first centres; rounds: passes
+    over all documents at most; langs: so many languages, those of most documents, have a mean of their own, the others
+    share one."""
 
     groups: int = 8
     words: int = 4096
     sample: int = 4000
     rounds: int = 12
+    langs: int = 256
 
 
 @dataclass(frozen=True)
@@ -64,58 +71,163 @@ class Mix:
     topics: Topics = Topics()
 
 
+#: Sums are of whole multiples of 1 / STEPS.
+STEPS = float(1 << 20)
+#: The name of the languages that share a mean: no language is called so.
+OTHER_LANGS = "\x00others"
+
+
 class TopicModel:
-    """Centres over hashed words, and for each language of the sample what its mean scores under each centre."""
-
-    def __init__(self, rows: list[tuple[str | None, list[int]]], topics: Topics):
-        x = np.zeros((len(rows), topics.words), dtype=np.float32)
-        for k, (_, buckets) in enumerate(rows):
-            x[k, buckets] = 1
-        self.rarity = np.log((1 + len(rows)) / (1 + x.sum(0))).astype(np.float32)
-        x *= self.rarity
-        x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
-        langs = [lang for lang, _ in rows]
-        means = {lang: x[[k for k, other in enumerate(langs) if other == lang]].mean(0) for lang in set(langs)}
-        for k, lang in enumerate(langs):
-            x[k] -= means[lang]
-        x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
-        centres = x[:1]
-        while len(centres) < min(topics.groups, len(x)):  # next, what is least like any centre so far
-            centres = np.concatenate([centres, x[[int((x @ centres.T).max(1).argmin())]]])
-        for _ in range(topics.rounds):
-            owner = (x @ centres.T).argmax(1)
-            for k in range(len(centres)):
-                if (owner == k).any():
-                    centres[k] = x[owner == k].mean(0)
-            centres /= np.maximum(np.sqrt((centres * centres).sum(1, keepdims=True)), 1e-9)
-        self.weights = np.ascontiguousarray(centres.T * self.rarity[:, None])
-        self.offsets = {lang: mean @ centres.T for lang, mean in means.items()}
+    """Centres over hashed words, and for each language what its mean scores under each centre."""
+
+    def __init__(self, rarity: np.ndarray, means: dict[str | None, np.ndarray], centres: np.ndarray):
+        self.rarity, self.means = rarity, means
+        self.place(centres)
+
+    def place(self, centres: np.ndarray) -> None:
+        self.centres = centres / np.maximum(np.sqrt((centres * centres).sum(1, keepdims=True)), 1e-9)
+        self.weights = np.ascontiguousarray(self.centres.T * self.rarity[:, None])
+        self.offsets = {lang: mean @ self.centres.T for lang, mean in self.means.items()}
+
+    def named(self, lang: str | None) -> str | None:
+        return lang if lang in self.means else OTHER_LANGS
 
     def topic(self, lang: str | None, buckets: list[int]) -> str | None:
         if not buckets:
             return None
         length = np.sqrt(np.square(self.rarity[buckets]).sum())
-        score = self.weights[buckets].sum(0) / max(float(length), 1e-9) - self.offsets.get(lang, 0.0)
+        score = self.weights[buckets].sum(0) / max(float(length), 1e-9) - self.offsets.get(self.named(lang), 0.0)
         return f"topic-{int(np.argmax(score))}"
 
+    def vector(self, lang: str | None, buckets: list[int]) -> np.ndarray:
+        """A document as centres see it: its words by rarity, less its language's mean, of length one."""
+        x = np.zeros(len(self.rarity))
+        x[buckets] = self.rarity[buckets]
+        x = x / max(np.sqrt((x * x).sum()), 1e-9) - self.means.get(self.named(lang), 0.0)
+        return x / max(np.sqrt((x * x).sum()), 1e-9)
+
 
 def buckets_of(words: list[bytes], topics: Topics) -> list[int]:
     return sorted({zlib.crc32(w) % topics.words for w in set(words)})
 
 
-def fit_topics(docs: DataFrame, mix: Mix) -> TopicModel | None:
+def _lists(column: pa.Array, most: int = 2000):
+    """Slices of at most so many lists: where they begin and end, their values, their lengths, where each starts."""
+    for at in range(0, len(column), most):
+        part = column.slice(at, most)
+        sizes = np.diff(part.offsets.to_numpy())
+        yield at, at + len(part), part.flatten().to_numpy(), sizes, np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+
+
+def _sums(features: DataFrame, add: Callable, width: int) -> dict:
+    """By key, a vector of so many numbers added up over all features: each task adds up its own, then tasks' sums meet by key.
+    add(totals, langs, lists): totals are vectors by key, zero at first."""
+
+    def run(batches):
+        totals: dict = defaultdict(lambda: np.zeros(width))
+        for b in batches:
+            add(totals, b.column(0).to_pylist(), b.column(1))
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.array([v.tobytes() for v in totals.values()], pa.binary())], names=["k", "v"])
+
+    def merge(t: pa.Table) -> pa.Table:
+        whole = np.zeros(width)
+        for v in t.column("v"):
+            whole += np.frombuffer(v.as_py())
+        return pa.table({"k": t.column("k").slice(0, 1), "v": pa.array([whole.tobytes()], pa.binary())})
+
+    parts = features.select("lang", "buckets").mapInArrow(run, "k string, v binary")
+    return {r["k"]: np.frombuffer(r["v"]) for r in parts.groupBy("k").applyInArrow(merge, "k string, v binary").collect()}
+
+
+def fit_topics(docs: DataFrame, mix: Mix, scratch: Scratch) -> TopicModel | None:
     """docs: doc_id, text, lang. None if no text has a word."""
-    n = docs.count()
-    mark = F.xxhash64(F.lit(mix.seed + 1), "doc_id", "text")
-    share = min(1.0, 2.0 * mix.topics.sample / max(1, n))  # about twice the sample is looked at; the smallest hashes stay
-    some = docs.filter(F.col("text").isNotNull()).withColumn("__mark", F.shiftrightunsigned(mark, 1)).filter(F.col("__mark") / F.lit(float(1 << 63)) <= share)
+    topics, n_words = mix.topics, mix.topics.words
+    mark = F.shiftrightunsigned(F.xxhash64(F.lit(mix.seed + 1), "doc_id", "text"), 1)
 
     def run(texts):
-        return [pa.array([buckets_of((t or b"").split(), mix.topics) for t in bytes_of(texts)], pa.list_(pa.int32()))]
-
-    found = add_columns(some.select("lang", "__mark", "text"), run, ["text"], [("__buckets", T.ArrayType(T.IntegerType()))], keep=["lang", "__mark"])
-    got = found.filter(F.size("__buckets") > 0).orderBy("__mark", "lang", "__buckets").limit(mix.topics.sample).collect()
-    return TopicModel([(r["lang"], r["__buckets"]) for r in got], mix.topics) if got else None
+        return [pa.array([buckets_of((t or b"").split(), topics) for t in bytes_of(texts)], pa.list_(pa.int32()))]
+
+    rows = docs.filter(F.col("text").isNotNull()).select("lang", mark.alias("mark"), "text")
+    features = scratch.write(add_columns(rows, run, ["text"], [("buckets", T.ArrayType(T.IntegerType()))], keep=["lang", "mark"]).filter(F.size("buckets") > 0), "features")
+    some = [(r["lang"], r["buckets"]) for r in features.orderBy("mark", "lang", "buckets").limit(topics.sample).collect()]
+    if not some:
+        return None
+
+    def count(totals, langs, lists):
+        for start, end, flat, sizes, _ in _lists(lists):
+            totals["words"][:n_words] += np.bincount(flat, minlength=n_words)
+            totals["words"][n_words] += end - start
+
+    counts = _sums(features, count, n_words + 1)["words"]
+    rarity = np.log((1 + counts[n_words]) / (1 + counts[:n_words]))
+    most = [r["lang"] for r in features.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(topics.langs).collect()]
+
+    def lengths(flat, starts):
+        return np.maximum(np.sqrt(np.add.reduceat(np.square(rarity)[flat], starts)), 1e-9)
+
+    def by_lang(totals, langs, lists):
+        for start, end, flat, sizes, starts in _lists(lists):
+            x = np.rint(rarity[flat] / np.repeat(lengths(flat, starts), sizes) * STEPS)
+            names = np.array([most.index(v) if v in most else len(most) for v in langs[start:end]])
+            for k in np.unique(names):
+                total, mine = totals[most[k] if k < len(most) else OTHER_LANGS], names == k
+                chosen = np.repeat(mine, sizes)
+                total[:n_words] += np.bincount(flat[chosen], x[chosen], n_words)
+                total[n_words] += mine.sum()
+
+    means = {lang: v[:n_words] / STEPS / v[n_words] for lang, v in _sums(features, by_lang, n_words + 1).items()}
+    model = TopicModel(rarity, means, np.zeros((1, n_words)))
+    x = np.array([model.vector(lang, buckets) for lang, buckets in some], dtype=np.float32)
+    chosen = [0]
+    while len(chosen) < min(topics.groups, len(x)):  # next, what is least like any so far
+        chosen.append(int((x @ x[chosen].T).max(1).argmin()))
+    model.place(x[chosen].astype(float))
+    for _ in range(topics.rounds):
+        centres = _moved(features, model)
+        still = np.abs(centres - model.centres).max() < 1e-9
+        model.place(centres)
+        if still:
+            break
+    return model
+
+
+def _moved(features: DataFrame, model: TopicModel) -> np.ndarray:
+    """The mean direction of the documents nearest to each centre; a centre without any stays."""
+    session = features.sparkSession
+    names = list(model.means)
+    shared = session.sparkContext.broadcast((model, np.array([model.means[n] for n in names])))
+    n_words, groups = len(model.rarity), len(model.centres)
+
+    def add(totals, langs, lists):
+        m, means = shared.value
+        places, square = {n: k for k, n in enumerate(names)}, np.square(means).sum(1)
+        offsets = np.array([m.offsets[n] for n in names])
+        for start, end, flat, sizes, starts in _lists(lists):
+            lang = np.array([places[m.named(v)] for v in langs[start:end]])
+            length = np.maximum(np.sqrt(np.add.reduceat(np.square(m.rarity)[flat], starts)), 1e-9)
+            along = np.add.reduceat(m.rarity[flat] * means[np.repeat(lang, sizes), flat], starts) / length
+            scale = 1 / np.maximum(np.sqrt(np.maximum(1 - 2 * along + square[lang], 0)), 1e-9)
+            scale[scale > 1e8] = 0.0  # a text that is its language's mean has no direction
+            scores = np.stack([np.add.reduceat(m.weights[:, k][flat], starts) for k in range(groups)], 1) / length[:, None] - offsets[lang]
+            owner = scores.argmax(1)
+            x = np.rint(m.rarity[flat] * np.repeat(scale / length, sizes) * STEPS)
+            for k in np.unique(owner):
+                mine = owner == k
+                chosen = np.repeat(mine, sizes)
+                total = totals[str(k)]
+                total[:n_words] += np.bincount(flat[chosen], x[chosen], n_words)
+                total[n_words:] += np.bincount(lang[mine], np.rint(scale[mine] * STEPS), len(names))
+
+    sums = _sums(features, add, n_words + len(names))
+    means = shared.value[1]
+    centres = model.centres.copy()
+    for k, v in sums.items():
+        direction = v[:n_words] - v[n_words:] @ means
+        length = np.sqrt((direction * direction).sum())
+        if length > 1e-9:
+            centres[int(k)] = direction / length
+    shared.unpersist()
+    return centres
 
 
 def prefix_for(docs: DataFrame) -> str:
@@ -126,11 +238,11 @@ def prefix_for(docs: DataFrame) -> str:
     return prefix
 
 
-def measured(docs: DataFrame, mix: Mix, prefix: str, keep: list[str]) -> DataFrame:
+def measured(docs: DataFrame, mix: Mix, prefix: str, keep: list[str], scratch: Scratch) -> DataFrame:
     """The columns `keep` of docs with source, lang, topic, tokens and draw, their names after the prefix."""
     spark = session_of(docs)
     has_topic = "topic" in docs.columns
-    model = None if has_topic else fit_topics(docs.select("doc_id", "text", "lang"), mix)
+    model = None if has_topic else fit_topics(docs.select("doc_id", "text", "lang"), mix, scratch)
     shared = spark.sparkContext.broadcast(model)
 
     def run(texts, langs):
@@ -248,7 +360,7 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, probability, kept of every row."""
     scratch, x = Scratch(session_of(docs)), "__mix_"
     own = docs.select("doc_id", "text", "source", "lang", *(["topic"] if "topic" in docs.columns else []))
-    rows = scratch.write(measured(own, mix, x, ["doc_id"]), "measured")
+    rows = scratch.write(measured(own, mix, x, ["doc_id"], scratch), "measured")
     out = with_probability(rows, mix, scratch, x)
     return out.select("doc_id", *(F.col(f"{x}{m}").alias(m) for m in MARGINS), F.col(f"{x}tokens").alias("n_tokens"), F.col(f"{x}p").alias("probability"), (F.col(f"{x}draw") < F.col(f"{x}p")).alias("kept"))
 
@@ -256,5 +368,5 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 def sample_mix(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The rows of docs that the mix keeps."""
     scratch, x = Scratch(session_of(docs)), prefix_for(docs)
-    rows = scratch.write(measured(docs, mix, x, docs.columns), "measured")
+    rows = scratch.write(measured(docs, mix, x, docs.columns, scratch), "measured")
     return with_probability(rows, mix, scratch, x).filter(F.col(f"{x}draw") < F.col(f"{x}p")).select(*docs.columns)
