@@ -7,7 +7,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..schema import LibraryState
-from ..store import settled
 
 BRAND = "CAST(replace(p_brand, 'Brand#', '') AS INT)"
 
@@ -69,11 +68,6 @@ def shared_sql(names: tuple[str, ...] = tuple(VIEWS)) -> str:
 def library(spark: SparkSession, sf_dir: str) -> LibraryState:
     """The derived library over a driver folder."""
     source = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("part", "lineitem", "events")}
-    # Millions of titles or events are a few megabytes of Parquet in one or two row groups, so in one or two tasks. Titles
-    # are settled, as conditions on them, costly ones, would else be pushed down to the scan.
-    tasks = 2 * spark.sparkContext.defaultParallelism
-    parts = source["part"].select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
-    source |= {"part": settled(parts.repartition(tasks, "p_partkey")), "events": source["events"].repartition(tasks, "event_id")}
 
     def view(name: str, *uses: str) -> DataFrame:
         with_ = ", ".join(f"{u} AS ({VIEWS[u]})" for u in uses)

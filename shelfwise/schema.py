@@ -83,6 +83,7 @@ def with_numbers(rows: DataFrame, *order: F.Column, name: str = "number", kind:
 
     from .store import settled
 
+    rows = settled(rows)  # ranges are found by a pass of their own, which would compute the rows once more
     dealt = settled(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()))
     local = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
     counts = dealt.groupBy("__part").agg(F.count("*").alias("__n"))  # as many rows as partitions

@@ -3,7 +3,7 @@
 import random
 
 from shelfwise.operators import dedupe
-from shelfwise.plans import queries, views
+from shelfwise.plans import queries
 from shelfwise.schema import LibraryState
 
 
@@ -55,11 +55,18 @@ def test_loans_are_read_in_parts(spark, monkeypatch):
     assert sorted(r["title"] for r in got.collect()) == sorted(f'T{i}, "vol"' for i in range(60) if i % 9)
 
 
-def test_titles_are_dealt_to_all_tasks(spark, tmp_path):
-    """One row group of titles doesn't make one task of what is computed from them, conditions included."""
-    part = spark.range(4000).selectExpr("id AS p_partkey", "concat('T', id) AS p_name", "concat('Brand#', id % 9 + 1) AS p_brand", "'X' AS p_type", "CAST(1 AS INT) AS p_size", "1.0D AS p_retailprice")
-    part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
-    spark.range(3).selectExpr("id AS l_partkey", "timestamp'2024-05-06 07:08:00' AS l_shipdate", "'R' AS l_returnflag", "50.0D AS l_quantity").write.parquet(f"{tmp_path}/lineitem.parquet")
-    spark.range(3).selectExpr("id AS event_id", "'click' AS event_type", "1.0D AS value").write.parquet(f"{tmp_path}/events.parquet")
-    titles = views.library(spark, str(tmp_path)).catalog
-    assert titles.count() == 4000 and titles.filter("title rlike '9'").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+def test_numbered_rows_are_computed_once(spark):
+    """Rows that get numbers are written before their ranges are found."""
+    from pyspark.sql import functions as F
+
+    from shelfwise.schema import with_numbers
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    got = with_numbers(spark.range(500).mapInArrow(count, "id long"), F.col("id"))
+    assert sorted((r["id"], r["number"]) for r in got.collect()) == [(k, k + 1) for k in range(500)] and seen.value == 500
