@@ -110,11 +110,12 @@ def fix_mixed_identities(state: LibraryState, work_authors: DataFrame, author_wo
     outside id, of that name, or a new one. author_works: author_key, title; names: author_key, name."""
     mixed = mixed_identities(state, work_authors)
     mixed = settled(mixed if scope is None else mixed.join(scope, "author_id", "left_semi"))
+    lists, mixed = mixed.select("author_id", "author_key", "catalog_ids"), mixed.drop("catalog_ids")  # lists stay out of the joins
     loans = state.books.select(F.col("author").alias("normalized_name"), X.lower_trim(F.col("title")).alias("_t")).distinct()
     owners = state.authors.select(F.col("id").alias("author_id"), "normalized_name", F.col("name").alias("own_name"))
     base = mixed.join(owners, "author_id")
     w = base.select("author_id", "normalized_name", "author_key").join(author_works.select("author_key", X.lower_trim(F.col("title")).alias("_t")), "author_key").join(loans, ["normalized_name", "_t"], "left_semi").groupBy("author_id", "author_key").agg((10 * F.count("*")).alias("_w"))
-    c = base.select("author_id", "normalized_name", "author_key", F.explode("catalog_ids").alias("id")).join(state.catalog.select("id", X.lower_trim(F.col("title")).alias("_t")), "id").join(loans, ["normalized_name", "_t"], "left_semi").groupBy("author_id", "author_key").agg((5 * F.count("*")).alias("_c"))
+    c = lists.select("author_id", "author_key", F.explode("catalog_ids").alias("id")).join(owners.select("author_id", "normalized_name"), "author_id").join(state.catalog.select("id", X.lower_trim(F.col("title")).alias("_t")), "id").join(loans, ["normalized_name", "_t"], "left_semi").groupBy("author_id", "author_key").agg((5 * F.count("*")).alias("_c"))
     scored = base.join(w, ["author_id", "author_key"], "left").join(c, ["author_id", "author_key"], "left").withColumn("score", F.coalesce("_w", F.lit(0)) + F.coalesce("_c", F.lit(0)))
     rank = F.row_number().over(Window.partitionBy("author_id").orderBy(F.desc("score"), F.desc("books"), "author_key"))
     others = scored.withColumn("rank", rank).filter("rank > 1").join(names.select("author_key", F.col("name").alias("outside_name")), "author_key", "left").withColumn("target", F.coalesce("outside_name", "own_name"))
@@ -122,7 +123,8 @@ def fix_mixed_identities(state: LibraryState, work_authors: DataFrame, author_wo
     by_name = state.authors.groupBy(F.col("name").alias("target")).agg(F.min("id").alias("_i2"))
     placed = others.join(by_key, "author_key", "left").join(by_name, "target", "left").withColumn("to_id", F.coalesce("_i1", "_i2"))
     new = assign_ids(placed.filter("to_id IS NULL").groupBy("target").agg(F.min("author_key").alias("open_library_id"), F.min_by("normalized_name", "author_id").alias("normalized_name")), state.authors, F.col("target"), F.col("open_library_id")).select("id", F.col("target").alias("name"), "normalized_name", "open_library_id", now.alias("created_at"))
-    plan = placed.join(new.select(F.col("name").alias("target"), F.col("id").alias("_new")), "target", "left").select("author_id", "author_key", "score", F.coalesce("to_id", "_new").alias("to_id"), "target", "catalog_ids")
+    plan = placed.join(new.select(F.col("name").alias("target"), F.col("id").alias("_new")), "target", "left").select("author_id", "author_key", "score", F.coalesce("to_id", "_new").alias("to_id"), "target")
+    plan = plan.join(lists, ["author_id", "author_key"]).select("author_id", "author_key", "score", "to_id", "target", "catalog_ids")
     moves = plan.select(F.explode("catalog_ids").alias("id"), "to_id")
     catalog = state.catalog.join(moves, "id", "left").withColumn("author_id", F.coalesce("to_id", "author_id"))
     return plan, state.with_(catalog=catalog, authors=state.authors.unionByName(new, allowMissingColumns=True))
