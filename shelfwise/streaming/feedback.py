@@ -6,58 +6,34 @@ restart the state goes on from the checkpoint. Each batch gives the rows whose k
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text as X
 from ..operators.feedback import ACTIONS, FLAGS
 
-#: A flag, its time in microseconds and the action that set it.
-STATE = ", ".join(f"{f} boolean, {f}_at long, {f}_by string" for f in FLAGS) + ", title string, author string, at long, by string"
 ROWS = "title string, author string, format string, " + ", ".join(f"{f} boolean" for f in FLAGS) + ", feedback_at long"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: The time of events without one: before all others.
 NO_TIME = -(1 << 62)
 
 
-class LatestFlags(StatefulProcessor):
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("latest", STATE)
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in STATE.split(", ")]
-        now = dict(zip(names, self.held.get() if self.held.exists() else [None] * len(names)))
-        for chunk in rows:  # a hot key's events come in pieces, and only its one row is kept
-            for flag in FLAGS:
-                values = {a: v[flag] for a, v in ACTIONS.items() if flag in v}
-                self._newest(now, chunk[chunk["action"].isin(list(values))], f"{flag}_at", f"{flag}_by", lambda r, f=flag, v=values: now.update({f: v[r["action"]]}))
-            self._newest(now, chunk, "at", "by", lambda r: now.update({"title": r["title"], "author": r["author"]}))
-        self.held.update(tuple(now[n] for n in names))
-        yield pd.DataFrame([(now["title"], now["author"], key[2], *(now[f] for f in FLAGS), now["at"])], columns=[c.split()[0] for c in ROWS.split(", ")])
-
-    @staticmethod
-    def _newest(now: dict, chunk: pd.DataFrame, at: str, by: str, take) -> None:
-        if chunk.empty:
-            return
-        last = chunk.sort_values(["at", "action"]).iloc[-1]
-        if now[at] is None or (int(last["at"]), last["action"]) > (now[at], now[by]):
-            now[at], now[by] = int(last["at"]), last["action"]
-            take(last)
-
-    def close(self) -> None:
-        pass
+def _setter(flag: str) -> Column:
+    """at, action and value of the latest event that sets a flag."""
+    values = {a: v[flag] for a, v in ACTIONS.items() if flag in v}
+    value = reduce(lambda w, x: w.when(F.col("action") == x[0], F.lit(x[1])), values.items(), F)
+    return F.max(F.when(F.col("action").isin(*values), F.struct("at", "action", value.alias("value"))))
 
 
 def feedback_rows(events: DataFrame) -> DataFrame:
     """events: a stream of (title, author, format, action, at). Blank titles or authors and unknown actions are refused."""
     keyed = events.withColumns({"_t": X.lower_trim(F.col("title")), "_a": X.lower_trim(F.col("author")), "_f": F.coalesce("format", F.lit("")), "at": F.coalesce(F.unix_micros("at"), F.lit(NO_TIME))})
     good = keyed.filter("_t <> '' AND _a <> ''").filter(F.col("action").isin(*ACTIONS)).select("_t", "_a", "_f", "title", "author", "action", "at")
-    return good.groupBy("_t", "_a", "_f").transformWithStateInPandas(LatestFlags(), ROWS, "Update", "None")
+    latest = good.groupBy("_t", "_a", "_f").agg(F.max(F.struct("at", "action", "title", "author")).alias("last"), *(_setter(f).alias(f"_{f}") for f in FLAGS))
+    return latest.select("last.title", "last.author", F.col("_f").alias("format"), *(F.col(f"_{f}.value").alias(f) for f in FLAGS), F.col("last.at").alias("feedback_at"))
 
 
 def stream_feedback(spark: SparkSession, folder: str, out: str, checkpoint: str) -> StreamingQuery:
