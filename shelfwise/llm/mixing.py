@@ -149,8 +149,8 @@ def fit_topics(docs: DataFrame, mix: Mix, scratch: Scratch) -> TopicModel | None
 
     rows = docs.filter(F.col("text").isNotNull()).select("lang", mark.alias("mark"), "text")
     features = scratch.write(add_columns(rows, run, ["text"], [("buckets", T.ArrayType(T.IntegerType()))], keep=["lang", "mark"]).filter(F.size("buckets") > 0), "features")
-    some = [(r["lang"], r["buckets"]) for r in features.orderBy("mark", "lang", "buckets").limit(topics.sample).collect()]
-    if not some:
+    some = features.orderBy("mark", "lang", "buckets").limit(topics.sample).select("lang", "buckets").toArrow()
+    if not some.num_rows:
         return None
 
     def count(totals, langs, lists):
@@ -177,11 +177,7 @@ def fit_topics(docs: DataFrame, mix: Mix, scratch: Scratch) -> TopicModel | None
 
     means = {lang: v[:n_words] / STEPS / v[n_words] for lang, v in _sums(features, by_lang, n_words + 1).items()}
     model = TopicModel(rarity, means, np.zeros((1, n_words)))
-    x = np.array([model.vector(lang, buckets) for lang, buckets in some], dtype=np.float32)
-    chosen = [0]
-    while len(chosen) < min(topics.groups, len(x)):  # next, what is least like any so far
-        chosen.append(int((x @ x[chosen].T).max(1).argmin()))
-    model.place(x[chosen].astype(float))
+    model.place(_first_centres(some.column("lang").to_pylist(), some.column("buckets").combine_chunks(), model, topics.groups))
     for _ in range(topics.rounds):
         centres = _moved(features, model)
         still = np.abs(centres - model.centres).max() < 1e-9
@@ -191,23 +187,57 @@ def fit_topics(docs: DataFrame, mix: Mix, scratch: Scratch) -> TopicModel | None
     return model
 
 
+class _Languages:
+    """A model's means as rows of one array, and what they say of texts."""
+
+    def __init__(self, model: TopicModel):
+        self.model, names = model, list(model.means)
+        self.places, self.means = {n: k for k, n in enumerate(names)}, np.array([model.means[n] for n in names])
+        self.square = np.square(self.means).sum(1)
+
+    def of(self, langs: list) -> np.ndarray:
+        return np.array([self.places[self.model.named(v)] for v in langs])
+
+    def measures(self, lang: np.ndarray, flat: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """length, scale of each text: its vector is (rarity / length of its words, less its language's mean) * scale."""
+        rarity = self.model.rarity[flat]
+        length = np.maximum(np.sqrt(np.add.reduceat(np.square(rarity), starts)), 1e-9)
+        along = np.add.reduceat(rarity * self.means[np.repeat(lang, sizes), flat], starts) / length
+        scale = 1 / np.maximum(np.sqrt(np.maximum(1 - 2 * along + self.square[lang], 0)), 1e-9)
+        scale[scale > 1e8] = 0.0  # a text that is its language's mean has no direction
+        return length, scale
+
+
+def _first_centres(langs: list, lists: pa.Array, model: TopicModel, groups: int) -> np.ndarray:
+    """The vectors of the first text and of those, one by one, that are least like any so far. Texts stay lists of their words:
+    the vectors of all would take up the driver's memory."""
+    known = _Languages(model)
+    parts = []
+    for start, end, flat, sizes, starts in _lists(lists):
+        lang = known.of(langs[start:end])
+        parts.append((lang, flat, starts, *known.measures(lang, flat, sizes, starts)))
+    chosen, nearest = [model.vector(langs[0], lists[0].as_py())], np.full(len(langs), -np.inf)
+    while len(chosen) < min(groups, len(langs)):
+        along, offsets = model.rarity * chosen[-1], known.means @ chosen[-1]
+        like = [(np.add.reduceat(along[flat], starts) / length - offsets[lang]) * scale for lang, flat, starts, length, scale in parts]
+        nearest = np.maximum(nearest, np.concatenate(like))
+        k = int(nearest.argmin())
+        chosen.append(model.vector(langs[k], lists[k].as_py()))
+    return np.array(chosen)
+
+
 def _moved(features: DataFrame, model: TopicModel) -> np.ndarray:
     """The mean direction of the documents nearest to each centre; a centre without any stays."""
-    session = features.sparkSession
-    names = list(model.means)
-    shared = session.sparkContext.broadcast((model, np.array([model.means[n] for n in names])))
-    n_words, groups = len(model.rarity), len(model.centres)
+    known = _Languages(model)
+    shared = features.sparkSession.sparkContext.broadcast(known)
+    n_words, groups, n_langs = len(model.rarity), len(model.centres), len(known.means)
 
     def add(totals, langs, lists):
-        m, means = shared.value
-        places, square = {n: k for k, n in enumerate(names)}, np.square(means).sum(1)
-        offsets = np.array([m.offsets[n] for n in names])
+        seen, m = shared.value, shared.value.model
+        offsets = np.array([m.offsets[n] for n in seen.places])
         for start, end, flat, sizes, starts in _lists(lists):
-            lang = np.array([places[m.named(v)] for v in langs[start:end]])
-            length = np.maximum(np.sqrt(np.add.reduceat(np.square(m.rarity)[flat], starts)), 1e-9)
-            along = np.add.reduceat(m.rarity[flat] * means[np.repeat(lang, sizes), flat], starts) / length
-            scale = 1 / np.maximum(np.sqrt(np.maximum(1 - 2 * along + square[lang], 0)), 1e-9)
-            scale[scale > 1e8] = 0.0  # a text that is its language's mean has no direction
+            lang = seen.of(langs[start:end])
+            length, scale = seen.measures(lang, flat, sizes, starts)
             scores = np.stack([np.add.reduceat(m.weights[:, k][flat], starts) for k in range(groups)], 1) / length[:, None] - offsets[lang]
             owner = scores.argmax(1)
             x = np.rint(m.rarity[flat] * np.repeat(scale / length, sizes) * STEPS)
@@ -216,13 +246,12 @@ def _moved(features: DataFrame, model: TopicModel) -> np.ndarray:
                 chosen = np.repeat(mine, sizes)
                 total = totals[str(k)]
                 total[:n_words] += np.bincount(flat[chosen], x[chosen], n_words)
-                total[n_words:] += np.bincount(lang[mine], np.rint(scale[mine] * STEPS), len(names))
+                total[n_words:] += np.bincount(lang[mine], np.rint(scale[mine] * STEPS), n_langs)
 
-    sums = _sums(features, add, n_words + len(names))
-    means = shared.value[1]
+    sums = _sums(features, add, n_words + n_langs)
     centres = model.centres.copy()
     for k, v in sums.items():
-        direction = v[:n_words] - v[n_words:] @ means
+        direction = v[:n_words] - v[n_words:] @ known.means
         length = np.sqrt((direction * direction).sum())
         if length > 1e-9:
             centres[int(k)] = direction / length

@@ -1,8 +1,10 @@
 """Topics are fitted to all documents, however many are looked at to begin with."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
 from shelfwise.llm import mixing
 from shelfwise.llm.common import Scratch
@@ -46,3 +48,22 @@ def test_the_model_does_not_depend_on_how_rows_lie(spark):
     docs = spark.createDataFrame(rows(), "doc_id long, text string, lang string")
     one, other = (mixing.fit_topics(d, mix, Scratch(spark)) for d in (docs.coalesce(1), docs.repartition(9)))
     assert np.array_equal(one.centres, other.centres) and set(one.means) == set(other.means) and mixing.OTHER_LANGS in one.means
+
+
+def test_first_centres_are_found_without_a_vector_for_each_text():
+    rnd = random.Random(4)
+    langs = [rnd.choice(["a", "b", None]) for _ in range(3000)]
+    lists = [sorted(rnd.sample(range(4096), 20)) for _ in langs]
+    means = {lang: np.array([rnd.random() for _ in range(4096)]) / 4096 for lang in ("a", "b", None)}
+    model = mixing.TopicModel(np.array([1 + rnd.random() for _ in range(4096)]), means, np.zeros((1, 4096)))
+    array = pa.array(lists, pa.list_(pa.int32()))  # loads pandas, which isn't to be counted
+    tracemalloc.start()
+    got = mixing._first_centres(langs, array, model, 5)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 20e6  # vectors of all texts would be 98 MB
+    x = np.array([model.vector(lang, b) for lang, b in zip(langs, lists)])
+    chosen = [0]
+    while len(chosen) < 5:
+        chosen.append(int((x @ x[chosen].T).max(1).argmin()))
+    assert np.allclose(got, x[chosen])
