@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classify as C
@@ -24,18 +24,28 @@ def composites(state: LibraryState) -> DataFrame:
     """Q26: eligible composite volumes of authors with two eligible rows or more: the parts' best standalone rows (1.0
     equal normalised titles, 0.8 equal base titles, 0.7 one holds the other; earliest row of the best), confidence high
     if all parts have one, medium if some, low if none or no part is named."""
-    rows = eligible(state.catalog).withColumn("_n", F.count("*").over(Window.partitionBy("author_id"))).filter("_n > 1").withColumn("_c", C.is_composite(F.col("title")))
-    whole = rows.filter("_c").select(F.col("id").alias("composite_id"), "author_id", "title", "series_name", "series_position", X.composite_parts(F.col("title")).alias("parts"))
-    single = rows.filter("NOT _c").select(F.col("id").alias("standalone_id"), "author_id", F.lower("title").alias("_sl"), X.title_advanced(F.col("title")).alias("_sn"), F.lower(X.base_title(F.col("title"))).alias("_sb"))
-    part = whole.select("composite_id", "author_id", F.posexplode("parts").alias("pos", "part")).withColumns({"_pl": F.lower("part"), "_pn": X.title_advanced(F.col("part")), "_pb": F.lower(X.base_title(F.col("part")))})
-    part, single = settled(part), settled(single)
-    keys = ["composite_id", "pos", "part", "standalone_id"]
+    # Titles may lie in few row groups: they are dealt to all tasks before they are judged, and judged once.
+    dealt = settled(state.catalog.select("id", "author_id", "title", "series_name", "series_position", "is_read").repartition("id"))
+    english = settled(eligible(dealt).drop("is_read").withColumn("_c", C.is_composite(F.col("title"))))
+    several = english.groupBy("author_id").agg(F.count("*").alias("_n")).filter("_n > 1").select("author_id")
+    rows = english.join(several, "author_id", "left_semi")
+    whole = settled(rows.filter("_c").select(F.col("id").alias("composite_id"), "author_id", "title", "series_name", "series_position", X.composite_parts(F.col("title")).alias("parts")))
+    single = settled(rows.filter("NOT _c").select(F.col("id").alias("standalone_id"), "author_id", F.lower("title").alias("_sl"), X.title_advanced(F.col("title")).alias("_sn"), F.lower(X.base_title(F.col("title"))).alias("_sb")))
+    part = whole.select("composite_id", "author_id", F.posexplode("parts").alias("pos", "part"))
+    # Parts and rows meet as different texts, a text of rows at its earliest one: copies make no pairs.
+    texts = settled(part.select("author_id", "part").distinct().withColumns({"_pl": F.lower("part"), "_pn": X.title_advanced(F.col("part")), "_pb": F.lower(X.base_title(F.col("part")))}))
+
+    def firsts(key: str) -> DataFrame:
+        return single.filter(F.col(key).isNotNull()).groupBy("author_id", key).agg(F.min("standalone_id").alias("standalone_id"))
+
+    keys = ["author_id", "part", "standalone_id"]
     equal = [
-        part.filter(f"{p} <> ''").join(single.withColumnRenamed(q, p), ["author_id", p]).select(*keys, F.lit(score).alias("score"))
+        texts.filter(f"{p} <> ''").join(firsts(q).withColumnRenamed(q, p), ["author_id", p]).select(*keys, F.lit(score).alias("score"))
         for p, q, score in (("_pn", "_sn", 1.0), ("_pb", "_sb", 0.8))
     ]
-    scored = reduce(DataFrame.unionByName, [*equal, either_holding(part, single, ["author_id"], "_pl", "_sl").select(*keys, F.lit(0.7).alias("score"))])
-    best = scored.groupBy("composite_id", "pos", "part").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("standalone_id"))).alias("m"))
+    scored = reduce(DataFrame.unionByName, [*equal, either_holding(texts, firsts("_sl"), ["author_id"], "_pl", "_sl").select(*keys, F.lit(0.7).alias("score"))])
+    found = scored.groupBy("author_id", "part").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("standalone_id"))).alias("m"))
+    best = part.join(found, ["author_id", "part"])
     per = best.groupBy("composite_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("m.standalone_id").alias("standalone_id"), (-F.col("m.s")).alias("score")))).alias("matches"))
     n, k = F.size("parts"), F.coalesce(F.size("matches"), F.lit(0))
     out = whole.join(per, "composite_id", "left")
@@ -57,6 +67,7 @@ def remove_composites(state: LibraryState, backfill: bool = True, keep_ids: list
         plan = numbered(plan, "composite_id").filter(~F.col("number").isin(keep_numbers)).drop("number")
     if keep_ids:
         plan = plan.filter(~F.col("composite_id").isin(keep_ids))
+    plan = settled(plan)
     catalog = state.catalog.join(plan.select(F.col("composite_id").alias("id")), "id", "left_anti")
     if backfill:
         found = plan.filter("series_name <> ''").select("composite_id", "series_name", F.posexplode("matches").alias("i", "m"))

@@ -2,7 +2,8 @@
 
 import random
 
-from shelfwise.operators import dedupe
+from shelfwise.operators import curation, dedupe
+from shelfwise.operators.parts import either_holding
 from shelfwise.plans import queries
 from shelfwise.schema import LibraryState
 
@@ -57,9 +58,7 @@ def test_loans_are_read_in_parts(spark, monkeypatch):
 
 def test_numbered_rows_are_computed_once(spark):
     """Rows that get numbers are written before their ranges are found."""
-    from pyspark.sql import functions as F
-
-    from shelfwise.schema import with_numbers
+        from shelfwise.schema import with_numbers
 
     seen = spark.sparkContext.accumulator(0)
 
@@ -70,3 +69,22 @@ def test_numbered_rows_are_computed_once(spark):
 
     got = with_numbers(spark.range(500).mapInArrow(count, "id long"), F.col("id"))
     assert sorted((r["id"], r["number"]) for r in got.collect()) == [(k, k + 1) for k in range(500)] and seen.value == 500
+
+
+def test_copies_of_composites_and_their_parts_make_no_pairs(spark, monkeypatch):
+    met = []
+
+    def meet(a, b, *rest):
+        met.append((a.count(), b.count()))
+        return either_holding(a, b, *rest)
+
+    monkeypatch.setattr(curation, "either_holding", meet)
+    titles = ["large ring / hot plate", "Large Ring", "hot plate", "the hot plate of old"]
+    for copies in (2, 8):
+        data = [(i, 1, t) for i, t in enumerate(titles * copies)] + [(1000, 2, "large ring / hot plate")]
+        got = curation.composites(LibraryState.of(spark, catalog=spark.createDataFrame(data, "id long, author_id long, title string")))
+        assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+        assert [(r["composite_id"], r["confidence"], [(m["pos"], m["standalone_id"], m["score"]) for m in r["matches"]]) for r in got.orderBy("composite_id").collect()] == [
+            (4 * k, "high", [(0, 1, 1.0), (1, 2, 1.0)]) for k in range(copies)
+        ]
+    assert met == [(2, 3)] * 2  # texts, not rows
