@@ -94,10 +94,11 @@ def books_to_read(state: LibraryState) -> DataFrame:
 
 
 def save(state: LibraryState, recs: DataFrame, now: Column) -> tuple[DataFrame, LibraryState]:
-    """Upsert by title and author, whatever the format; plan: action (update, insert) of each."""
+    """Upsert by title and author, whatever the format; plan: action (update, insert) of each. The saved recommendations are
+    looked at several times, so they are settled: what they are made of is joined, and small tables are sent around, once."""
     one = recs.withColumn("__rn", F.row_number().over(Window.partitionBy("title", "author").orderBy(F.desc("similarity_score"), "catalog_id"))).filter("__rn = 1")
     new = settled(one.select(F.col("title").alias("n_title"), F.col("author").alias("n_author"), F.col("isbn").alias("n_isbn"), F.col("format").alias("n_format"), F.array_join("categories", ", ").alias("n_category"), F.col("recommendation_type").alias("n_type"), F.col("similarity_score").alias("n_score"), F.col("reason").alias("n_reason")))
-    old = state.recommendations
+    old = settled(state.recommendations)
     first = old.groupBy("title", "author").agg(F.min("id").alias("id"))
     hits = first.join(new, (first["title"] == new["n_title"]) & (first["author"] == new["n_author"])).select("id", "n_score", "n_reason", "n_category")
     updated = old.join(hits, "id", "left").withColumns({"similarity_score": F.coalesce("n_score", "similarity_score"), "reason": F.coalesce("n_reason", "reason"), "category": F.coalesce("n_category", "category")}).select(*old.columns)
