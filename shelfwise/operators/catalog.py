@@ -11,7 +11,7 @@ from ..schema import LibraryState, assign_ids
 from ..store import settle, settled
 from .authors import split_groups
 from .ingest import set_metadata
-from .matching import match_to_history
+from .matching import history_matches, with_matches
 
 
 def due_authors(state: LibraryState, now: Column, force: bool = False, recheck_days: int = 7) -> DataFrame:
@@ -51,29 +51,32 @@ def fetch_catalog(state: LibraryState, works: DataFrame, editions: DataFrame, no
     """Q2 for any number of authors: picked works update the author's row with that title or isbn, skip what another
     author's catalog has by title or isbn, and are added otherwise; then new and updated rows (all rows of an author
     without any) are matched to the history and the author's check is stamped. plan: author_id, key, title, action."""
-    picked = settled(pick_works(works, editions, now, state, recent_years).withColumn("_t", X.lower_trim(F.col("title"))))
-    cat = state.catalog.withColumn("_t", X.lower_trim(F.col("title")))
+    works = settled(works.select("author_id", "key", "title", "languages", "isbn", "publication_date", "series_name", "series_position"))
+    picked = pick_works(works, editions, now, state, recent_years).withColumn("_t", X.lower_trim(F.col("title")))
+    keyed = state.catalog.select("id", "author_id", "isbn", "title").repartition("id")  # titles are stripped in all tasks
+    cat = settled(keyed.select("id", "author_id", "isbn", X.lower_trim(F.col("title")).alias("_t")))
     by_title = cat.groupBy("author_id", "_t").agg(F.min("id").alias("_m1"))
     by_isbn = cat.filter("isbn <> ''").groupBy("author_id", "isbn").agg(F.min("id").alias("_m2"))
-    own = picked.join(by_title, ["author_id", "_t"], "left").join(by_isbn, ["author_id", "isbn"], "left").withColumn("id", F.coalesce("_m1", "_m2"))
-    updates = own.filter("id IS NOT NULL").withColumn("__rn", F.row_number().over(Window.partitionBy("id").orderBy("key"))).filter("__rn = 1")
+    own = settled(picked.join(by_title, ["author_id", "_t"], "left").join(by_isbn, ["author_id", "isbn"], "left").withColumn("id", F.coalesce("_m1", "_m2")))
+    updates = settled(own.filter("id IS NOT NULL").withColumn("__rn", F.row_number().over(Window.partitionBy("id").orderBy("key"))).filter("__rn = 1").drop("__rn"))
     other_t = cat.select("_t").distinct()
     other_i = cat.filter("isbn <> ''").select("isbn").distinct()
     added = own.filter("id IS NULL").join(other_t, "_t", "left_anti").join(other_i, "isbn", "left_anti")
-    new = assign_ids(added.drop("id"), state.catalog, F.col("author_id"), F.col("key")).select(
+    added = settled(assign_ids(added.drop("id"), cat, F.col("author_id"), F.col("key")))
+    new = added.select(
         "id", "author_id", "title", "isbn", "publication_date", "series_name", "series_position", F.lit("unknown").alias("format_available"), F.col("key").alias("open_library_key"), now.alias("fetched_at"), F.lit(False).alias("is_read"),
+        F.col("author_id").isNotNull().alias("_scope"),
     )
-    u = updates.select("id", F.col("key").alias("u_key"), F.col("isbn").alias("u_isbn"), F.col("publication_date").alias("u_date"), F.col("series_name").alias("u_series"), F.col("series_position").alias("u_pos"))
-    kept = state.catalog.join(u, "id", "left").withColumns({
+    asked = works.select("author_id").distinct()
+    idle = settled(asked.join(updates.select("author_id").unionByName(added.select("author_id")), "author_id", "left_anti").withColumn("_idle", F.lit(True)))
+    u = updates.select("id", F.lit(True).alias("_updated"), F.col("key").alias("u_key"), F.col("isbn").alias("u_isbn"), F.col("publication_date").alias("u_date"), F.col("series_name").alias("u_series"), F.col("series_position").alias("u_pos"))
+    kept = state.catalog.join(u, "id", "left").join(idle, "author_id", "left").withColumns({
         "open_library_key": F.coalesce("u_key", "open_library_key"), "isbn": F.coalesce("u_isbn", "isbn"), "publication_date": F.coalesce("u_date", "publication_date"),
         "series_name": F.coalesce("u_series", "series_name"), "series_position": F.coalesce("u_pos", "series_position"), "fetched_at": F.when(F.col("u_key").isNotNull(), now).otherwise(F.col("fetched_at")),
-    }).select(*state.catalog.columns)
+        "_scope": F.coalesce("_updated", "_idle", F.lit(False)),
+    }).select(*state.catalog.columns, "_scope")
     catalog = kept.unionByName(new, allowMissingColumns=True)
-    asked = works.select("author_id").distinct()
-    touched = updates.select("id").unionByName(new.select("id")).withColumn("_new", F.lit(True))
-    scope = catalog.join(asked, "author_id", "left_semi").join(touched, "id", "left").withColumn("_any", F.max("_new").over(Window.partitionBy("author_id"))).filter("_new OR _any IS NULL").select(*catalog.columns)
-    matched = match_to_history(scope, state.authors, state.books)
-    catalog = catalog.join(scope.select("id"), "id", "left_anti").unionByName(matched)
+    catalog = with_matches(catalog, history_matches(catalog.filter("_scope"), state.authors, state.books))
     authors = state.authors.join(asked.select(F.col("author_id").alias("id"), F.lit(True).alias("_hit")), "id", "left").withColumn("last_catalog_check", F.when(F.col("_hit"), now).otherwise(F.col("last_catalog_check")))
     plan = updates.select("author_id", "key", "title", F.lit("update").alias("action")).unionByName(added.select("author_id", "key", "title", F.lit("insert").alias("action")))
     return plan, state.with_(catalog=catalog, authors=authors)

@@ -14,20 +14,29 @@ from .parts import either_holding
 
 def match_to_history(catalog: DataFrame, authors: DataFrame, books: DataFrame, unmatched_only: bool = False) -> DataFrame:
     """Catalog with is_read and matched_book_id set anew: by isbn (last loan), by title (last loan), by one title
-    holding the other (first loan), each within the author's own loans. Rows without a match are reset.
+    holding the other (first loan), each within the author's own loans. Rows without a match are reset."""
+    return with_matches(catalog, history_matches(catalog.filter(~on("is_read")) if unmatched_only else catalog, authors, books))
+
+
+def history_matches(scope: DataFrame, authors: DataFrame, books: DataFrame) -> DataFrame:
+    """id, _match: the loan of each row of scope (id, author_id, isbn, title) whose author is known, or null.
 
     The two equi joins run on aggregates; what they leave meets the author's loans under its rarest part (parts.py), in either
-    direction."""
-    scope = catalog.filter(~on("is_read")) if unmatched_only else catalog
+    direction. There each different title of an author meets each different title of its loans once, and the first loan of
+    that title stands for all: copies on both sides would make pairs that grow with the square of the tables."""
     rows = scope.select("id", "author_id", "isbn", X.lower_trim(F.col("title")).alias("_t")).join(authors.select(F.col("id").alias("author_id"), F.col("normalized_name").alias("_author")), "author_id")
-    loans = books.select(F.col("id").alias("_book"), F.col("author").alias("_author"), F.col("isbn").alias("_isbn"), X.lower_trim(F.col("title")).alias("_bt"), F.lower("title").alias("_raw"))
+    loans = settled(books.select(F.col("id").alias("_book"), F.col("author").alias("_author"), F.col("isbn").alias("_isbn"), X.lower_trim(F.col("title")).alias("_bt"), F.lower("title").alias("_raw")))
     by_isbn = loans.filter("_isbn <> ''").groupBy("_author", F.col("_isbn").alias("isbn")).agg(F.max("_book").alias("_m1"))
     by_title = loans.filter("_bt IS NOT NULL").groupBy("_author", F.col("_bt").alias("_t")).agg(F.max("_book").alias("_m2"))
     equi = settled(rows.join(by_isbn, ["_author", "isbn"], "left").join(by_title, ["_author", "_t"], "left").select("id", "_author", "_t", F.coalesce("_m1", "_m2").alias("_equi")))
-    rest = equi.filter("_equi IS NULL AND _t IS NOT NULL").select("id", "_author", "_t")
-    held = settled(loans.filter("_raw IS NOT NULL").select("_author", "_book", "_raw"))
-    by_part = either_holding(rest, held, ["_author"], "_t", "_raw").groupBy("id").agg(F.min("_book").alias("_m3"))
-    found = equi.join(by_part, "id", "left").select("id", F.coalesce("_equi", "_m3").alias("_match"))
+    rest = settled(equi.filter("_equi IS NULL AND _t IS NOT NULL").select("_author", "_t").distinct())
+    held = settled(loans.filter("_raw IS NOT NULL").groupBy("_author", "_raw").agg(F.min("_book").alias("_book")))
+    by_part = either_holding(rest, held, ["_author"], "_t", "_raw").groupBy("_author", "_t").agg(F.min("_book").alias("_m3"))
+    return equi.join(by_part, ["_author", "_t"], "left").select("id", F.coalesce("_equi", "_m3").alias("_match"))
+
+
+def with_matches(catalog: DataFrame, found: DataFrame) -> DataFrame:
+    """catalog with is_read and matched_book_id of the rows that are in found (history_matches)."""
     fresh = catalog.join(found.withColumn("_in", F.lit(True)), "id", "left")
     return fresh.select(*(
         F.when(F.col("_in"), F.col("_match").isNotNull()).otherwise(F.col(c)).alias(c) if c == "is_read"

@@ -32,7 +32,8 @@ FROM ({WORK_FIELDS}) AS w JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELEC
 
 
 def _fields(state: LibraryState, sql: str) -> DataFrame:
-    return state.spark.sql(sql.replace("FROM catalog", "FROM {catalog}"), catalog=state.catalog)
+    """The fields, dealt by id: titles lie in one or two row groups, and a mirror is read by as many tasks as have written it."""
+    return state.spark.sql(sql.replace("FROM catalog", "FROM {catalog}"), catalog=state.catalog.repartition("id"))
 
 
 def served(state: LibraryState, kind: str, payloads: DataFrame, limit: int | None = None) -> DataFrame:
@@ -65,7 +66,8 @@ def works(state: LibraryState) -> DataFrame:
     parts = f.select("author_id", "key", series.alias("a"), author.alias("b"), languages.alias("c"), rest.alias("d"))
     joined = F.concat(F.lit("{"), F.concat_ws(",", *(F.nullif(inner(x), F.lit("")) for x in "abcd")), F.lit("}"))
     payloads = parts.select("author_id", "key", joined.alias("payload"))
-    return payloads.select("author_id", "key").join(read_works(served(state, "work", payloads)), "key")
+    keys = payloads.select("author_id", "key").hint("merge")  # a small file may hold millions of keys, too many to send around
+    return keys.join(read_works(served(state, "work", payloads)), "key")
 
 
 def editions(state: LibraryState) -> DataFrame:

@@ -4,9 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from shelfwise.operators import curation, dedupe
+from shelfwise.operators import catalog, curation, dedupe, matching
 from shelfwise.operators.parts import either_holding
-from shelfwise.plans import queries
+from shelfwise.plans import documents, queries
 from shelfwise.schema import LibraryState
 from shelfwise.store import settled
 
@@ -105,3 +105,59 @@ def test_copies_of_composites_and_their_parts_make_no_pairs(spark, monkeypatch):
             (4 * k, "high", [(0, 1, 1.0), (1, 2, 1.0)]) for k in range(copies)
         ]
     assert met == [(2, 3)] * 2  # texts, not rows
+
+
+def test_copies_of_titles_and_loans_make_no_pairs(spark, monkeypatch):
+    met = []
+
+    def meet(a, b, *rest):
+        met.append((a.count(), b.count()))
+        return either_holding(a, b, *rest)
+
+    monkeypatch.setattr(matching, "either_holding", meet)
+    authors = spark.createDataFrame([(1, "A", "A"), (2, "B", "B")], "id long, name string, normalized_name string")
+    for copies in (2, 8):
+        titles = spark.createDataFrame([(3 * k + i, 1, t) for k in range(copies) for i, t in enumerate(["large ring anew", "ring", "plate"])] + [(1000, 2, "ring")], "id long, author_id long, title string")
+        loans = spark.createDataFrame([(100 + k, "Large Ring", "A") for k in range(copies)] + [(50, "large ring of old", "A")], "id long, title string, author string")
+        state = LibraryState.of(spark, authors=authors, catalog=titles, books=loans)
+        got = {r["id"]: r["matched_book_id"] for r in matching.match_to_history(state.catalog, state.authors, state.books).collect()}
+        assert got == {3 * k + i: m for k in range(copies) for i, m in enumerate([100, 50, None])} | {1000: None}
+    assert met == [(4, 2)] * 2  # texts, not rows
+
+
+def test_a_fetch_computes_its_works_once(spark):
+    """Works are parsed once; an author whose fetch changes nothing gets all its rows matched, one that isn't asked none."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    fields = "author_id long, key string, title string, languages array<string>, isbn string, publication_date string, series_name string, series_position int"
+    works = spark.createDataFrame([(1, "w1", "Sea", None, None, None, None, None), (1, "w2", "New", None, None, None, None, None), (2, "w3", "Neuf", ["fre"], None, None, None, None), (None, "w4", "Nobody", None, None, None, None, None)], fields)
+    editions = spark.createDataFrame([], "key string, pos int, title string, languages array<string>, isbn string, publication_date string")
+    state = LibraryState.of(
+        spark,
+        authors=spark.createDataFrame([(i, n, n) for i, n in enumerate("ABC", 1)], "id long, name string, normalized_name string"),
+        catalog=spark.createDataFrame([(1, 1, "sea", False), (2, 1, "Lake", False), (3, 2, "Hill", False), (4, 2, "Moor", True), (5, 3, "Fen", False)], "id long, author_id long, title string, is_read boolean"),
+        books=spark.createDataFrame([(10, "Sea", "A"), (11, "Lake", "A"), (12, "Hill", "B"), (13, "Fen", "C"), (14, "New", "A")], "id long, title string, author string"),
+    )
+    plan, new = catalog.fetch_catalog(state, works.mapInArrow(count, works.schema), editions, queries.now())
+    assert sorted((r["key"], r["action"]) for r in plan.collect()) == [("w1", "update"), ("w2", "insert"), ("w4", "insert")]
+    got = sorted((r["id"], r["open_library_key"], r["is_read"], r["matched_book_id"], r["fetched_at"] is not None) for r in new.catalog.collect())
+    assert got == [(1, "w1", True, 10, True), (2, None, False, None, False), (3, None, True, 12, False), (4, None, False, None, False), (5, None, False, None, False), (6, "w4", False, None, True), (7, "w2", True, 14, True)]
+    assert sorted((r["id"], r["last_catalog_check"] is not None) for r in new.authors.collect()) == [(1, True), (2, True), (3, False)]
+    assert seen.value == 4
+
+
+def test_documents_are_dealt_and_their_keys_stay_in_the_tasks(spark, monkeypatch):
+    written, served = [], documents.served
+    monkeypatch.setattr(documents, "served", lambda state, kind, payloads, *rest: (written.append(payloads), served(state, kind, payloads, *rest))[1])
+    rows = spark.createDataFrame([(i, 1, f"T{i}") for i in range(40)], "id long, author_id long, title string").coalesce(1)
+    state = LibraryState.of(spark, catalog=rows)
+    works, editions = documents.works(state), documents.editions(state)
+    assert works.count() == 40 and editions.select("key").distinct().count() == 30
+    for df in written:
+        assert "RepartitionByExpression" in df._jdf.queryExecution().optimizedPlan().toString()
+    assert "BroadcastHashJoin" not in works._jdf.queryExecution().executedPlan().toString()
