@@ -14,7 +14,8 @@ stays together in one node.
 One plan, whatever the number of queries: queries are dealt into blocks and rows into slices by hashes of their ids, each
 (block, slice) pair is one group of bounded size, which gives k rows per query at most, and a window over those picks the
 final ranks. No vector comes to the driver, nothing is broadcast; work is queries times rows at most, by nature, and every
-row crosses the network once for each block of queries.
+row crosses the network once for each block of queries. Blocks and slices are bounded by their components too, so wide vectors
+make more of them, and a task holds its two sides and one tile of `Search.tile` scores, whatever a group's number of scores.
 
 Components x become floor(256 x); scores are exact integers, and ranked as such: vectors whose products could exceed
 2**53 are multiplied as Python integers, and scores that no long holds are ordered by their digits and clamped only in
@@ -26,6 +27,9 @@ candidates each. Empty tables give an empty one. Only vec_id and embedding are r
 
 from __future__ import annotations
 
+import heapq
+import itertools
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,13 +42,17 @@ from .common import session_of
 LAST_ID = np.iinfo(np.int64).max
 NONE = np.iinfo(np.int64).min
 EXACT = 2.0**53  # below, products of doubles are exact
+EXACT_SINGLE = 2.0**24  # and those of floats
+ROWS = 4096  # of vectors that are worked on at once
 
 
 @dataclass(frozen=True)
 class Search:
     k: int = 5
-    block: int = 16384
+    block: int = 65536
     slice: int = 131072
+    width: int = 64  # of vectors of so many components on average; of wider ones blocks and slices hold fewer
+    tile: int = 1 << 20
     leaf: int = 64
     fan: int = 32
     most: int = 512
@@ -57,7 +65,7 @@ class CoverTree:
 
     def __init__(self, points: np.ndarray, search: Search):
         self.points = points
-        self.norms = np.sqrt((points * points).sum(1))
+        self.norms = np.sqrt(np.einsum("ij,ij->i", points, points))
         order = np.arange(len(points))
         nodes = [[0, 0, len(points), 0.0, 0, 0]]  # centre, begin, end, radius, children from, to
         at = 0
@@ -80,8 +88,11 @@ class CoverTree:
         self.radius, self.children = np.array(table[3]), np.array(table[4:]).T
 
     def _far(self, c: int, rows: np.ndarray) -> np.ndarray:
-        d = self.points[rows] - self.points[c]
-        return np.sqrt((d * d).sum(1))
+        far = np.empty(len(rows))
+        for at in range(0, len(rows), ROWS):
+            d = self.points[rows[at : at + ROWS]] - self.points[c]
+            far[at : at + ROWS] = np.sqrt(np.einsum("ij,ij->i", d, d))
+        return far
 
     def _cover(self, c: int, rows: np.ndarray, d: np.ndarray, within: float, search: Search):
         """(child of each row, centres of the children): each centre is further than `within` from those before it."""
@@ -107,7 +118,9 @@ def usable(embedding: str = "embedding"):
 
 
 def grid(vectors: np.ndarray, scale: int) -> np.ndarray:
-    return np.floor(vectors.astype(np.float64) * scale)
+    out = vectors.astype(np.float64)
+    out *= scale
+    return np.floor(out, out=out)
 
 
 class Answers:
@@ -121,26 +134,33 @@ class Answers:
         return self.score[rows, -1]
 
     def offer(self, rows: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        """score: whole numbers, -inf where an id is no candidate. Of equal scores only smaller ids can come in."""
         k = self.score.shape[1]
-        hot = np.flatnonzero((score >= self.worst(rows)[:, None]).any(1))
+        least = self.score[rows, -1] + np.where(ids.min() < self.id[rows, -1], 0.0, 0.5)
+        hot = np.flatnonzero(score.max(1) >= least)
         if not len(hot):
             return
-        rows, score = rows[hot], score[hot]
-        i = np.broadcast_to(ids, score.shape)
-        if score.shape[1] > 8 * k:  # what is under the kth score goes before anything is sorted; ties stay
-            least = np.partition(score, -k, axis=1)[:, -k]
-            most = int((score >= least[:, None]).sum(1).max())
-            pick = np.argpartition(~score, most - 1, axis=1)[:, :most] if most < score.shape[1] else None
-            if pick is not None:
-                score, i = np.take_along_axis(score, pick, 1), np.take_along_axis(i, pick, 1)
-        s, i = np.concatenate([self.score[rows], score], 1), np.concatenate([self.id[rows], i], 1)
-        pick = np.lexsort((i, ~s), axis=1)[:, :k]
-        self.score[rows], self.id[rows] = np.take_along_axis(s, pick, 1), np.take_along_axis(i, pick, 1)
-
-
-def dual_search(queries: CoverTree, query_ids: np.ndarray, data: CoverTree, data_ids: np.ndarray, best: Answers, slack: float = 1e-9) -> int:
-    """Raises best by all points of data, whose products with the queries are exact; gives the number of scores computed."""
+        rows, score, least = rows[hot], score[hot], least[hot]
+        on = score >= least[:, None]
+        if score.shape[1] > k and np.count_nonzero(on) > 8 * k * len(rows):  # what is under the kth score goes; ties stay
+            on &= score >= np.partition(score, -k, axis=1)[:, -k, None]
+        at = np.flatnonzero(on)
+        r, c = np.divmod(at, score.shape[1])
+        r = np.concatenate([np.repeat(np.arange(len(rows)), k), r])
+        s = np.concatenate([self.score[rows].ravel(), score.ravel()[at].astype(np.int64)])
+        i = np.concatenate([self.id[rows].ravel(), ids[c]])
+        by = np.lexsort((i, ~s, r))
+        first = np.searchsorted(r[by], np.arange(len(rows)))
+        pick = by[first[:, None] + np.arange(k)]
+        self.score[rows], self.id[rows] = s[pick], i[pick]
+
+
+def dual_search(queries: CoverTree, query_ids: np.ndarray, data: CoverTree, data_ids: np.ndarray, best: Answers, search: Search = Search(), slack: float = 1e-9) -> int:
+    """Raises best by all points of data, whose products with the queries are exact; gives the number of scores computed, of
+    which `search.tile` are held at once."""
     done = 0
+    single = queries.norms.max(initial=0.0) * data.norms.max(initial=0.0) < EXACT_SINGLE  # so is any sum of some of a score's products
+    asked, given = (t.points.astype(np.float32) if single else t.points for t in (queries, data))
 
     def bounds(q: int, nodes: np.ndarray) -> np.ndarray:
         p, r = queries.centre[q], data.centre[nodes]
@@ -148,6 +168,35 @@ def dual_search(queries: CoverTree, query_ids: np.ndarray, data: CoverTree, data
         top = data.points[r] @ queries.points[p] + a * data.norms[r] + b * queries.norms[p] + a * b
         return top + slack * (1 + np.abs(top))
 
+    def meet(own: np.ndarray, nodes: np.ndarray, top: np.ndarray) -> None:
+        """own: queries of one leaf; nodes with their bounds, the highest first."""
+        nonlocal done
+        mine = asked[own]
+        by_id = np.argsort(query_ids[own])
+        own_ids = query_ids[own][by_id]
+        most = max(1, search.tile // len(own))
+        at, size, part = 0, 512, min(256, most)
+        while at < len(nodes):
+            left = int(np.searchsorted(-top, -float(best.worst(own).min()), side="right"))
+            nodes, top = nodes[:left], top[:left]
+            if at >= left:
+                break
+            sizes = np.cumsum(data.hi[nodes[at:]] - data.lo[nodes[at:]])
+            until = at + max(1, int(np.searchsorted(sizes, size, side="right")))
+            rows = np.concatenate([data.order[data.lo[n] : data.hi[n]] for n in nodes[at:until]])
+            first = 0
+            while first < len(rows):  # small parts first: then few of the later scores are among the best
+                tile = rows[first : first + part]
+                score = mine @ given[tile].T
+                done += score.size
+                ids = data_ids[tile]
+                k = np.minimum(np.searchsorted(own_ids, ids), len(own_ids) - 1)
+                same = np.flatnonzero(own_ids[k] == ids)
+                score[by_id[k[same]], same] = -np.inf
+                best.offer(own, score, ids)
+                first, part = first + part, min(4 * part, most)
+            at, size = until, 4 * size
+
     stack = [(0, np.array([0]))]
     while stack:
         q, nodes = stack.pop()
@@ -169,22 +218,9 @@ def dual_search(queries: CoverTree, query_ids: np.ndarray, data: CoverTree, data
         top = bounds(q, nodes)
         by = np.argsort(-top)
         nodes, top = nodes[by], top[by]
-        at, size = 0, 512
-        while at < len(nodes):
-            nodes, top = nodes[: np.searchsorted(-top, -float(best.worst(own).min()), side="right")], top
-            top = top[: len(nodes)]
-            if at >= len(nodes):
-                break
-            sizes = np.cumsum(data.hi[nodes[at:]] - data.lo[nodes[at:]])
-            until = at + max(1, int(np.searchsorted(sizes, size, side="right")))
-            rows = np.concatenate([data.order[data.lo[n] : data.hi[n]] for n in nodes[at:until]])
-            for part in np.split(rows, range(8192, len(rows), 8192)):
-                score = (queries.points[own] @ data.points[part].T).astype(np.int64)
-                done += score.size
-                ids = data_ids[part]
-                score[query_ids[own][:, None] == ids[None, :]] = NONE
-                best.offer(own, score, ids)
-            at, size = until, 4 * size
+        side = math.isqrt(search.tile)
+        for at in range(0, len(own), side):
+            meet(own[at : at + side], nodes, top)
     return done
 
 
@@ -197,11 +233,15 @@ def _digits(n: int) -> str | None:
 
 
 def _large(query_ids, queries: np.ndarray, ids, points: np.ndarray, k: int):
-    """The k best of each query as (query, id, score, digits), by Python integers."""
+    """The k best of each query as (query, id, score, digits), by Python integers of so many rows at once."""
     whole = lambda m: [[int(x) for x in row] for row in m.tolist()]
-    rows = list(zip(ids.tolist(), whole(points)))
-    for q, v in zip(query_ids.tolist(), whole(queries)):
-        scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in rows if i != q)[:k]
+    best: list[list] = [[] for _ in query_ids]
+    for at in range(0, len(ids), ROWS):
+        rows = list(zip(ids[at : at + ROWS].tolist(), whole(points[at : at + ROWS])))
+        for n, q in enumerate(query_ids.tolist()):
+            v = whole(queries[n : n + 1])[0]
+            best[n] = heapq.nsmallest(k, itertools.chain(best[n], ((-sum(a * b for a, b in zip(v, w)), i) for i, w in rows if i != q)))
+    for q, scored in zip(query_ids.tolist(), best):
         for s, i in scored:
             yield q, i, max(NONE + 1, min(LAST_ID, -s)), _digits(-s)
 
@@ -209,7 +249,9 @@ def _large(query_ids, queries: np.ndarray, ids, points: np.ndarray, k: int):
 def search_group(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, points: np.ndarray, search: Search) -> tuple[list[tuple], int]:
     """Columns (query_id, vec_id, score, digits) of the k best of each query among the points, in parts, and the number of
     scores computed. Vectors that are too large for exact doubles meet all others as integers."""
-    q_top, r_top = np.abs(queries).max(1, initial=0.0), np.abs(points).max(1, initial=0.0)
+    by_id = np.argsort(ids, kind="stable")  # then a later row comes in by a higher score alone
+    ids, points = ids[by_id], points[by_id]
+    q_top, r_top = (np.maximum(m.max(1, initial=0.0), -m.min(1, initial=0.0)) for m in (queries, points))
     limit = EXACT / max(1, queries.shape[1])
     # The largest that either side may hold so that all products of what is left are exact.
     common = np.sqrt(limit)
@@ -217,7 +259,8 @@ def search_group(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, po
     parts, done = [], 0
     if q_ok.any() and r_ok.any():
         best, own = Answers(int(q_ok.sum()), search.k), query_ids[q_ok]
-        done = dual_search(CoverTree(queries[q_ok], search), own, CoverTree(points[r_ok], search), ids[r_ok], best)
+        asked, given = (m if ok.all() else m[ok] for m, ok in ((queries, q_ok), (points, r_ok)))
+        done = dual_search(CoverTree(asked, search), own, CoverTree(given, search), ids[r_ok], best, search)
         on = best.score > NONE
         parts.append((np.broadcast_to(own[:, None], on.shape)[on], best.id[on], best.score[on], [None] * int(on.sum())))
     for a, b in ((q_ok, ~r_ok), (~q_ok, np.ones(len(ids), dtype=bool))):
@@ -253,9 +296,15 @@ def _group(search: Search):
 def top_k(data: DataFrame, queries: DataFrame, search: Search = Search()) -> DataFrame:
     """query_id, rank (from 1), vec_id, score. Both frames have vec_id and embedding."""
     spark = session_of(data)
-    blocks = max(1, -(-queries.count() // search.block))
-    n, cores = data.count(), spark.sparkContext.defaultParallelism
-    slices = max(1, -(-n // search.slice), min(-(-2 * cores // blocks), -(-n // 4096)))  # enough groups for all cores
+
+    def sized(df: DataFrame) -> tuple[int, int]:
+        """Rows; rows of `search.width` components that hold as many."""
+        n, cells = df.agg(F.count("*"), F.coalesce(F.sum(F.greatest(F.size("embedding"), F.lit(0))), F.lit(0))).first()
+        return n, max(n, -(-cells // search.width))
+
+    blocks = max(1, -(-sized(queries)[1] // search.block))
+    (n, wide), cores = sized(data), spark.sparkContext.defaultParallelism
+    slices = max(1, -(-wide // search.slice), min(-(-2 * cores // blocks), -(-n // 4096)))  # enough groups for all cores
     rows = data.select("vec_id", "embedding").filter(usable())
     asked = queries.select("vec_id", "embedding").filter(usable() & F.col("vec_id").isNotNull()).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))

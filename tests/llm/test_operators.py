@@ -5,6 +5,7 @@ import itertools
 import math
 import os
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -714,6 +715,57 @@ def test_cover_tree_levels():
             assert tree.lo[a] == tree.lo[n] and tree.hi[b - 1] == tree.hi[n]
 
 
+def test_topk_holds_one_tile_of_scores():
+    """Vectors without structure are one leaf a side; their scores don't lie in memory at once. Repeated vectors tie."""
+    rnd = np.random.default_rng(15)
+    points = np.floor(rnd.normal(size=(9000, 32)) * 40)[np.arange(9000) % 4500]
+    ids, query_ids = rnd.permutation(9000), np.arange(0, 9000, 3)
+    at = np.argsort(ids)[query_ids]
+    tracemalloc.start()
+    parts, done = topk.search_group(query_ids, points[at], ids, points, topk.Search())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert done > 0.9 * 3000 * 9000 and peak < 80e6  # as integers these are 216 MB
+    got = sorted((q, -s, i) for q, i, s, _ in zip(*parts[0]))
+    score = points[at] @ points.T
+    score[np.arange(3000), at] = -np.inf
+    best = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :5]
+    assert got == sorted((q, -score[n, c], ids[c]) for n, q in enumerate(query_ids) for c in best[n])
+
+
+def test_topk_large_values_in_parts(monkeypatch):
+    monkeypatch.setattr(topk, "ROWS", 3)
+    rnd = np.random.default_rng(16)
+    points = np.floor(rnd.normal(size=(40, 4)) * 1e12)
+    got = sorted((q, -s, i) for q, i, s, _ in topk._large(np.arange(0, 40, 5), points[::5], np.arange(40), points, 5))
+    exact = lambda a, b: sum(int(x) * int(y) for x, y in zip(points[a], points[b]))
+    clamped = lambda s: max(topk.NONE + 1, min(topk.LAST_ID, s))
+    want = [(q, i) for q in range(0, 40, 5) for i in sorted((i for i in range(40) if i != q), key=lambda i: (-exact(q, i), i))[:5]]
+    assert got == sorted((q, -clamped(exact(q, i)), i) for q, i in want)
+
+
+def test_topk_groups_of_wide_vectors_are_smaller(spark, monkeypatch):
+    """Groups are bounded by components, not rows alone, and give the same rows."""
+    rnd = np.random.default_rng(17)
+    data = [(i, rnd.normal(size=128).tolist()) for i in range(300)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(3)
+    found, seen = topk._group, spark.sparkContext.accumulator(0)
+
+    def counted(search):
+        run = found(search)
+
+        def group(data, asked):
+            assert len(data) < 60, len(data)
+            seen.add(1)
+            return run(data, asked)
+
+        return group
+
+    monkeypatch.setattr(topk, "_group", counted)
+    got = topk.top_k(df, df.filter("vec_id % 50 = 0"), topk.Search(slice=60))
+    assert rows(got) == sorted(brute_topk(data, [(i, v) for i, v in data if i % 50 == 0]), key=repr) and seen.value >= 10
+
+
 # Mixing
 
 
